@@ -11,6 +11,7 @@ No other weight changes, so a larger shard count takes rows only into the new sh
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,14 @@ def _levels(root: Node) -> list[list[list[Node]]]:
     return out
 
 
+def _draws(key: Column, level: int) -> Callable[[Column], Column]:
+    def draw(child: Column) -> Column:
+        score = -F.log(uniform(key, F.lit(level), child["name"])) / child["weight"]
+        return F.struct(score.alias("score"), child["at"].alias("at"), child["shard"].alias("shard"))
+
+    return draw
+
+
 def shard_of(key: Column, root: Node) -> Column:
     """The shard number that a key descends to; a null key counts as a key of its own.
 
@@ -69,10 +78,7 @@ def shard_of(key: Column, root: Node) -> Column:
             rows.append(F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(c.weight).alias("weight"), F.lit(place + i).alias("at"), F.lit(-1 if c.shard is None else c.shard).alias("shard")) for i, c in enumerate(family)]))
             place += len(family)
 
-        def draw(c: Column, level: int = level) -> Column:
-            return F.struct((-F.log(uniform(filled, F.lit(level), c["name"])) / c["weight"]).alias("d"), c["at"].alias("at"), c["shard"].alias("shard"))
-
-        won = F.array_min(F.transform(F.element_at(F.array(*rows), at + 1), draw))
+        won = F.array_min(F.transform(F.element_at(F.array(*rows), at + 1), _draws(filled, level)))
         at = won["at"]
     return won["shard"].cast("int")
 
