@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import exact_dedup, mixing, packing, quality_rules, secret_scan, sharding
+from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_rules, secret_scan, sharding
 from assayer.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_quality_rules, op5_mixing, op7_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dup, op4_quality_rules, op5_mixing, op7_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.SQL, "op4_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op1_secret_scan": secret_scan.SQL, "op3_near_dup": near_dup.SQL, "op4_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
