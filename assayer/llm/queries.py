@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_rules, secret_scan, sharding
+from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_rules, secret_scan, sharding, token_store
 from assayer.llm.common import table
 
 
@@ -30,6 +30,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary stays where it is; its path is a parameter
+
+    return token_store.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dup, op4_quality_rules, op5_mixing, op7_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dup, op4_quality_rules, op5_mixing, op6_token_store, op7_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
