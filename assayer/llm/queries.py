@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_store
+from assayer.llm import exact_dedup, lm_scoring, mixing, near_dup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_store
 from assayer.llm.common import table
 
 
@@ -44,12 +44,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dup, op4_quality_rules, op5_mixing, op6_token_store, op7_exact_dedup, op8_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dup, op4_quality_rules, op5_mixing, op6_token_store, op7_exact_dedup, op8_quality_classifier, op9_lm_scoring, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
