@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,9 +53,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with keep_id, group_size and kept.
 
     Texts are equal when identical after A-Z are lower-cased; a null text counts as empty. keep_id
-    is the largest id of the group, group_size its number of rows; kept: the row's id is keep_id
-    (rows that repeat an id and text are kept together; a null id is kept only where the whole
-    group has none). Columns of these names that docs has already are replaced.
+    is the largest id of the group (null ids are smaller than any), group_size its number of rows.
+    kept is true for one row of each group: the row with keep_id, and of rows that repeat it the
+    first by exact text. Columns of these names that docs has already are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("keep_id", "group_size", "kept")
@@ -98,17 +98,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(text.alias("t"), F.col(id_col).alias("i")).mapInArrow(lambda b: full(b, True), f"i {id_type}, k binary")
-    groups = keyed.groupBy(F.col("k").alias("_llm_k")).agg(F.max("i").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    ids = keyed.groupBy(F.col("k").alias("_llm_k"), "i").count()
+    last = F.max(F.struct("i", "count"))
+    groups = ids.groupBy("_llm_k").agg(last["i"].alias("keep_id"), last["count"].alias("_llm_ties"), F.sum("count").alias("group_size")).filter("group_size > 1")
     groups = written(groups, "exact-groups")
     small = groups.count() <= BROADCAST_GROUPS
     joined = docs.mapInArrow(full, schema).join(F.broadcast(groups) if small else groups, F.col("_llm_full") == F.col("_llm_k"), "left")
     alone = F.col("group_size").isNull()
-    return joined.select(
-        *docs.columns,
-        F.when(alone, F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"),
-    )
+    stays = alone | F.col(id_col).eqNullSafe(F.col("keep_id"))
+    if groups.filter("_llm_ties > 1").isEmpty():
+        joined = joined.withColumn("kept", stays)
+    else:  # rows repeat an id and text: the first by exact text stays; only such rows are shuffled
+        tie = stays & (F.coalesce("_llm_ties", F.lit(1)) > 1)
+        first = F.row_number().over(Window.partitionBy("_llm_k").orderBy(text_col)) == 1
+        joined = joined.filter(~tie).withColumn("kept", stays).unionByName(joined.filter(tie).withColumn("kept", first))
+    return joined.select(*docs.columns, F.when(alone, F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "kept")
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

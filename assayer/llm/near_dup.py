@@ -61,7 +61,7 @@ def shingles(blob: bytes, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     if len(h) < k:
-        h = np.concatenate([h, np.full(k - len(h), MIX1 * np.uint64(len(h)), np.uint64)])
+        h = np.concatenate([h, np.full(k - len(h), int(MIX1) * len(h) % 2**64, np.uint64)])
     n = len(h) - k + 1
     out = h[:n].copy()
     for j in range(1, k):
