@@ -2,10 +2,12 @@
 
 Every source has a weight schedule w(t) = weight * (1 + slope * (2t - 1)) over training time t in
 [0, 1]. Its integral, scaled to the source's target, is the source's cumulative token demand:
-D(t) = target * (t + slope * (t*t - t)). Documents of a source stand in the order of a hash of
-their id; a document whose words begin at c in that order (c + source size in the second pass, and
-so on) is trained on at the t with D(t) = c + half its size. Copies with t up to 1 are taken; the
-mix is sorted by t over ranges.
+D(t) = target * (t + slope * (t*t - t)). A source is cut into strata by the size of its documents,
+which share its target; documents of a stratum stand in the order of a hash of their id. A copy
+whose middle lies at the share x of the stratum's target (later passes continue behind the first)
+is trained on at the t with D(t) = x * target; copies up to x = 1 are taken, and the mix is sorted
+by t over ranges. What whole documents leave over or short in a stratum goes to the strata of
+smaller ones, so that a source ends within half a small document of its target.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import words
+from assayer.llm.common import words, written
 
 #: No source and no document is repeated more often.
 MAX_EPOCHS = 3
 #: Hex digits of the hash that split a source's order into parts: 16**3 parts of any source.
 PART_DIGITS = 3
+#: Documents of more words than the first, than the second, and all others are the strata.
+STRATA = (1024, 128)
 
 
 def weight_of(rank: Column) -> Column:
@@ -53,42 +57,72 @@ def targets(sources: DataFrame, total_share: float = 1.0) -> DataFrame:
     return level.select("skey", "rank", "weight", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _count(middle2: Column, stratum_size: Column, quota: Column) -> Column:
+    """How many passes over a stratum reach a document before its quota ends."""
+    return sum((F.when(middle2 + 2 * e * stratum_size <= 2 * quota, 1).otherwise(0) for e in range(MAX_EPOCHS)), F.lit(0))
+
+
+def _middles(rows: DataFrame, parts: DataFrame, id_col: str) -> DataFrame:
+    """rows with what parts has of their source, stratum and part, and twice the middle of each in its stratum."""
+    same = (F.col("_llm_skey") == F.col("p_skey")) & (F.col("_llm_stratum") == F.col("p_stratum")) & (F.col("_llm_part") == F.col("p_part"))
+    run = Window.partitionBy("_llm_skey", "_llm_stratum", "_llm_part").orderBy("_llm_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(parts, same).withColumn("_llm_mid", (F.col("p_start") + F.coalesce(F.sum("size").over(run), F.lit(0))) * 2 + F.col("size"))
+
+
+def _quotas(narrow: DataFrame, id_col: str) -> DataFrame:
+    """A row for each source, stratum and part: sizes, target, slope, the part's start and the stratum's quota."""
+    parts = narrow.groupBy("_llm_skey", "_llm_stratum", "_llm_part").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("_llm_skey", "_llm_stratum").orderBy("_llm_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("_llm_skey").alias("p_skey"), F.col("_llm_stratum").alias("p_stratum"), F.col("_llm_part").alias("p_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("p_start"))
+    n = len(STRATA) + 1
+    sizes = parts.groupBy(F.col("_llm_skey").alias("skey")).agg(F.sum("n").alias("source_size"), *[F.sum(F.when(F.col("_llm_stratum") == k, F.col("n")).otherwise(0)).alias(f"p_size{k}") for k in range(n)])
+    shares = targets(sizes.select("skey", "source_size")).select(F.col("skey").alias("t_skey"), "target", slope_of(F.col("rank")).alias("p_slope"))
+    sizes = sizes.join(shares, F.col("skey") == F.col("t_skey")).drop("t_skey").withColumn("p_taken", F.lit(0).cast("long"))
+    out = None
+    for k in range(n):
+        size, upto = F.col(f"p_size{k}"), sum((F.col(f"p_size{j}") for j in range(k + 1)), F.lit(0))
+        due = F.col("target") if k == n - 1 else F.when(F.col("source_size") > 0, F.col("target") * upto / F.col("source_size")).otherwise(F.lit(0.0))
+        quota = F.least(F.greatest(due - F.col("p_taken"), F.lit(0.0)), (MAX_EPOCHS * size).cast("double"))
+        here = starts.filter(F.col("p_stratum") == k).join(sizes.withColumn("p_quota", quota), F.col("p_skey") == F.col("skey"))
+        here = here.select("p_skey", "p_stratum", "p_part", "p_start", "source_size", "target", "p_slope", size.alias("p_size"), "p_quota")
+        out = here if out is None else out.unionByName(here)
+        if k < n - 1:
+            rows = _middles(narrow.filter(F.col("_llm_stratum") == k), here.drop("source_size"), id_col)
+            taken = rows.groupBy(F.col("_llm_skey").alias("t_skey")).agg(F.sum(_count(F.col("_llm_mid"), F.col("p_size"), F.col("p_quota")) * F.col("size")).alias("t_taken"))
+            sizes = sizes.join(taken, F.col("skey") == F.col("t_skey"), "left").withColumn("p_taken", F.col("p_taken") + F.coalesce("t_taken", F.lit(0))).drop("t_skey", "t_taken")
+            sizes = written(sizes, "mix-sources")
+    return out
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with size, source_size, target, copies (0 to 3), taken and position.
+    """docs with size, source_size, target, copies (0 to 3), taken, position and positions.
 
     size: words of the text, 0 for a null one. A null source is one more source, the last. taken:
-    copies * size, near the source's target (within half the size of the document at the end of
-    the demand). position: the training time of the first copy, null where there is none; positions
-    has that of every copy. A document without words takes part with 0 words. Columns of these
-    names that docs has already are replaced.
+    copies * size. position: the training time of the first copy, null where there is none;
+    positions has that of every copy. A document without words takes part with 0 words. Columns of
+    these names that docs has already are replaced.
 
-    Each source's order is cut into 16**PART_DIGITS parts by hash, the parts are summed (a row for
-    each source and part), and running sums are made within parts: no task holds a source.
+    A stratum's order is cut into 16**PART_DIGITS parts by hash, the parts are summed, and running
+    sums are made within parts: no task holds a source. Ids and sizes are written once.
     """
     skey = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     order = F.md5(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
-    rows = docs.withColumns({"size": F.size(words(F.col(text_col))).cast("long"), "_llm_skey": skey, "_llm_order": order})
-    rows = rows.withColumn("_llm_part", F.substring("_llm_order", 1, PART_DIGITS)).drop("source_size", "target")
-    parts = rows.groupBy("_llm_skey", "_llm_part").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("_llm_skey").orderBy("_llm_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col("_llm_skey").alias("_llm_s"), F.col("_llm_part").alias("_llm_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_llm_start"))
-    shares = targets(parts.groupBy(F.col("_llm_skey").alias("skey")).agg(F.sum("n").alias("source_size")))
-    starts = starts.join(shares, F.col("_llm_s") == F.col("skey")).select("_llm_s", "_llm_p", "_llm_start", "source_size", "target", slope_of(F.col("rank")).alias("_llm_slope"))
-    joined = rows.join(starts, (F.col("_llm_skey") == F.col("_llm_s")) & (F.col("_llm_part") == F.col("_llm_p")))
-    run = Window.partitionBy("_llm_skey", "_llm_part").orderBy("_llm_order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = joined.withColumn("_llm_mid", (F.col("_llm_start") + F.coalesce(F.sum("size").over(run), F.lit(0))) * 2 + F.col("size"))
-    middles = [F.col("_llm_mid") + 2 * e * F.col("source_size") for e in range(MAX_EPOCHS)]
-    copies = sum((F.when(m <= 2 * F.col("target"), 1).otherwise(0) for m in middles), F.lit(0))
-    times = F.array(*[_time(m, F.col("target"), F.col("_llm_slope")) for m in middles])
-    out = at.withColumn("copies", copies.cast("int"))
+    rows = docs.drop("source_size", "target").withColumns({"size": F.size(words(F.col(text_col))).cast("long"), "_llm_skey": skey, "_llm_order": order})
+    stratum = F.when(F.col("size") > STRATA[0], 0).when(F.col("size") > STRATA[1], 1).otherwise(2)
+    rows = rows.withColumns({"_llm_part": F.substring("_llm_order", 1, PART_DIGITS), "_llm_stratum": stratum})
+    narrow = written(rows.select(id_col, "size", "_llm_skey", "_llm_order", "_llm_part", "_llm_stratum"), "mix-sizes")
+    at = _middles(rows, written(_quotas(narrow, id_col), "mix-quotas"), id_col)
+    mid, size, quota = F.col("_llm_mid"), F.col("p_size"), F.col("p_quota")
+    times = F.array(*[_time(mid + 2 * e * size, quota, F.col("p_slope")) for e in range(MAX_EPOCHS)])
+    out = at.withColumn("copies", _count(mid, size, quota).cast("int"))
     out = out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("positions", F.slice(times, 1, F.col("copies")))
     out = out.withColumn("position", F.when(F.col("copies") > 0, F.col("positions")[0]))
-    return out.drop("_llm_skey", "_llm_order", "_llm_part", "_llm_s", "_llm_p", "_llm_start", "_llm_slope", "_llm_mid")
+    return out.drop(*[c for c in out.columns if c.startswith(("_llm_", "p_")) and c not in docs.columns])
 
 
-def _time(middle2: Column, target: Column, slope: Column) -> Column:
-    """The t with target * (t + slope * (t*t - t)) = middle2 / 2; 0 for a source without words."""
-    x = F.when(target > 0, middle2 / (2 * target)).otherwise(F.lit(0.0))
+def _time(middle2: Column, quota: Column, slope: Column) -> Column:
+    """The t with t + slope * (t*t - t) = middle2 / (2 * quota); 0 where there is no quota."""
+    x = F.when(quota > 0, middle2 / (2 * quota)).otherwise(F.lit(0.0))
     back = 1 - slope
     return F.when(slope == 0, x).otherwise((F.sqrt(back * back + 4 * slope * x) - back) / (2 * slope))
 
@@ -134,12 +168,26 @@ WITH d AS (
 ), t AS (
   SELECT skey, rank, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM l WHERE level * weight <= cap ORDER BY place LIMIT 1) * weight) AS target FROM l
 ), m AS (
-  SELECT doc_id, size, source_size, target, (rank % 3 - 1) / 2.0::DOUBLE AS slope,
-         2 * coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS mid
-  FROM d JOIN t USING (skey)
+  SELECT doc_id, size, source_size, target, d.skey, (rank % 3 - 1) / 2.0::DOUBLE AS slope, k, sum(size) OVER (PARTITION BY d.skey, k) AS zk,
+         2 * coalesce(sum(size) OVER (PARTITION BY d.skey, k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS mid
+  FROM (SELECT *, CASE WHEN size > 1024 THEN 0 WHEN size > 128 THEN 1 ELSE 2 END AS k FROM d) AS d JOIN t USING (skey)
+), z AS (
+  SELECT skey, any_value(target) AS target, any_value(source_size) AS z, coalesce(sum(size) FILTER (k = 0), 0) AS z0, coalesce(sum(size) FILTER (k = 1), 0) AS z1, coalesce(sum(size) FILTER (k = 2), 0) AS z2 FROM m GROUP BY skey
+), q0 AS (
+  SELECT *, least(greatest(CASE WHEN z > 0 THEN target * z0 / z ELSE 0.0 END, 0.0), CAST(3 * z0 AS DOUBLE)) AS q0 FROM z
+), t0 AS (
+  SELECT skey, sum(size * (CAST(mid <= 2 * q0 AS INT) + CAST(mid + 2 * zk <= 2 * q0 AS INT) + CAST(mid + 4 * zk <= 2 * q0 AS INT))) AS t0 FROM m JOIN q0 USING (skey) WHERE k = 0 GROUP BY skey
+), q1 AS (
+  SELECT *, coalesce(t0, 0) AS done0, least(greatest(CASE WHEN z > 0 THEN target * (z0 + z1) / z ELSE 0.0 END - coalesce(t0, 0), 0.0), CAST(3 * z1 AS DOUBLE)) AS q1 FROM q0 LEFT JOIN t0 USING (skey)
+), t1 AS (
+  SELECT skey, sum(size * (CAST(mid <= 2 * q1 AS INT) + CAST(mid + 2 * zk <= 2 * q1 AS INT) + CAST(mid + 4 * zk <= 2 * q1 AS INT))) AS t1 FROM m JOIN q1 USING (skey) WHERE k = 1 GROUP BY skey
+), q2 AS (
+  SELECT *, least(greatest(target - (done0 + coalesce(t1, 0)), 0.0), CAST(3 * z2 AS DOUBLE)) AS q2 FROM q1 LEFT JOIN t1 USING (skey)
+), q AS (
+  SELECT m.*, CASE k WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END AS q FROM m JOIN q2 USING (skey)
 ), c AS (
-  SELECT *, CAST(mid <= 2 * target AS INT) + CAST(mid + 2 * source_size <= 2 * target AS INT) + CAST(mid + 4 * source_size <= 2 * target AS INT) AS copies,
-         CASE WHEN target > 0 THEN CAST(mid AS DOUBLE) / (2 * target) ELSE 0.0 END AS x FROM m
+  SELECT *, CAST(mid <= 2 * q AS INT) + CAST(mid + 2 * zk <= 2 * q AS INT) + CAST(mid + 4 * zk <= 2 * q AS INT) AS copies,
+         CASE WHEN q > 0 THEN CAST(mid AS DOUBLE) / (2 * q) ELSE 0.0 END AS x FROM q
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INT) AS copies,
        CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN x ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope) END END AS position
