@@ -8,10 +8,10 @@ with probability (1 - 0.8**5)**40 < 2e-7.
 
 Documents with equal sets are one class from the start. Large buckets are never expanded into
 all pairs: each member is compared with the least and greatest class of its buckets, the likeliest
-first, and only what those links leave unconnected is compared further, in buckets that are split
-by a second band while they are large. Classes with different sets in one component need no more
-links. Sets travel only for pairs whose sizes and count sketches allow the threshold; the sketch
-gives an upper bound of the intersection, so it drops no link.
+first. Buckets that those links leave in several components go, as sets, through an exact prefix
+filter, which finds every pair among them that can reach the threshold. Classes in one component
+need no more links. Sets travel only for pairs whose sizes and count sketches allow the threshold;
+the sketch gives an upper bound of the intersection, so it drops no link.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from assayer.llm.connected import components
 DIM, ROWS, BANDS = 2**18, 5, 40
 COORDS = ROWS * BANDS
 SKETCH = 256
-#: Buckets with more classes that are still unconnected are split by a second band.
-LARGE = 32
+#: Cells that count how frequent shingles are where an order from rare to frequent is needed.
+CELLS = 2**22
 #: 2 MB: the most that tells the scan which documents' sets are needed.
 BITS = 2**24
 BROADCAST_GROUPS = 200_000
@@ -154,9 +154,9 @@ class _Links:
         y = c.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
         return written(pairs.join(x, "a").join(y, "b").mapInArrow(_sketches_allow, "a binary, b binary, shared long"), label)
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(cls, hashes) of the classes in pairs, made anew from the texts of their documents."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "rep"), "cls")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cls, hashes) of the classes in wanted, made anew from the texts of their documents."""
+        need = wanted.join(self.classes.select("cls", "rep"), "cls")
         at = F.pmod("rep", F.lit(BITS)) + 1
         found = need.filter("rep is not null").select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
         bits = np.zeros(BITS // 8, np.uint8)
@@ -199,8 +199,71 @@ class _Links:
             pairs = pairs.join(names, c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}_", c)).drop(f"l{c}_")
         return pairs
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        return self.labeled(pairs).filter("la != lb").drop("la", "lb")
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for blob in blobs(batch.column(0)):
+            np.add.at(counts, _cells(np.frombuffer(blob, np.uint64)), 1)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["cell", "n"])
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b, shared) of sets (cls, hashes, label): every pair of other labels that can reach the threshold.
+
+    Exact prefix filtering. Shingles are ordered from rare to frequent; of two sets with 80 %
+    similarity, the first 1/9 of the smaller and the first 1/5 of the larger share a shingle, and
+    enough of both stands behind it. A passage that many documents share stands at the end of the order, so it proposes no pairs. How
+    frequent a shingle is, is counted in CELLS cells; any order is right, that one is fast. The
+    driver gets a row for each cell that many sets share.
+    """
+    frequent = sets.select("hashes").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 8").toArrow()
+    counts = np.zeros(CELLS, np.int32)
+    counts[frequent["cell"].to_numpy()] = np.minimum(frequent["n"].to_numpy(), 2**31 - 1)
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, lengths, sizes, places = [], [], [], []
+            for blob in blobs(batch.column(1)):
+                h = np.frombuffer(blob, np.uint64)
+                n = len(h)
+                h = h[np.lexsort((h, sent.value[_cells(h)]))[: n - -(-8 * n // 10) + 1]]
+                first.append(h)
+                places.append(np.arange(len(h)))
+                lengths.append(len(h))
+                sizes.append(n)
+            if first:
+                rows = pa.array(np.repeat(np.arange(len(first)), lengths))
+                arrays = [pa.array(np.concatenate(first).view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "cls", "label", "n", "at"])
+
+    rows = written(sets.select("cls", "hashes", "label").mapInArrow(run, "h long, cls binary, label binary, n long, at long"), "near-prefixes")
+    shared = rows.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("h")
+    rows = rows.join(shared, "h", "left_semi")
+    x = rows.filter("at <= n - ceil(8 * n / 9)").select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"))
+    y = rows.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    # at the first shingle that two sets share, all that they share is still to come
+    ahead = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * 180 >= (F.col("na") + F.col("nb")) * 80
+    met = x.join(y, "h").filter(smaller & (F.col("la") != F.col("lb")) & (100 * F.col("na") >= 80 * F.col("nb")) & ahead)
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, cls, ...) with label, of the buckets that hold several components."""
+    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    keys = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
+    return named.join(keys, "key", "left_semi")
 
 
 def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -216,28 +279,27 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     buckets = written(placed.join(lows, "key"), "near-buckets")
     links = _Links(docs, classes.select("cls", "rep", "n", "cells"), k)
 
+    # first, each class against the class that ends most of its buckets
     ends = buckets.select(F.explode(F.array("lo", "hi")).alias("p"), "m").filter((F.col("p.cls") != F.col("m.cls")) & _sizes_allow(F.col("p.n"), F.col("m.n")))
-    pairs = ends.groupBy(F.col("p.cls").alias("a"), F.col("m.cls").alias("b")).agg(F.count("*").alias("shared"))
-    pairs = links.allowed(pairs, "near-pairs")
-    sets = links.sets(pairs)
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links.link(best, sets)
-    links.link(links.apart(pairs), sets)
-
-    rest = links.labels.select(F.col("node").alias("cls"), "label")
-    open_rows = buckets.select("key", F.col("m.cls").alias("cls"), F.col("m.n").alias("n")).join(rest, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    sizes = open_rows.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key", "members")
-    open_rows = written(open_rows.join(sizes, "key"), "near-open")
-    large = open_rows.filter(F.col("members") > LARGE)
-    split = large.join(classes.select("cls", "sig"), "cls").select(F.explode("sig").alias("second"), "key", "cls", "n", "label").filter("second != key")
-    few = open_rows.filter(F.col("members") <= LARGE).select("key", F.lit(0).cast("long").alias("second"), "cls", "n", "label")
-    ready = few.unionByName(split)
-    x = ready.select("key", "second", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = ready.select("key", "second", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    left = x.join(y, ["key", "second"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _sizes_allow(F.col("na"), F.col("nb")))
-    left = links.allowed(left.select("a", "b").distinct().withColumn("shared", F.lit(1).cast("long")), "near-left")
-    links.link(left, links.sets(left))
-    for used in (buckets, pairs, sets, open_rows, left, classes):
+    counts = ends.groupBy(F.col("p.cls").alias("a"), F.col("m.cls").alias("b")).agg(F.count("*").alias("shared"))
+    best = links.allowed(counts.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"), F.max("shared").alias("shared")), "near-best")
+    links.link(best, links.sets(_both(best)))
+
+    # then against both ends of the buckets that hold several components
+    rows_open = written(_open(buckets.select("key", "m.cls", "m.n"), links.labels), "near-open")
+    end = rows_open.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("cls", "n", "label")).alias("lo"), F.max(F.struct("cls", "n", "label")).alias("hi"))
+    met = rows_open.join(end, F.col("key") == F.col("k")).select("cls", "n", "label", F.explode(F.array("lo", "hi")).alias("p"))
+    met = met.filter((F.col("p.label") != F.col("label")) & _sizes_allow(F.col("p.n"), F.col("n")))
+    pairs = links.allowed(met.groupBy(F.col("p.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "near-pairs")
+    links.link(pairs, links.sets(_both(pairs)))
+
+    # in a bucket of three, all pairs have met; larger ones that are still apart go through the filter
+    more = rows_open.groupBy("key").count().filter("count > 3").select("key")
+    still = written(_open(rows_open.drop("label").join(more, "key", "left_semi"), links.labels).select("cls", "label").distinct(), "near-apart")
+    open_sets = links.sets(still)
+    left = links.allowed(prefix_pairs(open_sets.join(still, "cls")), "near-left")
+    links.link(left, open_sets)
+    for used in (buckets, best, rows_open, pairs, still, open_sets, left, classes):
         forget(used)
     return rows.select("doc_id", "n", "cls"), links.labels
 
