@@ -124,7 +124,7 @@ def contains(output: Column, substring: str, case_sensitive: bool = True) -> Col
 def regex(output: Column, pattern: str, case_sensitive: bool = True) -> Column:
     """rlike for patterns that Java and Python read alike, Python's re for others."""
     prepare("regex", {"pattern": pattern})
-    if case_sensitive and PORTABLE.fullmatch(pattern) and "$" not in pattern:
+    if case_sensitive and PORTABLE.fullmatch(pattern) and "$" not in pattern and "(?" not in pattern:
         return output.rlike(pattern)
     compiled = re.compile(pattern, 0 if case_sensitive else re.IGNORECASE)
 
