@@ -22,15 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import blobs, scratch, written
+from assayer.llm.common import MIX1, blobs, mixed, scratch, written
 
 END_ID = 1
 #: Ids in a block at most, besides those of its last document.
 BLOCK_IDS = 1 << 18
-#: Words held by an encoder, in each of two generations, besides those of the texts at hand.
-CACHE = 250_000
-#: Texts encoded together.
-GROUP = 128
+#: Units held by an encoder, about 40 bytes each, besides those of the texts at hand.
+LIMIT = 1_000_000
+#: Bytes of texts encoded together, besides those of the last.
+GROUP_BYTES = 1 << 20
 LENGTHS = np.stack([(np.arange(256) >> (2 * j)) & 3 for j in range(4)], axis=1).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -64,14 +64,68 @@ def expand(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(quads).view("<u4").reshape(-1) & MASKS[lengths]
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... lengths[0] of them, then those of the next."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Known:
+    """Ids by 64-bit key: a large sorted table and a small recent one, in numpy."""
+
+    def __init__(self, dtype: np.dtype):
+        self.empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype))
+        self.tables = [self.empty, self.empty]
+
+    def absent(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for known, *_ in self.tables:
+            if len(known):
+                out &= known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] != keys
+        return out
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, lengths, ids) of keys that are all there."""
+        lengths, found = np.zeros(len(keys), np.int64), []
+        for known, at, n, flat in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = np.flatnonzero(known[i] == keys)
+                lengths[hit] = n[i[hit]]
+                found.append((hit, at[i[hit]], flat))
+        offsets = np.cumsum(lengths) - lengths
+        ids = np.zeros(int(lengths.sum()), self.empty[3].dtype)
+        for hit, at, flat in found:
+            ids[_spread(offsets[hit], lengths[hit])] = flat[_spread(at, lengths[hit])]
+        return offsets, lengths, ids
+
+    def make_room(self) -> None:
+        """Forgets the large table once there are LIMIT keys."""
+        if sum(len(t[0]) for t in self.tables) > LIMIT:
+            self.tables = [self.tables[1], self.empty]
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Adds keys that are absent."""
+        fresh = (keys, np.cumsum(lengths) - lengths, lengths, flat)
+        self.tables[1] = self._merged(self.tables[1], fresh)
+        if 4 * len(self.tables[1][0]) > len(self.tables[0][0]):
+            self.tables = [self._merged(*self.tables), self.empty]
+
+    @staticmethod
+    def _merged(x: tuple, y: tuple) -> tuple:
+        keys = np.concatenate([x[0], y[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([x[1], y[1] + len(x[3])])[order], np.concatenate([x[2], y[2]])[order], np.concatenate([x[3], y[3]])
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose pieces never cross ASCII white space.
 
-    Equal words have equal ids wherever they stand, so each new word is encoded once and kept, in
-    two generations of CACHE words. A word of letters and closing punctuation is put together from
-    its lower-cased letters, which are one piece, and the rest. New words are encoded in one call,
-    joined by spaces, and told apart by the ids that end a piece; where the counts of pieces don't
-    agree, one by one.
+    Texts are cut in numpy into units: a word of Latin letters, lower-cased, and its closing
+    punctuation, or any other word as a whole. Equal units have equal ids wherever they stand, so
+    the library encodes each new unit once; all others are gathered by their key. Units are encoded
+    in one call, joined by spaces, and told apart by the ids that end a piece; where the counts of
+    pieces don't agree, one by one.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -86,64 +140,119 @@ class WordEncoder:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         # Fixed value: the pieces that word_bpe_49k.json cuts a text into.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _together(self, texts: list[str], counts: list[int]) -> list[bytes]:
-        """Ids of words without white space that are cut into so many pieces."""
-        out: list[bytes] = []
-        for a in range(0, len(texts), 512):
-            part, n = texts[a : a + 512], np.array(counts[a : a + 512])
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+        self.known = Known(self.dtype)
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _learn(self, keys: np.ndarray, units: list[bytes], simple: np.ndarray) -> None:
+        """simple: units known to be one piece."""
+        lengths, made = np.zeros(len(units), np.int64), [None] * len(units)
+        texts = [str(u, "utf-8") for u in units]
+        together = [i for i, t in enumerate(texts) if "<" not in t]  # others may hold a special token
+        for a in range(0, len(together), 512):
+            part = together[a : a + 512]
+            counts = np.array([1 if simple[i] else len(self.pieces.findall(texts[i])) for i in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == n.sum() and len(ids) and cuts[-1] == len(ids):
-                at = [0, *(cuts[np.cumsum(n) - 1] * self.dtype.itemsize).tolist()]
-                raw = ids.astype(self.dtype).tobytes()
-                out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
-            else:
-                out += [self.plain(w) for w in part]
-        return out
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        known = self.known
-        cores: dict[bytes, str] = {}
-        split: list[tuple[bytes, bytes, bytes]] = []
-        whole: list[tuple[bytes, str]] = []
-        for w in fresh:
-            letters = w.rstrip(b".,!?;:$*&%#")
-            text = str(letters, "utf-8")
-            if text.isalpha() and "\u03a3" not in text:  # a capital sigma's lower case depends on its place
-                core, tail = text.lower().encode(), w[len(letters) :]
-                if core not in known and core not in cores:
-                    cores[core] = text.lower()
-                split.append((w, core, tail))
+            if len(cuts) == counts.sum() and len(ids) and cuts[-1] == len(ids):
+                at = cuts[np.cumsum(counts) - 1]
+                lengths[part] = np.diff(at, prepend=0)
+                made[part[0]] = ids.astype(self.dtype)  # the ids of all of part, which stand together
+                for i in part[1:]:
+                    made[i] = self.known.empty[3]
             else:
-                whole.append((w, str(w, "utf-8")))
-        tails = {t for _, _, t in split if t and t not in known}
-        whole += [(t, str(t, "utf-8")) for t in tails]
-        known.update(zip(cores, self._together(list(cores.values()), [1] * len(cores)), strict=True))
-        simple = [(w, t) for w, t in whole if "<" not in t]  # others may hold a special token
-        counts = [len(self.pieces.findall(t.lower())) for _, t in simple]
-        known.update(zip((w for w, _ in simple), self._together([t for _, t in simple], counts), strict=True))
-        known.update((w, self.plain(t)) for w, t in whole if "<" in t)
-        known[b""] = b""
-        known.update((w, known[core] + known[tail]) for w, core, tail in split)
+                for i in part:
+                    made[i] = self._plain(texts[i])
+                    lengths[i] = len(made[i])
+        order = together + [i for i, t in enumerate(texts) if "<" in t]
+        for i in order[len(together) :]:
+            made[i] = self._plain(texts[i])
+            lengths[i] = len(made[i])
+        self.known.add(keys[order], lengths[order], np.concatenate([made[i] for i in order]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each UTF-8 text. bytes.split() cuts at space and 9 to 13 alone."""
-        found = [t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.old, self.known = self.known, {}
-        missing = set().union(*found).difference(self.known)
-        kept = missing & self.old.keys() if self.old else set()
-        self.known.update((w, self.old[w]) for w in kept)
-        if missing := missing - kept:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, f)) for f in found]
+        """Little-endian ids of each UTF-8 text."""
+        joined = b"\n".join(texts)
+        raw = np.frombuffer(b"\n" + joined + b"\n" + bytes(8), np.uint8)
+        low, starts, ends, simple = _units(raw)
+        if not len(starts):
+            return [b""] * len(texts)
+        self.known.make_room()
+        keys, first, at = np.unique(_keys(low, starts, ends), return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.known.absent(keys))
+        if len(new):
+            place = first[new]
+            units = [low[s:e].tobytes() for s, e in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+            self._learn(keys[new], units, simple[place])
+        offsets, lengths, flat = self.known.get(keys)
+        n = lengths[at]
+        upto = np.cumsum(n)
+        ids = flat[_spread(offsets[at], n)]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        begins = np.cumsum(sizes) - sizes + 1
+        cuts = np.concatenate([[0], upto])[np.searchsorted(starts, np.append(begins, len(raw)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    space, closing, letter = (np.zeros(256, bool) for _ in range(3))
+    space[[9, 10, 11, 12, 13, 32]] = True
+    closing[list(b".,!?;:$*&%#")] = True
+    letter[list(range(65, 91)) + list(range(97, 123))] = True
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    return space, closing, letter, lower
+
+
+SPACE, CLOSING, LETTER, LOWER = _tables()
+#: Closing marks of a word that are looked at; a word that ends in more is one unit.
+MOST_CLOSING = 6
+
+
+def _units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, simple) of the units of a text between white space."""
+    space = SPACE[raw[:-8]]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    s, e = edge[::2], edge[1::2]
+    low = LOWER[raw]
+    after = np.zeros(len(raw), bool)
+    after[1:] = raw[:-1] == 0xC3  # U+00C0 to U+00FF: letters but for two signs
+    latin = after & (raw >= 0x80) & (raw <= 0xBF) & (raw != 0x97) & (raw != 0xB7)
+    low[latin & (raw <= 0x9E)] += 32
+    plain = LETTER[raw] | latin
+    plain[:-1] |= (raw[:-1] == 0xC3) & latin[1:]
+    strange = np.concatenate([[0], np.cumsum(~plain, dtype=np.int32)])
+    core = e.copy()
+    for _ in range(MOST_CLOSING):
+        shrink = CLOSING[raw[core - 1]] & (core > s)
+        if not shrink.any():
+            break
+        core -= shrink
+    simple = strange[core] == strange[s]
+    core[~simple] = e[~simple]
+    angle = np.flatnonzero(raw == 60)
+    if len(angle):  # a special token is matched as it is written
+        for i in np.unique(np.searchsorted(e, angle, side="right")).tolist():
+            low[s[i] : e[i]] = raw[s[i] : e[i]]
+    starts, ends = np.stack([s, core], axis=1).reshape(-1), np.stack([core, e], axis=1).reshape(-1)
+    real = ends > starts
+    return low, starts[real], ends[real], np.repeat(simple, 2)[real]
+
+
+def _keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the bytes of each unit, eight at a time."""
+    eights = np.lib.stride_tricks.sliding_window_view(low, 8)
+    n = ends - starts
+    masks = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+    key = n.astype(np.uint64) * MIX1
+    left, at = np.arange(len(n)), 0
+    while len(left):
+        eight = np.ascontiguousarray(eights[starts[left] + at]).view("<u8").reshape(-1) & masks[np.minimum(n[left] - at, 8)]
+        key[left] = mixed(key[left] ^ eight) + MIX1
+        at += 8
+        left = left[n[left] > at]
+    return mixed(key)
 
 
 def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
@@ -153,10 +262,14 @@ def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
         encoder = _encoder(tokenizer, dtype)
         end = np.array([END_ID], dtype).tobytes()
         for batch in batches:
-            texts, made = list(blobs(batch.column(1))), []
-            for a in range(0, len(texts), GROUP):
-                made += [ids + end for ids in encoder.encode(texts[a : a + GROUP])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "ids"])
+            group, size, first = [], 0, 0
+            for k, text in enumerate(blobs(batch.column(1))):
+                group.append(text)
+                size += len(text)
+                if size >= GROUP_BYTES or k == batch.num_rows - 1:
+                    made = pa.array([ids + end for ids in encoder.encode(group)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), made], ["doc_id", "ids"])
+                    group, size, first = [], 0, k + 1
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
