@@ -25,7 +25,7 @@ class ConstraintError(ValueError):
 
 
 def is_code(col: Column, name: str) -> Column:
-    return col.isin(*CODES[name])
+    return F.coalesce(col.isin(*CODES[name]), F.lit(False))
 
 
 def is_hash(col: Column) -> Column:

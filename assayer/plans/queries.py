@@ -20,7 +20,7 @@ from assayer.operators import clustering, comparing, judging, sampling, scoring
 from assayer.plans import constraints, reports
 
 CONFIG_HASH, MANIFEST_HASH = "c" * 64, "d" * 64
-SAMPLE_SIZE = 50
+SAMPLE_SIZE = 20
 DATASET = "dataset_0123456789abcdef0123456789abcdef"
 LIMITS = {"global": comparing.Limits(0.01, 5), "deterministic": comparing.Limits(0.0, 3), "reference": comparing.Limits(1.0, 1000), "rubric": comparing.Limits(0.02, 1)}
 SLICE_LIMITS = {0: comparing.Limits(0.0, 0), 3: comparing.Limits(0.05, 2), 5: comparing.Limits(1.0, 1000)}
