@@ -6,16 +6,19 @@ import json
 import uuid
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assayer.functions.ids import digest_of
-from assayer.functions.json_text import quote
+from assayer.functions.ids import digest_of, sha256
+from assayer.functions.json_text import canonical_dumps, quote, redacted
 from assayer.operators import comparing, judging, scoring
 from assayer.plans import constraints, reports
 from assayer.plans.config import Config, ConfigError, configuration_hash
 from assayer.plans.store import Catalog
-from assayer.sources import fixtures
+from assayer.schemas import schema
+from assayer.sources import fixtures, http_provider
 
 
 class OperationalError(RuntimeError):
@@ -32,6 +35,30 @@ def generation_prompt(template: str, prompt: F.Column, context_json: F.Column) -
     return F.concat(F.lit(template.rstrip() + "\n\n"), context, F.lit("Input:\n"), prompt)
 
 
+def connector(where: str, provider: str, settings: dict[str, Any], as_json: bool = False) -> http_provider.HttpProvider:
+    """The connector that a configuration names, or ConfigError."""
+    if provider != "ollama":
+        raise ConfigError(f"{where}: no provider is named {provider!r}")
+    if not isinstance(settings.get("model"), str) or not settings["model"].strip():
+        raise ConfigError(f"{where}: a model is needed")
+    try:
+        url = http_provider.base_url(settings.get("base_url", "http://127.0.0.1:11434"))
+    except ValueError as error:
+        raise ConfigError(f"{where}: {error}") from error
+    return http_provider.HttpProvider(url, settings["model"].strip(), float(settings.get("temperature", 0)), int(settings.get("seed", 42)), float(settings.get("timeout", 120)), as_json)
+
+
+def _identities(prompts: dict[str, str], provider: dict[str, Any]):
+    """A function of columns: the canonical identity of each judgment."""
+
+    @F.pandas_udf(T.StringType())
+    def made(context: pd.Series, rubric: pd.Series, task: pd.Series, output: pd.Series, priority: pd.Series, sequence: pd.Series) -> pd.Series:
+        rows = zip(context, rubric, task, output, priority, sequence, strict=True)
+        return pd.Series([judging.cache_identity({"context": json.loads(c), "criteria": list(r), "input": t, "priority": p}, o, prompts, provider | {"sequence": s}) for c, r, t, o, p, s in rows], dtype=object)
+
+    return made
+
+
 class Experiment:
     """One attempt. run() returns its id; results are tables of the catalog."""
 
@@ -53,17 +80,20 @@ class Experiment:
         constraints.check_empty(judging.rubric_faults(self.cases), "rubrics that don't hold")
         for s in self.cases.select(F.explode("scorers").alias("s")).distinct().collect():  # as many as different scorers
             scoring.prepare(s.s["name"], json.loads(s.s["config"]))
-        self.outputs = None
+        self.outputs = self.spark.createDataFrame([], "role string, eval_id string, output string")
         for role, side in self.config.sides.items():
-            if side.provider != "fixture":
-                raise ConfigError(f"{role}: provider {side.provider!r} needs a connector; pass outputs instead")
-            rows = fixtures.read_outputs(self.spark, side.settings["path"], role)
-            fixtures.check_coverage(self.cases, rows, ["eval_id"], role)
-            self.outputs = rows if self.outputs is None else self.outputs.unionByName(rows)
+            if side.provider == "fixture":
+                rows = fixtures.read_outputs(self.spark, side.settings["path"], role)
+                fixtures.check_coverage(self.cases, rows, ["eval_id"], role)
+                self.outputs = self.outputs.unionByName(rows)
+            else:
+                connector(role, side.provider, side.settings)
         self.responses = None
-        if self.config.judge is not None:
+        if self.config.judge is not None and self.config.judge.provider == "fixture":
             self.responses = fixtures.read_judge(self.spark, self.config.judge.settings["path"])
             fixtures.check_coverage(fixtures.expected_judgments(self.cases), self.responses, ["role", "eval_id"], "judge")
+        elif self.config.judge is not None:
+            connector("judge", self.config.judge.provider, self.config.judge.settings)
         self.members = self.catalog.read("slice_provenance").filter(F.col("dataset_id") == self.dataset).select("eval_id", "cluster_number", "selector", "label_snapshot")
         slices = [(r.cluster_number, r.label_snapshot) for r in self.members.select("cluster_number", "label_snapshot").distinct().collect()]
         self.sliced = bool(slices)
@@ -82,7 +112,9 @@ class Experiment:
         c, x = self.catalog, f"experiment_{uuid.uuid4().hex}"
         self.id, runs = x, {r: f"run_{uuid.uuid4().hex}" for r in comparing.ROLES}
         self._commit("experiments", self._rows("experiments", [{"experiment_id": x, "name": self.config.name, "dataset_id": self.dataset, "configuration_hash": self.configuration}]))
-        self._commit("runs", self._rows("runs", [{"run_id": runs[r], "experiment_id": x, "role": r, "provider": s.provider, "model": s.settings.get("model"), "prompt_hash": s.prompt.sha256 if s.prompt else None} for r, s in self.config.sides.items()]))
+        self._commit("runs", self._rows("runs", [{"run_id": runs[r], "experiment_id": x, "role": r, "provider": s.provider, "model": s.settings.get("model"), "prompt_hash": s.prompt.sha256 if s.prompt else None, "settings_json": canonical_dumps(redacted({k: v for k, v in s.settings.items() if k != "path"}))} for r, s in self.config.sides.items()]))
+        if j := self.config.judge:
+            self._commit("judges", self._rows("judges", [{"experiment_id": x, "provider": j.provider, "model": j.settings.get("model"), "confidence_threshold": j.confidence_threshold, "prompt_hash": j.prompt.sha256 if j.prompt else None, "retry_prompt_hash": j.retry_prompt.sha256 if j.retry_prompt else None}]))
         c.move("experiment_events", "experiment_id", x, "running")
         for r in runs.values():
             c.move("run_events", "run_id", r, "pending", experiment_id=x)
@@ -107,32 +139,66 @@ class Experiment:
         return x
 
     def _rows(self, table: str, rows: list[dict[str, Any]]) -> DataFrame:
-        from assayer.schemas import schema
-
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema(table).fields) for r in rows], schema(table))
 
     def _commit(self, table: str, rows: DataFrame) -> DataFrame:
         """Writes rows of this experiment and returns them as stored."""
         name = self.catalog.commit(table, rows.withColumn("experiment_id", F.lit(self.id)), f"{self.id}-{uuid.uuid4().hex}")
-        from assayer.schemas import schema
-
         return self.spark.read.schema(schema(table)).parquet(f"{self.catalog.root}/{table}/{name}")
 
+    def _generated(self, role: str) -> DataFrame:
+        """(role, eval_id, output, latency_ms) of all cases, from the fixture or the connector."""
+        side = self.config.sides[role]
+        if side.provider == "fixture":
+            return self.outputs.filter(F.col("role") == role).withColumn("latency_ms", F.lit(None).cast("double"))
+        prompt = generation_prompt(side.prompt.text if side.prompt else "Answer the input.", F.col("prompt"), F.coalesce("context_json", F.lit("{}")))
+        rows = self.cases.select(F.lit(role).alias("role"), "eval_id", prompt.alias("prompt"))
+        return http_provider.generate(rows, connector(role, side.provider, side.settings)).drop("metadata")
+
     def _role(self, role: str, run: str) -> DataFrame:
-        mine = lambda df: df.filter(F.col("role") == role)
-        scored = scoring.score_cases(self.cases, mine(self.outputs)).withColumn("run_id", F.lit(run))
-        rows = scored.select("run_id", "role", "eval_id", "evaluation_mode", "output", "score", "passed", "results")
-        if self.responses is not None:
-            judged = judging.judge_cases(self.cases, mine(self.responses), self.config.judge.confidence_threshold).join(mine(self.outputs).select("eval_id", "output"), "eval_id").withColumn("run_id", F.lit(run))
-            bad = judged.filter(F.col("code").isNotNull())
-            constraints.check_empty(bad.select("eval_id", "code", "error"), "judgments that don't hold")
-            self._commit("judge_results", judged)
-            listed = F.transform("criteria", lambda c, i: F.struct(i.cast("int").alias("scorer_index"), F.lit("rubric").alias("name"), c["score"].alias("score"), c["passed"].alias("passed"), F.to_json(F.struct(c["criterion"].alias("criterion"), c["reason"].alias("reason"))).alias("details")))
-            rows = rows.unionByName(judged.select("run_id", "role", "eval_id", "evaluation_mode", "output", "score", "passed", listed.alias("results")))
-        stored = self._commit("case_results", rows)
-        self._commit("scorer_results", rows.select("run_id", "eval_id", F.explode("results").alias("r")).select("run_id", "eval_id", "r.*"))
+        # outputs are stored before they are scored: a request is never made twice for one attempt
+        asked = self._commit("outputs", self._generated(role).withColumn("run_id", F.lit(run)))
+        rows = scoring.score_cases(self.cases, asked.select("role", "eval_id", "output"))
+        if self.config.judge is not None:
+            rows = rows.unionByName(self._judge(role, run, asked))
+        stored = self._commit("case_results", rows.join(asked.select("eval_id", "latency_ms"), "eval_id").withColumn("run_id", F.lit(run)))
+        self._commit("scorer_results", rows.select(F.lit(run).alias("run_id"), "eval_id", F.explode("results").alias("r")).select("run_id", "eval_id", "r.*"))
         return stored
 
+    def _judge(self, role: str, run: str, asked: DataFrame) -> DataFrame:
+        """Rubric cases judged: looked up in the cache first, asked where missing, the answers kept for later."""
+        judge, c = self.config.judge, self.catalog
+        cases = self.cases.filter("evaluation_mode = 'rubric'").join(asked.select("eval_id", "output"), "eval_id").withColumn("role", F.lit(role))
+        identity = {k: v for k, v in judge.settings.items() if k not in ("path", "timeout")} | {"provider": judge.provider}
+        sequence = F.lit("")
+        if self.responses is not None:  # a fixture's answer is part of what was asked
+            cases = cases.join(self.responses, ["role", "eval_id"])
+            sequence = F.concat(F.lit(f"{role}:"), "eval_id", F.lit(":"), sha256(F.to_json("outputs")))
+        prompts = {"version": "1", "primary": judge.prompt.sha256 if judge.prompt else "", "retry": judge.retry_prompt.sha256 if judge.retry_prompt else ""}
+        name = _identities(prompts, identity)(F.coalesce("context_json", F.lit("{}")), F.col("rubric"), F.col("prompt"), F.col("output"), F.col("priority"), sequence)
+        keyed = cases.withColumn("identity_json", name).withColumn("cache_key", judging.cache_key(F.col("identity_json")))
+        looked = self._commit("judge_lookups", judging.look_up(keyed, c.read("judge_cache")).withColumn("run_id", F.lit(run)))
+        held = keyed.join(looked.select("eval_id", "cache_status", "raw_response"), "eval_id")
+        hits = held.filter("cache_status = 'hit'").select("role", "eval_id", F.array("raw_response").alias("outputs"))
+        misses = held.filter("cache_status = 'miss'")
+        if self.responses is not None:
+            fresh = misses.select("role", "eval_id", "outputs")
+        else:
+            text = judging.request_prompt(judge.prompt.text if judge.prompt else "Judge the output by each criterion.", F.col("prompt"), F.col("output"), F.col("rubric"), F.col("context_json"))
+            fresh = http_provider.judge(misses.select("role", "eval_id", text.alias("prompt"), "rubric"), connector("judge", judge.provider, judge.settings, True), judge.retry_prompt.text if judge.retry_prompt else "The answer didn't hold. Answer again.")
+        answers = self._commit("judge_answers", hits.unionByName(fresh).withColumn("run_id", F.lit(run)))
+        judged = judging.judge_cases(self.cases, answers.select("role", "eval_id", "outputs"), judge.confidence_threshold).join(held.select("eval_id", "output", "cache_status", "cache_key", "identity_json"), "eval_id").join(answers.select("eval_id", "outputs"), "eval_id").withColumn("run_id", F.lit(run))
+        attempts = judged.select("run_id", "eval_id", F.posexplode(F.slice("outputs", 1, F.col("attempts"))), "attempts", "code", "error")
+        final = (F.col("pos") + 1 == F.col("attempts")) & F.col("code").isNotNull()
+        self._commit("judge_attempts", attempts.select("run_id", "eval_id", (F.col("pos") + 1).alias("attempt"), F.col("col").alias("raw_response"), F.when(final, F.col("code")).when(F.col("pos") + 1 < F.col("attempts"), "malformed").alias("error_code"), F.when(final, F.col("error")).alias("error")))
+        constraints.check_empty(judged.filter(F.col("code").isNotNull()).select("eval_id", "code", "error"), "judgments that don't hold")
+        made = judged.filter("cache_status = 'miss'").select("cache_key", "identity_json", F.element_at("outputs", F.col("attempts")).alias("raw_response"), F.current_timestamp().alias("written_at"))
+        entries = judging.new_entries(made, c.read("judge_cache")).join(made.select("cache_key", "identity_json").dropDuplicates(["cache_key"]), "cache_key")
+        c.commit("judge_cache", entries, f"{self.id}-{role}")
+        self._commit("judge_results", judged)
+        listed = F.transform("criteria", lambda x, i: F.struct(i.cast("int").alias("scorer_index"), F.lit("rubric").alias("name"), x["score"].alias("score"), x["passed"].alias("passed"), F.to_json(F.struct(x["criterion"].alias("criterion"), x["reason"].alias("reason"))).alias("details")))
+        return judged.select("role", "eval_id", "evaluation_mode", "output", "score", "passed", listed.alias("results"))
+
     def _compare(self, results: DataFrame) -> str:
         constraints.check_empty(comparing.coverage_gaps(results), "cases that the runs don't share")
         self._commit("run_aggregates", comparing.run_aggregates(results))
@@ -178,7 +244,9 @@ def load_report(catalog: Catalog, experiment_id: str) -> dict[str, Any]:
     out |= {r.transition: r.eval_ids for r in comparing.newly_lists(mine("case_comparisons")).collect()}
     if slices := listed(mine("comparison_slice_aggregates").orderBy("cluster_number")):
         out |= {"schema_version": 2, "slices": slices}
+    out["providers"] = {r.role: {"provider": r.provider, "settings": json.loads(r.settings_json)} for r in mine("runs").collect()}
     out["violations"] = listed(mine("gate_violations").orderBy("violation_index"))
-    if counted := mine("judge_results"):
-        out["judge"] = [r.asDict() for r in counted.groupBy("role").agg(F.count_if("below_threshold").alias("low_confidence"), F.count_if(F.col("review_status") == "needs_review").alias("needs_review")).orderBy("role").collect()]
+    counted = mine("judge_results")
+    if not counted.isEmpty():
+        out["judge"] = [r.asDict() for r in judging.counters(counted).orderBy("role").collect()]
     return out

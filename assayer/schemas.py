@@ -19,15 +19,17 @@ DDL: dict[str, str] = {
     "slice_provenance": "eval_id string, dataset_id string, trace_id string, cluster_number int, selector string, label_snapshot string, label_key_snapshot string, preference_tier int, critical_priority_signal boolean, prior_failure_signal boolean, selection_key string, allocation_key string, selection_rank int, document_hash string, source_trace_hash string",
     "experiments": "experiment_id string, name string, dataset_id string, configuration_hash string, created_at timestamp",
     "experiment_events": "experiment_id string, sequence bigint, status string, verdict string, failure_stage string, failure_message string, at timestamp",
-    "runs": "run_id string, experiment_id string, role string, provider string, model string, prompt_hash string",
+    "runs": "run_id string, experiment_id string, role string, provider string, model string, prompt_hash string, settings_json string",
     "run_events": "run_id string, experiment_id string, sequence bigint, status string, failure_message string, at timestamp",
     "judges": "experiment_id string, provider string, model string, confidence_threshold double, prompt_hash string, retry_prompt_hash string",
     "judge_cache": "cache_key string, identity_json string, raw_response string, written_at timestamp",
+    "outputs": "run_id string, experiment_id string, role string, eval_id string, output string, latency_ms double",
+    "judge_answers": "run_id string, experiment_id string, role string, eval_id string, outputs array<string>",
     "case_results": "run_id string, experiment_id string, role string, eval_id string, evaluation_mode string, output string, score double, passed boolean, latency_ms double",
     "judge_attempts": "run_id string, experiment_id string, eval_id string, attempt int, raw_response string, error_code string, error string",
-    "judge_lookups": "run_id string, experiment_id string, eval_id string, cache_key string, cache_status string",
+    "judge_lookups": "run_id string, experiment_id string, eval_id string, cache_key string, cache_status string, raw_response string",
     "scorer_results": "run_id string, experiment_id string, eval_id string, scorer_index int, name string, score double, passed boolean, details string",
-    "judge_results": "run_id string, experiment_id string, role string, eval_id string, attempts int, overall_score double, passed boolean, confidence double, below_threshold boolean, review_reasons array<string>, review_status string",
+    "judge_results": "run_id string, experiment_id string, role string, eval_id string, attempts int, overall_score double, passed boolean, confidence double, below_threshold boolean, review_reasons array<string>, review_status string, cache_status string",
     "run_aggregates": f"experiment_id string, role string, scope string, {_SCOPE_RUN}",
     "case_comparisons": "experiment_id string, eval_id string, evaluation_mode string, baseline_score double, baseline_passed boolean, candidate_score double, candidate_passed boolean, score_delta double, transition string",
     "comparison_aggregates": f"experiment_id string, scope string, {_SCOPE_COMPARED}",

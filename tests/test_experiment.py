@@ -1,6 +1,8 @@
 """From trace files to a verdict over a catalog, through the command line."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from assayer.plans import config, constraints, export, slicing
 from assayer.plans.experiment import Experiment, OperationalError, load_detail, load_report
 from assayer.plans.store import Catalog, StoreError
 from assayer.sources import fixtures
+from assayer.sources.http_provider import HttpProvider, ProviderError, base_url
 
 TOPICS = {"refund": "refund the invoice amount paid twice", "password": "reset my login password account", "shipping": "where is the parcel shipping delivery"}
 
@@ -90,6 +93,72 @@ def test_pass_and_fail(spark, store, built, capsys):
     assert run(spark, store, "experiment", "export", "none", str(store / "x")) == 2
 
 
+def test_judgments_are_cached(spark, store, built):
+    catalog, _, _ = built
+    attempt = lambda: load_report(catalog, Experiment(catalog, config.load_config(files(store, catalog, lambda c: "answer 1 again" if c.evaluation_mode == "rubric" else None))).run())
+    first, second = attempt(), attempt()
+    assert sum(r["cache_misses"] for r in second["judge"]) == 0 and sum(r["cache_hits"] for r in second["judge"]) == 4
+    assert sum(r["cache_misses"] for r in first["judge"]) >= 2
+    same = lambda r: [{k: v for k, v in c.items()} for c in r["comparison"]]
+    assert same(first) == same(second)
+    attempts = catalog.read("judge_attempts").filter(F.col("experiment_id") == first["experiment_id"]).collect()
+    assert {a.error_code for a in attempts} == {"malformed", None}
+
+
+class Model(BaseHTTPRequestHandler):
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        assert body["stream"] is False and body["options"]["seed"] == 42
+        if body["model"] == "broken":
+            answer = {"response": 1, "done": True}
+        elif body.get("format") == "json":
+            text = "{" if "Answer again" not in body["prompt"] else response([("clear", 1.0, True, "r"), ("kind", 0.0, False, "r")], 0.5)
+            answer = {"response": text, "done": True}
+        else:
+            answer = {"response": "answer 1", "done": True, "eval_count": 3, "context": [1]}
+        raw = json.dumps(answer).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(raw)))
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def service():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_a_model_behind_http(spark, store, built, service):
+    catalog, _, _ = built
+    text = "schema_version: 1\nname: live\ndataset: core:1\nbaseline: {{provider: ollama, model: m, base_url: '{0}'}}\ncandidate: {{provider: ollama, model: {1}, base_url: '{0}'}}\njudge: {{provider: ollama, model: j, base_url: '{0}'}}\ngate: {{max_score_drop: 0}}\n"
+    (store / "live.yaml").write_text(text.format(service, "m"))
+    report = load_report(catalog, Experiment(catalog, config.load_config(str(store / "live.yaml"))).run())
+    assert report["verdict"] == "PASS" and {r["needs_review"] for r in report["judge"]} == {2}
+    assert report["providers"]["baseline"]["settings"]["model"] == "m"
+    latencies = catalog.read("case_results").filter(F.col("experiment_id") == report["experiment_id"])
+    from assayer.plans.reports import latency
+
+    assert latency(latencies).head().available
+    (store / "live.yaml").write_text(text.format(service, "broken"))
+    with pytest.raises(OperationalError, match="finished response"):
+        Experiment(catalog, config.load_config(str(store / "live.yaml"))).run()
+
+
+def test_addresses():
+    assert base_url(" HTTP://Host.Example:80/ ") == "http://host.example:80"
+    for bad in ("ftp://a", "http://", "http://u:p@a", "http://a/b", "http://a?x=1"):
+        with pytest.raises(ValueError):
+            base_url(bad)
+    with pytest.raises(ProviderError, match="transport"):
+        HttpProvider("http://127.0.0.1:9", "m", timeout=2).generate("e", "p")
+
+
 def test_preflight_writes_nothing(spark, store, built):
     catalog, _, _ = built
     before = catalog.read("experiments").count()
