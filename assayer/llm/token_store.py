@@ -28,7 +28,7 @@ END_ID = 1
 #: Ids in a block at most, besides those of its last document.
 BLOCK_IDS = 1 << 18
 #: Units held by an encoder, about 40 bytes each, besides those of the texts at hand.
-LIMIT = 1_000_000
+LIMIT = 600_000
 #: Bytes of texts encoded together, besides those of the last.
 GROUP_BYTES = 1 << 20
 LENGTHS = np.stack([(np.arange(256) >> (2 * j)) & 3 for j in range(4)], axis=1).astype(np.uint8) + 1
@@ -312,21 +312,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, dtype: str = "<u2")
     sent = spark.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         held_ids: list = []
         held: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, held_ids, held, size
+            nonlocal block, before, held_ids, held, size
             item = np.dtype(dtype).itemsize
             lengths = np.array([len(b) // item for b in held], "<i8")
             control, data = compress(sent.value[np.frombuffer(b"".join(held), dtype)])
             names = pa.array(held_ids, pa.int64())
-            out = [part, block, [names.to_pylist()], [lengths.tobytes()], [control], [data], int(lengths.sum())]
-            block, held_ids, held, size = block + 1, [], [], 0
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x if isinstance(x, list) else [x], k) for x, k in zip(out, kinds, strict=True)], ["part", "block", "doc_ids", "lengths", "control", "data", "n"])
+            n = int(lengths.sum())
+            out = [part, block, before, n, [names.to_pylist()], [lengths.tobytes()], [control], [data]]
+            block, before, held_ids, held, size = block + 1, before + n, [], [], 0
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x if isinstance(x, list) else [x], k) for x, k in zip(out, kinds, strict=True)], ["part", "block", "before", "n", "doc_ids", "lengths", "control", "data"])
 
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
@@ -341,14 +342,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, dtype: str = "<u2")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     length = F.octet_length("ids")
     ordered = rows.repartitionByRange(parts, "doc_id", length).sortWithinPartitions("doc_id", length, "ids")
-    ordered.mapInArrow(run, "part int, block long, doc_ids array<long>, lengths binary, control binary, data binary, n long").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, "part int, block long, before long, n long, doc_ids array<long>, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of a store: ids as little-endian unsigned 32-bit integers.
 
-    start counts the ids of all documents before. The sums of the parts, a row for each file, are
-    all that comes to the driver.
+    start counts the ids of all documents before: a block knows those of its part, and the sums of
+    the parts, a row for each file, come to the driver.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     table = np.frombuffer(spark.read.parquet(f"{path}/ids").head()[0], "<u4")
@@ -357,9 +358,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     for part in sorted(sums):
         starts[part], total = total, total + sums[part]
     sent = spark.sparkContext.broadcast((table, starts))
-    before = F.coalesce(F.sum("n").over(_blocks_before()), F.lit(0))
-    placed = blocks.select("part", "block", before.alias("before"))
-    sent_blocks = blocks.join(placed.withColumnsRenamed({"part": "p", "block": "b"}), (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part_starts = sent.value
@@ -372,13 +370,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 made = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "start", "ids"])
 
-    return sent_blocks.select("part", "doc_ids", "lengths", "control", "data", "n", "before").mapInArrow(run, "doc_id long, start long, ids binary")
-
-
-def _blocks_before():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("part", "before", "n", "doc_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
