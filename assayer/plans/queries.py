@@ -2,7 +2,9 @@
 
 Traces come from conversations: a user turn and the assistant turn after it. Cases are traces with
 a response; modes, priorities and slices are dealt by arithmetic on the ids, and each role's output
-is the response or, for some ids, a wrong one. The SQL repeats the rules, not the plans.
+is the response or, for some ids, a wrong one. Where ids decide which
+rows are there, they stand for outputs that a provider left out; no query leaves rows out to be
+cheap. The SQL repeats the rules, not the plans.
 """
 
 from __future__ import annotations
