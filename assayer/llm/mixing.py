@@ -113,10 +113,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     narrow = written(rows.select(id_col, "size", "_llm_skey", "_llm_order", "_llm_part", "_llm_stratum"), "mix-sizes")
     at = _middles(rows, written(_quotas(narrow, id_col), "mix-quotas"), id_col)
     mid, size, quota = F.col("_llm_mid"), F.col("p_size"), F.col("p_quota")
-    times = F.array(*[_time(mid + 2 * e * size, quota, F.col("p_slope")) for e in range(MAX_EPOCHS)])
+    times = [_time(mid + 2 * e * size, quota, F.col("p_slope")) for e in range(MAX_EPOCHS)]
     out = at.withColumn("copies", _count(mid, size, quota).cast("int"))
-    out = out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("positions", F.slice(times, 1, F.col("copies")))
-    out = out.withColumn("position", F.when(F.col("copies") > 0, F.col("positions")[0]))
+    out = out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("position", F.when(F.col("copies") > 0, times[0]))
+    out = out.withColumn("positions", F.slice(F.array(*times), 1, F.col("copies")))
     return out.drop(*[c for c in out.columns if c.startswith(("_llm_", "p_")) and c not in docs.columns])
 
 
