@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.text import nonblank
@@ -134,3 +134,44 @@ def check(rows: DataFrame, rule: Column, what: str) -> DataFrame:
 def check_empty(bad: DataFrame, what: str) -> None:
     if found := bad.limit(3).collect():
         raise ConstraintError(f"{what}: {[r.asDict() for r in found]}")
+
+
+def slice_membership(aggregates: DataFrame, members: DataFrame) -> DataFrame:
+    """Slice aggregates (cluster_number, case_count) whose count isn't the number of the slice's members."""
+    held = members.groupBy("cluster_number").agg(F.countDistinct("eval_id").alias("members"))
+    return aggregates.join(held, "cluster_number", "left").filter(F.coalesce("members", F.lit(0)) != F.col("case_count"))
+
+
+def violation_scopes(violations: DataFrame, modes: DataFrame, slices: DataFrame) -> DataFrame:
+    """Violations of a scope that isn't global, a mode of the dataset or one of its slices. modes: evaluation_mode; slices: selector."""
+    known = modes.select(F.col("evaluation_mode").alias("scope"), F.lit("mode").alias("scope_kind")).unionByName(slices.select(F.col("selector").alias("scope"), F.lit("slice").alias("scope_kind"))).distinct()
+    return violations.filter("scope_kind != 'global' or scope != 'global'").join(known, ["scope", "scope_kind"], "left_anti")
+
+
+def foreign_results(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """Results whose case isn't the dataset's, or has another mode. cases: eval_id, evaluation_mode."""
+    return results.join(cases.select("eval_id", "evaluation_mode"), ["eval_id", "evaluation_mode"], "left_anti")
+
+
+def judge_mismatches(judged: DataFrame, lookups: DataFrame, cache: DataFrame) -> DataFrame:
+    """Judge results without a lookup of their key, hits that the cache doesn't hold, and critical flags that aren't (critical and failed)."""
+    rows = judged.join(lookups.select("run_id", "eval_id", "cache_key", "cache_status"), ["run_id", "eval_id"], "left")
+    rows = rows.join(cache.select("cache_key").distinct().withColumn("held", F.lit(True)), "cache_key", "left")
+    flag = F.array_contains("review_reasons", "critical_failure")
+    wrong = F.col("cache_status").isNull() | ((F.col("cache_status") == "hit") & F.col("held").isNull()) | (flag != ((F.col("priority") == "critical") & ~F.col("passed")))
+    return rows.filter(wrong).select("run_id", "eval_id")
+
+
+def assignment_faults(assigned: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs whose assignments leave the range of clusters or of document indexes, or are more than its traces."""
+    rows = assigned.join(runs, "clustering_run_id")
+    outside = ~F.col("cluster_number").between(0, F.col("cluster_count") - 1) | ~F.col("document_index").between(0, F.col("trace_count") - 1)
+    found = rows.groupBy("clustering_run_id").agg(F.count_if(outside).alias("outside"), (F.count("*") > F.max("trace_count")).alias("too_many"), (F.countDistinct("document_index") < F.count("*")).alias("repeated"))
+    return found.filter("outside > 0 or too_many or repeated")
+
+
+def label_updates(versions: DataFrame) -> DataFrame:
+    """Label versions that change the label and not its key, or the key and not the label, or don't come later."""
+    w = Window.partitionBy("clustering_run_id", "cluster_number").orderBy("version")
+    rows = versions.withColumns({f"last_{c}": F.lag(c).over(w) for c in ("label", "label_key", "updated_at", "version")}).filter("last_version is not null")
+    return rows.filter(F.col("label").eqNullSafe(F.col("last_label")) | (F.col("updated_at") < F.col("last_updated_at")) | (F.col("label").isNull() != F.col("label_key").isNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from pathlib import Path
@@ -9,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from assayer.functions.json_text import canonical_dumps
+from assayer.functions.json_text import canonical_dumps, strict_loads
 from assayer.plans.store import Catalog, StoreError
 
 
@@ -61,6 +62,40 @@ def export_report(report: dict[str, Any], path: str, overwrite: bool = False) ->
     write_text(path, canonical_dumps(_plain(report)) + "\n", overwrite)
 
 
+class ReportError(ValueError):
+    """A report that can't be shown; kind is unreadable, invalid or unsupported_version."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
+def read_report(path: str | None = None, variable: str = "ASSAYER_REPORT", default: str = "report.json") -> dict[str, Any]:
+    """An exported report: from path, else the environment's, else the default place."""
+    file = path or os.environ.get(variable) or default
+    try:
+        text = Path(file).read_text("utf-8")
+    except (OSError, UnicodeDecodeError) as error:
+        raise ReportError("unreadable", f"{file}: {error}") from error
+    try:
+        value = strict_loads(text, unique_keys=True)
+    except ValueError as error:
+        raise ReportError("invalid", f"{file}: {error}") from error
+    if not isinstance(value, dict) or "experiment_id" not in value or "comparison" not in value:
+        raise ReportError("invalid", f"{file} isn't a report")
+    if value.get("schema_version") not in (1, 2) or isinstance(value.get("schema_version"), bool):
+        raise ReportError("unsupported_version", f"{file}: version {value.get('schema_version')!r}")
+    return value
+
+
+def pretty(value: Any) -> str:
+    """JSON for people: sorted keys, two spaces."""
+    try:
+        return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
+    except (TypeError, ValueError):
+        return "This can't be shown as JSON."
+
+
 def report_text(report: dict[str, Any]) -> str:
     """A report for people."""
     lines = [f"{report['name']}  {report['verdict'] or report['status']}", "", f"{'scope':<24}{'cases':>6}{'baseline':>10}{'candidate':>10}{'delta':>10}{'+':>5}{'-':>5}"]

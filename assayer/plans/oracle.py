@@ -175,5 +175,37 @@ SQL: dict[str, str] = {
 }
 
 
+EVAL_ID = "'eval_' || substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 15)"
+SQL |= {
+    "provenance_mismatch": f"{_with(VIEWS)} SELECT eval_id, 'label 3' AS label_snapshot, cluster_number FROM cases WHERE cluster_number = 3",
+    "slice_membership": f"{_with(VIEWS)} SELECT cluster_number, count(*) AS case_count, 0 AS members FROM cases WHERE label_snapshot IS NULL GROUP BY cluster_number",
+    "violation_scopes": f"{GATED} SELECT scope, scope_kind, metric FROM violations WHERE NOT (scope_kind = 'global' OR scope = 'rubric' OR scope IN (SELECT selector FROM cases WHERE label_snapshot IS NOT NULL))",
+    "foreign_results": f"{_with(VIEWS)} SELECT role, eval_id, evaluation_mode FROM results WHERE priority = 'low'",
+    "judge_mismatches": f"""{_with(JUDGED)} SELECT CAST(doc_id AS VARCHAR) AS eval_id FROM judged WHERE doc_id % 10 = 3 OR (doc_id % 2 = 0 AND doc_id % 50 = 4)""",
+    "assignment_faults": """WITH r AS (SELECT CAST(label AS VARCHAR) AS clustering_run_id, label, vec_id % 7 AS c FROM embeddings)
+      SELECT clustering_run_id, count(*) FILTER (c > 5 + label % 2) AS outside FROM r GROUP BY ALL HAVING count(*) FILTER (c > 5 + label % 2) > 0""",
+    "upsert_first": "SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'signup') = 0",
+    "mode_partition": f"{_with(VIEWS)} SELECT evaluation_mode, count(*) AS n, min(eval_id) AS first FROM cases GROUP BY evaluation_mode",
+    "chosen_results": f"{_with(VIEWS)} SELECT CASE role WHEN 'baseline' THEN 0 ELSE 1 END AS role_order, eval_id, score FROM results WHERE eval_id IN ('e-c1-1', 'e-c2-1', 'e-c3-1') ORDER BY 1, 2",
+    "run_coverage": f"{_with(VIEWS)} SELECT eval_id, true AS baseline, false AS candidate FROM cases WHERE priority = 'high'",
+    "judge_counters": f"""{_with(JUDGED)} SELECT CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS role, count(*) FILTER (confidence < 0.7) AS low_confidence,
+      count(*) FILTER (confidence < 0.7 OR (priority = 'critical' AND NOT (s1 >= 0.5 AND s2 >= 0.5))) AS needs_review, count(*) FILTER (doc_id % 3 = 0) AS cache_hits, count(*) FILTER (doc_id % 3 <> 0) AS cache_misses FROM judged GROUP BY 1""",
+    "critical_failures": f"{_with(VIEWS)} SELECT DISTINCT trace_id AS source_trace_id FROM results WHERE priority = 'critical' AND NOT passed",
+    "build_manifest": f"""{SIGNALS}, preferences AS (
+      SELECT cluster_number, sha256('[' || string_agg('{{"critical_priority_signal":' || critical_priority_signal || ',"preference_tier":' || preference_tier || ',"prior_failure_signal":' || prior_failure_signal || ',"selection_key":"' || selection_key || '","trace_id":"' || trace_id || '"}}', ',' ORDER BY trace_id) || ']') AS h FROM keyed GROUP BY cluster_number)
+      SELECT CAST(n AS INT) AS cluster_number, 'cluster-' || n AS selector, 'label ' || n AS label_snapshot, 'label ' || n AS label_key_snapshot, allocation_key, coalesce(eligible_count, 0) AS eligible_count, coalesce(critical_count, 0) AS critical_count,
+        coalesce(failure_count, 0) AS failure_count, coalesce(quota, 0) AS quota, coalesce(h, sha256('[]')) AS preference_manifest_hash
+      FROM range(9) AS r(n) LEFT JOIN quota ON quota.cluster_number = n LEFT JOIN preferences ON preferences.cluster_number = n""",
+    "built_cases": f"""{SIGNALS}, s AS (
+      SELECT trace_id, cluster_number, traces.response, CASE cluster_number WHEN 1 THEN 'rubric' WHEN 2 THEN 'deterministic' ELSE 'reference' END AS mode, sha1(unhex('{NS}') || encode('["{DATASET}","' || trace_id || '"]')) AS h FROM turns JOIN traces USING (trace_id) WHERE turns.turn <= {SAMPLE_SIZE})
+      SELECT {EVAL_ID} AS eval_id, trace_id AS source_trace_id, mode AS evaluation_mode, CASE WHEN mode = 'reference' THEN 'medium' ELSE 'high' END AS priority, 'draft' AS review_status, CASE WHEN mode = 'reference' THEN response END AS reference_answer,
+        CASE WHEN mode = 'rubric' THEN 'clear' END AS rubric, CAST(CASE WHEN mode = 'deterministic' THEN 1 END AS INT) AS scorers FROM s""",
+    "document_texts": f"""{_with(VIEWS)} SELECT trace_id, sha256(CASE WHEN turn % 4 = 1 THEN 'PROMPT:' || chr(10) || prompt || chr(10) || 'CONTEXT_JSON:' || chr(10) || '{{"conv":' || conv_id || '}}' ELSE prompt END) AS document_hash FROM traces""",
+    "trace_hashes": """SELECT CAST(event_id AS VARCHAR) AS trace_id, sha256('{"context":{},"metadata":{"a":1},"prompt":"p","response":' || CASE WHEN user_id % 2 = 0 THEN '"r"' ELSE 'null' END || ',"task_type":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","trace_id":"' || event_id || '"}') AS source_trace_hash FROM events""",
+    "folded_words": f"WITH f AS (SELECT doc_id, replace(lower(split_part(text, ' ', 1)), 'ß', 'ss') AS w FROM documents) SELECT doc_id, w AS folded, trim(w, {SPACE}) AS label_key FROM f",
+    "judge_prompts": f"""{_with(VIEWS)} SELECT eval_id, sha256('Judge.' || chr(10) || chr(10) || '{{"context":{{}},"criteria":["clear","kind"],"input":' || to_json(prompt) || ',"output":' || to_json(response) || '}}') AS request_hash FROM cases WHERE evaluation_mode = 'rubric'""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -472,6 +472,130 @@ def first_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.groupBy("user_id").agg(F.max("attempt").alias("attempts"), F.max_by("event_type", "attempt").alias("final"))
 
 
+# --- integrity of stored rows, scalar functions -------------------------------------------------------
+
+
+def provenance_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance that isn't its source's, nulls being equal."""
+    source = cases(spark, sf_dir).select("eval_id", "label_snapshot", "cluster_number")
+    held = source.withColumn("label_snapshot", F.when(F.col("cluster_number") == 3, "label 3").otherwise(F.col("label_snapshot")))
+    return constraints.changed_provenance(held, source, "eval_id", ["label_snapshot", "cluster_number"])
+
+
+def slice_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of all cases against the members that have a label."""
+    rows = cases(spark, sf_dir)
+    counts = rows.groupBy("cluster_number").agg(F.count("*").alias("case_count"))
+    found = constraints.slice_membership(counts, rows.filter("label_snapshot is not null"))
+    return found.select("cluster_number", "case_count", F.coalesce("members", F.lit(0)).alias("members"))
+
+
+def violation_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of scopes that only labeled slices and one mode could have."""
+    rows = cases(spark, sf_dir)
+    bad = constraints.violation_scopes(_violations(spark, sf_dir), rows.filter("evaluation_mode = 'rubric'").select("evaluation_mode"), rows.filter("label_snapshot is not null").select("selector"))
+    return bad.select("scope", "scope_kind", "metric")
+
+
+def foreign_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of cases that another dataset holds."""
+    mine = cases(spark, sf_dir).filter("priority != 'low'")
+    return constraints.foreign_results(results(spark, sf_dir).select("role", "eval_id", "evaluation_mode"), mine)
+
+
+def judge_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge results against lookups and cache."""
+    rows = _judged(spark, sf_dir).withColumn("passed", (F.col("s1") >= 0.5) & (F.col("s2") >= 0.5))
+    rows = judging.with_review(rows, 0.7).select(F.lit("r").alias("run_id"), F.col("doc_id").cast("string").alias("eval_id"), "priority", "passed", "review_reasons", "doc_id")
+    lookups = rows.filter("doc_id % 10 != 3").select("run_id", "eval_id", F.concat(F.lit("k"), F.col("doc_id") % 50).alias("cache_key"), F.when(F.col("doc_id") % 2 == 0, "hit").otherwise("miss").alias("cache_status"))
+    return constraints.judge_mismatches(rows, lookups, lookups.filter("cache_key != 'k4'")).select("eval_id")
+
+
+def assignment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as assignments of a run for each label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("clustering_run_id"), (F.col("vec_id") % 7).cast("int").alias("cluster_number"), F.col("vec_id").alias("document_index"))
+    runs = rows.groupBy("clustering_run_id").agg((F.max("document_index") + 1).alias("trace_count"), (6 + F.max(F.col("clustering_run_id").cast("int")) % 2).alias("cluster_count"))
+    return constraints.assignment_faults(rows, runs).select("clustering_run_id", "outside")
+
+
+def upsert_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that insert-or-ignore adds: the first of each user that the store doesn't hold."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    stored = rows.filter("event_type = 'signup'").select("user_id").distinct()
+    first = rows.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("event_id"))
+    return first.join(stored, "user_id", "left_anti")
+
+
+def mode_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modes present, the cases of each."""
+    return cases(spark, sf_dir).groupBy("evaluation_mode").agg(F.count("*").alias("n"), F.min("eval_id").alias("first"))
+
+
+def chosen_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a list of ids, baseline first."""
+    rows = results(spark, sf_dir).filter(F.col("eval_id").isin("e-c1-1", "e-c2-1", "e-c3-1"))
+    return rows.select(F.when(F.col("role") == "baseline", 0).otherwise(1).alias("role_order"), "eval_id", "score").orderBy("role_order", "eval_id")
+
+
+def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: cases that only one of two runs has."""
+    rows = results(spark, sf_dir).filter("not (role = 'candidate' and priority = 'high')").select("role", "eval_id", "evaluation_mode")
+    return comparing.coverage_gaps(rows).select("eval_id", F.coalesce("baseline", F.lit(False)).alias("baseline"), F.coalesce("candidate", F.lit(False)).alias("candidate"))
+
+
+def judge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by role of the labelled documents as judgments."""
+    rows = _judged(spark, sf_dir).withColumn("passed", (F.col("s1") >= 0.5) & (F.col("s2") >= 0.5)).withColumn("role", F.when(F.col("doc_id") % 2 == 0, "baseline").otherwise("candidate"))
+    return judging.counters(judging.with_review(rows, 0.7).withColumn("cache_status", F.when(F.col("doc_id") % 3 == 0, "hit").otherwise("miss")))
+
+
+def critical_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces with a critical case that failed in some role, once each."""
+    return results(spark, sf_dir).filter("priority = 'critical' and not passed").select("source_trace_id").distinct()
+
+
+def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each slice, empty ones too."""
+    labels = spark.range(9).select(F.col("id").cast("int").alias("cluster_number"), F.concat(F.lit("label "), "id").alias("label"), F.concat(F.lit("label "), "id").alias("label_key"))
+    return sampling.build_manifest(_candidates(spark, sf_dir), SAMPLE_SIZE, labels)
+
+
+def built_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of the sample with overrides of some slices."""
+    sample = sampling.select_sample(_candidates(spark, sf_dir), SAMPLE_SIZE)
+    overrides = sample.filter("cluster_number in (1, 2)").select(F.col("trace_id").alias("source_trace_id"), F.when(F.col("cluster_number") == 1, "rubric").otherwise("deterministic").alias("mode"), F.array(F.lit("clear")).alias("rubric"), F.array(F.struct(F.lit("json_validity").alias("name"), F.lit("{}").alias("config"))).alias("scorers"), F.lit("high").alias("priority"), F.lit(None).cast("string").alias("review_status"))
+    rows = sampling.build_cases(sample, overrides, DATASET)
+    return rows.select("eval_id", "source_trace_id", "evaluation_mode", "priority", "review_status", "reference_answer", F.array_join("rubric", ",").alias("rubric"), F.size("scorers").alias("scorers"))
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is clustered, and its hash; every second trace has a context."""
+    context = F.when(F.col("turn") % 4 == 1, fixed_object(conv=F.col("conv_id").cast("string"))).otherwise("{}")
+    return traces(spark, sf_dir).select("trace_id", clustering.document_hash(clustering.document_text(F.col("prompt"), context)).alias("document_hash"))
+
+
+def trace_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the canonical records of events as traces."""
+    from assayer.sources.traces import payload
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("trace_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("task_type"), F.lit("p").alias("prompt"), F.when(F.col("user_id") % 2 == 0, F.lit("r")).alias("response"), F.lit("{}").alias("context_json"), F.lit('{"a":1}').alias("metadata_json"))
+    return rows.select("trace_id", sha256(payload(rows)).alias("source_trace_hash"))
+
+
+def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case folding and label keys of each document's first word."""
+    from assayer.functions.text import casefold, label_key
+
+    first = F.substring_index("text", " ", 1)
+    return table(spark, sf_dir, "documents").select("doc_id", casefold(first).alias("folded"), label_key(first).alias("label_key"))
+
+
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the prompts that a judge would get."""
+    prompt = judging.request_prompt("Judge.", F.col("prompt"), F.col("response"), F.array(F.lit("clear"), F.lit("kind")), F.lit("{}"))
+    return cases(spark, sf_dir).filter("evaluation_mode = 'rubric'").select("eval_id", sha256(prompt).alias("request_hash"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     ingest_summary, ingest_rejects, dedup_first_wins, newest_first, trace_lookup, document_order, coverage_missing, coverage_unknown, duplicate_ids,
     score_exact, score_contains, score_regex, score_json_validity, score_required_keys, case_scores,
@@ -479,6 +603,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, eval_ids,
     tfidf_weights, tfidf_norms, cluster_numbers, kmeans_slices, slice_list, dataset_list, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
     latency_summary, seal_integrity, orphans, mode_shape, current_status, stripped_labels, redaction, priority_means, first_outputs,
+    provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, upsert_first, mode_partition, chosen_results, run_coverage, judge_counters, critical_failures,
+    build_manifest, built_cases, document_texts, trace_hashes, folded_words, judge_prompts,
 ]
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import comparing
 from assayer.operators.comparing import ComparisonError, Limits
-from assayer.plans import reports
+from assayer.plans import constraints, reports
 
 # (slice, mode, baseline score, candidate score); a case passes from 0.7 on
 SHOWCASE = [(s, m, 1.0, 1.0) for s in range(7) for m in ("deterministic", "reference", "rubric")]
@@ -92,3 +92,21 @@ def test_latency(spark):
     got = reports.latency(rows).head()
     assert (got.available, got.baseline_mean_ms, got.candidate_mean_ms, got.delta_ms) == (True, 11.0, 13.0, 2.0)
     assert not reports.latency(rows, ["baseline"]).head().available and not reports.latency(rows.limit(1)).head().available
+
+
+def test_integrity_of_stored_rows(spark):
+    frame = spark.createDataFrame
+    members = frame([("a", 0), ("b", 0), ("c", 1)], "eval_id string, cluster_number int")
+    counts = frame([(0, 2), (1, 2), (2, 0)], "cluster_number int, case_count long")
+    assert [r.cluster_number for r in constraints.slice_membership(counts, members).collect()] == [1]
+    violations = frame([("global", "global"), ("rubric", "mode"), ("reference", "mode"), ("cluster-1", "slice"), ("cluster-1", "mode"), ("x", "global")], "scope string, scope_kind string")
+    bad = constraints.violation_scopes(violations, frame([("rubric",)], "evaluation_mode string"), frame([("cluster-1",)], "selector string"))
+    assert sorted(map(tuple, bad.collect())) == [("cluster-1", "mode"), ("reference", "mode"), ("x", "global")]
+    judged = frame([("r", "a", "critical", False, ["critical_failure"]), ("r", "b", "critical", False, []), ("r", "c", "low", True, []), ("r", "d", "low", True, [])], "run_id string, eval_id string, priority string, passed boolean, review_reasons array<string>")
+    lookups = frame([("r", "a", "k1", "hit"), ("r", "b", "k1", "hit"), ("r", "c", "k2", "hit")], "run_id string, eval_id string, cache_key string, cache_status string")
+    assert sorted(r.eval_id for r in constraints.judge_mismatches(judged, lookups, frame([("k1",)], "cache_key string")).collect()) == ["b", "c", "d"]
+    assigned = frame([("x", 0, 0), ("x", 1, 1), ("y", 5, 0), ("z", 0, 0), ("z", 0, 0)], "clustering_run_id string, cluster_number int, document_index long")
+    runs = frame([("x", 2, 2), ("y", 2, 2), ("z", 1, 2)], "clustering_run_id string, cluster_count int, trace_count long")
+    assert sorted(r.clustering_run_id for r in constraints.assignment_faults(assigned, runs).collect()) == ["y", "z"]
+    labels = frame([("x", 0, None, None, 0, 1), ("x", 0, "A", "a", 1, 2), ("x", 0, "A", "a", 2, 3), ("x", 1, None, None, 0, 5), ("x", 1, "B", None, 1, 6)], "clustering_run_id string, cluster_number int, label string, label_key string, version long, updated_at int")
+    assert sorted((r.cluster_number, r.version) for r in constraints.label_updates(labels).collect()) == [(0, 2), (1, 1)]

@@ -91,6 +91,13 @@ def test_pass_and_fail(spark, store, built, capsys):
     assert run(spark, store, "experiment", "export", failed["experiment_id"], str(target)) == 2
     assert run(spark, store, "experiment", "export", failed["experiment_id"], str(target), "--overwrite") == 0 and target.read_text() == first
     assert run(spark, store, "experiment", "export", "none", str(store / "x")) == 2
+    assert export.read_report(str(target))["experiment_id"] == failed["experiment_id"]
+    for text, kind in (("{", "invalid"), ("[]", "invalid"), ('{"experiment_id":1,"comparison":[],"schema_version":3}', "unsupported_version"), (None, "unreadable")):
+        (store / "bad.json").write_text(text) if text else (store / "bad.json").unlink()
+        with pytest.raises(export.ReportError) as error:
+            export.read_report(str(store / "bad.json"))
+        assert error.value.kind == kind
+    assert export.pretty({"b": 1, "a": "é"}) == '{\n  "a": "é",\n  "b": 1\n}' and "shown" in export.pretty({1, 2})
 
 
 def test_judgments_are_cached(spark, store, built):
