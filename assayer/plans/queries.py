@@ -109,7 +109,7 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trace_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace by key."""
-    return traces(spark, sf_dir).filter(F.col("trace_id") == "c1-1").select("trace_id", "prompt", "response")
+    return traces(spark, sf_dir).filter(F.col("trace_id") == "c1-0").select("trace_id", "prompt", "response")
 
 
 def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,8 +520,8 @@ def assignment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that insert-or-ignore adds: the first of each user that the store doesn't hold."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    stored = rows.filter("event_type = 'signup'").select("user_id").distinct()
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    stored = rows.filter("event_type = 'signup' and value > 150").select("user_id").distinct()
     first = rows.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("event_id"))
     return first.join(stored, "user_id", "left_anti")
 
@@ -533,7 +533,7 @@ def mode_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chosen_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of a list of ids, baseline first."""
-    rows = results(spark, sf_dir).filter(F.col("eval_id").isin("e-c1-1", "e-c2-1", "e-c3-1"))
+    rows = results(spark, sf_dir).filter(F.col("eval_id").isin("e-c1-0", "e-c2-0", "e-c3-0"))
     return rows.select(F.when(F.col("role") == "baseline", 0).otherwise(1).alias("role_order"), "eval_id", "score").orderBy("role_order", "eval_id")
 
 
