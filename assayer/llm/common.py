@@ -37,10 +37,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/assayer/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: lineage ends here."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

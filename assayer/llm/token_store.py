@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import MIX1, blobs, mixed, scratch, written
+from assayer.llm.common import MIX1, blobs, forget, mixed, scratch, written
 
 END_ID = 1
 #: Ids in a block at most, besides those of its last document.
@@ -302,9 +302,13 @@ def ranked(rows: DataFrame, dtype: str = "<u2") -> np.ndarray:
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, dtype: str = "<u2") -> None:
-    """Encodes docs (doc_id, text) and writes the store at path: blocks below blocks/, ids below ids/."""
+    """Encodes docs (doc_id, text) and writes the store at path: blocks below blocks/, ids below ids/.
+
+    Documents stand by doc_id, null ids first; of an equal id by length, then by ids. Rows that
+    repeat are written each; an empty table makes a store without blocks' rows.
+    """
     spark = docs.sparkSession
-    rows = written(encoded(docs, tokenizer, dtype), "token-ids")
+    rows = written(encoded(docs, tokenizer, dtype), "token-ids", "zstd")
     ids = ranked(rows, dtype)
     spark.createDataFrame([(ids.astype("<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ids")
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
@@ -343,6 +347,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, dtype: str = "<u2")
     length = F.octet_length("ids")
     ordered = rows.repartitionByRange(parts, "doc_id", length).sortWithinPartitions("doc_id", length, "ids")
     ordered.mapInArrow(run, "part int, block long, before long, n long, doc_ids array<long>, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
+    forget(rows)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
