@@ -99,8 +99,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     size: words of the text, 0 for a null one. A null source is one more source, the last. taken:
     copies * size. position: the training time of the first copy, null where there is none;
-    positions has that of every copy. A document without words takes part with 0 words. Columns of
-    these names that docs has already are replaced.
+    positions has that of every copy. A document without words takes part with 0 words. Rows that
+    repeat an id stand side by side, by size, and are taken each; a null id is one more id. Columns
+    of these names that docs has already are replaced.
 
     A stratum's order is cut into 16**PART_DIGITS parts by hash, the parts are summed, and running
     sums are made within parts: no task holds a source. Ids and sizes are written once.

@@ -128,7 +128,10 @@ def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, overhea
 
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """Packs whole texts, counted in words and one end token each; repeated rows are packed each."""
+    """Packs whole texts, counted in words and one end token each.
+
+    Rows that repeat, and rows without an id, are packed each; a null text has its end token alone.
+    """
     return pack_pieces(pieces(docs, id_col, text_col, max(capacities)), capacities)
 
 

@@ -207,7 +207,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted: 1 where the score is at least threshold, else 0."""
+    """docs with score and predicted: 1 where the score is at least threshold, else 0.
+
+    Every row is scored by its text alone: rows that repeat get the same score, ids may be null.
+    """
     return score(docs, train(docs, labels)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -80,13 +80,10 @@ def test_gradients_against_differences():
     y, c = lm.windows([rng.integers(0, 1000, 40).astype(np.uint16) for _ in range(3)])
     flat = lm.fresh().astype(np.float64)
     loss = lambda f: -lm.log_probabilities(lm.unpack(f), y, c).astype(np.float64).mean()
-
-    class Spy(lm.Trainer):
-        pass
-
-    t = Spy(flat.astype(np.float32), rate=0.0)
+    t = lm.Trainer(flat.astype(np.float32), rate=0.0)
     t.squares[:] = 0
-    t.step(y, c)  # squares are now the squared gradient times n
+    with np.errstate(invalid="ignore"):
+        t.step(y, c)  # squares are now the squared gradient times n
     size = np.sqrt(t.squares / len(y))
     for k in rng.choice(np.flatnonzero(size > size.max() / 50), 12, replace=False):
         up, down = flat.copy(), flat.copy()
