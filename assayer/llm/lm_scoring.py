@@ -5,7 +5,10 @@ each place, are summed and squashed, and a two-level softmax gives the token's g
 in the group. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
 Words are counted over the whole corpus; the most frequent are tokens of their own, others share
-tokens by hash. Every partition trains the network on all windows of its documents, from the same
+tokens by hash. A word that shares a token has the token's probability times its own share of the
+token's occurrences, by exact counts of all words, so the probabilities of all words sum to one and
+a word seen once isn't worth as much as one seen a thousand times. Its context acts through the
+token alone. Every partition trains the network on all windows of its documents, from the same
 start, and the models are averaged by their numbers of tokens: block by block in a shuffle, so
 that no machine gathers more than the sums. Each of ``rounds`` rounds starts from the average.
 """
@@ -17,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import blobs
+from assayer.llm.common import blobs, mixed, written
 
 REACH = 2
 GROUPS = 32
@@ -32,6 +36,8 @@ OUTSIDE = VOCABULARY - 1
 WIDTH = 24
 BATCH = 8192
 BLOCK = 8192
+#: Logarithms of counts are summed as whole numbers of this part, in any order the same.
+SCALE = 10**9
 SHAPES = {"e": (2 * REACH, VOCABULARY, WIDTH), "b": (1, WIDTH), "g": (WIDTH, GROUPS), "gb": (1, GROUPS), "t": (GROUPS, WIDTH, GROUPS), "tb": (GROUPS, GROUPS)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -75,8 +81,8 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], order.astype(np.uint16)
 
 
-def tokens(blob: bytes, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    h = hashed(blob)
+def coded_words(h: np.ndarray, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The tokens of words by their hashes."""
     known, token = vocab
     out = (FREQUENT + (h % np.uint64(SHARED))).astype(np.uint16)
     if len(known) and len(h):
@@ -86,6 +92,28 @@ def tokens(blob: bytes, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
+def tokens(blob: bytes, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return coded_words(hashed(blob), vocab)
+
+
+def encoded(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(ids): the tokens of each text that has any, stored, as every round reads them."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for k, blob in enumerate(blobs(batch.column(0))):
+                if len(seq := tokens(blob, sent.value)):
+                    held.append(seq.tobytes())
+                    size += len(held[-1])
+                if held and (size > 1 << 22 or k == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["ids"])
+                    held, size = [], 0
+
+    return written(docs.select("text").mapInArrow(run, "ids binary"), "lm-tokens")
+
+
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
@@ -189,15 +217,13 @@ class Trainer:
         self.tokens += n
 
 
-def _train(sent, start):
+def _train(start):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, held, size = Trainer(start.value), [], 0
         for batch in batches:
-            for blob in blobs(batch.column(0)):
-                seq = tokens(blob, sent.value)
-                if len(seq):
-                    held.append(seq)
-                    size += len(seq)
+            for raw in blobs(batch.column(0)):
+                held.append(np.frombuffer(raw, np.uint16))
+                size += len(held[-1])
                 if size >= 8 * BATCH:
                     _steps(trainer, held)
                     held, size = [], 0
@@ -231,43 +257,87 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], rounds: int = 1) -> np.ndarray:
     """Weights trained on every window of docs. Without words they stay as at the start."""
-    context, flat = docs.sparkSession.sparkContext, fresh()
-    sent, kind = context.broadcast(vocab), "block int, n long, sums binary"
+    return _train_coded(encoded(docs, vocab), rounds)
+
+
+def _train_coded(coded: DataFrame, rounds: int) -> np.ndarray:
+    context, flat = coded.sparkSession.sparkContext, fresh()
+    kind = "block int, n long, sums binary"
     parts = -(-SIZE // BLOCK)
     for _ in range(rounds):
         start = context.broadcast(flat)
-        models = docs.select("text").mapInArrow(_train(sent, start), kind)
+        models = coded.select("ids").mapInArrow(_train(start), kind)
         got = models.repartition(parts, "block").mapInArrow(_add, kind).collect()
         if got:
             flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64) / r["n"] for r in sorted(got, key=lambda r: r["block"])]).astype(np.float32)
     return flat
 
 
-def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], flat: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, log_probability) of docs (doc_id, text); a text without words has 0 and 0.0."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, flat))
+def totals(coded: DataFrame) -> np.ndarray:
+    """How often each token occurs in a corpus of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab_here, w = sent.value[0], unpack(sent.value[1])
+        n = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            found, sums, counts = blobs(batch.column(1)), [], []
-            held: list[np.ndarray] = []
-            size = 0
+            for raw in blobs(batch.column(0)):
+                n += np.bincount(np.frombuffer(raw, np.uint16), minlength=VOCABULARY)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(VOCABULARY), pa.int32()), pa.array(n)], ["token", "n"])
+
+    out = np.zeros(VOCABULARY, np.int64)
+    for r in coded.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = r["n"]
+    return out
+
+
+def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], flat: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(doc_id, n_tokens, log_probability) of docs (doc_id, text); a text without words has 0 and 0.0.
+
+    counts are the totals of the tokens of docs. A row for each document and one for each word that
+    shares a token meet by the word's hash, where the word is counted, and again by document; a
+    document's own row goes by a hash of its number, so that no key gathers them.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, flat, np.log(np.maximum(counts, 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab_here, w, log_totals = sent.value[0], unpack(sent.value[1]), sent.value[2]
+        first = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            found, held, size, began = blobs(batch.column(1)), [], 0, 0
             for k in range(batch.num_rows):
-                held.append(tokens(next(found), vocab_here))
-                size += len(held[-1])
+                h = hashed(next(found))
+                held.append((h, coded_words(h, vocab_here)))
+                size += len(h)
                 if size > 1 << 17 or k == batch.num_rows - 1:
-                    n = np.array([len(s) for s in held])
-                    target, context = windows(held)
-                    ends = np.cumsum(np.concatenate([[0], log_probabilities(w, target, context).astype(np.float64)]))
-                    edges = np.concatenate([[0], np.cumsum(n)])
-                    sums.append(ends[edges[1:]] - ends[edges[:-1]])
-                    counts.append(n)
+                    n = np.array([len(t) for _, t in held])
+                    target, context = windows([t for _, t in held])
+                    logs = log_probabilities(w, target, context).astype(np.float64)
+                    shared = np.flatnonzero(target >= FREQUENT)
+                    logs[shared] -= log_totals[target[shared]]
+                    ends, edges = np.cumsum(np.concatenate([[0], logs])), np.concatenate([[0], np.cumsum(n)])
+                    rows = first + np.arange(len(n))
+                    word_rows = np.repeat(rows, n)[shared]
+                    words = np.concatenate([h for h, _ in held])[shared]
+                    nulls = len(words)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([rows, word_rows])),
+                            pa.array(np.concatenate([mixed(rows.view(np.uint64)), words]).view(np.int64)),
+                            pa.concat_arrays([batch.column(0).slice(began, len(n)).cast(pa.int64()), pa.nulls(nulls, pa.int64())]),
+                            pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(nulls, pa.int64())]),
+                            pa.concat_arrays([pa.array(ends[edges[1:]] - ends[edges[:-1]]), pa.nulls(nulls, pa.float64())]),
+                        ],
+                        ["row", "h", "doc_id", "n_tokens", "part"],
+                    )
+                    first, began = first + len(n), k + 1
                     held, size = [], 0
-            if counts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums))], ["doc_id", "n_tokens", "log_probability"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_probability double")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, h long, doc_id long, n_tokens long, part double")
+    is_word = F.col("n_tokens").isNull()
+    count = F.count_if(is_word).over(Window.partitionBy("h"))
+    share = F.when(is_word, F.round(F.log(count) * SCALE).cast("long")).otherwise(0)
+    whole = rows.withColumn("share", share).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("part").alias("part"), F.sum("share").alias("share"))
+    return whole.select("doc_id", "n_tokens", (F.col("part") + F.col("share") / SCALE).alias("log_probability"))
 
 
 def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
@@ -277,7 +347,8 @@ def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
     trained on and scored each.
     """
     vocab = vocabulary(docs)
-    out = score(docs, vocab, train(docs, vocab, rounds))
+    coded = encoded(docs, vocab)
+    out = score(docs, vocab, _train_coded(coded, rounds), totals(coded))
     return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
 
 

@@ -1,3 +1,4 @@
+import inspect
 import random
 import zlib
 
@@ -132,3 +133,21 @@ def test_vocabulary_counts_everything(spark, documents):
 def test_scoring_odd_rows(odd, empty):
     assert lm.digest(odd).count() == odd.count()
     assert lm.digest(empty).count() == 0
+
+
+def test_words_that_share_a_token_are_told_apart_by_their_counts(spark):
+    known = (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+    by_token = {}
+    for i in range(2000):
+        by_token.setdefault(int(lm.tokens(b"w%d" % i, known)[0]), []).append(f"w{i}")
+    often, seldom = next(v for v in by_token.values() if len(v) > 1)[:2]
+    filler = " ".join(f"f{i}" for i in range(lm.FREQUENT) for _ in range(12))  # takes the tokens of their own
+    rows = [(0, filler), (1, often), (2, seldom), *((3 + i, often) for i in range(8)), (None, often), (99, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.digest(docs).collect()}
+    assert got[1].log_probability - got[2].log_probability == pytest.approx(np.log(10), abs=1e-4)
+    assert got[None].log_probability == pytest.approx(got[1].log_probability, abs=1e-4) and got[99].log_probability == 0
+    vocab = lm.vocabulary(docs)
+    w = lm.unpack(lm.train(docs, vocab, rounds=inspect.signature(lm.score_corpus).parameters["rounds"].default))
+    y, c = lm.windows([lm.tokens(often.encode(), vocab)])
+    assert got[1].log_probability == pytest.approx(float(lm.log_probabilities(w, y, c)[0]) + np.log(10 / 11), abs=2e-3)
