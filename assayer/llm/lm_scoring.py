@@ -9,8 +9,8 @@ tokens by hash. A word that shares a token has the token's probability times its
 token's occurrences, by exact counts of all words, so the probabilities of all words sum to one and
 a word seen once isn't worth as much as one seen a thousand times. Its context acts through the
 token alone. Every partition trains the network on all windows of its documents, from the same
-start, and the models are averaged by their numbers of tokens: block by block in a shuffle, so
-that no machine gathers more than the sums. Each of ``rounds`` rounds starts from the average.
+start, and the models are averaged, each row of weights by the windows that trained it: block by
+block in a shuffle, so that no machine gathers more than the sums. Each of ``rounds`` rounds starts from the average.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ OUTSIDE = VOCABULARY - 1
 WIDTH = 24
 BATCH = 8192
 BLOCK = 8192
+#: Passes over the corpus; each starts from the average of the models of the one before.
+ROUNDS = 3
 #: Logarithms of counts are summed as whole numbers of this part, in any order the same.
 SCALE = 10**9
 SHAPES = {"e": (2 * REACH, VOCABULARY, WIDTH), "b": (1, WIDTH), "g": (WIDTH, GROUPS), "gb": (1, GROUPS), "t": (GROUPS, WIDTH, GROUPS), "tb": (GROUPS, GROUPS)}
@@ -178,8 +180,16 @@ class Trainer:
         self.flat, self.rate = flat.copy(), rate
         self.w = unpack(self.flat)
         self.squares = np.full_like(self.flat, 1e-6)
+        #: How often each row of weights was trained: for e by place and token, for t and tb by group.
+        self.seen = np.zeros((2 * REACH, VOCABULARY), np.int64)
+        self.groups = np.zeros(GROUPS, np.int64)
         self.tokens = 0
 
+    def weights(self) -> np.ndarray:
+        """What each weight counts in an average: the windows that its row was trained on."""
+        rows = {"e": self.seen[:, :, None], "t": self.groups[:, None, None], "tb": self.groups[:, None]}
+        return np.concatenate([np.broadcast_to(rows.get(k, self.tokens), s).ravel() for k, s in SHAPES.items()]).astype(np.float64)
+
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         w, n = self.w, len(target)
         grad = np.zeros_like(self.flat)
@@ -210,10 +220,12 @@ class Trainer:
             by = np.argsort(context[j], kind="stable")
             ids = context[j][by]
             starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            self.seen[j][ids[starts]] += np.diff(np.append(starts, n))
             d["e"][j][ids[starts]] = np.add.reduceat(dh[by], starts, axis=0)
         grad *= np.float32(np.sqrt(n))  # steps of batches of any size are alike
         self.squares += grad * grad
         self.flat -= self.rate * grad / np.sqrt(self.squares)
+        self.groups += np.diff(edges)
         self.tokens += n
 
 
@@ -230,8 +242,9 @@ def _train(start):
         if held:
             _steps(trainer, held)
         if trainer.tokens:
-            parts = [trainer.flat[a : a + BLOCK] * np.float64(trainer.tokens) for a in range(0, SIZE, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([trainer.tokens] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "n", "sums"])
+            weights = trainer.weights()
+            both = [np.stack([trainer.flat[a : a + BLOCK] * weights[a : a + BLOCK], weights[a : a + BLOCK]]) for a in range(0, SIZE, BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(both)), pa.int32()), pa.array([p.tobytes() for p in both], pa.binary())], ["block", "sums"])
 
     return run
 
@@ -243,33 +256,32 @@ def _steps(trainer: Trainer, seqs: list[np.ndarray]) -> None:
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the models of a partition, block by block."""
-    sums: dict[int, list] = {}
+    """Sums of the weighted models of a partition and of their weights, block by block."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x = np.frombuffer(raw, np.float64)
-            held = sums.setdefault(block, [0, np.zeros(len(x))])
-            held[0] += n
-            held[1] += x
+            sums[block] = sums[block] + x if block in sums else x
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], ["block", "n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
 
-def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], rounds: int = 1) -> np.ndarray:
+def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
     """Weights trained on every window of docs. Without words they stay as at the start."""
     return _train_coded(encoded(docs, vocab), rounds)
 
 
 def _train_coded(coded: DataFrame, rounds: int) -> np.ndarray:
     context, flat = coded.sparkSession.sparkContext, fresh()
-    kind = "block int, n long, sums binary"
+    kind = "block int, sums binary"
     parts = -(-SIZE // BLOCK)
     for _ in range(rounds):
         start = context.broadcast(flat)
         models = coded.select("ids").mapInArrow(_train(start), kind)
         got = models.repartition(parts, "block").mapInArrow(_add, kind).collect()
         if got:
-            flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64) / r["n"] for r in sorted(got, key=lambda r: r["block"])]).astype(np.float32)
+            sums, weights = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64).reshape(2, -1) for r in sorted(got, key=lambda r: r["block"])], axis=1)
+            flat = np.divide(sums, weights, out=flat.astype(np.float64), where=weights > 0).astype(np.float32)
     return flat
 
 
@@ -340,7 +352,7 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], flat: np.ndarra
     return whole.select("doc_id", "n_tokens", (F.col("part") + F.col("share") / SCALE).alias("log_probability"))
 
 
-def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def score_corpus(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Counts, trains and scores over the whole of docs: doc_id, n_tokens, log_probability, mean_log_probability.
 
     A null text counts as empty; the mean of a text without words is null. Rows that repeat are

@@ -151,3 +151,27 @@ def test_words_that_share_a_token_are_told_apart_by_their_counts(spark):
     w = lm.unpack(lm.train(docs, vocab, rounds=inspect.signature(lm.score_corpus).parameters["rounds"].default))
     y, c = lm.windows([lm.tokens(often.encode(), vocab)])
     assert got[1].log_probability == pytest.approx(float(lm.log_probabilities(w, y, c)[0]) + np.log(10 / 11), abs=2e-3)
+
+
+def test_rows_are_averaged_by_their_own_windows(spark):
+    """A word of one partition keeps what that partition learned, whatever the others' sizes."""
+    docs = spark.createDataFrame([(i, "rare word " * 300 if i == 0 else "a b c d e f " * 400) for i in range(12)], "doc_id long, text string").repartitionByRange(12, "doc_id")
+    vocab = lm.vocabulary(docs)
+    start, alone, whole = (lm.unpack(f) for f in (lm.fresh(), lm.train(docs.filter("doc_id = 0"), vocab, 1), lm.train(docs, vocab, 1)))
+    rare = lm.tokens(b"rare", vocab)[0]
+    assert np.abs(alone["e"][0][rare] - start["e"][0][rare]).max() > 0.05
+    assert np.allclose(whole["e"][0][rare], alone["e"][0][rare], atol=1e-2)
+
+
+def test_production_rounds_over_many_partitions(spark):
+    """The registered parameters learn from 24 small partitions, sources apart, as from few."""
+    rng = random.Random(4)
+    sources = [["the old house stands near the river", "birds sing in the tall green trees"], ["ein kleines boot treibt am ufer", "der wind weht durch das alte tor"]]
+    rows = [(i, " . ".join(rng.choice(sources[i % 24 // 12]) for _ in range(40))) for i in range(240)]
+    for place, source in enumerate(sources):
+        mixed = " . ".join(source * 15).split()
+        rng.shuffle(mixed)
+        rows += [(1000 + 10 * place, " . ".join(source * 15)), (1001 + 10 * place, " ".join(mixed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.pmod("doc_id", F.lit(24)))
+    got = {r.doc_id: r.mean_log_probability for r in lm.digest(docs.repartitionByRange(24, "part").drop("part")).collect()}
+    assert got[1000] > got[1001] + 0.5 and got[1010] > got[1011] + 0.5
