@@ -116,6 +116,7 @@ SQL: dict[str, str] = {
     "ingest_rejects": f"SELECT event_id, 'line ' || event_id + 1 || ': ' || f AS message FROM (SELECT event_id, {FAULTS} AS f FROM events) WHERE f IS NOT NULL",
     "dedup_first_wins": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text",
     "newest_first": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, event_type FROM events ORDER BY events.ts DESC, event_id LIMIT 100",
+    "all_newest_first": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, event_type FROM events ORDER BY events.ts DESC, event_id",
     "trace_lookup": f"{_with(VIEWS)} SELECT trace_id, prompt, response FROM traces WHERE trace_id = 'c1-0'",
     "document_order": f"{_with(VIEWS)} SELECT trace_id, row_number() OVER (ORDER BY trace_id) - 1 AS document_index FROM traces",
     "coverage_missing": f"{_with(VIEWS)} SELECT eval_id FROM cases WHERE conv_id % 5 = 2",
@@ -187,6 +188,7 @@ SQL |= {
     "upsert_first": "SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'signup' AND value > 150) = 0",
     "mode_partition": f"{_with(VIEWS)} SELECT evaluation_mode, count(*) AS n, min(eval_id) AS first FROM cases GROUP BY evaluation_mode",
     "chosen_results": f"{_with(VIEWS)} SELECT CASE role WHEN 'baseline' THEN 0 ELSE 1 END AS role_order, eval_id, score FROM results WHERE eval_id IN ('e-c1-0', 'e-c2-0', 'e-c3-0') ORDER BY 1, 2",
+    "run_results": f"{_with(VIEWS)} SELECT CASE role WHEN 'baseline' THEN 0 ELSE 1 END AS role_order, 'run-' || role AS run_id, eval_id, score FROM results ORDER BY 1, 3",
     "run_coverage": f"{_with(VIEWS)} SELECT eval_id, true AS baseline, false AS candidate FROM cases WHERE priority = 'high'",
     "judge_counters": f"""{_with(JUDGED)} SELECT CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS role, count(*) FILTER (confidence < 0.7) AS low_confidence,
       count(*) FILTER (confidence < 0.7 OR (priority = 'critical' AND NOT (s1 >= 0.5 AND s2 >= 0.5))) AS needs_review, count(*) FILTER (doc_id % 3 = 0) AS cache_hits, count(*) FILTER (doc_id % 3 <> 0) AS cache_misses FROM judged GROUP BY 1""",

@@ -107,6 +107,12 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "event_type")
 
 
+def all_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, newest first, ties by id."""
+    rows = table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id")
+    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "event_type")
+
+
 def trace_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace by key."""
     return traces(spark, sf_dir).filter(F.col("trace_id") == "c1-0").select("trace_id", "prompt", "response")
@@ -537,6 +543,13 @@ def chosen_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(F.col("role") == "baseline", 0).otherwise(1).alias("role_order"), "eval_id", "score").orderBy("role_order", "eval_id")
 
 
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results of a report's runs, baseline first."""
+    runs = {"baseline": "run-baseline", "candidate": "run-candidate"}
+    rows = results(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run-"), "role")).filter(F.col("run_id").isin(*runs.values()))
+    return rows.select(F.when(F.col("role") == "baseline", 0).otherwise(1).alias("role_order"), "run_id", "eval_id", "score").orderBy("role_order", "eval_id")
+
+
 def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2: cases that only one of two runs has."""
     rows = results(spark, sf_dir).filter("not (role = 'candidate' and priority = 'high')").select("role", "eval_id", "evaluation_mode")
@@ -597,13 +610,13 @@ def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    ingest_summary, ingest_rejects, dedup_first_wins, newest_first, trace_lookup, document_order, coverage_missing, coverage_unknown, duplicate_ids,
+    ingest_summary, ingest_rejects, dedup_first_wins, newest_first, all_newest_first, trace_lookup, document_order, coverage_missing, coverage_unknown, duplicate_ids,
     score_exact, score_contains, score_regex, score_json_validity, score_required_keys, case_scores,
     run_aggregates, run_slice_aggregates, case_comparisons, comparison_aggregates, comparison_slices, newly_lists, gate_violations, gate_verdict, gate_over_lineitem,
     judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, eval_ids,
     tfidf_weights, tfidf_norms, cluster_numbers, kmeans_slices, slice_list, dataset_list, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
     latency_summary, seal_integrity, orphans, mode_shape, current_status, stripped_labels, redaction, priority_means, first_outputs,
-    provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, upsert_first, mode_partition, chosen_results, run_coverage, judge_counters, critical_failures,
+    provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, upsert_first, mode_partition, chosen_results, run_results, run_coverage, judge_counters, critical_failures,
     build_manifest, built_cases, document_texts, trace_hashes, folded_words, judge_prompts,
 ]
 
