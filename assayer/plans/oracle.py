@@ -170,6 +170,7 @@ SQL: dict[str, str] = {
     "mode_shape": f"{_with(VIEWS)} SELECT eval_id, evaluation_mode FROM cases WHERE (evaluation_mode = 'deterministic' AND (conv_id % 11 = 0 OR conv_id % 13 = 0)) OR (evaluation_mode = 'rubric' AND conv_id % 13 = 0)",
     "current_status": "SELECT user_id AS owner, arg_max(event_type, event_id) AS status, max(event_id) AS sequence FROM events GROUP BY user_id",
     "stripped_labels": f"WITH f AS (SELECT doc_id, trim(split_part(chr(9) || ' ' || text, '.', 1), {SPACE}) AS label FROM documents) SELECT doc_id, label, sha256(label) AS label_hash FROM f",
+    "stripped_texts": f"WITH f AS (SELECT doc_id, trim(chr(9) || ' ' || text || ' ' || chr(12288) || chr(10), {SPACE}) AS label FROM documents) SELECT doc_id, label, sha256(label) AS label_hash FROM f",
     "redaction": """SELECT event_id, '{"auth_token":"[redacted]","nested":[{"API_KEY":"[redacted]","k":{"k":' || json_extract_string(props, '$.k') || '}}]}' AS snapshot FROM events""",
     "priority_means": "SELECT o_orderpriority, round(sum(CAST(round(o_totalprice, 2) / 1000000 AS DECIMAL(28, 18))) / count(*), 6) AS mean, count(*) AS n FROM orders GROUP BY o_orderpriority",
     "first_outputs": "SELECT user_id, CAST(max(a) AS INT) AS attempts, arg_max(event_type, a) AS final FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events) WHERE a <= 2 GROUP BY user_id",
@@ -205,6 +206,7 @@ SQL |= {
     "document_texts": f"""{_with(VIEWS)} SELECT trace_id, sha256(CASE WHEN turn % 4 = 1 THEN 'PROMPT:' || chr(10) || prompt || chr(10) || 'CONTEXT_JSON:' || chr(10) || '{{"conv":' || conv_id || '}}' ELSE prompt END) AS document_hash FROM traces""",
     "trace_hashes": """SELECT CAST(event_id AS VARCHAR) AS trace_id, sha256('{"context":{},"metadata":{"a":1},"prompt":"p","response":' || CASE WHEN user_id % 2 = 0 THEN '"r"' ELSE 'null' END || ',"task_type":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","trace_id":"' || event_id || '"}') AS source_trace_hash FROM events""",
     "folded_words": f"WITH f AS (SELECT doc_id, replace(lower(split_part(text, ' ', 1)), 'ß', 'ss') AS w FROM documents) SELECT doc_id, w AS folded, trim(w, {SPACE}) AS label_key FROM f",
+    "folded_texts": f"WITH f AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS w FROM documents) SELECT doc_id, w AS folded, trim(w, {SPACE}) AS label_key FROM f",
     "judge_prompts": f"""{_with(VIEWS)} SELECT eval_id, sha256('Judge.' || chr(10) || chr(10) || '{{"context":{{}},"criteria":["clear","kind"],"input":' || to_json(prompt) || ',"output":' || to_json(response) || '}}') AS request_hash FROM cases WHERE evaluation_mode = 'rubric'""",
 }
 

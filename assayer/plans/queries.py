@@ -457,6 +457,12 @@ def stripped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", first.alias("label"), sha256(first).alias("label_hash"))
 
 
+def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripped whole texts, with white space on both sides, and their hashes."""
+    whole = strip(F.concat(F.lit("\t "), "text", F.lit(" \u3000\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", whole.alias("label"), sha256(whole).alias("label_hash"))
+
+
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C13."""
     from assayer.functions.json_text import redact_json
@@ -603,6 +609,14 @@ def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", casefold(first).alias("folded"), label_key(first).alias("label_key"))
 
 
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case folding and label keys of whole texts; the SQL folds the tables' letters, not all of Unicode's."""
+    from assayer.functions.text import casefold, label_key
+
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", casefold(text).alias("folded"), label_key(text).alias("label_key"))
+
+
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of the prompts that a judge would get."""
     prompt = judging.request_prompt("Judge.", F.col("prompt"), F.col("response"), F.array(F.lit("clear"), F.lit("kind")), F.lit("{}"))
@@ -615,9 +629,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     run_aggregates, run_slice_aggregates, case_comparisons, comparison_aggregates, comparison_slices, newly_lists, gate_violations, gate_verdict, gate_over_lineitem,
     judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, eval_ids,
     tfidf_weights, tfidf_norms, cluster_numbers, kmeans_slices, slice_list, dataset_list, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
-    latency_summary, seal_integrity, orphans, mode_shape, current_status, stripped_labels, redaction, priority_means, first_outputs,
+    latency_summary, seal_integrity, orphans, mode_shape, current_status, stripped_labels, stripped_texts, redaction, priority_means, first_outputs,
     provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, upsert_first, mode_partition, chosen_results, run_results, run_coverage, judge_counters, critical_failures,
-    build_manifest, built_cases, document_texts, trace_hashes, folded_words, judge_prompts,
+    build_manifest, built_cases, document_texts, trace_hashes, folded_words, folded_texts, judge_prompts,
 ]
 
 

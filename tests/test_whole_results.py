@@ -24,3 +24,13 @@ def test_every_result_of_both_runs(spark):
     rows = queries.queries()["run_results"](spark, str(DATA)).collect()
     assert len(rows) == 2 * queries.cases(spark, str(DATA)).count() > 6
     assert [(r.role_order, r.eval_id) for r in rows] == sorted((r.role_order, r.eval_id) for r in rows)
+
+
+def test_whole_texts_are_folded_and_stripped(spark, tmp_path):
+    texts = ["plain STRASSE. Straße \ufb01n \u2460 ", "\u3000First word. \u1e9e\u0130 \u03a3\u03c2 \uff21\uff22\u2028", "", None, "ends. here \u00a0"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folded = {r.doc_id: r for r in queries.queries()["folded_texts"](spark, str(tmp_path)).collect()}
+    stripped = {r.doc_id: r.label for r in queries.queries()["stripped_texts"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = (None, None, None) if t is None else (t.casefold(), unicodedata.normalize("NFKC", t.strip()).casefold(), t.strip())
+        assert (folded[i].folded, folded[i].label_key, stripped[i]) == want
