@@ -103,6 +103,9 @@ t AS (SELECT item_id, w AS term FROM plain UNION ALL SELECT * FROM (SELECT item_
 c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 r AS (SELECT item_id, term, tf, df, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS raw FROM c JOIN d USING (term)),
 v AS (SELECT item_id, term, tf, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)) AS weight FROM r)"""
+TRACE_TERMS = f"""{_with(VIEWS)}, texts AS (
+  SELECT trace_id AS item_id, CASE WHEN turn % 4 = 1 THEN 'PROMPT:' || chr(10) || prompt || chr(10) || 'CONTEXT_JSON:' || chr(10) || '{{"conv":' || conv_id || '}}' ELSE prompt END AS text FROM traces
+), {TERMS.removeprefix("WITH ").replace("FROM benchmark", "FROM texts")}"""
 ROUNDED = "round(baseline_score, 6) AS baseline_score, round(candidate_score, 6) AS candidate_score, round(score_delta, 6) AS score_delta, newly_passed_count, newly_failed_count"
 ORDERS = """cmp AS (
   SELECT *, CASE WHEN baseline_score >= 0.5 AND candidate_score >= 0.5 THEN 'passed_both' WHEN baseline_score < 0.5 AND candidate_score < 0.5 THEN 'failed_both' WHEN candidate_score >= 0.5 THEN 'newly_passed' ELSE 'newly_failed' END AS transition
@@ -153,6 +156,8 @@ SQL: dict[str, str] = {
       SELECT trace_id, 'eval_' || substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 15) AS eval_id FROM h""",
     "tfidf_weights": f"{TERMS} SELECT item_id, term, tf, df, round(weight, 6) AS weight FROM v",
     "tfidf_norms": f"{TERMS} SELECT item_id, count(*) AS terms, round(sqrt(sum(weight * weight)), 6) AS norm FROM v GROUP BY item_id",
+    "trace_tfidf_weights": f"{TRACE_TERMS} SELECT item_id AS trace_id, term, tf, df, round(weight, 6) AS weight FROM v",
+    "trace_distinct_vectors": f"{TRACE_TERMS} SELECT count(DISTINCT h) AS distinct_vectors FROM (SELECT string_agg(term || chr(0) || CAST(round(weight, 9) AS VARCHAR), chr(1) ORDER BY term) AS h FROM v GROUP BY item_id)",
     "cluster_numbers": "SELECT vec_id, CAST(dense_rank() OVER (ORDER BY least) - 1 AS INT) AS cluster_number FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS least FROM embeddings)",
     "slice_list": f"{_with(VIEWS)} SELECT CAST(n AS INT) AS cluster_number, count(eval_id) AS trace_count FROM range(9) AS r(n) LEFT JOIN cases ON cluster_number = n GROUP BY n",
     "dataset_list": "SELECT c_mktsegment, count(o_orderkey) AS case_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",

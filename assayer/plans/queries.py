@@ -23,6 +23,7 @@ from assayer.plans import constraints, reports
 
 CONFIG_HASH, MANIFEST_HASH = "c" * 64, "d" * 64
 SAMPLE_SIZE = 20
+RESTARTS = 20
 DATASET = "dataset_0123456789abcdef0123456789abcdef"
 LIMITS = {"global": comparing.Limits(0.01, 5), "deterministic": comparing.Limits(0.0, 3), "reference": comparing.Limits(1.0, 1000), "rubric": comparing.Limits(0.02, 1)}
 SLICE_LIMITS = {0: comparing.Limits(0.0, 0), 3: comparing.Limits(0.05, 2), 5: comparing.Limits(1.0, 1000)}
@@ -350,6 +351,17 @@ def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"))
 
 
+def trace_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2 over the documents of all traces."""
+    return _rounded(clustering.tfidf(_trace_documents(spark, sf_dir), "trace_id", "document"), "weight").withColumnRenamed("id", "trace_id")
+
+
+def trace_distinct_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of traces differ in their weights."""
+    n = clustering.distinct_vectors(clustering.tfidf(_trace_documents(spark, sf_dir), "trace_id", "document"))
+    return spark.range(1).select(F.lit(n).cast("long").alias("distinct_vectors"))
+
+
 def cluster_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels of the vectors renumbered by their least member."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"))
@@ -361,7 +373,7 @@ def kmeans_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    made = clustering.kmeans_spark(rows, "features", 10, restarts=2).select("vec_id", "cluster")
+    made = clustering.kmeans_spark(rows, "features", 10, restarts=RESTARTS).select("vec_id", "cluster")
     return clustering.canonical_numbers(made, "cluster", "vec_id").select("vec_id", "cluster_number")
 
 
@@ -587,10 +599,14 @@ def built_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("eval_id", "source_trace_id", "evaluation_mode", "priority", "review_status", "reference_answer", F.array_join("rubric", ",").alias("rubric"), F.size("scorers").alias("scorers"))
 
 
+def _trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context = F.when(F.col("turn") % 4 == 1, fixed_object(conv=F.col("conv_id").cast("string"))).otherwise("{}")
+    return traces(spark, sf_dir).select("trace_id", clustering.document_text(F.col("prompt"), context).alias("document"))
+
+
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is clustered, and its hash; every second trace has a context."""
-    context = F.when(F.col("turn") % 4 == 1, fixed_object(conv=F.col("conv_id").cast("string"))).otherwise("{}")
-    return traces(spark, sf_dir).select("trace_id", clustering.document_hash(clustering.document_text(F.col("prompt"), context)).alias("document_hash"))
+    return _trace_documents(spark, sf_dir).select("trace_id", clustering.document_hash(F.col("document")).alias("document_hash"))
 
 
 def trace_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -628,7 +644,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     score_exact, score_contains, score_regex, score_json_validity, score_required_keys, case_scores,
     run_aggregates, run_slice_aggregates, case_comparisons, comparison_aggregates, comparison_slices, newly_lists, gate_violations, gate_verdict, gate_over_lineitem,
     judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, eval_ids,
-    tfidf_weights, tfidf_norms, cluster_numbers, kmeans_slices, slice_list, dataset_list, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
+    tfidf_weights, tfidf_norms, trace_tfidf_weights, trace_distinct_vectors, cluster_numbers, kmeans_slices, slice_list, dataset_list, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
     latency_summary, seal_integrity, orphans, mode_shape, current_status, stripped_labels, stripped_texts, redaction, priority_means, first_outputs,
     provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, upsert_first, mode_partition, chosen_results, run_results, run_coverage, judge_counters, critical_failures,
     build_manifest, built_cases, document_texts, trace_hashes, folded_words, folded_texts, judge_prompts,

@@ -34,3 +34,17 @@ def test_whole_texts_are_folded_and_stripped(spark, tmp_path):
     for i, t in enumerate(texts):
         want = (None, None, None) if t is None else (t.casefold(), unicodedata.normalize("NFKC", t.strip()).casefold(), t.strip())
         assert (folded[i].folded, folded[i].label_key, stripped[i]) == want
+
+
+@here
+def test_weights_cover_the_documents_of_all_traces(spark):
+    rows = queries.queries()["trace_tfidf_weights"](spark, str(DATA)).select("trace_id").distinct().collect()
+    assert {r.trace_id for r in rows} == {r.trace_id for r in queries.traces(spark, str(DATA)).collect()}
+
+
+@here
+def test_kmeans_takes_the_restarts_of_the_reference(spark, monkeypatch):
+    taken, real = [], queries.clustering.kmeans_spark
+    monkeypatch.setattr(queries.clustering, "kmeans_spark", lambda *a, **k: taken.append(k["restarts"]) or real(*a, **k | {"restarts": 1}))
+    queries.kmeans_slices(spark, str(DATA))
+    assert taken == [20]
