@@ -1,12 +1,17 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents are cut into pieces no longer than the longest sequence (all tokens stay). Pieces are
-dealt by a hash to blocks, and each block is packed by itself, longest piece first:
-
-* a piece goes into the open sequence that leaves the least room;
-* where none has room, a sequence of the permitted length with the least cost per token that it
-  is expected to hold is opened: the piece and what the block's pieces still to come can add;
-* at the end each sequence shrinks to the shortest permitted length that holds its contents.
+dealt by a hash to blocks. A sequence costs what a model spends on it: OVERHEAD, its length, and
+the square of its length over ATTENTION. So neither the longest length nor the shortest one is
+always cheapest, and the permitted lengths are chosen jointly, for the block as a whole:
+
+* for every set of lengths that may be opened (all subsets that hold the longest piece), the block
+  is packed best-fit, longest piece first: a piece goes into the open sequence that leaves the least
+  room; where none has room, the length of the set is opened that costs least per token of what the
+  pieces still to come can fill it with;
+* each sequence shrinks to the shortest permitted length that holds its contents;
+* the set with the least total cost is taken. Each single length is one of the sets, so the result
+  never costs more than the best single length with shrinking.
 
 A block holds BLOCK pieces at most, however many rows share a key, so memory is bounded; only ids
 and lengths travel.
@@ -15,6 +20,7 @@ and lengths travel.
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,60 +29,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import words
+from assayer.llm.token_store import encoded
 
 #: Permitted lengths of a sequence, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
-#: What a sequence costs besides its length.
+#: What a sequence costs besides its length, in tokens.
 OVERHEAD = 32
+#: The length at which attention, which grows with the square, costs as much as all else.
+ATTENTION = 4096
 #: Pieces packed together. The waste of a block is about a sequence, so larger gains nothing.
 BLOCK = 8192
+#: Pieces that are looked for to tell how full a new sequence can become.
+FILLS = 8
+#: Bytes of an id of the token store's encoder.
+ID_BYTES = 2
+
+
+def cost(capacity: int) -> float:
+    """What a sequence of a permitted length costs."""
+    return OVERHEAD + capacity + capacity * capacity / ATTENTION
+
 
+def _fill(order: Sequence[int], lone: Sequence[int], k: int, room: int) -> int:
+    """How much of room the pieces behind k can fill, the longest that fits first."""
+    filled, at = 0, k + 1
+    for _ in range(FILLS):
+        at = max(at, bisect.bisect_left(lone, filled - room))
+        if at >= len(order):
+            break
+        filled -= lone[at]
+        at += 1
+    return filled
 
-def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """For each length its bin, its offset there and the bin's length. Every length must fit the largest capacity."""
-    caps = sorted(capacities)
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    ahead = np.cumsum(np.asarray([lengths[i] for i in order][::-1], np.int64))[::-1].tolist() if order else []
-    lone = [-lengths[i] for i in order]  # ascending: to find where pieces that fit begin
-    bins, offsets, filled = [0] * len(lengths), [0] * len(lengths), []
+
+def _pack(order: Sequence[int], lone: Sequence[int], caps: Sequence[int], price: dict[int, float]) -> tuple[list[int], list[int], list[int]]:
+    """For each piece of order (lengths descending, lone their negatives) its bin and offset, and how full each bin is."""
+    bins, offsets, filled = [0] * len(order), [0] * len(order), []
     rooms: list[tuple[int, int]] = []  # (room left, bin), ascending
-    for k, i in enumerate(order):
-        n = lengths[i]
+    for k, n in enumerate(order):
         at = bisect.bisect_left(rooms, (n, -1))
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            b, best = len(filled), None
-            for cap in caps:
-                if cap >= n:
-                    first = max(k + 1, bisect.bisect_left(lone, n - cap))  # the pieces to come that fit beside it
-                    more = ahead[first] if first < len(order) else 0
-                    price = (cap + overhead) / max(1, min(cap, n + more))
-                    if best is None or price < best[0]:
-                        best = (price, cap)
-            room = best[1]
+            b = len(filled)
+            fitting = [cap for cap in caps if cap >= n]
+            room = min(fitting, key=lambda cap: price[cap] / (n + _fill(order, lone, k, cap - n))) if len(fitting) > 1 else fitting[0]
             filled.append(0)
-        bins[i], offsets[i] = b, filled[b]
+        bins[k], offsets[k] = b, filled[b]
         filled[b] += n
         if room > n:
             bisect.insort(rooms, (room - n, b))
-    least = [caps[bisect.bisect_left(caps, n)] for n in filled]
-    return bins, offsets, [least[b] for b in bins]
+    return bins, offsets, filled
+
 
+def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, price=cost) -> tuple[list[int], list[int], list[int]]:
+    """For each length its bin, its offset there and the bin's length. Every length must fit the largest capacity.
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = CAPACITIES[-1]) -> DataFrame:
-    """(id, piece, start, n_tokens): a document's words and one end token, cut at ``longest``.
+    price gives what a sequence of a capacity costs, and must grow with it.
+    """
+    if not len(lengths):
+        return [], [], []
+    caps = sorted(set(capacities))
+    prices = {c: price(c) for c in caps}
+    places = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    order = [lengths[i] for i in places]
+    lone, best = [-n for n in order], None
+    for chosen in (c for size in range(1, len(caps) + 1) for c in itertools.combinations(caps, size) if c[-1] >= order[0]):
+        made = _pack(order, lone, chosen, prices)
+        least = [caps[bisect.bisect_left(caps, n)] for n in made[2]]
+        total = sum(prices[c] for c in least)
+        if best is None or total < best[0]:
+            best = (total, made, least)
+    _, (bins, offsets, _), least = best
+    out = [0] * len(order), [0] * len(order), [0] * len(order)
+    for k, i in enumerate(places):
+        out[0][i], out[1][i], out[2][i] = bins[k], offsets[k], least[bins[k]]
+    return out
+
+
+def lengths_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n): the ids that the token store writes for a text, or its words where no tokenizer is named, and the end token."""
+    if tokenizer is None:
+        return docs.select(F.col(id_col).alias("doc_id"), (F.size(words(F.col(text_col))) + 1).cast("long").alias("n"))
+    coded = encoded(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer)
+    return coded.select("doc_id", (F.octet_length("ids") / ID_BYTES).cast("long").alias("n"))
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = CAPACITIES[-1], tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, n_tokens): a document's tokens and one end token, cut at ``longest``.
 
     A null or empty text has its end token alone.
     """
-    n = (F.size(words(F.col(text_col))) + 1).cast("long")
     cut = F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / longest).cast("int"))).alias("piece")
-    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n")).select("doc_id", "n", cut)
+    rows = lengths_of(docs, id_col, text_col, tokenizer).select("doc_id", "n", cut)
     start = (F.col("piece") * F.lit(longest)).cast("long")
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens"))
 
 
-def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, block: int = BLOCK) -> DataFrame:
+def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block: int = BLOCK) -> DataFrame:
     """rows of pieces() with sequence_id, position in the sequence, and the sequence's length.
 
     sequence_id is <partition>-<block>-<bin>. Pieces are dealt by a hash of id and piece and sorted
@@ -92,7 +142,7 @@ def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, overhea
 
         def flush(upto: pa.Table) -> pa.RecordBatch:
             nonlocal number
-            bins, offsets, caps_of = pack(upto["n_tokens"].to_pylist(), caps, overhead)
+            bins, offsets, caps_of = pack(upto["n_tokens"].to_pylist(), caps)
             parts_of = upto["_llm_part"].to_pylist()
             names = [f"{p}-{number}-{b}" for p, b in zip(parts_of, bins, strict=True)]
             number += 1
@@ -127,13 +177,13 @@ def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, overhea
     return dealt.select("doc_id", "piece", "start", "n_tokens", "_llm_part").mapInArrow(packed, f"doc_id {kind}, piece int, start long, n_tokens long, sequence_id string, position long, capacity long")
 
 
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """Packs whole texts, counted in words and one end token each.
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None) -> DataFrame:
+    """Packs whole texts, counted in ids of a tokenizer file (or words) and one end token each.
 
     Rows that repeat, and rows without an id, are packed each; a null text has its end token alone.
     """
-    return pack_pieces(pieces(docs, id_col, text_col, max(capacities)), capacities)
+    return pack_pieces(pieces(docs, id_col, text_col, max(capacities), tokenizer), capacities)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return best_fit(docs.select("doc_id", "text"))
+def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    return best_fit(docs.select("doc_id", "text"), tokenizer=tokenizer)

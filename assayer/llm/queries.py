@@ -10,6 +10,13 @@ from assayer.llm import exact_dedup, lm_scoring, mixing, near_dup, packing, qual
 from assayer.llm.common import table
 
 
+def vocabulary() -> str:
+    """The path of the public vocabulary file, which stays where it is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -31,9 +38,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers  # the vocabulary stays where it is; its path is a parameter
-
-    return token_store.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(table(spark, sf_dir, "documents"))
+    return packing.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

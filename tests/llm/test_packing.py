@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,14 +25,79 @@ def check(lengths, caps, bins, offsets, sizes):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_bins_hold_their_pieces(lengths):
-    check(lengths, (16, 32, 64), *packing.pack(lengths, (16, 32, 64), 2))
+    check(lengths, (16, 32, 64), *packing.pack(lengths, (16, 32, 64)))
 
 
-def test_little_is_wasted():
+def price_of(c):
+    return 2 + c + c * c / 32
+
+
+def total(lengths, caps, made):
+    check(lengths, caps, *made)
+    return sum(price_of(c) for _, c in {(b, c) for b, c in zip(made[0], made[2], strict=True)})
+
+
+def cheapest(lengths, caps):
+    """The least cost of any packing: every way to put the pieces into bins."""
+    best = [float("inf")]
+
+    def place(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(price_of(min(c for c in caps if c >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(caps):
+                place(i + 1, [b + lengths[i] * (j == k) for j, b in enumerate(bins)])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=7))
+def test_near_the_cheapest_packing(lengths):
+    caps = (8, 16, 32)
+    made = total(lengths, caps, packing.pack(lengths, caps, price_of))
+    assert cheapest(lengths, caps) - 1e-9 <= made <= 1.4 * cheapest(lengths, caps) + 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=80))
+def test_never_worse_than_one_length(lengths):
+    caps = (8, 16, 32)
+    made = total(lengths, caps, packing.pack(lengths, caps, price_of))
+    for one in caps:
+        if one >= max(lengths):
+            bins, offsets, _ = packing.pack(lengths, (one,), price_of)
+            full = defaultdict(int)
+            for n, b in zip(lengths, bins, strict=True):
+                full[b] += n
+            shrunk = [min(c for c in caps if c >= full[b]) for b in bins]
+            assert made <= total(lengths, caps, (bins, offsets, shrunk)) + 1e-9
+
+
+def test_lengths_are_chosen_jointly():
     rng = random.Random(3)
     lengths = [min(4096, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(5000)]
-    total = check(lengths, packing.CAPACITIES, *packing.pack(lengths))
-    assert total <= 1.02 * sum(lengths)
+    bins, offsets, sizes = packing.pack(lengths)
+    assert check(lengths, packing.CAPACITIES, bins, offsets, sizes) <= 1.1 * sum(lengths)
+    used = Counter(dict(zip(bins, sizes, strict=True)).values())
+    assert len(used) >= 3 and all(used[c] > 20 for c in (512, 1024, 2048))
+    price = lambda made: sum(packing.cost(c) for c in dict(zip(made[0], made[2], strict=True)).values())
+    assert price((bins, offsets, sizes)) < 0.8 * price(packing.pack(lengths, (4096,)))
+
+
+def test_tokens_are_those_of_the_token_store(documents):
+    from assayer.llm import queries, token_store
+
+    path = queries.vocabulary()
+    held = {r.doc_id: len(r.ids) // 2 for r in token_store.encoded(documents.select("doc_id", "text"), path).collect()}
+    got = defaultdict(int)
+    for r in packing.digest(documents, path).collect():
+        got[r.doc_id] += r.n_tokens
+        assert r.position + r.n_tokens <= r.capacity
+    assert got == held
 
 
 def test_whole_texts_are_packed(documents, empty, odd):
