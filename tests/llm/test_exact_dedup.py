@@ -46,3 +46,28 @@ def test_repeated_rows_leave_one(spark):
     rows = ed.exact_dedup(docs).collect()
     assert [(r.doc_id, r.text) for r in rows if r.kept] == [(7, "Aa")]
     assert {r.group_size for r in rows} == {4}
+
+
+def test_full_bitmaps_lose_nothing(documents, monkeypatch):
+    want = sorted(map(tuple, ed.digest(documents).collect()))
+    monkeypatch.setattr(ed, "LEAST_BITS", 1)
+    monkeypatch.setattr(ed, "MOST_BITS", 8)
+    assert sorted(map(tuple, ed.digest(documents).collect())) == want
+
+
+def test_sql_has_the_same_rule_for_repeated_rows(odd):
+    import duckdb
+    import pyarrow as pa
+
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(2, None), (2, ""), (None, "by itself")]
+    held = duckdb.connect()
+    held.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    got = ed.digest(odd.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(held.execute(ed.SQL).fetchall(), key=key)
+
+
+def test_only_hashes_of_copies_are_made_in_python(documents):
+    maybe, alone = ed._refined(documents, "text")
+    assert maybe.count() + alone.count() == documents.count() and alone.count() > 0
+    assert "Python" not in maybe._jdf.queryExecution().toString() and "Arrow" not in maybe._jdf.queryExecution().toString()
