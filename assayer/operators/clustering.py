@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.ids import digest_of, sha256
 from assayer.functions.json_text import fixed_object, quote
+from assayer.functions.shared import written
 from assayer.functions.text import ASCII
 
 
@@ -138,14 +139,19 @@ def canonical_numbers(assigned: DataFrame, cluster: str = "cluster", member: str
 def document_index(traces: DataFrame, key: str = "trace_id") -> DataFrame:
     """traces with document_index, their place in the order of key, without one sorting task.
 
-    Ranges are sorted and counted apart; a range's rows start behind the rows of all before it.
+    Keys are cut into sorted ranges, which are written once with their range and place: both the
+    counts of ranges and the rows are read from there, so no second plan can cut them differently.
+    A range's rows start behind the rows of all before it. Rows that repeat a key stand side by side.
     """
     ranged = traces.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(2**33 - 1))
-    counts = ranged.groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return ranged.join(F.broadcast(starts), "_part").withColumn("document_index", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(2**33 - 1)), "document-index")
+    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # a row for each range
+    starts, total = [], 0
+    for part in sorted(counts):
+        starts.append((part, total))
+        total += counts[part]
+    placed = traces.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return ranged.join(F.broadcast(placed), "_part", "left").withColumn("document_index", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def distinct_vectors(weights: DataFrame) -> int:

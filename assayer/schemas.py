@@ -10,6 +10,7 @@ _SCOPE_COMPARED = "case_count bigint, baseline_score double, candidate_score dou
 
 DDL: dict[str, str] = {
     "traces": "trace_id string, timestamp timestamp, task_type string, prompt string, response string, context_json string, metadata_json string",
+    "rejects": "file string, line bigint, message string",
     "clustering_runs": "clustering_run_id string, name string, configuration_hash string, source_manifest_hash string, trace_count bigint, cluster_count int, inertia double, created_at timestamp",
     "cluster_assignments": "clustering_run_id string, trace_id string, document_index bigint, cluster_number int, document_hash string, source_trace_hash string",
     "cluster_labels": "clustering_run_id string, cluster_number int, label string, label_key string, version bigint, updated_at timestamp",
@@ -39,7 +40,7 @@ DDL: dict[str, str] = {
 }
 #: The column whose value owns a row: a commit writes rows of one owner.
 OWNER = {
-    "traces": None, "clustering_runs": "clustering_run_id", "cluster_assignments": "clustering_run_id", "cluster_labels": "clustering_run_id",
+    "traces": None, "rejects": None, "clustering_runs": "clustering_run_id", "cluster_assignments": "clustering_run_id", "cluster_labels": "clustering_run_id",
     "datasets": "dataset_id", "cases": "dataset_id", "slice_builds": "dataset_id", "slice_provenance": "dataset_id", "judge_cache": None,
 }
 

@@ -108,7 +108,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines are counted within the blocks that tasks read, and blocks are placed by their offset:
     only a row for each block is sorted.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    return numbered(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(file, line, value) of rows (file, block, value) as tasks read them: in the order of a block."""
+    rows = rows.withColumn("m", F.monotonically_increasing_id())
     at = F.row_number().over(Window.partitionBy("file", "block").orderBy("m"))
     placed = rows.withColumn("at", at)
     sizes = rows.groupBy("file", "block").count()

@@ -1,8 +1,9 @@
 """Ingestion as a stream: the batch rules over files as they arrive.
 
-The state is the trace table itself. A micro-batch keeps the first row of each trace and leaves
-out what is stored; its commit is named by the batch, so that a batch that runs again after a
-failure replaces its own rows and nothing is stored twice.
+The state is the trace table itself. A micro-batch numbers the lines of its files as the batch
+reader does, keeps the first row of each trace by file and line, leaves out what is stored, and
+commits its dead letters beside its traces. Both commits are named by the batch, so that a batch
+that runs again after a failure replaces its own rows and nothing is stored twice.
 """
 
 from __future__ import annotations
@@ -11,20 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayer.sources.traces import first_wins, parsed, valid
+from assayer.functions.shared import forget, written
 from assayer.plans.store import Catalog
+from assayer.sources.traces import IngestError, first_wins, numbered, parsed, rejects, valid
 
 
 def stream_traces(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Starts ingesting the text files of a folder into the catalog's traces and rejects."""
-    lines = spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line"), "value")
+    """Starts ingesting the text files of a folder into the catalog's traces and rejects.
+
+    Files arrive whole: a file's lines are in one batch. Bytes that aren't UTF-8 stop the query,
+    and nothing of their batch is stored.
+    """
+    lines = spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = parsed(batch).persist()
         name = f"stream-{number}"
+        read = written(numbered(batch), "stream-lines")
+        if not read.filter(~F.is_valid_utf8("value")).isEmpty():
+            raise IngestError(f"batch {number} isn't UTF-8")
+        rows = written(parsed(read), "stream-rows")
         fresh = first_wins(valid(rows), catalog.read("traces", leave_out=name))
+        catalog.commit("rejects", rejects(rows), name, replace=True)
         catalog.commit("traces", fresh, name, replace=True)
-        rows.unpersist()
+        for used in (read, rows):
+            forget(used)
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

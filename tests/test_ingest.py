@@ -71,11 +71,37 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     catalog = Catalog(spark, f"file://{tmp_path}/store")
-    write(folder / "a", record(), "{bad", record(trace_id="t2"))
+    first = [record(prompt="first"), "{bad", record(prompt="second"), record(trace_id="t2"), "", record(trace_id="t2", prompt="again")]
+    write(folder / "a", *first)
+    batch, bad, _ = ingest(spark, str(folder / "a"))
     stream_traces(spark, str(folder), catalog, str(tmp_path / "cp")).awaitTermination(60)
-    write(folder / "b", record(prompt="later"), record(trace_id="t3"))
+    assert sorted(map(tuple, catalog.read("traces").collect())) == sorted(map(tuple, batch.select(*catalog.read("traces").columns).collect()))
+    assert {r.trace_id: r.prompt for r in catalog.read("traces").collect()} == {"t1": "first", "t2": " p "}
+    assert sorted(map(tuple, catalog.read("rejects").collect())) == sorted(map(tuple, bad.collect())) and bad.count() == 2
+    write(folder / "b", record(prompt="later"), record(trace_id="t3"), "[]")
     stream_traces(spark, str(folder), catalog, str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted((r.trace_id, r.prompt) for r in catalog.read("traces").collect()) == [("t1", " p "), ("t2", " p "), ("t3", " p ")]
+    assert sorted((r.trace_id, r.prompt) for r in catalog.read("traces").collect()) == [("t1", "first"), ("t2", " p "), ("t3", " p ")]
+    assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in catalog.read("rejects").collect()) == [("a", 2), ("a", 5), ("b", 3)]
+
+
+def test_stream_counts_lines_across_blocks(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [record(trace_id=f"t{i % 900}", prompt=f"p{i}") if i % 100 else "x" for i in range(3000)]
+    write(folder / "a", *lines)
+    catalog = Catalog(spark, f"file://{tmp_path}/store")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        stream_traces(spark, str(folder), catalog, str(tmp_path / "cp")).awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    want = {}
+    for i in range(3000):
+        if i % 100:
+            want.setdefault(f"t{i % 900}", f"p{i}")
+    assert {r.trace_id: r.prompt for r in catalog.read("traces").collect()} == want
+    assert sorted(r.line for r in catalog.read("rejects").collect()) == [i + 1 for i in range(0, 3000, 100)]
 
 
 def test_windows(spark):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.operators import clustering, sampling
@@ -108,3 +109,12 @@ def test_numbers_and_indexes(spark):
     ids = spark.range(1000).selectExpr("cast(id as string) as trace_id").repartition(7)
     got = {r.trace_id: r.document_index for r in clustering.document_index(ids).collect()}
     assert got == {t: i for i, t in enumerate(sorted(got))}
+
+
+def test_every_row_has_an_index_of_its_own(spark):
+    """Wide rows over many ranges: none is lost, and indexes are contiguous in the order of ids."""
+    n = 300_000
+    rows = spark.range(n).select(F.concat(F.lit("t"), F.xxhash64("id")).alias("trace_id"), F.sha2(F.col("id").cast("string"), 256).alias("document_hash"), F.sha2(F.concat(F.lit("x"), "id"), 256).alias("source_trace_hash")).repartition(13)
+    got = clustering.document_index(rows).withColumn("at", F.row_number().over(Window.orderBy("trace_id")) - 1)
+    assert got.agg(F.count("*"), F.countDistinct("trace_id"), F.countDistinct("document_index"), F.min("document_index"), F.max("document_index"), F.count_if(F.col("at") != F.col("document_index"))).head() == (n, n, n, 0, n - 1, 0)
+    assert clustering.document_index(rows.limit(0)).count() == 0
