@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.shared import forget, scratch, written
+
+__all__ = ["MIX1", "SPACES", "blobs", "forget", "mixed", "one_thread", "scratch", "table", "uniform", "words", "written"]
+
 #: What separates words: space and the control characters 9 to 13. The same set that bytes.split() uses.
 SPACES = r"[\x20\x09-\x0D]+"
 MIX1, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -21,37 +25,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
-
-    Where the session names none (tests, a single machine), a temporary folder is made and
-    stays set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="assayer-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/assayer/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: lineage ends here."""
-    path = scratch(df.sparkSession, label)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,3 +60,19 @@ def uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the parts alone, the same on any machine."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(2**53))
+
+
+def one_thread() -> None:
+    """Keeps numpy's matrix products in a Python worker to one thread.
+
+    A task has one core; more threads would wait for each other, at the cost of other tasks. Where
+    the library isn't found, nothing changes but the time that takes.
+    """
+    maps = Path("/proc/self/maps")
+    if not maps.exists():
+        return
+    for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line}:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if found := getattr(library, name, None):
+                found(1)

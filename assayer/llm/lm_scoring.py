@@ -1,16 +1,22 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network, trained in numpy.
 
-A token is predicted from the REACH tokens on either side of it: their embeddings, one table for
-each place, are summed and squashed, and a two-level softmax gives the token's group and its place
-in the group. A document's score is the sum of the conditional log-probabilities of all its tokens.
-
-Words are counted over the whole corpus; the most frequent are tokens of their own, others share
-tokens by hash. A word that shares a token has the token's probability times its own share of the
-token's occurrences, by exact counts of all words, so the probabilities of all words sum to one and
-a word seen once isn't worth as much as one seen a thousand times. Its context acts through the
-token alone. Every partition trains the network on all windows of its documents, from the same
-start, and the models are averaged, each row of weights by the windows that trained it: block by
-block in a shuffle, so that no machine gathers more than the sums. Each of ``rounds`` rounds starts from the average.
+A token is predicted from the REACH tokens on either side of it: their embeddings, weighed by
+place, are summed and squashed, and a three-level softmax gives the token's group, its class in
+the group and its place in the class. A document's score is the sum of the conditional
+log-probabilities of all its tokens.
+
+Words are counted over the whole corpus. The network's vocabulary grows with it: about twice
+the square root of its number of words, from LEAST to MOST. The most frequent words are tokens of
+their own. Others share tokens by hash, and an exact way tells them apart: such a word has the
+probability of its token times its share of the token's words, by counts of all words of all
+*other* documents, as a masked word is told from the rest of the corpus. So a word that no other
+document has is worth less than one that a single other document has, however large the corpus is.
+
+Training passes over every window once. Documents are dealt by a hash of their tokens to ROUNDS
+rounds, and within a round to learners of about LEARNER tokens each. All learners of a round start
+from the same model, and what they learn is averaged, each row of weights by the windows that
+trained it, block by block in a shuffle. Which learner sees what, and in which order, depends on
+the texts alone: how a table is cut into files or partitions changes no score, but for the rounding of sums.
 """
 
 from __future__ import annotations
@@ -19,350 +25,511 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import blobs, mixed, written
+from assayer.llm.common import blobs, mixed, one_thread, written
+from assayer.llm.token_store import SPACE, word_keys
 
 REACH = 2
+WIDTH = 16
+#: Weights of an output and its bias.
+OUT = WIDTH + 1
 GROUPS = 32
-VOCABULARY = GROUPS * GROUPS
-#: Tokens that words outside the vocabulary share by hash, and one for what lies outside the text.
-SHARED = 255
-FREQUENT = VOCABULARY - SHARED - 1
-OUTSIDE = VOCABULARY - 1
-WIDTH = 24
-BATCH = 8192
-BLOCK = 8192
-#: Passes over the corpus; each starts from the average of the models of the one before.
-ROUNDS = 3
+CLASSES = GROUPS * GROUPS
+#: Tokens of the vocabulary, between which it follows the corpus; the bounds are powers of two.
+LEAST, MOST = CLASSES, 2**17
+#: One token of so many is shared by words outside the vocabulary; the last stands for what lies outside the text.
+SHARED_PART = 32
+#: Rounds of training; each window is in one of them.
+ROUNDS = 4
+#: Tokens of a learner, up to MOST_LEARNERS of a round; beyond, learners grow.
+LEARNER = 2**24
+MOST_LEARNERS = 4096
+#: Windows of a step: a 256th of a learner's, within these bounds.
+LEAST_BATCH, MOST_BATCH = 1024, 65536
+RATE = 0.15
+#: Added to the count of every word, as in the rest of the corpus it may not occur at all.
+UNSEEN = 0.5
+#: Weights of a block that is averaged by itself.
+BLOCK = 65536
 #: Logarithms of counts are summed as whole numbers of this part, in any order the same.
 SCALE = 10**9
-SHAPES = {"e": (2 * REACH, VOCABULARY, WIDTH), "b": (1, WIDTH), "g": (WIDTH, GROUPS), "gb": (1, GROUPS), "t": (GROUPS, WIDTH, GROUPS), "tb": (GROUPS, GROUPS)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+
+def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, A-Z lower-cased, one text after the other, and the number of words of each."""
+    low = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n" + bytes(8), np.uint8)
+    space = SPACE[low[:-8]]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    at = np.searchsorted(starts, begins + 1)
+    return (word_keys(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)), np.diff(at)
 
 
 def hashed(blob: bytes) -> np.ndarray:
-    """Hashes of the words of a text, A-Z lower-cased."""
-    found = blob.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    """Hashes of the words of one text."""
+    return hashed_texts([blob])[0]
+
+
+def grouped(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of a batch, cut where texts together exceed size bytes."""
+    held, bytes_held, first = [], 0, 0
+    for k, blob in enumerate(blobs(batch.column(column))):
+        held.append(blob)
+        bytes_held += len(blob)
+        if bytes_held > size or k == batch.num_rows - 1:
+            yield first, held
+            held, bytes_held, first = [], 0, k + 1
+
+
+# --- counts and vocabulary -----------------------------------------------------------------------
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of a partition; given out as soon as a million are held."""
+    """Counts of the words of a partition, given out whenever some four million words are held."""
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "n"])
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
     for batch in batches:
-        held, size = [], 0
-        for k, blob in enumerate(blobs(batch.column(0))):
-            held.append(hashed(blob))
+        for _, texts in grouped(batch, 0, 1 << 20):
+            held.append(hashed_texts(texts)[0])
             size += len(held[-1])
-            if size > 1 << 20 or k == batch.num_rows - 1:
-                fresh, n = np.unique(np.concatenate(held), return_counts=True)
-                both, at = np.unique(np.concatenate([words, fresh]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-                words, held, size = both, [], 0
-                if len(words) > 1 << 20:
-                    yield out()
-                    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(words):
+            if size > 1 << 22:
+                yield out()
+                held, size = [], 0
+    if size:
         yield out()
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the FREQUENT most frequent words of all documents, ascending, and their tokens."""
-    counts = docs.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], order.astype(np.uint16)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): how often each word of docs (text) occurs, stored."""
+    return written(docs.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def coded_words(h: np.ndarray, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The tokens of words by their hashes."""
-    known, token = vocab
-    out = (FREQUENT + (h % np.uint64(SHARED))).astype(np.uint16)
-    if len(known) and len(h):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        out[hit] = token[at[hit]]
-    return out
+class Vocabulary:
+    """Words with tokens of their own, by hash; what the others share; what their words count."""
+
+    def __init__(self, size: int, tokens: int):
+        self.size, self.tokens = size, tokens
+        self.shared = max(1, size // SHARED_PART - 1)
+        self.own = size - self.shared - 1
+        self.outside = size - 1
+        self.known, self.token = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        #: Of each shared token: occurrences of its words, and how many there are.
+        self.total, self.distinct = np.zeros(self.shared, np.int64), np.zeros(self.shared, np.int64)
+
+    def code(self, h: np.ndarray) -> np.ndarray:
+        """The tokens of words by their hashes."""
+        out = (self.own + (h % np.uint64(self.shared))).astype(np.uint32)
+        if len(self.known) and len(h):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            hit = self.known[at] == h
+            out[hit] = self.token[at[hit]]
+        return out
+
 
+def size_for(tokens: int) -> int:
+    """The power of two from twice the root of the corpus's words on, within the bounds."""
+    wanted = 2 * int(np.sqrt(tokens))
+    return min(MOST, max(LEAST, 1 << max(0, wanted - 1).bit_length()))
 
-def tokens(blob: bytes, vocab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return coded_words(hashed(blob), vocab)
 
+def _level(n: Column) -> Column:
+    """A number that grows with a count: the count itself, then a step for each 2 %."""
+    return F.when(n < 1024, n).otherwise(1024 + F.floor(F.log2(n) * 32)).cast("int")
 
-def encoded(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(ids): the tokens of each text that has any, stored, as every round reads them."""
+
+def vocabulary(counts: DataFrame, size: int | None = None) -> Vocabulary:
+    """The most frequent words of counts (h, n) get tokens of their own, by falling count.
+
+    The levels of counts, some three thousand, tell from which one on words are taken. Of the words
+    of the last level, which need not fit whole, those with small hashes are: so what comes to the
+    driver is bounded by the vocabulary.
+    """
+    level = _level(F.col("n"))
+    levels = sorted(((r[0], r[1], r[2]) for r in counts.groupBy(level.alias("level")).agg(F.count("*"), F.sum("n")).collect()), reverse=True)
+    tokens = sum(r[2] for r in levels)
+    out = Vocabulary(size or size_for(tokens), tokens)
+    left, last = out.own, None
+    for at, words, _ in levels:
+        if words > left:
+            last = at
+            break
+        left -= words
+    # a little less than what is left, so that it never is exceeded
+    share = 0.0 if last is None else max(0.0, left - 8 * np.sqrt(left)) / next(r[1] for r in levels if r[0] == last)
+    draw = F.shiftrightunsigned("h", 11) / F.lit(float(2**53))
+    mine = F.lit(True) if last is None else (level > last) | ((level == last) & (draw < share))
+    top = counts.filter(mine).toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.lexsort((h, -n))[: out.own]
+    h = h[order]
+    by = np.argsort(h)
+    out.known, out.token = h[by], by.astype(np.uint32)
+    # what the driver must not hold is summed by token; the remainder of an unsigned hash in two parts
+    high, m = F.shiftrightunsigned("h", 32) % out.shared, out.shared
+    rest = (high * (2**32 % m) + F.col("h").bitwiseAND(2**32 - 1) % m) % m
+    for token, n_words, total in counts.filter(~mine).groupBy(rest.alias("t")).agg(F.count("*"), F.sum("n")).collect():
+        out.distinct[token], out.total[token] = n_words, total
+    return out
+
+
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(row, doc_id, ids, rare) of docs (doc_id, text), stored, as training and scoring read it.
+
+    row is a number of its own for each row; rare are the hashes of the words that share a token.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            held, size = [], 0
-            for k, blob in enumerate(blobs(batch.column(0))):
-                if len(seq := tokens(blob, sent.value)):
-                    held.append(seq.tobytes())
-                    size += len(held[-1])
-                if held and (size > 1 << 22 or k == batch.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["ids"])
-                    held, size = [], 0
-
-    return written(docs.select("text").mapInArrow(run, "ids binary"), "lm-tokens")
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s)
-        at += n
-    return out
+            for first, texts in grouped(batch, 1, 1 << 21):
+                h, lengths = hashed_texts(texts)
+                token = sent.value.code(h)
+                cuts, n = np.cumsum(lengths)[:-1], len(texts)
+                ids = [x.tobytes() for x in np.split(token, cuts)]
+                shared = token >= sent.value.own
+                upto = np.concatenate([[0], np.cumsum(shared)])
+                rare = [x.tobytes() for x in np.split(h[shared], upto[cuts])]
+                columns = [pa.array(range(row, row + n), pa.int64()), batch.column(0).slice(first, n).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids", "rare"])
+                row += n
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, ids binary, rare binary"), "lm-tokens", "zstd")
 
 
-def fresh() -> np.ndarray:
-    """The weights at the start: small embeddings and outputs, no biases."""
-    rng = np.random.default_rng(9)
-    return np.concatenate([np.zeros(int(np.prod(s))) if k.endswith("b") else rng.normal(0, 0.1, int(np.prod(s))) for k, s in SHAPES.items()]).astype(np.float32)
+# --- the network -----------------------------------------------------------------------------------
 
 
-def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, contexts) of all tokens of sequences; what lies outside a sequence is OUTSIDE."""
-    gap = np.full(REACH, OUTSIDE, np.uint16)
+def shapes(size: int) -> dict[str, tuple[int, int]]:
+    """Rows and columns of the weights: embeddings, their weights by place, bias, and the softmaxes of the three levels, each output's weights and bias."""
+    inside = size // CLASSES
+    return {"e": (size, WIDTH), "c": (2 * REACH, WIDTH), "b": (1, WIDTH), "g": (GROUPS, OUT), "t": (GROUPS, GROUPS * OUT), "u": (CLASSES, inside * OUT)}
+
+
+def fresh(size: int) -> dict[str, np.ndarray]:
+    """The weights at the start: small embeddings and outputs, places alike, no biases."""
+    rng, out = np.random.default_rng(9), {}
+    for k, shape in shapes(size).items():
+        out[k] = np.ones(shape, np.float32) if k == "c" else np.zeros(shape, np.float32) if k == "b" else rng.normal(0, 0.1, shape).astype(np.float32)
+        if k in "gtu":
+            out[k].reshape(-1, OUT)[:, WIDTH] = 0
+    return out
+
+
+def windows(seqs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, contexts) of all tokens of sequences; what lies outside a sequence is ``outside``."""
+    gap = np.full(REACH, outside, np.uint32)
     joined = np.concatenate([x for s in seqs for x in (gap, s)] + [gap])
-    real = np.concatenate([x for s in seqs for x in (np.zeros(REACH, bool), np.ones(len(s), bool))] + [np.zeros(REACH, bool)])
-    at = np.flatnonzero(real)
+    lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    at = np.arange(int(lengths.sum())) + np.repeat(REACH * np.arange(1, len(seqs) + 1), lengths)
     shifts = [-d for d in range(REACH, 0, -1)] + list(range(1, REACH + 1))
     return joined[at], np.stack([joined[at + d] for d in shifts])
 
 
-def _hidden(w: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    h = w["e"][0][context[0]]
+def _hidden(w: dict[str, np.ndarray], seen: list[np.ndarray]) -> np.ndarray:
+    """The hidden layer, a column for each window, and a row of ones below, for biases."""
+    total = seen[0] * w["c"][0]
     for j in range(1, 2 * REACH):
-        h += w["e"][j][context[j]]
-    h += w["b"]
-    return np.tanh(h, out=h)
+        total += seen[j] * w["c"][j]
+    total += w["b"]
+    h = np.ones((OUT, len(total)), np.float32)
+    np.tanh(total.T, out=h[:WIDTH])
+    return h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _log_chosen(here: np.ndarray, h: np.ndarray, place: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The logarithm of a softmax at the chosen places."""
+    x = here @ h
+    x -= x.max(axis=0)
+    chosen = x[place, every]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(axis=0))
 
 
-def log_probabilities(w: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray) -> np.ndarray:
+def _ordered(target: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """An order of targets by class, their classes in it, the classes there are, and where each begins and the last ends."""
+    cls = (target // np.uint32(inside)).astype(np.uint16)
+    order = np.argsort(cls, kind="stable")
+    cls = cls[order]
+    starts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+    return order, cls, cls[starts], [*starts.tolist(), len(cls)]
+
+
+def log_probabilities(w: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, batch: int = MOST_BATCH) -> np.ndarray:
     """The log-probability of each target in its context."""
+    inside = w["u"].shape[1] // OUT
     out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), BATCH):
-        y, h = target[a : a + BATCH].astype(np.int64), _hidden(w, context[:, a : a + BATCH])
-        group, place = y // GROUPS, y % GROUPS
-        first = _log_softmax(h @ w["g"] + w["gb"])[np.arange(len(y)), group]
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        h, second = h[order], np.empty(len(y), np.float32)
+    for a in range(0, len(target), batch):
+        order, cls, classes, edges = _ordered(target[a : a + batch], inside)
+        n, every = len(order), np.arange(len(order))
+        h = _hidden(w, [w["e"][context[j, a : a + batch][order]] for j in range(2 * REACH)])
+        group, second = cls // GROUPS, cls % GROUPS
+        logs = _log_chosen(w["g"], h, group, every)
+        at = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
         for g in range(GROUPS):
-            x, z = edges[g], edges[g + 1]
+            x, z = at[g], at[g + 1]
             if x < z:
-                second[order[x:z]] = _log_softmax(h[x:z] @ w["t"][g] + w["tb"][g])[np.arange(z - x), place[order[x:z]]]
-        out[a : a + len(y)] = first + second
+                logs[x:z] += _log_chosen(w["t"][g].reshape(GROUPS, OUT), h[:, x:z], second[x:z], every[: z - x])
+        if inside > 1:
+            place = target[a : a + batch][order] % np.uint32(inside)
+            for k, x, z in zip(classes.tolist(), edges, edges[1:], strict=False):
+                logs[x:z] += _log_chosen(w["u"][k].reshape(inside, OUT), h[:, x:z], place[x:z], every[: z - x])
+        out[a : a + n][order] = logs
     return out
 
 
 class Trainer:
-    """Adagrad on the mean negative log-probability of batches of windows."""
-
-    def __init__(self, flat: np.ndarray, rate: float = 0.15):
-        self.flat, self.rate = flat.copy(), rate
-        self.w = unpack(self.flat)
-        self.squares = np.full_like(self.flat, 1e-6)
-        #: How often each row of weights was trained: for e by place and token, for t and tb by group.
-        self.seen = np.zeros((2 * REACH, VOCABULARY), np.int64)
-        self.groups = np.zeros(GROUPS, np.int64)
+    """Adagrad on the mean negative log-probability of batches of windows; only rows that a batch touches are changed."""
+
+    def __init__(self, w: dict[str, np.ndarray], rate: float = RATE):
+        self.w, self.rate = {k: v.copy() for k, v in w.items()}, np.float32(rate)
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in w.items()}
+        #: How often each row was trained, where rows differ.
+        self.seen = {"e": np.zeros(len(w["e"]), np.int64), "t": np.zeros(GROUPS, np.int64), "u": np.zeros(CLASSES, np.int64)}
         self.tokens = 0
 
-    def weights(self) -> np.ndarray:
-        """What each weight counts in an average: the windows that its row was trained on."""
-        rows = {"e": self.seen[:, :, None], "t": self.groups[:, None, None], "tb": self.groups[:, None]}
-        return np.concatenate([np.broadcast_to(rows.get(k, self.tokens), s).ravel() for k, s in SHAPES.items()]).astype(np.float64)
+    def weights(self, name: str) -> np.ndarray:
+        """What each row counts in an average: the windows that trained it."""
+        held = self.seen.get(name)
+        return np.full(len(self.w[name]), self.tokens, np.int64) if held is None else held
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
-        w, n = self.w, len(target)
-        grad = np.zeros_like(self.flat)
-        d = unpack(grad)
-        group = target.astype(np.int64) // GROUPS
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        y, context, group = target[order].astype(np.int64), context[:, order], group[order]
-        edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-        h = _hidden(w, context)
-        p = np.exp(_log_softmax(h @ w["g"] + w["gb"]))
-        p[np.arange(n), group] -= 1
-        p /= n
-        d["g"][:] = h.T @ p
-        d["gb"][:] = p.sum(axis=0)
-        dh = p @ w["g"].T
+        w, n, inside = self.w, len(target), self.w["u"].shape[1] // OUT
+        scale = np.float32(1 / np.sqrt(n))  # steps of batches of any size are alike
+        order, cls, classes, edges = _ordered(target, inside)
+        context, every = context[:, order], np.arange(n)
+        seen = [w["e"][context[j]] for j in range(2 * REACH)]
+        h = _hidden(w, seen)
+        dh = np.zeros_like(h)
+        group, second = cls // GROUPS, cls % GROUPS
+        self._softmax(w["g"], self.squares["g"], h, group, every, scale, dh)
+        at = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
         for g in range(GROUPS):
-            x, z = edges[g], edges[g + 1]
+            x, z = at[g], at[g + 1]
             if x < z:
-                q = np.exp(_log_softmax(h[x:z] @ w["t"][g] + w["tb"][g]))
-                q[np.arange(z - x), y[x:z] % GROUPS] -= 1
-                q /= n
-                d["t"][g] = h[x:z].T @ q
-                d["tb"][g] = q.sum(axis=0)
-                dh[x:z] += q @ w["t"][g].T
+                self._softmax(w["t"][g].reshape(GROUPS, OUT), self.squares["t"][g].reshape(GROUPS, OUT), h[:, x:z], second[x:z], every[: z - x], scale, dh[:, x:z])
+        if inside > 1:
+            place = target[order] % np.uint32(inside)
+            u, squares = w["u"].reshape(CLASSES, inside, OUT), self.squares["u"].reshape(CLASSES, inside, OUT)
+            for k, x, z in zip(classes.tolist(), edges, edges[1:], strict=False):
+                self._softmax(u[k], squares[k], h[:, x:z], place[x:z], every[: z - x], scale, dh[:, x:z])
+        h, dh = h[:WIDTH], dh[:WIDTH]
         dh *= 1 - h * h
-        d["b"][:] = dh.sum(axis=0)
+        dh = np.ascontiguousarray(dh.T)
+        values = np.empty((2 * REACH, n, WIDTH), np.float32)
+        places = np.empty((2 * REACH, WIDTH), np.float32)
         for j in range(2 * REACH):
-            by = np.argsort(context[j], kind="stable")
-            ids = context[j][by]
-            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            self.seen[j][ids[starts]] += np.diff(np.append(starts, n))
-            d["e"][j][ids[starts]] = np.add.reduceat(dh[by], starts, axis=0)
-        grad *= np.float32(np.sqrt(n))  # steps of batches of any size are alike
-        self.squares += grad * grad
-        self.flat -= self.rate * grad / np.sqrt(self.squares)
-        self.groups += np.diff(edges)
+            np.multiply(dh, w["c"][j], out=values[j])
+            places[j] = np.einsum("ij,ij->j", dh, seen[j])
+        self._change(w["b"], self.squares["b"], dh.sum(axis=0)[None])
+        self._change(w["c"], self.squares["c"], places)
+        ids = context.reshape(-1)
+        by = np.argsort(ids.astype(np.uint16) if len(w["e"]) <= 65536 else ids, kind="stable")
+        ids = ids[by]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows = ids[starts]
+        grad = np.add.reduceat(values.reshape(-1, WIDTH)[by], starts, axis=0)
+        squares = self.squares["e"][rows] + grad * grad
+        self.squares["e"][rows] = squares
+        w["e"][rows] -= self.rate * grad / np.sqrt(squares)
+        self.seen["e"][rows] += np.diff(np.append(starts, len(ids)))
+        self.seen["t"] += np.diff(at)
+        self.seen["u"][classes] += np.diff(edges)
         self.tokens += n
 
+    def _change(self, here: np.ndarray, squares: np.ndarray, grad: np.ndarray) -> None:
+        squares += grad * grad
+        grad *= self.rate
+        grad /= np.sqrt(squares)
+        here -= grad
 
-def _train(start):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, held, size = Trainer(start.value), [], 0
-        for batch in batches:
-            for raw in blobs(batch.column(0)):
-                held.append(np.frombuffer(raw, np.uint16))
-                size += len(held[-1])
-                if size >= 8 * BATCH:
-                    _steps(trainer, held)
-                    held, size = [], 0
-        if held:
-            _steps(trainer, held)
-        if trainer.tokens:
-            weights = trainer.weights()
-            both = [np.stack([trainer.flat[a : a + BLOCK] * weights[a : a + BLOCK], weights[a : a + BLOCK]]) for a in range(0, SIZE, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(both)), pa.int32()), pa.array([p.tobytes() for p in both], pa.binary())], ["block", "sums"])
-
-    return run
+    def _softmax(self, here: np.ndarray, squares: np.ndarray, h: np.ndarray, place: np.ndarray, every: np.ndarray, scale: np.float32, dh: np.ndarray) -> None:
+        """One softmax: adds to dh, and changes its own weights, both by the weights before."""
+        x = here @ h
+        x -= x.max(axis=0)
+        np.exp(x, out=x)
+        x *= scale / x.sum(axis=0)
+        x[place, every] -= scale
+        dh += here.T @ x
+        self._change(here, squares, x @ h.T)
 
 
-def _steps(trainer: Trainer, seqs: list[np.ndarray]) -> None:
-    target, context = windows(seqs)
-    for a in range(0, len(target), BATCH):
-        trainer.step(target[a : a + BATCH], context[:, a : a + BATCH])
+# --- training over the cluster ----------------------------------------------------------------------
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the weighted models of a partition and of their weights, block by block."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(raw, np.float64)
-            sums[block] = sums[block] + x if block in sums else x
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
+def _blocks(size: int) -> list[tuple[str, int, int]]:
+    """(name, first row, end) of the blocks of weights that are averaged by themselves."""
+    out = []
+    for name, (rows, columns) in shapes(size).items():
+        step = max(1, BLOCK // columns)
+        out += [(name, a, min(rows, a + step)) for a in range(0, rows, step)]
+    return out
 
 
-def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights trained on every window of docs. Without words they stay as at the start."""
-    return _train_coded(encoded(docs, vocab), rounds)
+def _train(start, size: int, batch: int):
+    def given(trainer: Trainer) -> Iterator[pa.RecordBatch]:
+        for i, (name, a, z) in enumerate(_blocks(size)):
+            weights = trainer.weights(name)[a:z]
+            if weights.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([trainer.w[name][a:z].tobytes()], pa.binary())], ["block", "weights", "model"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        trainer, learner, held, count = None, None, [], 0
+
+        def learn() -> None:
+            nonlocal held, count
+            if held:
+                target, context = windows(held, size - 1)
+                for a in range(0, len(target), batch):
+                    trainer.step(target[a : a + batch], context[:, a : a + batch])
+            held, count = [], 0
+
+        for some in batches:
+            for name, raw in zip(some.column(0).to_pylist(), blobs(some.column(1)), strict=True):
+                if name != learner:
+                    learn()
+                    if trainer:
+                        yield from given(trainer)
+                    trainer, learner = Trainer(start.value), name
+                held.append(np.frombuffer(raw, np.uint32))
+                count += len(held[-1])
+                if count >= 8 * batch:
+                    learn()
+        if trainer:
+            learn()
+            yield from given(trainer)
 
-def _train_coded(coded: DataFrame, rounds: int) -> np.ndarray:
-    context, flat = coded.sparkSession.sparkContext, fresh()
-    kind = "block int, sums binary"
-    parts = -(-SIZE // BLOCK)
-    for _ in range(rounds):
-        start = context.broadcast(flat)
-        models = coded.select("ids").mapInArrow(_train(start), kind)
-        got = models.repartition(parts, "block").mapInArrow(_add, kind).collect()
-        if got:
-            sums, weights = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64).reshape(2, -1) for r in sorted(got, key=lambda r: r["block"])], axis=1)
-            flat = np.divide(sums, weights, out=flat.astype(np.float64), where=weights > 0).astype(np.float32)
-    return flat
+    return run
 
 
-def totals(coded: DataFrame) -> np.ndarray:
-    """How often each token occurs in a corpus of tokens."""
+def _average(size: int):
+    """The average of the models of each block, row by row; rows that nobody trained have weight 0."""
+    blocks = _blocks(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(VOCABULARY, np.int64)
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for raw in blobs(batch.column(0)):
-                n += np.bincount(np.frombuffer(raw, np.uint16), minlength=VOCABULARY)
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(VOCABULARY), pa.int32()), pa.array(n)], ["token", "n"])
-
-    out = np.zeros(VOCABULARY, np.int64)
-    for r in coded.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
-        out[r["token"]] = r["n"]
-    return out
+            for block, raw_weights, raw in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), blobs(batch.column(2)), strict=True):
+                _, a, z = blocks[block]
+                weights = np.frombuffer(raw_weights, np.int64)
+                model = np.frombuffer(raw, np.float32).reshape(z - a, -1) * weights[:, None].astype(np.float64)
+                held = sums.get(block)
+                sums[block] = (weights, model) if held is None else (held[0] + weights, held[1] + model)
+        for block, (weights, model) in sums.items():
+            mean = np.divide(model, weights[:, None], out=np.zeros_like(model), where=weights[:, None] > 0).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["block", "weights", "model"])
 
+    return run
 
-def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], flat: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, log_probability) of docs (doc_id, text); a text without words has 0 and 0.0.
 
-    counts are the totals of the tokens of docs. A row for each document and one for each word that
-    shares a token meet by the word's hash, where the word is counted, and again by document; a
-    document's own row goes by a hash of its number, so that no key gathers them.
+def train(coded: DataFrame, size: int, tokens: int, rounds: int = ROUNDS, learner: int = LEARNER) -> dict[str, np.ndarray]:
+    """Weights trained on every window of coded (ids) once. Without words they stay as at the start."""
+    spark, w = coded.sparkSession, fresh(size)
+    learners = min(MOST_LEARNERS, max(1, -(-tokens // (rounds * learner))))
+    own = max(1, tokens // (rounds * learners))
+    batch = min(MOST_BATCH, max(LEAST_BATCH, 1 << max(0, own // 256 - 1).bit_length()))
+    draw = F.xxhash64("ids")
+    rows = coded.filter(F.octet_length("ids") > 0).select("ids", F.pmod(draw, F.lit(rounds * learners)).alias("learner"), F.xxhash64(draw).alias("place"))
+    kind, blocks = "block int, weights binary, model binary", _blocks(size)
+    parts = min(len(blocks), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for r in range(rounds):
+        start = spark.sparkContext.broadcast(w)
+        mine = rows.filter((F.col("learner") >= r * learners) & (F.col("learner") < (r + 1) * learners))
+        dealt = mine.repartition(learners, "learner").sortWithinPartitions("learner", "place")
+        models = dealt.select("learner", "ids").mapInArrow(_train(start, size, batch), kind)
+        w = {k: v.copy() for k, v in w.items()}
+        for got in models.repartition(parts, "block").mapInArrow(_average(size), kind).collect():
+            name, a, z = blocks[got["block"]]
+            touched = np.frombuffer(bytes(got["weights"]), np.int64) > 0
+            w[name][a:z][touched] = np.frombuffer(bytes(got["model"]), np.float32).reshape(z - a, -1)[touched]
+        start.unpersist()
+    return w
+
+
+# --- scores ------------------------------------------------------------------------------------------
+
+
+def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, n_tokens, n_novel, log_probability) of the rows of encoded(); without words 0, 0 and 0.0.
+
+    A row for each document and one for each word of it that shares a token meet the word's count,
+    and then each other by document; a document's own row goes by a hash of its number, so that no
+    key gathers them.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, flat, np.log(np.maximum(counts, 1))))
+    sent = coded.sparkSession.sparkContext.broadcast((vocab, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab_here, w, log_totals = sent.value[0], unpack(sent.value[1]), sent.value[2]
-        first = TaskContext.get().partitionId() << 33
+        one_thread()
+        vocab_here, model = sent.value
+
+        def given(rows, ids, held, rare, lengths) -> pa.RecordBatch:
+            target, context = windows(held, vocab_here.outside)
+            logs = log_probabilities(model, target, context).astype(np.float64)
+            ends = np.concatenate([[0], np.cumsum(logs)])
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            found = [np.unique(x, return_counts=True) for x in rare]
+            words, n = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            word_rows = np.repeat(np.array(rows, np.int64), [len(f[0]) for f in found])
+            own = np.array(rows, np.int64)
+            nulls, some = len(words), len(own)
+            shared = (words % np.uint64(vocab_here.shared)).astype(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own, word_rows])),
+                    pa.array(np.concatenate([mixed(own.view(np.uint64)), words]).view(np.int64)),
+                    pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(nulls, pa.int64())]),
+                    pa.concat_arrays([pa.array(lengths, pa.int64()), pa.nulls(nulls, pa.int64())]),
+                    pa.concat_arrays([pa.array(ends[edges[1:]] - ends[edges[:-1]]), pa.nulls(nulls, pa.float64())]),
+                    pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(n, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(some, pa.float64()), pa.array(np.log(vocab_here.total[shared] + UNSEEN * vocab_here.distinct[shared]))]),
+                ],
+                ["row", "h", "doc_id", "n_tokens", "part", "n", "log_total"],
+            )
+
         for batch in batches:
-            found, held, size, began = blobs(batch.column(1)), [], 0, 0
-            for k in range(batch.num_rows):
-                h = hashed(next(found))
-                held.append((h, coded_words(h, vocab_here)))
-                size += len(h)
+            rows, ids, held, rare, lengths, size = [], [], [], [], [], 0
+            for k, (row, doc, raw, raw_rare) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2)), blobs(batch.column(3)), strict=True)):
+                seq = np.frombuffer(raw, np.uint32)
+                for x, y in ((rows, row), (ids, doc), (held, seq), (rare, np.frombuffer(raw_rare, np.uint64)), (lengths, len(seq))):
+                    x.append(y)
+                size += len(seq)
                 if size > 1 << 17 or k == batch.num_rows - 1:
-                    n = np.array([len(t) for _, t in held])
-                    target, context = windows([t for _, t in held])
-                    logs = log_probabilities(w, target, context).astype(np.float64)
-                    shared = np.flatnonzero(target >= FREQUENT)
-                    logs[shared] -= log_totals[target[shared]]
-                    ends, edges = np.cumsum(np.concatenate([[0], logs])), np.concatenate([[0], np.cumsum(n)])
-                    rows = first + np.arange(len(n))
-                    word_rows = np.repeat(rows, n)[shared]
-                    words = np.concatenate([h for h, _ in held])[shared]
-                    nulls = len(words)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([rows, word_rows])),
-                            pa.array(np.concatenate([mixed(rows.view(np.uint64)), words]).view(np.int64)),
-                            pa.concat_arrays([batch.column(0).slice(began, len(n)).cast(pa.int64()), pa.nulls(nulls, pa.int64())]),
-                            pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(nulls, pa.int64())]),
-                            pa.concat_arrays([pa.array(ends[edges[1:]] - ends[edges[:-1]]), pa.nulls(nulls, pa.float64())]),
-                        ],
-                        ["row", "h", "doc_id", "n_tokens", "part"],
-                    )
-                    first, began = first + len(n), k + 1
-                    held, size = [], 0
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, h long, doc_id long, n_tokens long, part double")
-    is_word = F.col("n_tokens").isNull()
-    count = F.count_if(is_word).over(Window.partitionBy("h"))
-    share = F.when(is_word, F.round(F.log(count) * SCALE).cast("long")).otherwise(0)
-    whole = rows.withColumn("share", share).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("part").alias("part"), F.sum("share").alias("share"))
-    return whole.select("doc_id", "n_tokens", (F.col("part") + F.col("share") / SCALE).alias("log_probability"))
+                    yield given(rows, ids, held, rare, lengths)
+                    rows, ids, held, rare, lengths, size = [], [], [], [], [], 0
+
+    kind = "row long, h long, doc_id long, n_tokens long, part double, n long, log_total double"
+    rows = coded.mapInArrow(run, kind).join(counts.select("h", F.col("n").alias("everywhere")), "h", "left")
+    elsewhere = F.col("everywhere") - F.col("n")
+    share = F.col("n") * F.round((F.log(elsewhere + UNSEEN) - F.col("log_total")) * SCALE).cast("long")
+    novel = F.when(elsewhere == 0, F.col("n"))
+    whole = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.coalesce(F.sum(novel), F.lit(0)).alias("n_novel"), F.max("part").alias("part"), F.coalesce(F.sum(share), F.lit(0)).alias("share"))
+    return whole.select("doc_id", "n_tokens", "n_novel", (F.col("part") + F.col("share") / SCALE).alias("log_probability"))
 
 
 def score_corpus(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Counts, trains and scores over the whole of docs: doc_id, n_tokens, log_probability, mean_log_probability.
+    """Counts, trains and scores over the whole of docs: doc_id, n_tokens, n_novel, log_probability, mean_log_probability.
 
-    A null text counts as empty; the mean of a text without words is null. Rows that repeat are
-    trained on and scored each.
+    n_novel counts tokens outside the vocabulary whose word no other row has. A null text counts as
+    empty; the mean of a text without words is null. Rows that repeat are trained on and scored
+    each, and count as other rows of each other.
     """
-    vocab = vocabulary(docs)
+    counts = word_counts(docs)
+    vocab = vocabulary(counts)
     coded = encoded(docs, vocab)
-    out = score(docs, vocab, _train_coded(coded, rounds), totals(coded))
+    out = score(coded, counts, vocab, train(coded, vocab.size, vocab.tokens, rounds))
     return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return score_corpus(docs.select("doc_id", "text"))
+    """The scores of score_corpus() with novel_share: n_novel by n_tokens, null for a text without words."""
+    out = score_corpus(docs.select("doc_id", "text"))
+    return out.withColumn("novel_share", F.when(F.col("n_tokens") > 0, F.col("n_novel") / F.col("n_tokens")))

@@ -179,7 +179,7 @@ class WordEncoder:
         if not len(starts):
             return [b""] * len(texts)
         self.known.make_room()
-        keys, first, at = np.unique(_keys(low, starts, ends), return_index=True, return_inverse=True)
+        keys, first, at = np.unique(word_keys(low, starts, ends), return_index=True, return_inverse=True)
         new = np.flatnonzero(self.known.absent(keys))
         if len(new):
             place = first[new]
@@ -240,7 +240,7 @@ def _units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return low, starts[real], ends[real], np.repeat(simple, 2)[real]
 
 
-def _keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit key of the bytes of each unit, eight at a time."""
     eights = np.lib.stride_tricks.sliding_window_view(low, 8)
     n = ends - starts

@@ -1,4 +1,3 @@
-import inspect
 import random
 import zlib
 
@@ -76,58 +75,139 @@ def test_classifier_odd_rows(labeled, odd, empty):
     assert long.shape == (6250, qc.WIDTH) and np.isfinite(long).all()
 
 
+SIZE = 4 * lm.CLASSES
+
+
+def plain_log_probability(w, y, before_and_after):
+    """One token in its context, by loops over every token of the vocabulary."""
+    h = np.array(w["b"][0], np.float64)
+    for j, c in enumerate(before_and_after):
+        h = h + w["e"][c].astype(np.float64) * w["c"][j]
+    h = np.tanh(h)
+    inside = len(w["e"]) // 1024
+
+    def level(weights, place):
+        logits = [sum(h[i] * row[i] for i in range(16)) + row[16] for row in weights]
+        return logits[place] - np.log(sum(np.exp(x) for x in logits))
+
+    cls = y // inside
+    first = level(w["g"], cls // 32)
+    second = level(w["t"][cls // 32].reshape(32, 17), cls % 32)
+    return first + second + level(w["u"][cls].reshape(inside, 17), y % inside)
+
+
+def noisy(size, seed=3):
+    rng = np.random.default_rng(seed)
+    return {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in lm.fresh(size).items()}
+
+
 def test_gradients_against_differences():
-    rng = np.random.default_rng(5)
-    y, c = lm.windows([rng.integers(0, 1000, 40).astype(np.uint16) for _ in range(3)])
-    flat = lm.fresh().astype(np.float64)
-    loss = lambda f: -lm.log_probabilities(lm.unpack(f), y, c).astype(np.float64).mean()
-    t = lm.Trainer(flat.astype(np.float32), rate=0.0)
-    t.squares[:] = 0
-    with np.errstate(invalid="ignore"):
-        t.step(y, c)  # squares are now the squared gradient times n
-    size = np.sqrt(t.squares / len(y))
-    for k in rng.choice(np.flatnonzero(size > size.max() / 50), 12, replace=False):
-        up, down = flat.copy(), flat.copy()
-        up[k] += 1e-3
-        down[k] -= 1e-3
-        assert abs((loss(up) - loss(down)) / 2e-3) == pytest.approx(size[k], rel=0.1, abs=2e-4)
-
-
-def test_probabilities_sum_to_one():
-    context = np.full((2 * lm.REACH, 1), 7, np.uint16)
-    w = lm.unpack(lm.fresh())
-    every = np.arange(lm.VOCABULARY).astype(np.uint16)
-    logs = lm.log_probabilities(w, every, np.repeat(context, lm.VOCABULARY, axis=1))
+    rng, w = np.random.default_rng(5), noisy(SIZE)
+    y, c = lm.windows([rng.integers(0, 60, 40).astype(np.uint32) for _ in range(3)], SIZE - 1)
+    loss = lambda v: -np.mean([plain_log_probability(v, int(t), c[:, i].tolist()) for i, t in enumerate(y)])
+    trainer = lm.Trainer(w, rate=0.0)
+    for v in trainer.squares.values():
+        v[:] = 0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        trainer.step(y, c)  # squares are now the squared gradient times n
+    for name in w:
+        size = np.sqrt(trainer.squares[name] / len(y)).ravel()
+        for k in rng.choice(np.flatnonzero(size >= size.max() / 4), 2):
+            up, down = ({n: v.astype(np.float64) for n, v in w.items()} for _ in range(2))
+            up[name].reshape(-1)[k] += 1e-3
+            down[name].reshape(-1)[k] -= 1e-3
+            assert abs((loss(up) - loss(down)) / 2e-3) == pytest.approx(size[k], rel=0.02, abs=1e-4), name
+
+
+@pytest.mark.parametrize("size", [lm.CLASSES, SIZE])
+def test_probabilities_sum_to_one(size):
+    w = noisy(size)
+    every = np.arange(size).astype(np.uint32)
+    context = np.repeat(np.array([[1], [2], [7], [size - 1]], np.uint32), size, axis=1)
+    logs = lm.log_probabilities(w, every, context, 999)
     assert np.exp(logs.astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
+    for t in (0, 5, size // 2, size - 1):
+        assert logs[t] == pytest.approx(plain_log_probability(w, t, [1, 2, 7, size - 1]), abs=1e-4)
 
 
 def test_both_sides_are_used():
-    y, c = lm.windows([np.array([1, 2, 3, 4, 5], np.uint16), np.array([6], np.uint16)])
+    y, c = lm.windows([np.array([1, 2, 3, 4, 5], np.uint32), np.zeros(0, np.uint32), np.array([6], np.uint32)], 99)
     assert y.tolist() == [1, 2, 3, 4, 5, 6]
-    assert c[:, 2].tolist() == [1, 2, 4, 5] and set(c[:, 5].tolist()) == {lm.OUTSIDE}
+    assert c[:, 2].tolist() == [1, 2, 4, 5] and set(c[:, 5].tolist()) == {99}
+
+
+def test_the_vocabulary_grows_with_the_corpus():
+    sizes = [lm.size_for(n) for n in (0, 10**4, 10**6, 10**8, 10**10, 10**13)]
+    assert sizes == sorted(sizes) and sizes[0] == lm.LEAST and sizes[3] == 32768 and sizes[-1] == lm.MOST
+    assert all(n & (n - 1) == 0 for n in sizes)
 
 
 def test_scores_prefer_text_like_the_corpus(spark):
     rng = random.Random(1)
     sentences = ["the old house stands near the river", "birds sing in the tall green trees", "a small boat drifts along the shore"]
-    rows = [(i, " . ".join(rng.choice(sentences) for _ in range(40))) for i in range(120)]
+    rows = [(i, " . ".join(rng.choice(sentences) for _ in range(40))) for i in range(240)]
     mixed = " . ".join(sentences * 10).split()
     rng.shuffle(mixed)
     rows += [(1000, " . ".join(sentences * 10)), (1001, " ".join(mixed)), (1002, ""), (1003, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
-    got = {r.doc_id: r for r in lm.score_corpus(docs, rounds=3).collect()}
+    got = {r.doc_id: r for r in lm.digest(docs).collect()}
     assert got[1000].mean_log_probability > got[1001].mean_log_probability + 0.5
     assert (got[1002].n_tokens, got[1002].log_probability, got[1002].mean_log_probability) == (0, 0.0, None) and got[1003].n_tokens == 0
     assert all(r.n_tokens == len((t or "").split()) for i, t in rows for r in [got[i]])
 
 
-def test_vocabulary_counts_everything(spark, documents):
+def counted(docs):
     from collections import Counter
 
-    counts = Counter(h for r in documents.collect() for h in lm.hashed((r.text or "").encode()).tolist())
-    known, token = lm.vocabulary(documents)
-    first = known[np.argsort(token)][:50].tolist()
-    assert sorted((counts[h] for h in first), reverse=True) == [n for _, n in counts.most_common(50)]
+    return Counter(h for r in docs.collect() for h in lm.hashed((r.text or "").encode()).tolist())
+
+
+def test_vocabulary_counts_everything(documents):
+    counts = counted(documents)
+    vocab = lm.vocabulary(lm.word_counts(documents))
+    first = vocab.known[np.argsort(vocab.token)].tolist()
+    assert sorted((counts[h] for h in first[:50]), reverse=True) == [n for _, n in counts.most_common(50)]
+    small = lm.vocabulary(lm.word_counts(documents), 128)
+    assert 60 < len(small.known) <= small.own and small.tokens == sum(counts.values())
+    rest = {h: n for h, n in counts.items() if h not in set(small.known.tolist())}
+    assert max(rest.values()) <= min(counts[h] for h in small.known.tolist())
+    for t in range(small.shared):
+        mine = [n for h, n in rest.items() if h % small.shared == t]
+        assert (small.distinct[t], small.total[t]) == (len(mine), sum(mine))
+
+
+def test_scores_against_brute_force(documents):
+    """Every document's score, from the trained weights and counts of the words of all other documents."""
+    from collections import Counter
+
+    docs = documents.select("doc_id", "text")
+    counts = lm.word_counts(docs)
+    vocab = lm.vocabulary(counts, lm.CLASSES)
+    vocab = lm.vocabulary(counts, 2048) if not vocab.shared else vocab
+    small = lm.vocabulary(counts, 256)  # few words of their own
+    vocab.known, vocab.token, vocab.total, vocab.distinct = (getattr(small, k) for k in ("known", "token", "total", "distinct"))
+    vocab.shared, vocab.own = small.shared, vocab.size - small.shared - 1
+    coded = lm.encoded(docs, vocab)
+    w = lm.train(coded, vocab.size, vocab.tokens)
+    got = {r.doc_id: r for r in lm.score(coded, counts, vocab, w).collect()}
+    everywhere = counted(docs)
+    for r in documents.collect()[::7]:
+        words = lm.hashed((r.text or "").encode()).tolist()
+        if len(words) > 500:
+            continue
+        mine = Counter(words)
+        y, c = lm.windows([vocab.code(np.array(words, np.uint64))], vocab.outside) if words else ([], None)
+        want, novel = 0.0, 0
+        for i, t in enumerate(y):
+            want += float(lm.log_probabilities(w, y[i : i + 1], c[:, i : i + 1])[0])
+            if t >= vocab.own:
+                other = everywhere[words[i]] - mine[words[i]]
+                novel += other == 0
+                k = t - vocab.own
+                want += np.log((other + lm.UNSEEN) / (vocab.total[k] + lm.UNSEEN * vocab.distinct[k]))
+        assert got[r.doc_id].n_tokens == len(words) and got[r.doc_id].n_novel == novel
+        assert got[r.doc_id].log_probability == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert len(got) == documents.count()
 
 
 def test_scoring_odd_rows(odd, empty):
@@ -135,43 +215,41 @@ def test_scoring_odd_rows(odd, empty):
     assert lm.digest(empty).count() == 0
 
 
-def test_words_that_share_a_token_are_told_apart_by_their_counts(spark):
-    known = (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
-    by_token = {}
-    for i in range(2000):
-        by_token.setdefault(int(lm.tokens(b"w%d" % i, known)[0]), []).append(f"w{i}")
-    often, seldom = next(v for v in by_token.values() if len(v) > 1)[:2]
-    filler = " ".join(f"f{i}" for i in range(lm.FREQUENT) for _ in range(12))  # takes the tokens of their own
-    rows = [(0, filler), (1, often), (2, seldom), *((3 + i, often) for i in range(8)), (None, often), (99, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in lm.digest(docs).collect()}
-    assert got[1].log_probability - got[2].log_probability == pytest.approx(np.log(10), abs=1e-4)
-    assert got[None].log_probability == pytest.approx(got[1].log_probability, abs=1e-4) and got[99].log_probability == 0
-    vocab = lm.vocabulary(docs)
-    w = lm.unpack(lm.train(docs, vocab, rounds=inspect.signature(lm.score_corpus).parameters["rounds"].default))
-    y, c = lm.windows([lm.tokens(often.encode(), vocab)])
-    assert got[1].log_probability == pytest.approx(float(lm.log_probabilities(w, y, c)[0]) + np.log(10 / 11), abs=2e-3)
+def test_documents_that_occur_twice_are_told_apart(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefgh") if rng.random() < 0.8 else f"w{rng.randrange(10**6)}" for _ in range(120))
+    once, twice = [text() for _ in range(150)], [text() for _ in range(50)]
+    filler = " ".join(f"f{i} f{i}" for i in range(3000))  # fills the vocabulary
+    rows = [(i, t) for i, t in enumerate([*once, *twice, *twice, filler, filler])]
+    got = {r.doc_id: r for r in lm.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i].n_novel > 0 for i in range(150)) and all(got[i].n_novel == 0 for i in range(150, 250))
+    mean = lambda ids: np.mean([got[i].mean_log_probability for i in ids])
+    assert mean(range(150, 250)) > mean(range(150)) + 0.1
 
 
-def test_rows_are_averaged_by_their_own_windows(spark):
-    """A word of one partition keeps what that partition learned, whatever the others' sizes."""
-    docs = spark.createDataFrame([(i, "rare word " * 300 if i == 0 else "a b c d e f " * 400) for i in range(12)], "doc_id long, text string").repartitionByRange(12, "doc_id")
-    vocab = lm.vocabulary(docs)
-    start, alone, whole = (lm.unpack(f) for f in (lm.fresh(), lm.train(docs.filter("doc_id = 0"), vocab, 1), lm.train(docs, vocab, 1)))
-    rare = lm.tokens(b"rare", vocab)[0]
-    assert np.abs(alone["e"][0][rare] - start["e"][0][rare]).max() > 0.05
-    assert np.allclose(whole["e"][0][rare], alone["e"][0][rare], atol=1e-2)
+def test_partitions_change_no_score(spark):
+    """8 or 64 partitions, with several learners a round: the same model but for rounding."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[: 20 + i]) for _ in range(100))) for i in range(300)], "doc_id long, text string")
+    vocab = lm.vocabulary(lm.word_counts(docs))
+    few, many = (lm.train(lm.encoded(docs.repartition(n), vocab), vocab.size, vocab.tokens, learner=2000) for n in (8, 64))
+    assert max(np.abs(few[k] - many[k]).max() for k in few) < 1e-3
+    a, b = ({r.doc_id: r.log_probability for r in lm.digest(docs.repartition(n)).collect()} for n in (8, 64))
+    assert a == pytest.approx(b, rel=1e-4)
 
 
-def test_production_rounds_over_many_partitions(spark):
-    """The registered parameters learn from 24 small partitions, sources apart, as from few."""
-    rng = random.Random(4)
-    sources = [["the old house stands near the river", "birds sing in the tall green trees"], ["ein kleines boot treibt am ufer", "der wind weht durch das alte tor"]]
-    rows = [(i, " . ".join(rng.choice(sources[i % 24 // 12]) for _ in range(40))) for i in range(240)]
-    for place, source in enumerate(sources):
-        mixed = " . ".join(source * 15).split()
-        rng.shuffle(mixed)
-        rows += [(1000 + 10 * place, " . ".join(source * 15)), (1001 + 10 * place, " ".join(mixed))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.pmod("doc_id", F.lit(24)))
-    got = {r.doc_id: r.mean_log_probability for r in lm.digest(docs.repartitionByRange(24, "part").drop("part")).collect()}
-    assert got[1000] > got[1001] + 0.5 and got[1010] > got[1011] + 0.5
+def test_rows_are_averaged_by_their_own_windows(spark):
+    """A word that one learner saw keeps what that learner learned, whatever the others' sizes."""
+    kind, size = "block int, weights binary, model binary", lm.CLASSES
+    blocks = lm._blocks(size)
+    i = next(i for i, (name, a, z) in enumerate(blocks) if name == "e" and a <= 7 < z)
+    name, a, z = blocks[i]
+    rows = []
+    for value, n in ((2.0, 0), (3.0, 5), (9.0, 1)):
+        weights = np.zeros(z - a, np.int64)
+        weights[7 - a] = n
+        rows.append((i, bytearray(weights.tobytes()), bytearray(np.full((z - a, lm.WIDTH), value, np.float32).tobytes())))
+    got = spark.createDataFrame(rows, kind).coalesce(1).mapInArrow(lm._average(size), kind).head()
+    assert np.frombuffer(bytes(got.weights), np.int64)[7 - a] == 6
+    assert np.allclose(np.frombuffer(bytes(got.model), np.float32).reshape(z - a, -1)[7 - a], 4.0)
