@@ -444,7 +444,7 @@ def train(coded: DataFrame, size: int, tokens: int, rounds: int = ROUNDS, learne
     for r in range(rounds):
         start = spark.sparkContext.broadcast(w)
         mine = rows.filter((F.col("learner") >= r * learners) & (F.col("learner") < (r + 1) * learners))
-        dealt = mine.repartition(learners, "learner").sortWithinPartitions("learner", "place")
+        dealt = mine.repartitionById(learners, (F.col("learner") - r * learners).cast("int")).sortWithinPartitions("learner", "place")
         models = dealt.select("learner", "ids").mapInArrow(_train(start, size, batch), kind)
         w = {k: v.copy() for k, v in w.items()}
         for got in models.repartition(parts, "block").mapInArrow(_average(size), kind).collect():
@@ -474,6 +474,9 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
         def given(rows, ids, held, rare, lengths) -> pa.RecordBatch:
             target, context = windows(held, vocab_here.outside)
             logs = log_probabilities(model, target, context).astype(np.float64)
+            low = np.log(vocab_here.total + UNSEEN * vocab_here.distinct, where=vocab_here.distinct > 0, out=np.zeros(vocab_here.shared))
+            shared = np.flatnonzero(target >= vocab_here.own)
+            logs[shared] -= low[target[shared] - vocab_here.own]
             ends = np.concatenate([[0], np.cumsum(logs)])
             edges = np.concatenate([[0], np.cumsum(lengths)])
             found = [np.unique(x, return_counts=True) for x in rare]
@@ -481,7 +484,6 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
             word_rows = np.repeat(np.array(rows, np.int64), [len(f[0]) for f in found])
             own = np.array(rows, np.int64)
             nulls, some = len(words), len(own)
-            shared = (words % np.uint64(vocab_here.shared)).astype(np.int64)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([own, word_rows])),
@@ -490,9 +492,8 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
                     pa.concat_arrays([pa.array(lengths, pa.int64()), pa.nulls(nulls, pa.int64())]),
                     pa.concat_arrays([pa.array(ends[edges[1:]] - ends[edges[:-1]]), pa.nulls(nulls, pa.float64())]),
                     pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(n, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(some, pa.float64()), pa.array(np.log(vocab_here.total[shared] + UNSEEN * vocab_here.distinct[shared]))]),
                 ],
-                ["row", "h", "doc_id", "n_tokens", "part", "n", "log_total"],
+                ["row", "h", "doc_id", "n_tokens", "part", "n"],
             )
 
         for batch in batches:
@@ -506,12 +507,14 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
                     yield given(rows, ids, held, rare, lengths)
                     rows, ids, held, rare, lengths, size = [], [], [], [], [], 0
 
-    kind = "row long, h long, doc_id long, n_tokens long, part double, n long, log_total double"
+    kind = "row long, h long, doc_id long, n_tokens long, part double, n long"
     rows = coded.mapInArrow(run, kind).join(counts.select("h", F.col("n").alias("everywhere")), "h", "left")
     elsewhere = F.col("everywhere") - F.col("n")
-    share = F.col("n") * F.round((F.log(elsewhere + UNSEEN) - F.col("log_total")) * SCALE).cast("long")
+    share = F.col("n") * F.round(F.log(elsewhere + UNSEEN) * SCALE).cast("long")
     novel = F.when(elsewhere == 0, F.col("n"))
-    whole = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.coalesce(F.sum(novel), F.lit(0)).alias("n_novel"), F.max("part").alias("part"), F.coalesce(F.sum(share), F.lit(0)).alias("share"))
+    told = rows.select("row", "doc_id", "n_tokens", "part", share.alias("share"), novel.alias("novel"))
+    # a document's words rarely meet before the shuffle, so sums wait for it
+    whole = told.repartition("row").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.coalesce(F.sum("novel"), F.lit(0)).alias("n_novel"), F.max("part").alias("part"), F.coalesce(F.sum("share"), F.lit(0)).alias("share"))
     return whole.select("doc_id", "n_tokens", "n_novel", (F.col("part") + F.col("share") / SCALE).alias("log_probability"))
 
 
