@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.shared import forget, scratch, written
 
-__all__ = ["MIX1", "SPACES", "blobs", "forget", "mixed", "one_thread", "scratch", "table", "uniform", "words", "written"]
+__all__ = ["MIX1", "SPACES", "blobs", "forget", "meet", "mixed", "one_thread", "scratch", "table", "uniform", "words", "written"]
 
 #: What separates words: space and the control characters 9 to 13. The same set that bytes.split() uses.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -25,6 +25,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+#: Keys of more rows than the first are met by broadcast; no more keys than the second ever are.
+HOT_ROWS, HOT_KEYS = 1024, 2**17
+
+
+def meet(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with the row of their key in per_key, without a task for all rows of a hot key.
+
+    per_key has a row for each key, stored, with the count of rows that have it; total is the number
+    of rows. Keys of more than HOT_ROWS rows, and than a HOT_KEYS-th of all rows, are hot: there are
+    HOT_KEYS of them at most, so they are broadcast and their rows stay where they are. The others
+    are joined by a shuffle.
+    """
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    if per_key.filter(hot).isEmpty():
+        return rows.join(per_key, key)
+    often = F.broadcast(per_key.filter(hot))
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(per_key.filter(~hot), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import forget, written
+from assayer.llm.common import forget, meet, written
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -13,18 +13,25 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round gives a node the least label around it, then the label of its label; the rounds
     needed grow with the logarithm of a path's length. Rounds are written to the shared folder,
-    so a lost executor costs one round.
+    so a lost executor costs one round. Edges of a node that many others are linked with, and nodes
+    that share a label, are met by broadcast, not in one task.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x != y")
     both = written(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "cc-edges")
+    total = both.count()
+    degrees = written(both.groupBy("y").agg(F.count("*").alias("c")), "cc-degrees")
     labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "cc")
     while True:
-        around = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        lowered = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = written(lowered.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), F.col("label").alias("old")), "cc")
-        forget(labels)
+        named = written(labels.select(F.col("node").alias("y"), "label").join(degrees, "y"), "cc-named")
+        around = meet(both, named, "y", "c", total).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        lowered = written(labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low")), "cc-lowered")
+        shared = lowered.groupBy("low").agg(F.count("*").alias("c"))
+        jump = written(labels.select(F.col("node").alias("low"), F.col("label").alias("far")).join(shared, "low"), "cc-jump")
+        new = written(meet(lowered, jump, "low", "c", total).select("node", F.least("low", "far").alias("new"), F.col("label").alias("old")), "cc")
+        for used in (labels, named, lowered, jump):
+            forget(used)
         labels = new.select("node", F.col("new").alias("label"))
         if new.filter("new != old").isEmpty():
             forget(both)
+            forget(degrees)
             return labels

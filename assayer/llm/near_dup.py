@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import MIX1, blobs, forget, mixed, written
+from assayer.llm.common import MIX1, blobs, forget, meet, mixed, written
 from assayer.llm.connected import components
 
 DIM, ROWS, BANDS = 2**18, 5, 40
@@ -261,9 +261,9 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members (key, cls, ...) with label, of the buckets that hold several components."""
-    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    keys = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
-    return named.join(keys, "key", "left_semi")
+    named = written(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "near-named")
+    keys = written(named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 != l1").select("key", "c"), "near-keys")
+    return meet(named, keys, "key", "c", named.count())
 
 
 def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -275,8 +275,8 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     shared = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sig").alias("sig"))
     classes = written(shared, "near-classes")
     placed = classes.select(F.explode("sig").alias("key"), F.struct("cls", "n").alias("m"))
-    lows = placed.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo.cls != hi.cls")
-    buckets = written(placed.join(lows, "key"), "near-buckets")
+    lows = written(placed.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("c")).filter("lo.cls != hi.cls"), "near-lows")
+    buckets = written(meet(placed, lows, "key", "c", classes.count() * BANDS), "near-buckets")
     links = _Links(docs, classes.select("cls", "rep", "n", "cells"), k)
 
     # first, each class against the class that ends most of its buckets
@@ -287,19 +287,19 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
 
     # then against both ends of the buckets that hold several components
     rows_open = written(_open(buckets.select("key", "m.cls", "m.n"), links.labels), "near-open")
-    end = rows_open.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("cls", "n", "label")).alias("lo"), F.max(F.struct("cls", "n", "label")).alias("hi"))
-    met = rows_open.join(end, F.col("key") == F.col("k")).select("cls", "n", "label", F.explode(F.array("lo", "hi")).alias("p"))
+    end = written(rows_open.groupBy("key").agg(F.min(F.struct("cls", "n", "label")).alias("lo"), F.max(F.struct("cls", "n", "label")).alias("hi"), F.count("*").alias("m")), "near-ends")
+    met = meet(rows_open, end, "key", "m", rows_open.count()).select("cls", "n", "label", F.explode(F.array("lo", "hi")).alias("p"))
     met = met.filter((F.col("p.label") != F.col("label")) & _sizes_allow(F.col("p.n"), F.col("n")))
     pairs = links.allowed(met.groupBy(F.col("p.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "near-pairs")
     links.link(pairs, links.sets(_both(pairs)))
 
     # in a bucket of three, all pairs have met; larger ones that are still apart go through the filter
-    more = rows_open.groupBy("key").count().filter("count > 3").select("key")
-    still = written(_open(rows_open.drop("label").join(more, "key", "left_semi"), links.labels).select("cls", "label").distinct(), "near-apart")
+    more = rows_open.filter("c > 3").drop("label", "c")
+    still = written(_open(more, links.labels).select("cls", "label").distinct(), "near-apart")
     open_sets = links.sets(still)
     left = links.allowed(prefix_pairs(open_sets.join(still, "cls")), "near-left")
     links.link(left, open_sets)
-    for used in (buckets, best, rows_open, pairs, still, open_sets, left, classes):
+    for used in (lows, buckets, best, rows_open, end, pairs, still, open_sets, left, classes):
         forget(used)
     return rows.select("doc_id", "n", "cls"), links.labels
 

@@ -126,15 +126,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens"))
 
 
-def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block: int = BLOCK) -> DataFrame:
+def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block: int = BLOCK, ordered: bool = False) -> DataFrame:
     """rows of pieces() with sequence_id, position in the sequence, and the sequence's length.
 
     sequence_id is <partition>-<block>-<bin>. Pieces are dealt by a hash of id and piece and sorted
-    within a partition, so that reruns with as many partitions agree.
+    within a partition, so that reruns with as many partitions agree. Where the order of rows is that
+    of training (ordered), blocks are runs of rows as they stand, without a shuffle: a sequence
+    holds pieces of one stretch of training, and copies of a document that stand apart stay apart.
     """
     caps, parts = tuple(capacities), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
-    dealt = rows.withColumn("_llm_part", part).repartition(parts, "_llm_part").sortWithinPartitions("_llm_part", F.xxhash64("doc_id", "piece"), "doc_id", "piece", "n_tokens")
+    part = F.spark_partition_id() if ordered else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
+    dealt = rows.withColumn("_llm_part", part)
+    if not ordered:
+        dealt = dealt.repartition(parts, "_llm_part").sortWithinPartitions("_llm_part", F.xxhash64("doc_id", "piece"), "doc_id", "piece", "n_tokens")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -177,12 +181,12 @@ def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block:
     return dealt.select("doc_id", "piece", "start", "n_tokens", "_llm_part").mapInArrow(packed, f"doc_id {kind}, piece int, start long, n_tokens long, sequence_id string, position long, capacity long")
 
 
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None) -> DataFrame:
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None, ordered: bool = False) -> DataFrame:
     """Packs whole texts, counted in ids of a tokenizer file (or words) and one end token each.
 
     Rows that repeat, and rows without an id, are packed each; a null text has its end token alone.
     """
-    return pack_pieces(pieces(docs, id_col, text_col, max(capacities), tokenizer), capacities)
+    return pack_pieces(pieces(docs, id_col, text_col, max(capacities), tokenizer), capacities, ordered=ordered)
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

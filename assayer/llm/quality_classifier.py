@@ -25,6 +25,8 @@ from assayer.llm.common import blobs, uniform
 
 PASSAGE = 64
 SAMPLE = 4000
+#: Passages of a text that training learns from at most.
+PASSAGES = 1024
 THRESHOLD = 0.3
 
 
@@ -159,7 +161,12 @@ def held_out(doc_id: Column) -> Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [passages(b).tobytes() for b in blobs(batch.column(1))]
+        made = []
+        for b in blobs(batch.column(1)):
+            bag = passages(b)
+            if len(bag) > PASSAGES:
+                bag = bag[np.linspace(0, len(bag) - 1, PASSAGES).astype(np.int64)]
+            made.append(bag.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "bag"])
 
 
@@ -167,13 +174,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fits a model on labelled documents that aren't held out, ``sample`` of them at most.
 
     The sample is the labels with the least hash of doc_id; only its documents' measures come to
-    the driver. Null labels are none; of several labels of an id the greatest counts.
+    the driver. Of rows that repeat an id the one with the least hash of its text is learned, and of
+    a text of more than PASSAGES passages as many, evenly spread: so rows and bytes are bounded.
+    Scores read every passage. Null labels are none; of several labels of an id the greatest counts.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_llm_id")).agg(F.max(label).cast("long").alias("label"))
     chosen = known.orderBy(uniform(F.col("_llm_id"), F.lit(8)), "_llm_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_llm_id")).select("doc_id", "text", "label")
-    got = rows.mapInArrow(_bags, "doc_id long, label long, bag binary").toArrow().sort_by([("doc_id", "ascending")])
+    bagged = rows.mapInArrow(_bags, "doc_id long, label long, bag binary")
+    one = bagged.groupBy("doc_id").agg(F.min_by(F.struct("label", "bag"), F.xxhash64("bag")).alias("r")).select("doc_id", "r.*")
+    got = one.toArrow().sort_by([("doc_id", "ascending")])
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()]
     return fit(bags, (got["label"].to_numpy() > 0).astype(np.float32))
 

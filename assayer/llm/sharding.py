@@ -83,14 +83,15 @@ def shard_of(key: Column, root: Node) -> Column:
     return won["shard"].cast("int")
 
 
-def assign_shards(rows: DataFrame, key: str = "doc_id", n_shards: int = 40, base: int = 40, grown: bool = True) -> DataFrame:
+def assign_shards(rows: DataFrame, key: str = "doc_id", n_shards: int = 40, base: int = 40, grown: bool = True, root: Node | None = None) -> DataFrame:
     """rows with shard, and grown_shard: the shard if there were one more.
 
-    Every row gets a shard; rows of equal key share it, a null key is one more key. Columns of
-    these names that rows have already are replaced. No shuffle.
+    root is a tree with weights of its own instead of that of n_shards; it has no grown_shard. Every
+    row gets a shard; rows of equal key share it, a null key is one more key. Columns of these names
+    that rows have already are replaced. No shuffle.
     """
-    out = rows.withColumn("shard", shard_of(F.col(key), tree(n_shards, base)))
-    return out.withColumn("grown_shard", shard_of(F.col(key), tree(n_shards + 1, base)) if grown else F.lit(None).cast("int"))
+    out = rows.withColumn("shard", shard_of(F.col(key), root or tree(n_shards, base)))
+    return out.withColumn("grown_shard", shard_of(F.col(key), tree(n_shards + 1, base)) if grown and not root else F.lit(None).cast("int"))
 
 
 def with_slots(rows: DataFrame, order: list[str], shard: str = "shard", parts: int = 256) -> DataFrame:
@@ -111,9 +112,9 @@ def with_slots(rows: DataFrame, order: list[str], shard: str = "shard", parts: i
     return placed.withColumn("slot", (F.col("_llm_start") + place).cast("long")).drop("_llm_part", "_llm_s", "_llm_p", "_llm_start")
 
 
-def write_shards(rows: DataFrame, path: str, n_shards: int = 40, key: str = "doc_id") -> None:
+def write_shards(rows: DataFrame, path: str, n_shards: int = 40, key: str = "doc_id", root: Node | None = None) -> None:
     """Writes rows as one folder of Parquet files for each shard."""
-    assign_shards(rows, key, n_shards, grown=False).drop("grown_shard").write.partitionBy("shard").parquet(path)
+    assign_shards(rows, key, n_shards, grown=False, root=root).drop("grown_shard").write.partitionBy("shard").parquet(path)
 
 
 def digest(docs: DataFrame, n_shards: int = 40) -> DataFrame:

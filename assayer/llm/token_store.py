@@ -12,9 +12,11 @@ and block, beside a table of ids by rank. Every reader that Spark has can read i
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +120,34 @@ class Known:
         return keys[order], np.concatenate([x[1], y[1] + len(x[3])])[order], np.concatenate([x[2], y[2]])[order], np.concatenate([x[3], y[3]])
 
 
+#: How word_bpe_49k.json cleans a text and cuts it into pieces; WordEncoder is right for these alone.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CLEANING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTTING = [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def is_word_bpe(definition: dict) -> bool:
+    """Whether a tokenizer file lower-cases, cuts and marks word ends as WordEncoder takes for granted."""
+    cleaning, cutting = definition.get("normalizer") or {}, definition.get("pre_tokenizer") or {}
+    ends = (definition.get("model") or {}).get("end_of_word_suffix") == "</w>" and not definition.get("post_processor")
+    return ends and cleaning.get("normalizers") == CLEANING and cutting.get("pretokenizers") == CUTTING
+
+
+class PlainEncoder:
+    """Ids of texts by any tokenizer file of the tokenizers library, text by text."""
+
+    def __init__(self, path: str, dtype: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each UTF-8 text."""
+        found = self.tokenizer.encode_batch_fast([str(t, "utf-8") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose pieces never cross ASCII white space.
 
@@ -138,8 +168,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        # Fixed value: the pieces that word_bpe_49k.json cuts a text into.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.pieces = regex.compile(PIECES)
         self.known = Known(self.dtype)
 
     def _plain(self, text: str) -> np.ndarray:
@@ -274,13 +303,17 @@ def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, str], WordEncoder | PlainEncoder] = {}
 
 
-def _encoder(path: str, dtype: str) -> WordEncoder:
-    """One encoder for each worker process, kept from task to task."""
+def _encoder(path: str, dtype: str) -> WordEncoder | PlainEncoder:
+    """One encoder for each worker process, kept from task to task; the fast one only for files that it is right for."""
     if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = WordEncoder(path, dtype)
+        definition = json.loads(Path(path).read_text("utf-8"))
+        largest = max([*definition["model"].get("vocab", {}).values(), *(t["id"] for t in definition.get("added_tokens") or [])], default=0)
+        if largest > np.iinfo(np.dtype(dtype)).max:
+            raise ValueError(f"ids up to {largest} don't fit {dtype}; use <u4")
+        _ENCODERS[path, dtype] = (WordEncoder if is_word_bpe(definition) else PlainEncoder)(path, dtype)
     return _ENCODERS[path, dtype]
 
 

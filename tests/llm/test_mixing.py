@@ -64,6 +64,27 @@ def test_mix_is_sorted_and_follows_the_schedules(spark):
     assert [sum(v) / len(v) for _, v in sorted(early.items())] == pytest.approx([5 / 8, 4 / 8, 3 / 8], abs=0.01)
 
 
+def test_given_schedules_are_integrated(spark):
+    """Times of a schedule with several pieces, against sums over a fine grid."""
+    knots = [("s0", 0.0, 0.0), ("s0", 0.5, 4.0), ("s0", 0.5, 1.0), ("s0", 1.0, 0.0), ("s1", 0.25, 1.0), ("s1", 0.75, 3.0), ("s2", 0.1, -5.0), ("s2", float("nan"), 9.0), (None, 0.0, 2.0)]
+    docs = spark.createDataFrame([(i, None if i % 5 == 4 else f"s{i % 5}", "a b c d") for i in range(4000)], "doc_id long, source string, text string")
+    rows = mixing.plan_mix(docs, knots=spark.createDataFrame(knots, "source string, t double, weight double")).collect()
+    shapes = {"s0": lambda t: 8 * t if t < 0.5 else 8 - 8 * t, "s1": lambda t: min(max(1 + 4 * (t - 0.25), 1), 3), "s3": lambda t: 1.0, None: lambda t: 2.0}
+    # s3 has no knots: it is the fourth source by name, of weight 1 and slope -0.5
+    shapes["s3"] = lambda t: 1.5 - t
+    areas = {k: sum(f((i + 0.5) / 20000) for i in range(20000)) / 20000 for k, f in shapes.items()}
+    target = {r.source: r.target for r in rows}
+    assert target["s2"] == 0 and {r.copies for r in rows if r.source == "s2"} == {0}
+    free = {k: target[k] / areas[k] for k in shapes if target[k] < 3 * 3200 - 1}
+    assert len(free) >= 2 and max(free.values()) == pytest.approx(min(free.values()), rel=1e-6)
+    for source, shape in shapes.items():
+        times = sorted(t for r in rows if r.source == source for t in r.positions)
+        for share in (0.1, 0.37, 0.5, 0.8, 0.99):
+            t = times[int(share * len(times))]
+            done = sum(shape((i + 0.5) / 20000) for i in range(int(t * 20000))) / 20000
+            assert done / areas[source] == pytest.approx(share, abs=0.01)
+
+
 def test_odd_rows(odd, empty):
     rows = mixing.plan_mix(odd).collect()
     assert len(rows) == odd.count()

@@ -44,6 +44,18 @@ def test_held_out_labels_and_other_columns_change_nothing(labeled):
     assert a == pytest.approx(b)
 
 
+def test_training_is_bounded(labeled, monkeypatch):
+    """A labelled id that repeats, and one with a very long text, add one row of PASSAGES passages each."""
+    docs, labels = labeled
+    seen = []
+    monkeypatch.setattr(qc, "fit", lambda bags, y: seen.append(([len(b) for b in bags], len(y))))
+    monkeypatch.setattr(qc, "PASSAGES", 7)
+    long = docs.filter("doc_id = 1 or doc_id = 2").withColumn("text", F.repeat("text", 50))
+    qc.train(docs.unionByName(docs.filter("doc_id = 3")).unionByName(long), labels)
+    known = labels.filter(~qc.held_out(F.col("doc_id"))).count()
+    assert seen[0][1] == known and len(seen[0][0]) == known and max(seen[0][0]) == 7
+
+
 def test_attention_weighs_passages():
     rng = np.random.default_rng(0)
     bags, y = [], []

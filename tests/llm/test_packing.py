@@ -134,3 +134,12 @@ def test_blocks_are_bounded(spark):
     for r in got:
         sizes[r.sequence_id.rsplit("-", 1)[0]] += 1
     assert max(sizes.values()) == 64 and len(sizes) == 16
+
+
+def test_ordered_blocks_are_runs_of_rows(spark):
+    docs = spark.range(600).repartition(1).sortWithinPartitions("id").selectExpr("id as doc_id", "'a b c' as text")
+    rows = packing.pack_pieces(packing.pieces(docs), (16, 32), block=100, ordered=True).collect()
+    blocks = defaultdict(list)
+    for r in rows:
+        blocks[r.sequence_id.rsplit("-", 1)[0]].append(r.doc_id)
+    assert len(rows) == 600 and sorted(sorted(b) for b in blocks.values()) == [list(range(a, a + 100)) for a in range(0, 600, 100)]

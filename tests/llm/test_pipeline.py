@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from assayer.llm import mixing, packing, quality_classifier
+from assayer.llm import mixing, packing, quality_classifier, queries, token_store
 
 from .test_near_dup import brute
 
@@ -60,7 +60,8 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     assert mixed.columns == COLUMNS and Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i, n in plan.items() if n})
 
     packed = corpus_pipeline.pack_sequences(spark, mixed, sf_dir).collect()
-    tokens = sum(len(r.text.split()) + 1 for r in mixed.collect())
+    encoder = token_store.WordEncoder(queries.vocabulary(), "<u2")
+    tokens = sum(len(encoder.encode([r.text.encode()])[0]) // 2 + 1 for r in mixed.collect())
     assert sum(r.n_tokens for r in packed) == tokens
     held = defaultdict(int)
     for r in packed:
@@ -78,11 +79,36 @@ def test_shuffled_anti_join_gives_the_same(spark, sf_dir, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == want
 
 
-def test_stages_take_empty_and_odd_tables(spark, sf_dir, odd, empty):
-    for rows in (odd.select(*COLUMNS), empty.select(*COLUMNS)):
-        docs = rows
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            docs = stage(spark, docs, sf_dir)
-        assert docs.count() >= 0
-    assert corpus_pipeline.keep_quality(spark, odd.select(*COLUMNS), sf_dir).columns == COLUMNS
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, size string, target string, position long, group_size long"
+
+
+def test_stages_take_odd_tables(spark, sf_dir):
+    """Null and repeated ids, repeated rows, near copies among them, empty texts, clashing columns: exact rows of every stage."""
+    base = [f"word{i}" for i in range(60)]
+    near = " ".join([*base[:30], "other", *base[31:]])
+    texts = [(1, " ".join(base)), (None, near), (None, near.upper()), (2, "alone " * 9), (2, " ".join(f"else{i}" for i in range(40))), (3, None), (3, ""), (None, " "), (4, "alone " * 9), (4, "alone " * 9)]
+    docs = spark.createDataFrame([(i, t, "en", None, 7, 0.5, None, "mine", "t", 9, 3) for i, t in texts], CLASH)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    single = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert single.columns == docs.columns
+    assert rows(single) == sorted([(1, texts[0][1]), texts[4], (4, "alone " * 9), (None, " ")] + [(3, t) for t in (None,)] + [(None, min(near, near.upper()))], key=repr)
+    apart = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert apart.columns == docs.columns
+    got = rows(apart)
+    assert len(got) == 6 and sum(t is not None and "word3 " in t.lower() for _, t in got) == 1 and sum(not (t or "").strip() for _, t in got) == 3
+    assert texts[4] in got and sum((t or "").startswith("alone") for _, t in got) == 1
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and {(r.score, r["size"], r.target, r.position, r.group_size) for r in mixed.collect()} == {(0.5, "mine", "t", 9, 3)}
+    assert Counter(rows(mixed)) == Counter(rows(docs))  # one source: every document once
+    kept = corpus_pipeline.keep_quality(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and kept.filter("score != 0.5").count() == 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()
+    assert len(packed) == len(texts) and min(r.n_tokens for r in packed) == 1
+
+
+def test_stages_take_empty_tables(spark, sf_dir, empty):
+    docs = empty.select(*COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and len(corpus_pipeline.STAGES) == 5

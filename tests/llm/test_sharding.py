@@ -1,9 +1,11 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from assayer.llm import sharding as sh
+from assayer.llm.common import uniform
 
 
 def test_digest_against_brute_force(documents):
@@ -36,6 +38,34 @@ def test_movement_stays_in_the_changed_subtree(spark):
     assert both and all(r.a in (6, 7) and r.b in (4, 5) for r in both)  # only into the heavier rack of the same region
 
 
+def descend(node, draw):
+    """The shard of a key, by every child's draw at every level."""
+    level = 0
+    while node.shard is None:
+        node = min((c for c in node.children if c.weight > 0), key=lambda c: -math.log(draw(level, c.name)) / c.weight)
+        level += 1
+    return node.shard
+
+
+def test_shards_against_brute_force(spark):
+    """Each draw is taken from Spark's hash alone; the descent is made anew."""
+    root = sh.tree(40)
+    heavy = sh.Node(-1, 40.0, (*root.children[:-1], sh.Node(root.children[-1].name, 24.0, root.children[-1].children)))
+    ids = [*range(300), None]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    names = [sorted({c.name for family in level for c in family}) for level in sh._levels(sh.tree(41))]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
+    draws = {}
+    for level, some in enumerate(names):
+        for r in rows.select("doc_id", *[uniform(key, F.lit(level), F.lit(n)).alias(str(n)) for n in some]).collect():
+            draws.update({(r.doc_id, level, n): r[str(n)] for n in some})
+    for n_root, got in ((None, sh.assign_shards(rows)), (heavy, sh.assign_shards(rows, root=heavy))):
+        for r in got.collect():
+            draw = lambda level, name, i=r.doc_id: draws[i, level, name]
+            assert r.shard == descend(n_root or root, draw)
+            assert r.grown_shard == (None if n_root else descend(sh.tree(41), draw))
+
+
 def test_levels_draw_independently(spark):
     rows = spark.range(40_000).select(sh.shard_of(F.col("id"), sh.tree(40)).alias("s")).collect()
     racks = Counter((r.s // 8, r.s % 8 // 2) for r in rows)

@@ -76,3 +76,22 @@ def test_odd_rows(spark, odd, empty):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(order, order[1:], strict=False))
     assert [r.doc_id for r in order][:2] == [None, None]
     assert ts.digest(empty, PATH).count() == 0
+
+
+def test_other_tokenizers_are_encoded_plainly(spark, documents, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    cased = public_tokenizers.path("byte_bpe_50k.json")
+    definition = json.loads(open(PATH, encoding="utf-8").read())
+    assert ts.is_word_bpe(definition) and not ts.is_word_bpe(json.loads(open(cased, encoding="utf-8").read()))
+    definition["normalizer"]["normalizers"].pop()
+    assert not ts.is_word_bpe(definition)
+    docs = documents.select("doc_id", "text").limit(40)
+    library = Tokenizer.from_file(cased)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in ts.encoded(docs, cased).collect()}
+    assert got == {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, ts.END_ID] for r in docs.collect()}
+    with pytest.raises(ValueError, match="don't fit"):
+        ts._encoder(cased, "u1")
