@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. A null text counts
+as empty, an empty table gives an empty one, and columns that are named like an operator's output
+come back as they were.
 """
 
 from __future__ import annotations
@@ -11,38 +13,79 @@ from pyspark.sql import functions as F
 
 from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_classifier
 from assayer.llm.common import table, written
+from assayer.llm.queries import vocabulary
 
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Names of the operators' outputs, which columns of documents may have too.
+TAKEN = {"score", "predicted", "kept", "keep_id", "group_size", "size", "source_size", "target", "copies", "taken", "position", "positions"}
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with columns of TAKEN names under names of their own."""
+    return docs.withColumnsRenamed({c: f"_llm_in_{c}" for c in docs.columns if c in TAKEN})
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows of aside(docs) with the columns of docs."""
+    return rows.select(*[F.col(f"_llm_in_{c}").alias(c) if c in TAKEN else F.col(c) for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on this table's labels, rejects go."""
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    """Documents that the classifier, trained on this table's labels, rejects go.
+
+    Every row is judged by its text alone: rows that repeat share their fate, ids may be null. Without
+    labels of both kinds all scores are alike.
+    """
+    scored = quality_classifier.classify(aside(docs), table(spark, sf_dir, "labels"))
+    return back(scored.filter("predicted = 1"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    """Of equal texts the document with the largest id stays; of rows that repeat it, one. Null ids are least."""
+    return back(exact_dedup.exact_dedup(aside(docs)).filter("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 % of their five-word shingles the one with the least id stays."""
-    verdicts = near_dup.near_dup(docs, k=5).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = written(verdicts.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "near-gone")
+    """Of documents linked by 80 % of their five-word shingles the one with the least id stays.
+
+    Where ids are null or repeat, rows are told apart by a hash of id and text instead: then the row
+    with the least hash stays, and of rows that repeat as a whole, one. Texts without words all
+    stay.
+    """
+    counts = docs.agg(F.count("*"), F.countDistinct("doc_id")).head()
+    if counts[0] == counts[1]:
+        return _without(docs, "doc_id", near_dup.near_dup(docs.select("doc_id", "text"), k=5)).select(*docs.columns)
+    named = docs.withColumn("_llm_uid", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    some = named.filter(words).dropDuplicates(["_llm_uid"])
+    kept = _without(some, "_llm_uid", near_dup.near_dup(named.filter(words), k=5, id_col="_llm_uid"))
+    return kept.select(*docs.columns).unionByName(docs.filter(~words))
+
+
+def _without(docs: DataFrame, key: str, verdicts: DataFrame) -> DataFrame:
+    """docs but for those that verdicts (doc_id, kept), by the same key, drop."""
+    gone = written(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "near-gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, in the order of training."""
-    return mixing.mix(docs).select(*docs.columns)
+    """A row for each copy that the mix takes, in the order of training, over ranges of it.
+
+    Rows that repeat are taken each; null sources are one more source, a null id one more id. Documents
+    without words aren't copied: they have no tokens to train on but stay where the mix takes 0 words.
+    """
+    return back(mixing.mix(aside(docs)), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy's pieces with the sequences that hold them."""
-    return packing.best_fit(docs)
+    """Every copy's pieces, in token ids, with the sequences that hold them.
+
+    Blocks are runs of rows as the mix left them, so a sequence holds one stretch of training. Rows
+    that repeat, and rows without an id, are packed each.
+    """
+    return packing.best_fit(docs, tokenizer=vocabulary(), ordered=True)
 
 
 STAGES = [
