@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.shared import forget, scratch, written
 
-__all__ = ["MIX1", "SPACES", "blobs", "forget", "meet", "mixed", "one_thread", "scratch", "table", "uniform", "words", "written"]
+__all__ = ["MIX1", "SPACES", "blobs", "forget", "lean", "meet", "mixed", "one_thread", "scratch", "table", "uniform", "words", "written"]
 
 #: What separates words: space and the control characters 9 to 13. The same set that bytes.split() uses.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -81,6 +83,29 @@ def uniform(*parts: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**53))
 
 
+def lean(run):
+    """run, a function over Arrow batches, on one thread, that gives memory back to the system at its end.
+
+    Python workers outlive their tasks; what one stage freed shouldn't be held against the next.
+    """
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return inner
+
+
+_SET: list[bool] = []
+
+
 def one_thread() -> None:
     """Keeps numpy's matrix products in a Python worker to one thread.
 
@@ -88,8 +113,9 @@ def one_thread() -> None:
     the library isn't found, nothing changes but the time that takes.
     """
     maps = Path("/proc/self/maps")
-    if not maps.exists():
+    if _SET or not maps.exists():
         return
+    _SET.append(True)
     for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line}:
         library = ctypes.CDLL(path)
         for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import blobs, forget, written
+from assayer.llm.common import blobs, forget, lean, written
 
 #: Code points of a prefix.
 PREFIX = 256
@@ -94,7 +94,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
             made = pa.array([hashlib.sha256(normal(b)).digest() for b in blobs(batch.column(at))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +137,7 @@ def digest(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and text are returned each, and one of them is kept.
     """
     out = exact_dedup(docs.select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text")
-    return out.mapInArrow(_hashes, "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
+    return out.mapInArrow(lean(_hashes), "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
 
 
 SQL = """

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import blobs, mixed, one_thread, written
+from assayer.llm.common import blobs, lean, mixed, written
 from assayer.llm.token_store import SPACE, word_keys
 
 REACH = 2
@@ -109,7 +109,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n): how often each word of docs (text) occurs, stored."""
-    return written(docs.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
+    return written(docs.select("text").mapInArrow(lean(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 class Vocabulary:
@@ -202,7 +202,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids", "rare"])
                 row += n
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, ids binary, rare binary"), "lm-tokens", "zstd")
+    return written(docs.select("doc_id", "text").mapInArrow(lean(run), "row long, doc_id long, ids binary, rare binary"), "lm-tokens", "zstd")
 
 
 # --- the network -----------------------------------------------------------------------------------
@@ -382,7 +382,6 @@ def _train(start, size: int, batch: int):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([trainer.w[name][a:z].tobytes()], pa.binary())], ["block", "weights", "model"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         trainer, learner, held, count = None, None, [], 0
 
         def learn() -> None:
@@ -445,9 +444,9 @@ def train(coded: DataFrame, size: int, tokens: int, rounds: int = ROUNDS, learne
         start = spark.sparkContext.broadcast(w)
         mine = rows.filter((F.col("learner") >= r * learners) & (F.col("learner") < (r + 1) * learners))
         dealt = mine.repartitionById(learners, (F.col("learner") - r * learners).cast("int")).sortWithinPartitions("learner", "place")
-        models = dealt.select("learner", "ids").mapInArrow(_train(start, size, batch), kind)
+        models = dealt.select("learner", "ids").mapInArrow(lean(_train(start, size, batch)), kind)
         w = {k: v.copy() for k, v in w.items()}
-        for got in models.repartition(parts, "block").mapInArrow(_average(size), kind).collect():
+        for got in models.repartition(parts, "block").mapInArrow(lean(_average(size)), kind).collect():
             name, a, z = blocks[got["block"]]
             touched = np.frombuffer(bytes(got["weights"]), np.int64) > 0
             w[name][a:z][touched] = np.frombuffer(bytes(got["model"]), np.float32).reshape(z - a, -1)[touched]
@@ -468,7 +467,6 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
     sent = coded.sparkSession.sparkContext.broadcast((vocab, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         vocab_here, model = sent.value
 
         def given(rows, ids, held, rare, lengths) -> pa.RecordBatch:
@@ -508,7 +506,7 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
                     rows, ids, held, rare, lengths, size = [], [], [], [], [], 0
 
     kind = "row long, h long, doc_id long, n_tokens long, part double, n long"
-    rows = coded.mapInArrow(run, kind).join(counts.select("h", F.col("n").alias("everywhere")), "h", "left")
+    rows = coded.mapInArrow(lean(run), kind).join(counts.select("h", F.col("n").alias("everywhere")), "h", "left")
     elsewhere = F.col("everywhere") - F.col("n")
     share = F.col("n") * F.round(F.log(elsewhere + UNSEEN) * SCALE).cast("long")
     novel = F.when(elsewhere == 0, F.col("n"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import MIX1, blobs, forget, meet, mixed, written
+from assayer.llm.common import blobs, forget, lean, meet, MIX1, mixed, written
 from assayer.llm.connected import components
 
 DIM, ROWS, BANDS = 2**18, 5, 40
@@ -152,7 +152,7 @@ class _Links:
         c = self.classes
         x = c.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
         y = c.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        return written(pairs.join(x, "a").join(y, "b").mapInArrow(_sketches_allow, "a binary, b binary, shared long"), label)
+        return written(pairs.join(x, "a").join(y, "b").mapInArrow(lean(_sketches_allow), "a binary, b binary, shared long"), label)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, hashes) of the classes in wanted, made anew from the texts of their documents."""
@@ -172,7 +172,7 @@ class _Links:
                 made = [s for b in blobs(batch.column(1).filter(pa.array(hit))) if len(s := shingles(b, k))]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "hashes"])
 
-        made = self.docs.mapInArrow(run, "cls binary, hashes binary")
+        made = self.docs.mapInArrow(lean(run), "cls binary, hashes binary")
         return written(made.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "near-sets")
 
     def link(self, pairs: DataFrame, sets: DataFrame) -> None:
@@ -180,7 +180,7 @@ class _Links:
         x = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x"))
         y = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y"))
         full = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        edges = full.mapInArrow(_verify, "a binary, b binary")
+        edges = full.mapInArrow(lean(_verify), "a binary, b binary")
         if self.labels is not None:
             edges = self.labeled(edges).select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b")
         edges = written(edges.distinct(), "near-edges")
@@ -222,7 +222,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     frequent a shingle is, is counted in CELLS cells; any order is right, that one is fast. The
     driver gets a row for each cell that many sets share.
     """
-    frequent = sets.select("hashes").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 8").toArrow()
+    frequent = sets.select("hashes").mapInArrow(lean(_cell_counts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 8").toArrow()
     counts = np.zeros(CELLS, np.int32)
     counts[frequent["cell"].to_numpy()] = np.minimum(frequent["n"].to_numpy(), 2**31 - 1)
     sent = sets.sparkSession.sparkContext.broadcast(counts)
@@ -243,7 +243,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
                 arrays = [pa.array(np.concatenate(first).view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(places))]
                 yield pa.RecordBatch.from_arrays(arrays, ["h", "cls", "label", "n", "at"])
 
-    rows = written(sets.select("cls", "hashes", "label").mapInArrow(run, "h long, cls binary, label binary, n long, at long"), "near-prefixes")
+    rows = written(sets.select("cls", "hashes", "label").mapInArrow(lean(run), "h long, cls binary, label binary, n long, at long"), "near-prefixes")
     shared = rows.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("h")
     rows = rows.join(shared, "h", "left_semi")
     x = rows.filter("at <= n - ceil(8 * n / 9)").select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"))
@@ -271,7 +271,7 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
 
     cls is null for a text without words. The rows are written once and read again.
     """
-    rows = written(docs.mapInArrow(_features(k), "doc_id long, n long, cls binary, sig array<long>, cells binary"), "near-features")
+    rows = written(docs.mapInArrow(lean(_features(k)), "doc_id long, n long, cls binary, sig array<long>, cells binary"), "near-features")
     shared = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sig").alias("sig"))
     classes = written(shared, "near-classes")
     placed = classes.select(F.explode("sig").alias("key"), F.struct("cls", "n").alias("m"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import words
+from assayer.llm.common import lean, words
 from assayer.llm.token_store import encoded
 
 #: Permitted lengths of a sequence, in tokens.
@@ -178,7 +178,7 @@ def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block:
             yield flush(pa.Table.from_batches(held))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.select("doc_id", "piece", "start", "n_tokens", "_llm_part").mapInArrow(packed, f"doc_id {kind}, piece int, start long, n_tokens long, sequence_id string, position long, capacity long")
+    return dealt.select("doc_id", "piece", "start", "n_tokens", "_llm_part").mapInArrow(lean(packed), f"doc_id {kind}, piece int, start long, n_tokens long, sequence_id string, position long, capacity long")
 
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None, ordered: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import blobs, uniform
+from assayer.llm.common import blobs, lean, uniform
 
 PASSAGE = 64
 SAMPLE = 4000
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = known.groupBy(F.col("doc_id").alias("_llm_id")).agg(F.max(label).cast("long").alias("label"))
     chosen = known.orderBy(uniform(F.col("_llm_id"), F.lit(8)), "_llm_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_llm_id")).select("doc_id", "text", "label")
-    bagged = rows.mapInArrow(_bags, "doc_id long, label long, bag binary")
+    bagged = rows.mapInArrow(lean(_bags), "doc_id long, label long, bag binary")
     one = bagged.groupBy("doc_id").agg(F.min_by(F.struct("label", "bag"), F.xxhash64("bag")).alias("r")).select("doc_id", "r.*")
     got = one.toArrow().sort_by([("doc_id", "ascending")])
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()]
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             made = np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

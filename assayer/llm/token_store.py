@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import MIX1, blobs, forget, mixed, scratch, written
+from assayer.llm.common import blobs, forget, lean, MIX1, mixed, scratch, written
 
 END_ID = 1
 #: Ids in a block at most, besides those of its last document.
@@ -287,8 +287,10 @@ def word_keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): ids and the end id. A null text has the end id alone."""
 
+    fast = fits(tokenizer, dtype)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, dtype)
+        encoder = _encoder(tokenizer, dtype, fast)
         end = np.array([END_ID], dtype).tobytes()
         for batch in batches:
             group, size, first = [], 0, 0
@@ -300,21 +302,26 @@ def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), made], ["doc_id", "ids"])
                     group, size, first = [], 0, k + 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
+
+
+def fits(tokenizer: str, dtype: str) -> bool:
+    """Whether WordEncoder is right for a tokenizer file; ids that dtype can't hold are an error."""
+    definition = json.loads(Path(tokenizer).read_text("utf-8"))
+    largest = max([*definition["model"].get("vocab", {}).values(), *(t["id"] for t in definition.get("added_tokens") or [])], default=0)
+    if largest > np.iinfo(np.dtype(dtype)).max:
+        raise ValueError(f"ids up to {largest} don't fit {dtype}; use <u4")
+    return is_word_bpe(definition)
 
 
-_ENCODERS: dict[tuple[str, str], WordEncoder | PlainEncoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], WordEncoder | PlainEncoder] = {}
 
 
-def _encoder(path: str, dtype: str) -> WordEncoder | PlainEncoder:
-    """One encoder for each worker process, kept from task to task; the fast one only for files that it is right for."""
-    if (path, dtype) not in _ENCODERS:
-        definition = json.loads(Path(path).read_text("utf-8"))
-        largest = max([*definition["model"].get("vocab", {}).values(), *(t["id"] for t in definition.get("added_tokens") or [])], default=0)
-        if largest > np.iinfo(np.dtype(dtype)).max:
-            raise ValueError(f"ids up to {largest} don't fit {dtype}; use <u4")
-        _ENCODERS[path, dtype] = (WordEncoder if is_word_bpe(definition) else PlainEncoder)(path, dtype)
-    return _ENCODERS[path, dtype]
+def _encoder(path: str, dtype: str, fast: bool) -> WordEncoder | PlainEncoder:
+    """One encoder for each worker process, kept from task to task."""
+    if (path, dtype, fast) not in _ENCODERS:
+        _ENCODERS[path, dtype, fast] = (WordEncoder if fast else PlainEncoder)(path, dtype)
+    return _ENCODERS[path, dtype, fast]
 
 
 def ranked(rows: DataFrame, dtype: str = "<u2") -> np.ndarray:
@@ -329,7 +336,7 @@ def ranked(rows: DataFrame, dtype: str = "<u2") -> np.ndarray:
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
-    counts = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.select("ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = counts["id"].to_numpy(), counts["n"].to_numpy()
     return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
@@ -379,7 +386,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, dtype: str = "<u2")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     length = F.octet_length("ids")
     ordered = rows.repartitionByRange(parts, "doc_id", length).sortWithinPartitions("doc_id", length, "ids")
-    ordered.mapInArrow(run, "part int, block long, before long, n long, doc_ids array<long>, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(lean(run), "part int, block long, before long, n long, doc_ids array<long>, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
     forget(rows)
 
 
@@ -408,7 +415,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 made = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.select("part", "before", "n", "doc_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.select("part", "before", "n", "doc_ids", "lengths", "control", "data").mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,4 +428,4 @@ def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from a store written and read back."""
     path = scratch(docs.sparkSession, "token-store")
     write_store(docs, path, tokenizer)
-    return read_store(docs.sparkSession, path).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_store(docs.sparkSession, path).mapInArrow(lean(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -94,4 +94,4 @@ def test_other_tokenizers_are_encoded_plainly(spark, documents, tmp_path):
     got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in ts.encoded(docs, cased).collect()}
     assert got == {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, ts.END_ID] for r in docs.collect()}
     with pytest.raises(ValueError, match="don't fit"):
-        ts._encoder(cased, "u1")
+        ts.fits(cased, "u1")
