@@ -23,7 +23,7 @@ from assayer.plans.constraints import ConstraintError
 from assayer.plans.experiment import Experiment, OperationalError, load_detail, load_report
 from assayer.plans.store import Catalog, StoreError
 from assayer.sources.fixtures import FixtureError, read_overrides
-from assayer.sources.traces import IngestError, ingest, newest_first, utc_text
+from assayer.sources.traces import find_trace, ingest, IngestError, newest_first, utc_text
 
 VERSION = "0.1.0"
 
@@ -67,7 +67,7 @@ def _add_trace(catalog: Catalog, args: argparse.Namespace) -> None:
     from assayer.operators.scoring import prepare
 
     dataset = catalog.find_dataset(args.reference)
-    trace = catalog.read("traces").filter(F.col("trace_id") == args.trace_id)
+    trace = find_trace(catalog.read("traces"), args.trace_id)
     if trace.isEmpty():
         raise StoreError(f"trace {args.trace_id} doesn't exist")
     scorers = json.loads(args.scorers) if args.scorers else []

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.ids import digest_of, sha256
+from assayer.functions.ids import sha256
 from assayer.functions.json_text import fixed_object, quote
+from assayer.functions.ordering import document_index, ordered_digest
 from assayer.functions.shared import written
 from assayer.functions.text import ASCII
 
 
+#: Documents times terms that are clustered as one dense matrix on the driver (128 MB); beyond, on the executors.
+DENSE_CELLS = 2**24
+
+
 class ClusteringError(ValueError):
     """A corpus that can't be clustered as asked."""
 
@@ -27,10 +32,10 @@ def document_text(prompt: Column, context_json: Column) -> Column:
     return F.when(F.coalesce(context_json, F.lit("{}")) == "{}", prompt).otherwise(whole)
 
 
-def source_manifest(traces: DataFrame) -> DataFrame:
-    """One row, manifest_hash: of traces (trace_id, document_hash, source_trace_hash) in the order of trace_id."""
+def source_manifest(traces: DataFrame) -> str:
+    """The digest of traces (trace_id, document_hash, source_trace_hash) in the order of trace_id."""
     record = fixed_object(document_hash=quote(F.col("document_hash")), source_trace_hash=quote(F.col("source_trace_hash")), trace_id=quote(F.col("trace_id")))
-    return traces.agg(digest_of(record, F.col("trace_id")).alias("manifest_hash"), F.count("*").alias("trace_count"))
+    return ordered_digest(traces, record, F.col("trace_id"))
 
 
 def document_hash(text: Column) -> Column:
@@ -68,7 +73,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dense(weights: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
-    """(ids, terms, matrix) of a corpus small enough for one machine, as curated slices are."""
+    """(ids, terms, matrix) of a corpus of DENSE_CELLS cells at most, which the caller has counted."""
     rows = weights.select("id", "term", "weight").toPandas()
     ids, names = sorted(rows["id"].unique()), sorted(rows["term"].unique())
     matrix = np.zeros((len(ids), len(names)))
@@ -121,12 +126,60 @@ def kmeans(matrix: np.ndarray, k: int, restarts: int = 100, iterations: int = 30
     return best
 
 
-def kmeans_spark(vectors: DataFrame, features: str, k: int, restarts: int = 3, seed: int = 42) -> DataFrame:
-    """vectors with cluster, by Spark's k-means for corpora of any size; the cheapest of several runs."""
+def sparse_vectors(weights: DataFrame, ids: DataFrame) -> tuple[DataFrame, int]:
+    """((id, place, features), number of terms): a sparse vector for each of ids (id), zero where it has no terms.
+
+    place numbers the rows in the order of ids. Terms are numbered over ranges; a document's cells
+    meet in one row, as its text does.
+    """
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    terms = document_index(weights.select("term").distinct(), "term").select("term", F.col("document_index").alias("at"))
+    n = terms.count()
+    cells = weights.join(terms, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("cells"))
+    vector = F.udf(lambda cells: SparseVector(n, [c["at"] for c in cells or ()], [c["weight"] for c in cells or ()]), VectorUDT())
+    placed = document_index(ids, "id").select("id", F.col("document_index").alias("place"))
+    return written(placed.join(cells, "id", "left").select("id", "place", vector("cells").alias("features")), "slice-vectors"), n
+
+
+def reduce_spark(vectors: DataFrame, terms: int, components: int) -> DataFrame:
+    """vectors (id, place, features) with the first components of the singular value decomposition, rows of norm 1 or 0.
+
+    The decomposition runs over distributed rows; the driver holds terms x components numbers.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    if not 1 <= components < min(terms, vectors.count()):
+        raise ClusteringError(f"components must be from 1 to {min(terms, vectors.count()) - 1}")
+    matrix = IndexedRowMatrix(vectors.select("place", "features").rdd.map(lambda r: IndexedRow(r["place"], Vectors.fromML(r["features"]))), numCols=terms)
+    found = matrix.computeSVD(components, computeU=True)
+    if len(found.s) < components:
+        raise ClusteringError(f"the traces have {len(found.s)} components")
+    s = found.s.toArray().tolist()
+    rows = found.U.rows.map(lambda r: (r.index, [float(x) * y for x, y in zip(r.vector.toArray(), s, strict=True)])).toDF("place long, x array<double>")
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    unit = F.transform("x", lambda v: F.when(norm > 1e-12, v / norm).otherwise(0.0))
+    return vectors.select("id", "place").join(rows, "place").select("id", "place", array_to_vector(unit).alias("features"))
+
+
+def kmeans_spark(vectors: DataFrame, features: str, k: int, restarts: int = 20, seed: int = 42, iterations: int = 300) -> tuple[DataFrame, float]:
+    """(vectors with cluster, cost) by Spark's k-means for corpora of any size: the cheapest of several runs.
+
+    A run that doesn't converge, or leaves a cluster empty, is an error if no other run is better.
+    """
     from pyspark.ml.clustering import KMeans
 
-    models = [KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i).fit(vectors) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(vectors)
+    best = None
+    for i in range(restarts):
+        model = KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i, maxIter=iterations, tol=1e-4).fit(vectors)
+        held = model.summary
+        if held.numIter < iterations and len(held.clusterSizes) == k and min(held.clusterSizes) > 0 and (best is None or held.trainingCost < best[0]):
+            best = (held.trainingCost, model)
+    if best is None:
+        raise ClusteringError(f"no run found {k} clusters")
+    return best[1].transform(vectors), float(best[0])
 
 
 def canonical_numbers(assigned: DataFrame, cluster: str = "cluster", member: str = "trace_id") -> DataFrame:
@@ -136,24 +189,6 @@ def canonical_numbers(assigned: DataFrame, cluster: str = "cluster", member: str
     return assigned.join(F.broadcast(numbered), cluster)
 
 
-def document_index(traces: DataFrame, key: str = "trace_id") -> DataFrame:
-    """traces with document_index, their place in the order of key, without one sorting task.
-
-    Keys are cut into sorted ranges, which are written once with their range and place: both the
-    counts of ranges and the rows are read from there, so no second plan can cut them differently.
-    A range's rows start behind the rows of all before it. Rows that repeat a key stand side by side.
-    """
-    ranged = traces.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(2**33 - 1)), "document-index")
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # a row for each range
-    starts, total = [], 0
-    for part in sorted(counts):
-        starts.append((part, total))
-        total += counts[part]
-    placed = traces.sparkSession.createDataFrame(starts, "_part int, _start long")
-    return ranged.join(F.broadcast(placed), "_part", "left").withColumn("document_index", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
-
-
 def distinct_vectors(weights: DataFrame) -> int:
     """How many different rows a corpus has, by a hash of each row's sorted terms and weights."""
     rows = weights.groupBy("id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("term", F.round("weight", 12).alias("w"))))), 256).alias("h"))

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.ids import digest_of, sha256
+from assayer.functions.ids import sha256
 from assayer.functions.json_text import canonical_dumps, quote, redacted
+from assayer.functions.ordering import ordered_digest
 from assayer.operators import comparing, judging, scoring
 from assayer.plans import constraints, reports
 from assayer.plans.config import Config, ConfigError, configuration_hash
@@ -101,8 +102,8 @@ class Experiment:
             raise ConfigError("limits by slice need a dataset built from slices")
         self.slice_limits = comparing.slice_limits(self.config.by_slice, slices)
         definition = F.concat(quote(F.col("eval_id")), F.lit(":"), quote(F.to_json(F.struct(*sorted(self.cases.columns)))))
-        cases_hash = self.cases.agg(digest_of(definition, F.col("eval_id")).alias("h")).head()[0]
-        made = self.outputs.agg(digest_of(F.concat(quote(F.concat("role", F.lit(":"), "eval_id")), F.lit(":"), quote(F.col("output"))), F.concat("role", F.lit(":"), "eval_id")).alias("h")).head()[0]
+        cases_hash = ordered_digest(self.cases, definition, F.col("eval_id"))
+        made = ordered_digest(self.outputs, F.concat(quote(F.concat("role", F.lit(":"), "eval_id")), F.lit(":"), quote(F.col("output"))), F.concat("role", F.lit(":"), "eval_id"))
         self.configuration = configuration_hash(self.config, {"id": self.dataset, "cases": cases_hash}, {"generated": made})
 
     # The attempt

@@ -73,7 +73,6 @@ DETAIL = f"""{GATED}, detail AS (
     CASE WHEN c.evaluation_mode = 'rubric' AND c.conv_id % 3 = 0 THEN 'needs_review' ELSE 'not_required' END AS candidate_review_status
   FROM cases AS c JOIN results AS b ON b.eval_id = c.eval_id AND b.role = 'baseline' JOIN results AS d ON d.eval_id = c.eval_id AND d.role = 'candidate' JOIN cmp ON cmp.eval_id = c.eval_id
 )"""
-FAULTS = "CASE WHEN user_id % 97 = 0 THEN 'schema error: user_id' WHEN value < 0.01 THEN 'schema error: value' WHEN event_type = 'error' THEN 'schema error: event_type' END"
 RUN = """count(*) AS case_count, count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed) AS failed_count, round(sum(score) / count(*), 6) AS score, round(count(*) FILTER (passed) / count(*), 6) AS pass_rate"""
 PROPS = """props AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN props || '}' WHEN 1 THEN '{not json' WHEN 2 THEN '[' || props || ']' ELSE props END AS output FROM events)"""
 JUDGED = """judged AS (SELECT doc_id, quality::DOUBLE AS s1, (1 - toxic)::DOUBLE AS s2, (n_chars % 100) / 100.0::DOUBLE AS confidence, CASE WHEN doc_id % 4 = 0 THEN 'critical' ELSE 'high' END AS priority FROM labels JOIN documents USING (doc_id))"""
@@ -114,17 +113,8 @@ ORDERS = """cmp AS (
 )"""
 
 SQL: dict[str, str] = {
-    "ingest_summary": f"""SELECT count(*) AS read, count(*) FILTER (f IS NULL) AS accepted, count(*) FILTER (f IS NOT NULL) AS invalid, count(*) FILTER (f IS NULL) - count(DISTINCT CASE WHEN f IS NULL THEN user_id || ' ' || event_type END) AS duplicates_skipped,
-      count(DISTINCT CASE WHEN f IS NULL THEN user_id || ' ' || event_type END) AS stored FROM (SELECT *, {FAULTS} AS f FROM events)""",
-    "ingest_rejects": f"SELECT event_id, 'line ' || event_id + 1 || ': ' || f AS message FROM (SELECT event_id, {FAULTS} AS f FROM events) WHERE f IS NOT NULL",
-    "dedup_first_wins": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text",
-    "newest_first": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, event_type FROM events ORDER BY events.ts DESC, event_id LIMIT 100",
     "all_newest_first": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, event_type FROM events ORDER BY events.ts DESC, event_id",
-    "trace_lookup": f"{_with(VIEWS)} SELECT trace_id, prompt, response FROM traces WHERE trace_id = 'c1-0'",
     "document_order": f"{_with(VIEWS)} SELECT trace_id, row_number() OVER (ORDER BY trace_id) - 1 AS document_index FROM traces",
-    "coverage_missing": f"{_with(VIEWS)} SELECT eval_id FROM cases WHERE conv_id % 5 = 2",
-    "coverage_unknown": f"{_with(VIEWS)} SELECT trace_id AS source_trace_id FROM traces WHERE trace_id NOT IN (SELECT trace_id FROM cases)",
-    "duplicate_ids": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "score_exact": f"{_with(VIEWS)} SELECT role, eval_id, output = response AS passed FROM outputs WHERE evaluation_mode = 'reference'",
     "score_contains": "SELECT page_id, contains(html, '<Title>') AS exact, contains(lower(html), '<title>') AS folded FROM pages",
     "score_regex": r"SELECT page_id, regexp_matches(url, 'https?://[a-z0-9.\-]+/[a-z]+') AS passed FROM pages",
@@ -159,8 +149,6 @@ SQL: dict[str, str] = {
     "trace_tfidf_weights": f"{TRACE_TERMS} SELECT item_id AS trace_id, term, tf, df, round(weight, 6) AS weight FROM v",
     "trace_distinct_vectors": f"{TRACE_TERMS} SELECT count(DISTINCT h) AS distinct_vectors FROM (SELECT string_agg(term || chr(0) || CAST(round(weight, 9) AS VARCHAR), chr(1) ORDER BY term) AS h FROM v GROUP BY item_id)",
     "cluster_numbers": "SELECT vec_id, CAST(dense_rank() OVER (ORDER BY least) - 1 AS INT) AS cluster_number FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS least FROM embeddings)",
-    "slice_list": f"{_with(VIEWS)} SELECT CAST(n AS INT) AS cluster_number, count(eval_id) AS trace_count FROM range(9) AS r(n) LEFT JOIN cases ON cluster_number = n GROUP BY n",
-    "dataset_list": "SELECT c_mktsegment, count(o_orderkey) AS case_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",
     "detail_join": f"{DETAIL} SELECT eval_id, slice_label, priority, baseline_output, candidate_output, baseline_passed, candidate_passed, score_delta, transition FROM detail",
     "overview_metrics": f"""{DETAIL} SELECT count(*) AS case_count, count(*) FILTER (transition = 'newly_passed') AS newly_passed_count, count(*) FILTER (transition = 'newly_failed') AS newly_failed_count,
       count(*) FILTER (transition = 'newly_failed' AND priority = 'critical') AS critical_regression_count, count(*) FILTER (candidate_review_status = 'needs_review') AS review_count, (SELECT count(*) FROM violations) AS gate_violation_count FROM detail""",
@@ -170,15 +158,12 @@ SQL: dict[str, str] = {
     "latency_summary": """WITH o AS (SELECT event_type, round(value, 2) - 1 AS v FROM events WHERE event_type IN ('view', 'click')), g AS (SELECT avg(v) FILTER (event_type = 'view' AND v > 0) AS b, avg(v) FILTER (event_type = 'click' AND v > 0) AS c, count(*) FILTER (event_type = 'view' AND v > 0) AS nb, count(*) FILTER (event_type = 'click' AND v > 0) AS nc FROM o)
       SELECT nb >= 2 AND nc >= 2 AS available, CASE WHEN nb >= 2 AND nc >= 2 THEN 'Observed provider latency' ELSE 'Unavailable: too few observations' END AS message, nb AS baseline_observations, nc AS candidate_observations,
         round(b, 6) AS baseline_mean_ms, round(c, 6) AS candidate_mean_ms, round(c - b, 6) AS delta_ms FROM g""",
-    "seal_integrity": "SELECT l_orderkey, count(DISTINCT l_linenumber) AS found, CAST(max(l_linenumber) AS BIGINT) AS expected FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) <> max(l_linenumber)",
     "orphans": "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) GROUP BY l_partkey",
     "mode_shape": f"{_with(VIEWS)} SELECT eval_id, evaluation_mode FROM cases WHERE (evaluation_mode = 'deterministic' AND (conv_id % 11 = 0 OR conv_id % 13 = 0)) OR (evaluation_mode = 'rubric' AND conv_id % 13 = 0)",
     "current_status": "SELECT user_id AS owner, arg_max(event_type, event_id) AS status, max(event_id) AS sequence FROM events GROUP BY user_id",
-    "stripped_labels": f"WITH f AS (SELECT doc_id, trim(split_part(chr(9) || ' ' || text, '.', 1), {SPACE}) AS label FROM documents) SELECT doc_id, label, sha256(label) AS label_hash FROM f",
     "stripped_texts": f"WITH f AS (SELECT doc_id, trim(chr(9) || ' ' || text || ' ' || chr(12288) || chr(10), {SPACE}) AS label FROM documents) SELECT doc_id, label, sha256(label) AS label_hash FROM f",
     "redaction": """SELECT event_id, '{"auth_token":"[redacted]","nested":[{"API_KEY":"[redacted]","k":{"k":' || json_extract_string(props, '$.k') || '}}]}' AS snapshot FROM events""",
     "priority_means": "SELECT o_orderpriority, round(sum(CAST(round(o_totalprice, 2) / 1000000 AS DECIMAL(28, 18))) / count(*), 6) AS mean, count(*) AS n FROM orders GROUP BY o_orderpriority",
-    "first_outputs": "SELECT user_id, CAST(max(a) AS INT) AS attempts, arg_max(event_type, a) AS final FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events) WHERE a <= 2 GROUP BY user_id",
 }
 
 
@@ -191,9 +176,7 @@ SQL |= {
     "judge_mismatches": f"""{_with(JUDGED)} SELECT CAST(doc_id AS VARCHAR) AS eval_id FROM judged WHERE doc_id % 10 = 3 OR (doc_id % 2 = 0 AND doc_id % 50 = 4)""",
     "assignment_faults": """WITH r AS (SELECT CAST(label AS VARCHAR) AS clustering_run_id, label, vec_id % 7 AS c FROM embeddings)
       SELECT clustering_run_id, count(*) FILTER (c > 5 + label % 2) AS outside FROM r GROUP BY ALL HAVING count(*) FILTER (c > 5 + label % 2) > 0""",
-    "upsert_first": "SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'signup' AND value > 150) = 0",
     "mode_partition": f"{_with(VIEWS)} SELECT evaluation_mode, count(*) AS n, min(eval_id) AS first FROM cases GROUP BY evaluation_mode",
-    "chosen_results": f"{_with(VIEWS)} SELECT CASE role WHEN 'baseline' THEN 0 ELSE 1 END AS role_order, eval_id, score FROM results WHERE eval_id IN ('e-c1-0', 'e-c2-0', 'e-c3-0') ORDER BY 1, 2",
     "run_results": f"{_with(VIEWS)} SELECT CASE role WHEN 'baseline' THEN 0 ELSE 1 END AS role_order, 'run-' || role AS run_id, eval_id, score FROM results ORDER BY 1, 3",
     "run_coverage": f"{_with(VIEWS)} SELECT eval_id, true AS baseline, false AS candidate FROM cases WHERE priority = 'high'",
     "judge_counters": f"""{_with(JUDGED)} SELECT CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS role, count(*) FILTER (confidence < 0.7) AS low_confidence,
@@ -210,11 +193,12 @@ SQL |= {
         CASE WHEN mode = 'rubric' THEN 'clear' END AS rubric, CAST(CASE WHEN mode = 'deterministic' THEN 1 END AS INT) AS scorers FROM s""",
     "document_texts": f"""{_with(VIEWS)} SELECT trace_id, sha256(CASE WHEN turn % 4 = 1 THEN 'PROMPT:' || chr(10) || prompt || chr(10) || 'CONTEXT_JSON:' || chr(10) || '{{"conv":' || conv_id || '}}' ELSE prompt END) AS document_hash FROM traces""",
     "trace_hashes": """SELECT CAST(event_id AS VARCHAR) AS trace_id, sha256('{"context":{},"metadata":{"a":1},"prompt":"p","response":' || CASE WHEN user_id % 2 = 0 THEN '"r"' ELSE 'null' END || ',"task_type":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","trace_id":"' || event_id || '"}') AS source_trace_hash FROM events""",
-    "folded_words": f"WITH f AS (SELECT doc_id, replace(lower(split_part(text, ' ', 1)), 'ß', 'ss') AS w FROM documents) SELECT doc_id, w AS folded, trim(w, {SPACE}) AS label_key FROM f",
     "folded_texts": f"WITH f AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS w FROM documents) SELECT doc_id, w AS folded, trim(w, {SPACE}) AS label_key FROM f",
     "judge_prompts": f"""{_with(VIEWS)} SELECT eval_id, sha256('Judge.' || chr(10) || chr(10) || '{{"context":{{}},"criteria":["clear","kind"],"input":' || to_json(prompt) || ',"output":' || to_json(response) || '}}') AS request_hash FROM cases WHERE evaluation_mode = 'rubric'""",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from assayer.plans import library
+
+    return SQL | library.SQL

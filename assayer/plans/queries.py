@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.ids import digest_of, eval_id, sha256
@@ -75,72 +75,17 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 # --- sources and first-wins deduplication ---------------------------------------------------
 
 
-def _event_faults() -> Column:
-    """The first rule that an event breaks as a record; null for a valid one."""
-    kind, value = F.col("event_type"), F.col("value")
-    return F.when(F.col("user_id") % 97 == 0, "schema error: user_id").when(value < 0.01, "schema error: value").when(kind == "error", "schema error: event_type")
-
-
-def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: lines read, accepted, invalid, duplicates and stored; the record's id is user and type."""
-    rows = table(spark, sf_dir, "events").withColumn("fault", _event_faults())
-    good = F.col("fault").isNull()
-    key = F.when(good, F.struct("user_id", "event_type"))
-    counts = rows.agg(F.count("*").alias("read"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("invalid"), F.countDistinct(key).alias("stored"))
-    return counts.select("read", "accepted", "invalid", (F.col("accepted") - F.col("stored")).alias("duplicates_skipped"), "stored")
-
-
-def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: the dead letters and their messages."""
-    rows = table(spark, sf_dir, "events").withColumn("message", _event_faults()).filter("message is not null")
-    return rows.select("event_id", F.concat(F.lit("line "), F.col("event_id") + 1, F.lit(": "), "message").alias("message"))
-
-
-def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document of each text."""
-    first = table(spark, sf_dir, "documents").groupBy("text").agg(F.min_by(F.struct("doc_id", "source"), "doc_id").alias("d"), F.count("*").alias("copies"))
-    return first.select("d.doc_id", "d.source", "copies")
-
-
-def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest first, ties by id; a report of 100."""
-    rows = table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(100)
-    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "event_type")
-
-
 def all_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event, newest first, ties by id."""
+    """Every event, newest first, ties by id."""
     rows = table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id")
     return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "event_type")
 
 
-def trace_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trace by key."""
-    return traces(spark, sf_dir).filter(F.col("trace_id") == "c1-0").select("trace_id", "prompt", "response")
-
-
 def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """positions in the order of trace_id."""
     return clustering.document_index(traces(spark, sf_dir).select("trace_id")).select("trace_id", F.col("document_index").cast("long").alias("document_index"))
 
 
-def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases without an output; outputs exist for four of five."""
-    rows = cases(spark, sf_dir)
-    return rows.select("eval_id").join(rows.filter("conv_id % 5 != 2").select("eval_id"), "eval_id", "left_anti")
-
-
-def coverage_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs of traces that are no cases."""
-    known = cases(spark, sf_dir).select("source_trace_id")
-    return traces(spark, sf_dir).select(F.col("trace_id").alias("source_trace_id")).join(known, "source_trace_id", "left_anti")
-
-
-def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that repeat."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).filter("n > 1")
-
-
 # --- scorers ---------------------------------------------------------------------------------
 
 
@@ -195,7 +140,7 @@ def run_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_slice_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E3."""
+    """D12, E3."""
     members = cases(spark, sf_dir).filter("cluster_number != 6")
     return _rounded(comparing.run_slice_aggregates(results(spark, sf_dir).select("role", "eval_id", "evaluation_mode", "score", "passed"), members), "score", "pass_rate")
 
@@ -205,7 +150,7 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D10, I23."""
+    """D10, G7, I23."""
     return _compared(spark, sf_dir)
 
 
@@ -219,7 +164,7 @@ def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5."""
+    """D11, E5."""
     rows = _rounded(_slices(spark, sf_dir), "baseline_score", "candidate_score", "score_delta", "baseline_pass_rate", "candidate_pass_rate")
     return rows.withColumns({c: F.array_join(c, ",") for c in ("newly_passed", "newly_failed")})
 
@@ -234,7 +179,7 @@ def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J16, J18."""
+    """F5, G2, J16, J18."""
     return _rounded(_violations(spark, sf_dir), "actual", "allowed")
 
 
@@ -265,7 +210,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_criteria_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean and the verdict of all criteria, through the response validator."""
+    """The mean and the verdict of all criteria, through the response validator."""
     rows = _judged(spark, sf_dir)
     criterion = lambda n, c: F.concat(F.lit(f'{{"criterion":"{n}","passed":'), (F.col(c) >= 0.5).cast("string"), F.lit(',"reason":"r","score":'), F.col(c).cast("string"), F.lit("}"))
     overall = F.when(F.col("doc_id") % 9 == 0, F.lit(0.123)).otherwise((F.col("s1") + F.col("s2")) / 2)
@@ -300,7 +245,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def historical_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J20."""
+    """D4, H6, J20."""
     return _signals(spark, sf_dir)
 
 
@@ -310,7 +255,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eligible_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C10, E9."""
+    """C9, C10, E9, I24."""
     rows = _candidates(spark, sf_dir).groupBy("cluster_number")
     return rows.agg(F.count("*").alias("eligible_count"), F.count_if("critical_priority_signal").alias("critical_count"), F.count_if("prior_failure_signal").alias("failure_count"))
 
@@ -321,7 +266,7 @@ def sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, J21, I24, I25."""
+    """F1, G4, I6, I24, I25, J21."""
     rows = sampling.select_sample(_candidates(spark, sf_dir), SAMPLE_SIZE)
     return rows.select("trace_id", "cluster_number", "preference_tier", "selection_key", "selection_rank")
 
@@ -373,26 +318,13 @@ def kmeans_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    made = clustering.kmeans_spark(rows, "features", 10, restarts=RESTARTS).select("vec_id", "cluster")
+    made = clustering.kmeans_spark(rows.persist(), "features", 10, restarts=RESTARTS)[0].select("vec_id", "cluster")
     return clustering.canonical_numbers(made, "cluster", "vec_id").select("vec_id", "cluster_number")
 
 
 # --- catalogues, reports, constraints --------------------------------------------------------------
 
 
-def slice_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices and their sizes, empty ones too."""
-    names = spark.range(9).select(F.col("id").cast("int").alias("cluster_number"))
-    return names.join(cases(spark, sf_dir).select("cluster_number", "eval_id"), "cluster_number", "left").groupBy("cluster_number").agg(F.count("eval_id").alias("trace_count"))
-
-
-def dataset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by segment and their orders, as datasets and cases."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("case_count"))
-
-
 def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = results(spark, sf_dir).select("role", "eval_id", "evaluation_mode", "output", "score", "passed", F.when((F.col("evaluation_mode") == "rubric") & (F.col("conv_id") % 3 == 0), "needs_review").otherwise("not_required").alias("review_status"))
     rows = cases(spark, sf_dir).withColumn("slice_label", reports.slice_label(F.col("label_snapshot"), F.col("selector")))
@@ -432,20 +364,14 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(reports.latency(seen), "baseline_mean_ms", "candidate_mean_ms", "delta_ms")
 
 
-def seal_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose items don't have as many line numbers as their greatest one."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_linenumber").alias("found"), F.max("l_linenumber").cast("long").alias("expected"))
-    return items.filter("found != expected")
-
-
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of parts that cost less than the store holds."""
+    """Items of parts that cost less than the store holds."""
     parts = table(spark, sf_dir, "part").filter("p_size < 40")
     return constraints.orphans(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey", "p_partkey").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
 def mode_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2: cases whose columns don't fit their mode."""
+    """Cases whose columns don't fit their mode."""
     rows = cases(spark, sf_dir)
     shaped = rows.select(
         "eval_id", "evaluation_mode",
@@ -463,12 +389,6 @@ def current_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.current_status(rows, "owner")
 
 
-def stripped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stripped first words and their hashes."""
-    first = strip(F.substring_index(F.concat(F.lit("\t "), "text"), ".", 1))
-    return table(spark, sf_dir, "documents").select("doc_id", first.alias("label"), sha256(first).alias("label_hash"))
-
-
 def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stripped whole texts, with white space on both sides, and their hashes."""
     whole = strip(F.concat(F.lit("\t "), "text", F.lit(" \u3000\n")))
@@ -484,18 +404,10 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priority_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 as decimals: means of prices by order priority don't depend on order."""
+    """E1, I14 as decimals: means of prices by order priority don't depend on order."""
     return _rounded(table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(exact_mean(F.round("o_totalprice", 2) / 1000000).alias("mean"), F.count("*").alias("n")), "mean")
 
 
-def first_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last attempt of two for each user."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    two = rows.withColumn("attempt", attempt).filter("attempt <= 2")
-    return two.groupBy("user_id").agg(F.max("attempt").alias("attempts"), F.max_by("event_type", "attempt").alias("final"))
-
-
 # --- integrity of stored rows, scalar functions -------------------------------------------------------
 
 
@@ -507,7 +419,7 @@ def provenance_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggregates of all cases against the members that have a label."""
+    """Aggregates of all cases against the members that have a label."""
     rows = cases(spark, sf_dir)
     counts = rows.groupBy("cluster_number").agg(F.count("*").alias("case_count"))
     found = constraints.slice_membership(counts, rows.filter("label_snapshot is not null"))
@@ -542,25 +454,11 @@ def assignment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.assignment_faults(rows, runs).select("clustering_run_id", "outside")
 
 
-def upsert_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that insert-or-ignore adds: the first of each user that the store doesn't hold."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    stored = rows.filter("event_type = 'signup' and value > 150").select("user_id").distinct()
-    first = rows.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("event_id"))
-    return first.join(stored, "user_id", "left_anti")
-
-
 def mode_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modes present, the cases of each."""
     return cases(spark, sf_dir).groupBy("evaluation_mode").agg(F.count("*").alias("n"), F.min("eval_id").alias("first"))
 
 
-def chosen_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of a list of ids, baseline first."""
-    rows = results(spark, sf_dir).filter(F.col("eval_id").isin("e-c1-0", "e-c2-0", "e-c3-0"))
-    return rows.select(F.when(F.col("role") == "baseline", 0).otherwise(1).alias("role_order"), "eval_id", "score").orderBy("role_order", "eval_id")
-
-
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All results of a report's runs, baseline first."""
     runs = {"baseline": "run-baseline", "candidate": "run-candidate"}
@@ -592,7 +490,7 @@ def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases of the sample with overrides of some slices."""
+    """Cases of the sample with overrides of some slices."""
     sample = sampling.select_sample(_candidates(spark, sf_dir), SAMPLE_SIZE)
     overrides = sample.filter("cluster_number in (1, 2)").select(F.col("trace_id").alias("source_trace_id"), F.when(F.col("cluster_number") == 1, "rubric").otherwise("deterministic").alias("mode"), F.array(F.lit("clear")).alias("rubric"), F.array(F.struct(F.lit("json_validity").alias("name"), F.lit("{}").alias("config"))).alias("scorers"), F.lit("high").alias("priority"), F.lit(None).cast("string").alias("review_status"))
     rows = sampling.build_cases(sample, overrides, DATASET)
@@ -617,14 +515,6 @@ def trace_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", sha256(payload(rows)).alias("source_trace_hash"))
 
 
-def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case folding and label keys of each document's first word."""
-    from assayer.functions.text import casefold, label_key
-
-    first = F.substring_index("text", " ", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", casefold(first).alias("folded"), label_key(first).alias("label_key"))
-
-
 def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case folding and label keys of whole texts; the SQL folds the tables' letters, not all of Unicode's."""
     from assayer.functions.text import casefold, label_key
@@ -640,16 +530,18 @@ def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    ingest_summary, ingest_rejects, dedup_first_wins, newest_first, all_newest_first, trace_lookup, document_order, coverage_missing, coverage_unknown, duplicate_ids,
+    all_newest_first, document_order,
     score_exact, score_contains, score_regex, score_json_validity, score_required_keys, case_scores,
     run_aggregates, run_slice_aggregates, case_comparisons, comparison_aggregates, comparison_slices, newly_lists, gate_violations, gate_verdict, gate_over_lineitem,
     judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, eval_ids,
-    tfidf_weights, tfidf_norms, trace_tfidf_weights, trace_distinct_vectors, cluster_numbers, kmeans_slices, slice_list, dataset_list, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
-    latency_summary, seal_integrity, orphans, mode_shape, current_status, stripped_labels, stripped_texts, redaction, priority_means, first_outputs,
-    provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, upsert_first, mode_partition, chosen_results, run_results, run_coverage, judge_counters, critical_failures,
-    build_manifest, built_cases, document_texts, trace_hashes, folded_words, folded_texts, judge_prompts,
+    tfidf_weights, tfidf_norms, trace_tfidf_weights, trace_distinct_vectors, cluster_numbers, kmeans_slices, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
+    latency_summary, orphans, mode_shape, current_status, stripped_texts, redaction, priority_means,
+    provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, mode_partition, run_results, run_coverage, judge_counters, critical_failures,
+    build_manifest, built_cases, document_texts, trace_hashes, folded_texts, judge_prompts,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    from assayer.plans import library
+
+    return {q.__name__: q for q in QUERIES} | library.QUERIES

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.ids import eval_id, sha256
 from assayer.functions.json_text import canonical_dumps
+from assayer.functions.shared import forget, written
 from assayer.operators import clustering, sampling
 from assayer.operators.clustering import ClusteringError
 from assayer.plans.store import Catalog, StoreError
@@ -24,38 +25,73 @@ def _hashed(traces: DataFrame) -> DataFrame:
     return traces.withColumn("document", text).withColumn("document_hash", sha256(F.col("document"))).withColumn("source_trace_hash", sha256(payload(traces)))
 
 
-def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None = None, restarts: int = 100) -> str:
-    """Clusters all traces into k slices and stores the run: one commit, after the source is seen unchanged."""
+def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None = None, restarts: int = 20) -> str:
+    """Clusters all traces into k slices and stores the run, after the source is seen unchanged.
+
+    A corpus whose matrix has up to DENSE_CELLS cells is clustered on the driver; any other as
+    sparse vectors on the executors. The manifest is a digest of ranges' digests.
+    """
     spark, traces = catalog.spark, _hashed(catalog.read("traces"))
     count = traces.count()
     if not 1 <= k <= count:
         raise ClusteringError(f"{k} clusters of {count} traces")
-    manifest = clustering.source_manifest(traces).head().manifest_hash
-    weights = clustering.tfidf(traces, "trace_id", "document")
-    ids, names, matrix = clustering.dense(weights)
-    if not names:
+    manifest = clustering.source_manifest(traces)
+    weights = written(clustering.tfidf(traces, "trace_id", "document"), "slice-weights")
+    terms = weights.select("term").distinct().count()
+    if not terms:
         raise ClusteringError("the traces have no terms")
-    if missing := [r.trace_id for r in traces.select("trace_id").collect() if r.trace_id not in set(ids)]:
-        ids, matrix = ids + missing, np.vstack([matrix, np.zeros((len(missing), matrix.shape[1]))])
-    if components is not None:
-        matrix = clustering.reduce(matrix, components)
-    labels, cost = clustering.kmeans(matrix, k, restarts)
+    ids = traces.select(F.col("trace_id").alias("id"))
+    if terms * count <= clustering.DENSE_CELLS:
+        made, cost = _on_driver(weights, ids, k, components, restarts)
+    else:
+        made, cost = _on_executors(weights, ids, k, components, restarts)
     config = {"algorithm": "tfidf-kmeans", "clusters": k, "components": components, "restarts": restarts, "seed": 42, "spark": spark.version, "numpy": np.__version__}
     run = f"cluster_run_{uuid.uuid4().hex}"
-    if clustering.source_manifest(_hashed(catalog.read("traces"))).head().manifest_hash != manifest:
+    indexed = clustering.document_index(traces.select("trace_id", "document_hash", "source_trace_hash"))
+    rows = written(clustering.canonical_numbers(made).join(indexed, "trace_id").withColumn("clustering_run_id", F.lit(run)), "slice-rows")
+    if rows.count() != count or clustering.source_manifest(_hashed(catalog.read("traces"))) != manifest:
         raise ClusteringError("traces were added meanwhile")
     if catalog.read("clustering_runs").filter(F.col("name") == name.strip()).head():
         raise ClusteringError(f"a run named {name.strip()!r} exists")
-    made = spark.createDataFrame([(i, int(c)) for i, c in zip(ids, labels, strict=True)], "trace_id string, cluster int")
-    rows = clustering.canonical_numbers(made).join(clustering.document_index(traces.select("trace_id", "document_hash", "source_trace_hash")), "trace_id").withColumn("clustering_run_id", F.lit(run))
     catalog.commit("cluster_assignments", rows, run)
     now = datetime.now(UTC)
     catalog.commit("cluster_labels", spark.createDataFrame([(run, n, None, None, 0, now) for n in range(k)], schema("cluster_labels")), run)
     digest = hashlib.sha256(canonical_dumps(config).encode()).hexdigest()
     catalog.commit("clustering_runs", spark.createDataFrame([(run, name.strip(), digest, manifest, count, k, float(cost), now)], schema("clustering_runs")), run)
+    for used in (weights, rows):
+        forget(used)
     return run
 
 
+def _on_driver(weights: DataFrame, ids: DataFrame, k: int, components: int | None, restarts: int) -> tuple[DataFrame, float]:
+    """(trace_id, cluster) and the cost, by numpy."""
+    names, _, matrix = clustering.dense(weights)
+    held = set(names)
+    if missing := [r.id for r in ids.collect() if r.id not in held]:
+        names, matrix = names + missing, np.vstack([matrix, np.zeros((len(missing), matrix.shape[1]))])
+    if components is not None:
+        matrix = clustering.reduce(matrix, components)
+    labels, cost = clustering.kmeans(matrix, k, restarts)
+    return weights.sparkSession.createDataFrame([(i, int(c)) for i, c in zip(names, labels, strict=True)], "trace_id string, cluster int"), cost
+
+
+def _on_executors(weights: DataFrame, ids: DataFrame, k: int, components: int | None, restarts: int) -> tuple[DataFrame, float]:
+    """The same by Spark's decomposition and k-means; vectors never come to the driver."""
+    if k > clustering.distinct_vectors(weights) + 1:
+        raise ClusteringError(f"{k} clusters need as many distinct vectors")
+    vectors, terms = clustering.sparse_vectors(weights, ids)
+    if components is not None:
+        vectors = clustering.reduce_spark(vectors, terms, components)
+    made, cost = clustering.kmeans_spark(vectors.persist(), "features", k, restarts)
+    return made.select(F.col("id").alias("trace_id"), "cluster"), cost
+
+
+def assigned(catalog: Catalog, run: str) -> DataFrame:
+    """The assignments of a run with their traces, in the order of document_index."""
+    held = catalog.read("cluster_assignments").filter(F.col("clustering_run_id") == run)
+    return held.join(catalog.read("traces"), "trace_id").orderBy("document_index")
+
+
 def changed_sources(catalog: Catalog, run: str) -> DataFrame:
     """Assignments whose trace is gone or no longer has the hashes that the run saw."""
     held = catalog.read("cluster_assignments").filter(F.col("clustering_run_id") == run)
@@ -63,6 +99,33 @@ def changed_sources(catalog: Catalog, run: str) -> DataFrame:
     return held.join(now, "trace_id", "left").filter(~(F.col("document_hash").eqNullSafe(F.col("d")) & F.col("source_trace_hash").eqNullSafe(F.col("s"))))
 
 
+def snapshot_faults(catalog: Catalog, run: str) -> DataFrame:
+    """(fault, n) of a stored run: what its assignments, indexes, slices and sources should be and aren't.
+
+    assignments: how many more or fewer than the run's traces; changed: sources that changed or are
+    gone; foreign_times: traces without a time; gaps: indexes that repeat, are missing or don't follow
+    the order of ids; slices: slices that no assignment has, or that the run doesn't know.
+    """
+    spark = catalog.spark
+    head = catalog.read("clustering_runs").filter(F.col("clustering_run_id") == run).head()
+    if head is None:
+        raise StoreError(f"{run} doesn't exist")
+    held = catalog.read("cluster_assignments").filter(F.col("clustering_run_id") == run)
+    right = clustering.document_index(held.select("trace_id")).select("trace_id", F.col("document_index").alias("right"))
+    counts = held.join(right, "trace_id").agg(
+        F.abs(F.count("*") - F.lit(head.trace_count)).alias("assignments"), F.count_if(~F.col("document_index").eqNullSafe(F.col("right"))).alias("gaps"),
+        F.abs(F.countDistinct(F.when(F.col("cluster_number").between(0, head.cluster_count - 1), F.col("cluster_number"))) - F.lit(head.cluster_count)).alias("absent"), F.count_if(~F.col("cluster_number").between(0, head.cluster_count - 1)).alias("beyond"),
+    ).head()
+    rows = [("assignments", counts.assignments), ("changed", changed_sources(catalog, run).count()), ("foreign_times", assigned(catalog, run).filter("timestamp is null").count()), ("gaps", counts.gaps), ("slices", counts.absent + counts.beyond)]
+    return spark.createDataFrame(rows, "fault string, n long")
+
+
+def check_snapshot(catalog: Catalog, run: str) -> None:
+    """Raises where a stored run doesn't hold together."""
+    if bad := snapshot_faults(catalog, run).filter("n > 0").collect():
+        raise StoreError(f"{run}: " + ", ".join(f"{r.n} {r.fault}" for r in bad))
+
+
 def history(catalog: Catalog) -> DataFrame:
     """Signals of all earlier cases and results."""
     from assayer.plans.constraints import current_status
@@ -79,6 +142,7 @@ def build_from_slices(catalog: Catalog, run: str, name: str, version: str, size:
         raise StoreError(f"{run} doesn't exist")
     if bad := changed_sources(catalog, run).limit(1).collect():
         raise StoreError(f"trace {bad[0].trace_id} changed after {run}")
+    check_snapshot(catalog, run)
     traces = catalog.read("traces")
     assigned = catalog.read("cluster_assignments").filter(F.col("clustering_run_id") == run).join(traces, "trace_id")
     candidates = sampling.eligible(assigned, history(catalog), head.configuration_hash, head.source_manifest_hash).cache()

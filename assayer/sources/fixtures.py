@@ -74,11 +74,17 @@ def read_judge(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "role string, eval_id string, outputs array<string>")
 
 
+def coverage_faults(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(kind, keys): expected keys that are missing, found ones that are unknown; both ways are anti joins."""
+    sides = {"missing": (expected, found), "unknown": (found, expected)}
+    missing, unknown = (a.join(b, keys, "left_anti").select(F.lit(kind).alias("kind"), *keys) for kind, (a, b) in sides.items())
+    return missing.unionByName(unknown)
+
+
 def check_coverage(expected: DataFrame, found: DataFrame, keys: list[str], what: str) -> None:
-    """Every expected key is found and no other; both ways are anti joins."""
-    for bad, kind in ((expected.join(found, keys, "left_anti"), "missing"), (found.join(expected, keys, "left_anti"), "unknown")):
-        if rows := bad.select(*keys).orderBy(*keys).limit(5).collect():
-            raise FixtureError(f"{what}: {kind} " + ", ".join(":".join(map(str, r)) for r in rows))
+    """Every expected key is found and no other; else an error names the first few."""
+    if rows := coverage_faults(expected, found, keys).orderBy("kind", *keys).limit(5).collect():
+        raise FixtureError(f"{what}: " + ", ".join(f"{r[0]} " + ":".join(map(str, r[1:])) for r in rows))
 
 
 def expected_judgments(cases: DataFrame) -> DataFrame:

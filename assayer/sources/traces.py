@@ -159,6 +159,11 @@ def ingest(spark: SparkSession, path: str, stored: DataFrame | None = None) -> t
     return fresh, rejects(rows), Counters(read, read - bad, bad, read - bad - kept, kept)
 
 
+def find_trace(traces: DataFrame, trace_id: str) -> DataFrame:
+    """The trace of an id, or no row; the comparison reaches the scan."""
+    return traces.filter(F.col("trace_id") == trace_id)
+
+
 def newest_first(traces: DataFrame) -> DataFrame:
     return traces.orderBy(F.desc("timestamp"), "trace_id")
 

@@ -41,21 +41,21 @@ def table(rows, columns):
     return order, sorted((tuple(plain(r[i]) for i in at) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_against_duckdb(spark, duck, name):
     df = queries.queries()[name](spark, str(DATA))
-    want = duck.sql(oracle.SQL[name])
+    want = duck.sql(oracle.oracle_sql()[name])
     assert table(df.collect(), df.columns) == table(want.fetchall(), want.columns)
 
 
 def test_registry(spark):
-    assert set(oracle.SQL) <= set(queries.queries()) <= set(driver.queries())
+    assert set(oracle.oracle_sql()) <= set(queries.queries()) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert driver.entry(spark).count() > 0
 
 
 def test_only_kmeans_has_no_sql():
-    assert set(queries.queries()) - set(oracle.SQL) == {"kmeans_slices"}
+    assert set(queries.queries()) - set(oracle.oracle_sql()) == {"kmeans_slices"}
 
 
 def test_kmeans_numbers_are_canonical(spark):

@@ -118,3 +118,37 @@ def test_every_row_has_an_index_of_its_own(spark):
     got = clustering.document_index(rows).withColumn("at", F.row_number().over(Window.orderBy("trace_id")) - 1)
     assert got.agg(F.count("*"), F.countDistinct("trace_id"), F.countDistinct("document_index"), F.min("document_index"), F.max("document_index"), F.count_if(F.col("at") != F.col("document_index"))).head() == (n, n, n, 0, n - 1, 0)
     assert clustering.document_index(rows.limit(0)).count() == 0
+
+
+def test_digests_of_long_orders_are_trees(spark, monkeypatch):
+    import hashlib
+    import json
+
+    from assayer.functions import ordering
+
+    rows = spark.createDataFrame([(f"k{i:03d}", f"v{i}") for i in range(100)], "k string, v string").repartition(7)
+    sha = lambda records: hashlib.sha256(("[" + ",".join(records) + "]").encode()).hexdigest()
+    flat = [json.dumps(f"v{i}") for i in range(100)]
+    digest = lambda df: ordering.ordered_digest(df, F.concat(F.lit('"'), "v", F.lit('"')), F.col("k"))
+    assert digest(rows) == sha(flat)
+    monkeypatch.setattr(ordering, "RUN", 8)
+    runs = [json.dumps(sha(flat[a : a + 8])) for a in range(0, 100, 8)]
+    assert digest(rows) == sha([json.dumps(sha(runs[a : a + 8])) for a in range(0, len(runs), 8)])
+    assert digest(rows.limit(0)) == sha([])
+
+
+def test_clusters_on_the_executors(spark):
+    """Sparse vectors, the decomposition and k-means on executors find the groups that numpy finds."""
+    from assayer.plans import slicing
+
+    topics = ["refund the invoice amount", "reset my login password", "parcel shipping delivery date"]
+    docs = spark.createDataFrame([(f"t{i:02d}", f"{topics[i % 3]} number{i} {topics[i % 3]}") for i in range(30)] + [("t99", "")], "trace_id string, document string")
+    weights = clustering.tfidf(docs, "trace_id", "document")
+    ids = docs.select(F.col("trace_id").alias("id"))
+    for components in (None, 3):
+        made, cost = slicing._on_executors(weights, ids, 3, components, 6)
+        got = {r.trace_id: r.cluster for r in made.collect()}
+        assert len(got) == 31 and cost >= 0 and len(set(got.values())) == 3
+        assert all(len({got[f"t{i:02d}"] for i in range(k, 30, 3)}) == 1 for k in range(3))
+    with pytest.raises(ClusteringError):
+        slicing._on_executors(weights, ids, 40, None, 1)

@@ -43,7 +43,7 @@ def test_weights_cover_the_documents_of_all_traces(spark):
 
 
 @here
-def test_kmeans_takes_the_restarts_of_the_reference(spark, monkeypatch):
+def test_kmeans_takes_twenty_restarts(spark, monkeypatch):
     taken, real = [], queries.clustering.kmeans_spark
     monkeypatch.setattr(queries.clustering, "kmeans_spark", lambda *a, **k: taken.append(k["restarts"]) or real(*a, **k | {"restarts": 1}))
     queries.kmeans_slices(spark, str(DATA))
