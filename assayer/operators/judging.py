@@ -159,6 +159,25 @@ def look_up(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(held, "cache_key", "left").withColumn("cache_status", F.when(F.col("raw_response").isNotNull(), "hit").otherwise("miss"))
 
 
+def cache_faults(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """(cache_key, fault) of hits that aren't what was asked: wanted and cache have cache_key and identity_json.
+
+    A key must be the hash of its identity, the identity must be the one asked for, in canonical form,
+    and an answer must be there.
+    """
+    from assayer.functions.json_text import canonical_json
+
+    asked = wanted.select("cache_key", F.col("identity_json").alias("asked")).distinct()
+    held = cache.select("cache_key", "identity_json", "raw_response").join(asked, "cache_key")
+    fault = (
+        F.when(F.col("raw_response").isNull(), "no answer")
+        .when(F.col("identity_json").isNull() | ~canonical_json("identity_json").eqNullSafe(F.col("identity_json")), "identity isn't canonical")
+        .when(F.col("identity_json") != F.col("asked"), "another identity")
+        .when(cache_key(F.col("identity_json")) != F.col("cache_key"), "key isn't the identity's hash")
+    )
+    return held.withColumn("fault", fault).filter("fault is not null").select("cache_key", "fault")
+
+
 def new_entries(made: DataFrame, cache: DataFrame) -> DataFrame:
     """Entries to append: the first writer of a key wins, in the cache and among made (by written_at, then raw_response)."""
     first = made.groupBy("cache_key").agg(F.min_by(F.struct("raw_response", "written_at"), F.struct("written_at", "raw_response")).alias("e"))

@@ -151,10 +151,10 @@ class Experiment:
         """(role, eval_id, output, latency_ms) of all cases, from the fixture or the connector."""
         side = self.config.sides[role]
         if side.provider == "fixture":
-            return self.outputs.filter(F.col("role") == role).withColumn("latency_ms", F.lit(None).cast("double"))
+            return self.outputs.filter(F.col("role") == role).withColumns({"latency_ms": F.lit(None).cast("double"), "metadata": F.lit(None).cast("string")})
         prompt = generation_prompt(side.prompt.text if side.prompt else "Answer the input.", F.col("prompt"), F.coalesce("context_json", F.lit("{}")))
         rows = self.cases.select(F.lit(role).alias("role"), "eval_id", prompt.alias("prompt"))
-        return http_provider.generate(rows, connector(role, side.provider, side.settings)).drop("metadata")
+        return http_provider.generate(rows, connector(role, side.provider, side.settings))
 
     def _role(self, role: str, run: str) -> DataFrame:
         # outputs are stored before they are scored: a request is never made twice for one attempt
@@ -178,6 +178,7 @@ class Experiment:
         prompts = {"version": "1", "primary": judge.prompt.sha256 if judge.prompt else "", "retry": judge.retry_prompt.sha256 if judge.retry_prompt else ""}
         name = _identities(prompts, identity)(F.coalesce("context_json", F.lit("{}")), F.col("rubric"), F.col("prompt"), F.col("output"), F.col("priority"), sequence)
         keyed = cases.withColumn("identity_json", name).withColumn("cache_key", judging.cache_key(F.col("identity_json")))
+        constraints.check_empty(judging.cache_faults(keyed, c.read("judge_cache")), "cached judgments that don't hold")
         looked = self._commit("judge_lookups", judging.look_up(keyed, c.read("judge_cache")).withColumn("run_id", F.lit(run)))
         held = keyed.join(looked.select("eval_id", "cache_status", "raw_response"), "eval_id")
         hits = held.filter("cache_status = 'hit'").select("role", "eval_id", F.array("raw_response").alias("outputs"))
@@ -223,10 +224,24 @@ def load_detail(catalog: Catalog, experiment_id: str) -> DataFrame:
     members = catalog.read("slice_provenance").filter(F.col("dataset_id") == experiment.dataset_id).select("eval_id", "cluster_number", "selector", "label_snapshot")
     cases = cases.join(members, "eval_id", "left").withColumn("slice_label", reports.slice_label(F.col("label_snapshot"), F.col("selector")))
     judged = mine("judge_results").select("role", "eval_id", "confidence", "review_status", "review_reasons")
+    last = mine("experiment_events").orderBy(F.desc("sequence")).head()
+    if last and last.status == "completed":
+        check_coverage(cases, mine("case_results"), mine("case_comparisons"))
     results = mine("case_results").join(judged, ["role", "eval_id"], "left")
     return reports.detail(cases, results, mine("case_comparisons"))
 
 
+def check_coverage(cases: DataFrame, results: DataFrame, comparisons: DataFrame) -> None:
+    """Raises where a completed experiment's rows aren't one result of each case and role, in its mode, and one comparison of each case."""
+    wanted = cases.select("eval_id", F.explode(F.array(*map(F.lit, comparing.ROLES))).alias("role"))
+    constraints.check_empty(fixtures.coverage_faults(wanted, results.select("role", "eval_id"), ["role", "eval_id"]), "results that don't cover the cases")
+    constraints.check_empty(fixtures.coverage_faults(cases.select("eval_id"), comparisons.select("eval_id"), ["eval_id"]), "comparisons that don't cover the cases")
+    constraints.check_empty(constraints.repeated(results, "role", "eval_id"), "results stored twice")
+    constraints.check_empty(constraints.repeated(comparisons, "eval_id"), "comparisons stored twice")
+    for rows, what in ((results, "results of another mode"), (comparisons, "comparisons of another mode")):
+        constraints.check_empty(constraints.foreign_results(rows, cases), what)
+
+
 def load_report(catalog: Catalog, experiment_id: str) -> dict[str, Any]:
     """The report of an experiment from its rows alone; optional parts are left out, not null."""
     mine = lambda t: catalog.read(t).filter(F.col("experiment_id") == experiment_id)

@@ -488,6 +488,17 @@ def judge_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "j.attempts", "j.code", "j.score")
 
 
+@query("""SELECT cache_key, CASE CAST(cache_key AS INT) % 5 WHEN 0 THEN 'no answer' WHEN 1 THEN 'identity isn''t canonical' WHEN 2 THEN 'another identity' ELSE 'key isn''t the identity''s hash' END AS fault FROM (SELECT CAST(doc_id AS VARCHAR) AS cache_key FROM labels WHERE doc_id % 5 < 4)""")
+def cache_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached judgments that aren't what was asked, by fault."""
+    n = F.col("doc_id")
+    identity = F.concat(F.lit('{"n":'), n, F.lit("}"))
+    key = n.cast("string")
+    rows = table(spark, sf_dir, "labels").select(n, F.when(n % 5 == 4, judging.cache_key(identity)).otherwise(key).alias("cache_key"), identity.alias("identity_json"), F.when(n % 5 != 0, F.lit("{}")).alias("raw_response"))
+    held = rows.withColumn("identity_json", F.when(n % 5 == 1, F.concat(F.lit(" "), identity)).when(n % 5 == 2, F.lit('{"n":-1}')).otherwise(identity))
+    return judging.cache_faults(rows, held)
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS cache_key, arg_min(event_type, event_id) AS raw_response FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'signup' AND value > 150) = 0""")
 def upsert_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a cache takes: the first writer of each key that it doesn't hold."""

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 
 from assayer.functions.json_text import strict_loads
 
-# What of a response's metadata is kept.
-KEPT = ("model", "created_at", "done_reason", "total_duration", "load_duration", "prompt_eval_count", "eval_count")
+# What of a response's metadata is kept, texts and counts.
+TEXTS = ("model", "created_at", "done_reason")
+COUNTS = ("total_duration", "load_duration", "prompt_eval_count", "prompt_eval_duration", "eval_count", "eval_duration")
 
 
 class ProviderError(RuntimeError):
@@ -42,6 +43,24 @@ def base_url(text: str) -> str:
     return f"{parts.scheme.lower()}://{host}{port}"
 
 
+def said(value: Any) -> str | None:
+    """What a service says went wrong, if it does."""
+    text = value.get("error") if isinstance(value, dict) else None
+    return text if isinstance(text, str) and text.strip() else None
+
+
+def metadata_of(value: dict[str, Any]) -> dict[str, Any]:
+    """What is kept beside a finished output; ValueError where a field has another type than it should."""
+    out: dict[str, Any] = {"done": True}
+    for names, right, what in ((TEXTS, lambda v: isinstance(v, str), "text"), (COUNTS, lambda v: isinstance(v, int) and not isinstance(v, bool) and v >= 0, "a whole number from 0")):
+        for name in names:
+            if value.get(name) is not None:
+                if not right(value[name]):
+                    raise ValueError(f"{name} must be {what}")
+                out[name] = value[name]
+    return out
+
+
 @dataclass(frozen=True)
 class HttpProvider:
     """One model with fixed settings. as_json asks for a JSON answer, as judges do."""
@@ -49,13 +68,14 @@ class HttpProvider:
     url: str
     model: str
     temperature: float = 0.0
-    seed: int = 42
+    #: Null leaves the seed to the service.
+    seed: int | None = 42
     timeout: float = 120.0
     as_json: bool = False
 
     def generate(self, eval_id: str, prompt: str) -> tuple[str, dict[str, Any], float]:
         """(output, metadata, milliseconds); an empty output is one too."""
-        body: dict[str, Any] = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": self.temperature, "seed": self.seed}}
+        body: dict[str, Any] = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": self.temperature} | ({} if self.seed is None else {"seed": self.seed})}
         if self.as_json:
             body["format"] = "json"
         request = urllib.request.Request(f"{base_url(self.url)}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})  # noqa: S310  the scheme is checked
@@ -66,7 +86,11 @@ class HttpProvider:
         except TimeoutError as error:
             raise ProviderError("timeout", f"{eval_id}: no answer in {self.timeout:g} s") from error
         except urllib.error.HTTPError as error:
-            raise ProviderError("status", f"{eval_id}: {error.code}") from error
+            try:
+                detail = said(json.loads(error.read().decode("utf-8")))
+            except (OSError, ValueError):
+                detail = None
+            raise ProviderError("status", f"{eval_id}: {error.code} {detail or error.reason}") from error
         except (urllib.error.URLError, OSError) as error:
             raise ProviderError("timeout" if isinstance(getattr(error, "reason", None), TimeoutError) else "transport", f"{eval_id}: {error}") from error
         took = (time.perf_counter() - began) * 1000
@@ -74,9 +98,14 @@ class HttpProvider:
             value = strict_loads(raw.decode("utf-8"))
         except ValueError as error:
             raise ProviderError("response", f"{eval_id}: {error}") from error
+        if detail := said(value):
+            raise ProviderError("response", f"{eval_id}: {detail}")
         if not isinstance(value, dict) or not isinstance(value.get("response"), str) or value.get("done") is not True:
             raise ProviderError("response", f"{eval_id}: a finished response is needed")
-        return value["response"], {k: value[k] for k in KEPT if k in value}, took
+        try:
+            return value["response"], metadata_of(value), took
+        except ValueError as error:
+            raise ProviderError("response", f"{eval_id}: {error}") from error
 
 
 def generate(rows: DataFrame, provider: HttpProvider) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from assayer import cli
 from assayer.operators.judging import response
 from assayer.plans import config, constraints, export, slicing
-from assayer.plans.experiment import Experiment, OperationalError, load_detail, load_report
+from assayer.plans.experiment import Experiment, OperationalError, check_coverage, load_detail, load_report
 from assayer.plans.store import Catalog, StoreError
 from assayer.sources import fixtures
-from assayer.sources.http_provider import HttpProvider, ProviderError, base_url
+from assayer.sources.http_provider import HttpProvider, ProviderError, base_url, metadata_of
 
 TOPICS = {"refund": "refund the invoice amount paid twice", "password": "reset my login password account", "shipping": "where is the parcel shipping delivery"}
 
@@ -115,7 +115,7 @@ def test_judgments_are_cached(spark, store, built):
 class Model(BaseHTTPRequestHandler):
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-        assert body["stream"] is False and body["options"]["seed"] == 42
+        assert body["stream"] is False and body["options"].get("seed", 42) == 42
         if body["model"] == "broken":
             answer = {"response": 1, "done": True}
         elif body.get("format") == "json":
@@ -123,8 +123,10 @@ class Model(BaseHTTPRequestHandler):
             answer = {"response": text, "done": True}
         else:
             answer = {"response": "answer 1", "done": True, "eval_count": 3, "context": [1]}
+        if body["model"] in ("says", "absent"):
+            answer = {"error": "out of memory" if body["model"] == "says" else "no such model"}
         raw = json.dumps(answer).encode()
-        self.send_response(200)
+        self.send_response(404 if body["model"] == "absent" else 200)
         self.send_header("Content-Length", str(len(raw)))
         self.end_headers()
         self.wfile.write(raw)
@@ -152,11 +154,31 @@ def test_a_model_behind_http(spark, store, built, service):
     from assayer.plans.reports import latency
 
     assert latency(latencies).head().available
+    kept = catalog.read("outputs").filter(F.col("experiment_id") == report["experiment_id"]).collect()
+    assert {r.metadata for r in kept} == {'{"done": true, "eval_count": 3}'}
+    assert load_detail(catalog, report["experiment_id"]).count() == 6
+    with pytest.raises(constraints.ConstraintError, match="stored twice"):
+        stored = catalog.read("case_results").filter(F.col("experiment_id") == report["experiment_id"])
+        check_coverage(catalog.read("cases").filter(F.col("dataset_id") == catalog.find_dataset("core:1")), stored.unionByName(stored.limit(1)), catalog.read("case_comparisons").filter(F.col("experiment_id") == report["experiment_id"]))
+    with pytest.raises(constraints.ConstraintError, match="cover"):
+        check_coverage(catalog.read("cases").filter(F.col("dataset_id") == catalog.find_dataset("core:1")), stored.filter("role = 'baseline'"), catalog.read("case_comparisons"))
     (store / "live.yaml").write_text(text.format(service, "broken"))
     with pytest.raises(OperationalError, match="finished response"):
         Experiment(catalog, config.load_config(str(store / "live.yaml"))).run()
 
 
+def test_metadata_of_a_response(service):
+    assert metadata_of({"response": "x", "done": True, "model": "m", "eval_duration": 0, "context": [1], "created_at": None}) == {"done": True, "model": "m", "eval_duration": 0}
+    for wrong in ({"model": 1}, {"eval_count": True}, {"load_duration": -1}, {"total_duration": 1.5}):
+        with pytest.raises(ValueError, match="must be"):
+            metadata_of(wrong)
+    with pytest.raises(ProviderError, match="response: e: out of memory"):
+        HttpProvider(service, "says").generate("e", "p")
+    with pytest.raises(ProviderError, match="status: e: 404 no such model"):
+        HttpProvider(service, "absent").generate("e", "p")
+    assert HttpProvider(service, "m", seed=None).generate("e", "p")[0] == "answer 1"
+
+
 def test_addresses():
     assert base_url(" HTTP://Host.Example:80/ ") == "http://host.example:80"
     for bad in ("ftp://a", "http://", "http://u:p@a", "http://a/b", "http://a?x=1"):
