@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.shared import forget, scratch, written
 
-__all__ = ["MIX1", "SPACES", "blobs", "forget", "lean", "meet", "mixed", "one_thread", "scratch", "table", "uniform", "words", "written"]
+__all__ = ["MIX1", "SPACES", "blobs", "forget", "lean", "meet", "mixed", "one_thread", "scratch", "small_batches", "table", "uniform", "words", "written"]
 
 #: What separates words: space and the control characters 9 to 13. The same set that bytes.split() uses.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -46,7 +46,19 @@ def meet(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int)
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(per_key.filter(~hot), key))
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches of BATCH_ROWS rows for the session, where it has larger ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

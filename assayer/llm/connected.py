@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import forget, meet, written
 
+#: Edges of a task at most, where there are more than so few tasks: tables of a round are written in few files.
+PART_EDGES, LEAST_PARTS = 50_000, 4
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the least node of each component, for every node that has an edge.
@@ -19,15 +22,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x != y")
     both = written(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "cc-edges")
     total = both.count()
-    degrees = written(both.groupBy("y").agg(F.count("*").alias("c")), "cc-degrees")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "cc")
+    parts = max(LEAST_PARTS, -(-total // PART_EDGES))
+    degrees = written(both.groupBy("y").agg(F.count("*").alias("c")), "cc-degrees", parts=parts)
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "cc", parts=parts)
     while True:
-        named = written(labels.select(F.col("node").alias("y"), "label").join(degrees, "y"), "cc-named")
+        named = written(labels.select(F.col("node").alias("y"), "label").join(degrees, "y"), "cc-named", parts=parts)
         around = meet(both, named, "y", "c", total).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        lowered = written(labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low")), "cc-lowered")
+        lowered = written(labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low")), "cc-lowered", parts=parts)
         shared = lowered.groupBy("low").agg(F.count("*").alias("c"))
-        jump = written(labels.select(F.col("node").alias("low"), F.col("label").alias("far")).join(shared, "low"), "cc-jump")
-        new = written(meet(lowered, jump, "low", "c", total).select("node", F.least("low", "far").alias("new"), F.col("label").alias("old")), "cc")
+        jump = written(labels.select(F.col("node").alias("low"), F.col("label").alias("far")).join(shared, "low"), "cc-jump", parts=parts)
+        new = written(meet(lowered, jump, "low", "c", total).select("node", F.least("low", "far").alias("new"), F.col("label").alias("old")), "cc", parts=parts)
         for used in (labels, named, lowered, jump):
             forget(used)
         labels = new.select("node", F.col("new").alias("label"))

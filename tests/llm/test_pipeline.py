@@ -60,9 +60,11 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     assert mixed.columns == COLUMNS and Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i, n in plan.items() if n})
 
     packed = corpus_pipeline.pack_sequences(spark, mixed, sf_dir).collect()
-    encoder = token_store.WordEncoder(queries.vocabulary(), "<u2")
-    tokens = sum(len(encoder.encode([r.text.encode()])[0]) // 2 + 1 for r in mixed.collect())
+    tokens = sum(len(r.text.split()) + 1 for r in mixed.collect())
     assert sum(r.n_tokens for r in packed) == tokens
+    encoder = token_store.WordEncoder(queries.vocabulary(), "<u2")
+    ids = packing.best_fit(mixed, tokenizer=queries.vocabulary(), ordered=True).agg({"n_tokens": "sum"}).head()[0]
+    assert ids == sum(len(encoder.encode([r.text.encode()])[0]) // 2 + 1 for r in mixed.collect())
     held = defaultdict(int)
     for r in packed:
         held[r.sequence_id] += r.n_tokens
