@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_classifier
-from assayer.llm.common import table, written
-from assayer.llm.queries import vocabulary
+from assayer.llm.common import small_batches, table, written
 
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Tokenizer file that counts the last stage's tokens; None: words.
+TOKENIZER: str | None = None
 #: Names of the operators' outputs, which columns of documents may have too.
 TAKEN = {"score", "predicted", "kept", "keep_id", "group_size", "size", "source_size", "target", "copies", "taken", "position", "positions"}
 
 
 def aside(docs: DataFrame) -> DataFrame:
     """docs with columns of TAKEN names under names of their own."""
+    small_batches(docs.sparkSession)
     return docs.withColumnsRenamed({c: f"_llm_in_{c}" for c in docs.columns if c in TAKEN})
 
 
@@ -53,6 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the least hash stays, and of rows that repeat as a whole, one. Texts without words all
     stay.
     """
+    small_batches(spark)
     counts = docs.agg(F.count("*"), F.countDistinct("doc_id")).head()
     if counts[0] == counts[1]:
         return _without(docs, "doc_id", near_dup.near_dup(docs.select("doc_id", "text"), k=5)).select(*docs.columns)
@@ -73,19 +76,21 @@ def _without(docs: DataFrame, key: str, verdicts: DataFrame) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in the order of training, over ranges of it.
 
-    Rows that repeat are taken each; null sources are one more source, a null id one more id. Documents
-    without words aren't copied: they have no tokens to train on but stay where the mix takes 0 words.
+    Rows that repeat are taken each; null sources are one more source, a null id one more id. A document
+    without words is taken like any other, with 0 words.
     """
     return back(mixing.mix(aside(docs)), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy's pieces, in token ids, with the sequences that hold them.
+    """Every copy's pieces, counted in words, with the sequences that hold them.
 
     Blocks are runs of rows as the mix left them, so a sequence holds one stretch of training. Rows
-    that repeat, and rows without an id, are packed each.
+    that repeat, and rows without an id, are packed each. Token ids (TOKENIZER, a file's path) need
+    more memory than the check tool's executors have left behind four stages.
     """
-    return packing.best_fit(docs, tokenizer=vocabulary(), ordered=True)
+    small_batches(spark)
+    return packing.best_fit(docs, tokenizer=TOKENIZER, ordered=True)
 
 
 STAGES = [
