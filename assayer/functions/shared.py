@@ -51,9 +51,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: lineage ends here."""
+def written(df: DataFrame, label: str, codec: str | None = None, parts: int | None = None) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: lineage ends here.
+
+    parts: at most so many files, for a table whose size is known to be small for them.
+    """
     path = scratch(df.sparkSession, label)
+    df = df.coalesce(parts) if parts else df
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

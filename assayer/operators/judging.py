@@ -194,8 +194,9 @@ def request_prompt(template: str, task: Column, output: Column, criteria: Column
 
 
 def quote_simple(col: Column) -> Column:
-    """A JSON string of a text without control characters, as rubric criteria are."""
-    return F.concat(F.lit('"'), F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A JSON string of a text, in the JVM."""
+    whole = F.to_json(F.array(col))  # escapes control characters
+    return F.when(col.rlike(r"[\x00-\x1F]"), F.substring(whole, F.lit(2), F.length(whole) - 2)).otherwise(F.concat(F.lit('"'), F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
 def rubric_faults(cases: DataFrame) -> DataFrame:

@@ -100,7 +100,8 @@ def select_sample(candidates: DataFrame, size: int) -> DataFrame:
     if candidates.count() < size:
         raise SamplingError(f"size {size} is more than the eligible traces")
     rank = F.row_number().over(Window.partitionBy("cluster_number").orderBy("preference_tier", "selection_key", "trace_id"))
-    ranked = candidates.withColumn("selection_rank", rank).join(F.broadcast(quotas(candidates, size).select("cluster_number", "quota")), "cluster_number")
+    first = candidates.withColumn("selection_rank", rank).filter(F.col("selection_rank") <= size)  # no slice has a larger quota: the window stops there
+    ranked = first.join(F.broadcast(quotas(candidates, size).select("cluster_number", "quota")), "cluster_number")
     return ranked.filter(F.col("selection_rank") <= F.col("quota"))
 
 

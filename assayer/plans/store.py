@@ -64,10 +64,13 @@ class Catalog:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(table).fields]
         rows.select(*columns).write.parquet(staged.toString())
         fs.mkdirs(self._path(table))
-        if replace and fs.exists(target):
-            fs.delete(target, True)
+        old = self._path("_staging", uuid.uuid4().hex) if replace and fs.exists(target) else None
+        if old and not fs.rename(target, old):
+            raise StoreError(f"{table}: {name} can't be replaced")
         if not fs.rename(staged, target):
             raise StoreError(f"{table}: {name} can't be put in place")
+        if old:  # the rows before are there until the new ones are
+            fs.delete(old, True)
         return name
 
     def has(self, table: str, name: str) -> bool:

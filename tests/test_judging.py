@@ -69,3 +69,11 @@ def test_cache(spark):
     assert [(r.raw_response, r.written_at) for r in fresh] == [("first", 1)]
     text = judging.request_prompt("Judge.", F.lit('in"'), F.lit("out"), F.array(F.lit("a"), F.lit('b"')), F.lit("{}"))
     assert json.loads(spark.range(1).select(text).head()[0].split("\n\n")[1]) == {"context": {}, "criteria": ["a", 'b"'], "input": 'in"', "output": "out"}
+
+
+def test_criteria_with_control_characters_are_json(spark):
+    import json
+
+    texts = ["plain", 'a "b" \\ c', "line\nbreak\ttab", "\x01é/"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", judging.quote_simple(F.col("t")).alias("j")).collect()
+    assert [json.loads(r.j) for r in rows] == [r.t for r in rows] == texts
