@@ -130,3 +130,17 @@ def test_shuffled_join_gives_the_same(documents, monkeypatch):
     want = sorted(map(tuple, nd.digest(documents).collect()))
     monkeypatch.setattr(nd, "BROADCAST_GROUPS", 0)
     assert sorted(map(tuple, nd.digest(documents).collect())) == want
+
+
+def test_hot_keys_met_by_broadcast_give_the_same(spark, monkeypatch):
+    """Chains, a star and pairs, with every key hot and with none."""
+    from assayer.llm import common, connected
+
+    edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(300 + 2 * i, 301 + 2 * i) for i in range(20)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {n: 100 for n in range(100, 161)} | {n: 5 for n in [5, *range(200, 260)]} | {300 + 2 * i + k: 300 + 2 * i for i in range(20) for k in (0, 1)}
+    for few, hot in ((2**17, 1024), (0, 1024), (0, 0), (0, 4)):
+        monkeypatch.setattr(connected, "FEW_EDGES", few)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+        assert {r.node: r.label for r in connected.components(df, "a", "b").collect()} == want
