@@ -35,6 +35,8 @@ CELLS = 2**22
 #: 2 MB: the most that tells the scan which documents' sets are needed.
 BITS = 2**24
 BROADCAST_GROUPS = 200_000
+#: Classes whose rows go into one file of a table between steps, where there are more than so few files.
+PART_CLASSES, LEAST_PARTS = 5_000, 8
 
 
 def _circle() -> np.ndarray:
@@ -144,15 +146,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Links:
     """Finds links among pairs of classes, and keeps the components so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
-        self.docs, self.classes, self.k, self.labels = docs, classes, k, None
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, parts: int):
+        self.docs, self.classes, self.k, self.parts, self.labels = docs, classes, k, parts, None
 
     def allowed(self, pairs: DataFrame, label: str) -> DataFrame:
         """Pairs (a, b, shared) that sizes and sketches allow."""
         c = self.classes
         x = c.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
         y = c.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        return written(pairs.join(x, "a").join(y, "b").mapInArrow(lean(_sketches_allow), "a binary, b binary, shared long"), label)
+        return written(pairs.join(x, "a").join(y, "b").mapInArrow(lean(_sketches_allow), "a binary, b binary, shared long"), label, parts=self.parts)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, hashes) of the classes in wanted, made anew from the texts of their documents."""
@@ -173,7 +175,7 @@ class _Links:
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "hashes"])
 
         made = self.docs.mapInArrow(lean(run), "cls binary, hashes binary")
-        return written(made.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "near-sets")
+        return written(made.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "near-sets", parts=self.parts)
 
     def link(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Confirms pairs on full sets and joins the components they connect."""
@@ -183,14 +185,14 @@ class _Links:
         edges = full.mapInArrow(lean(_verify), "a binary, b binary")
         if self.labels is not None:
             edges = self.labeled(edges).select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b")
-        edges = written(edges.distinct(), "near-edges")
+        edges = written(edges.distinct(), "near-edges", parts=self.parts)
         more = components(edges, "a", "b")
         if self.labels is None:
             self.labels = more
         else:
             old = self.labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             new = more.join(self.labels.select("node"), "node", "left_anti")
-            self.labels = written(old.unionByName(new), "near-labels")
+            self.labels = written(old.unionByName(new), "near-labels", parts=self.parts)
 
     def labeled(self, pairs: DataFrame) -> DataFrame:
         """pairs with la and lb, the components of a and b so far."""
@@ -259,10 +261,10 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """members (key, cls, ...) with label, of the buckets that hold several components."""
-    named = written(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "near-named")
-    keys = written(named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 != l1").select("key", "c"), "near-keys")
+    named = written(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "near-named", parts=parts)
+    keys = written(named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 != l1").select("key", "c"), "near-keys", parts=parts)
     return meet(named, keys, "key", "c", named.count())
 
 
@@ -274,10 +276,12 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     rows = written(docs.mapInArrow(lean(_features(k)), "doc_id long, n long, cls binary, sig array<long>, cells binary"), "near-features")
     shared = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sig").alias("sig"))
     classes = written(shared, "near-classes")
+    held = classes.count()
+    parts = max(LEAST_PARTS, -(-held // PART_CLASSES))
     placed = classes.select(F.explode("sig").alias("key"), F.struct("cls", "n").alias("m"))
-    lows = written(placed.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("c")).filter("lo.cls != hi.cls"), "near-lows")
-    buckets = written(meet(placed, lows, "key", "c", classes.count() * BANDS), "near-buckets")
-    links = _Links(docs, classes.select("cls", "rep", "n", "cells"), k)
+    lows = written(placed.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("c")).filter("lo.cls != hi.cls"), "near-lows", parts=parts)
+    buckets = written(meet(placed, lows, "key", "c", held * BANDS), "near-buckets", parts=parts)
+    links = _Links(docs, classes.select("cls", "rep", "n", "cells"), k, parts)
 
     # first, each class against the class that ends most of its buckets
     ends = buckets.select(F.explode(F.array("lo", "hi")).alias("p"), "m").filter((F.col("p.cls") != F.col("m.cls")) & _sizes_allow(F.col("p.n"), F.col("m.n")))
@@ -286,8 +290,8 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     links.link(best, links.sets(_both(best)))
 
     # then against both ends of the buckets that hold several components
-    rows_open = written(_open(buckets.select("key", "m.cls", "m.n"), links.labels), "near-open")
-    end = written(rows_open.groupBy("key").agg(F.min(F.struct("cls", "n", "label")).alias("lo"), F.max(F.struct("cls", "n", "label")).alias("hi"), F.count("*").alias("m")), "near-ends")
+    rows_open = written(_open(buckets.select("key", "m.cls", "m.n"), links.labels, parts), "near-open", parts=parts)
+    end = written(rows_open.groupBy("key").agg(F.min(F.struct("cls", "n", "label")).alias("lo"), F.max(F.struct("cls", "n", "label")).alias("hi"), F.count("*").alias("m")), "near-ends", parts=parts)
     met = meet(rows_open, end, "key", "m", rows_open.count()).select("cls", "n", "label", F.explode(F.array("lo", "hi")).alias("p"))
     met = met.filter((F.col("p.label") != F.col("label")) & _sizes_allow(F.col("p.n"), F.col("n")))
     pairs = links.allowed(met.groupBy(F.col("p.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "near-pairs")
@@ -295,7 +299,7 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
 
     # in a bucket of three, all pairs have met; larger ones that are still apart go through the filter
     more = rows_open.filter("c > 3").drop("label", "c")
-    still = written(_open(more, links.labels).select("cls", "label").distinct(), "near-apart")
+    still = written(_open(more, links.labels, parts).select("cls", "label").distinct(), "near-apart", parts=parts)
     open_sets = links.sets(still)
     left = links.allowed(prefix_pairs(open_sets.join(still, "cls")), "near-left")
     links.link(left, open_sets)
