@@ -159,15 +159,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = []
-        for b in blobs(batch.column(1)):
-            bag = passages(b)
-            if len(bag) > PASSAGES:
-                bag = bag[np.linspace(0, len(bag) - 1, PASSAGES).astype(np.int64)]
-            made.append(bag.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "bag"])
+def _bags(most: int):
+    """The measures of the passages of each text, ``most`` of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for b in blobs(batch.column(1)):
+                bag = passages(b)
+                if len(bag) > most:
+                    bag = bag[np.linspace(0, len(bag) - 1, most).astype(np.int64)]
+                made.append(bag.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "bag"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -182,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = known.groupBy(F.col("doc_id").alias("_llm_id")).agg(F.max(label).cast("long").alias("label"))
     chosen = known.orderBy(uniform(F.col("_llm_id"), F.lit(8)), "_llm_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_llm_id")).select("doc_id", "text", "label")
-    bagged = rows.mapInArrow(lean(_bags), "doc_id long, label long, bag binary")
+    bagged = rows.mapInArrow(lean(_bags(PASSAGES)), "doc_id long, label long, bag binary")
     one = bagged.groupBy("doc_id").agg(F.min_by(F.struct("label", "bag"), F.xxhash64("bag")).alias("r")).select("doc_id", "r.*")
     got = one.toArrow().sort_by([("doc_id", "ascending")])
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()]
