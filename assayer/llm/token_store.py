@@ -185,7 +185,7 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == counts.sum() and len(ids) and cuts[-1] == len(ids):
-                at = cuts[np.cumsum(counts) - 1]
+                at = np.concatenate([[0], cuts])[np.cumsum(counts)]  # a unit without pieces ends where the one before it does
                 lengths[part] = np.diff(at, prepend=0)
                 made[part[0]] = ids.astype(self.dtype)  # the ids of all of part, which stand together
                 for i in part[1:]:
@@ -284,27 +284,32 @@ def word_keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mixed(key)
 
 
-def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2", end: int = END_ID) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): ids and the end id. A null text has the end id alone."""
 
     fast = fits(tokenizer, dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, dtype, fast)
-        end = np.array([END_ID], dtype).tobytes()
-        for batch in batches:
-            group, size, first = [], 0, 0
-            for k, text in enumerate(blobs(batch.column(1))):
-                group.append(text)
-                size += len(text)
-                if size >= GROUP_BYTES or k == batch.num_rows - 1:
-                    made = pa.array([ids + end for ids in encoder.encode(group)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), made], ["doc_id", "ids"])
-                    group, size, first = [], 0, k + 1
+        for names, ids in groups_of_ids(batches, tokenizer, dtype, fast, end):
+            yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
 
 
+def groups_of_ids(batches: Iterator[pa.RecordBatch], tokenizer: str, dtype: str, fast: bool, end: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(ids of documents, their token ids with the end id) of groups of rows (doc_id, text), in order. fast: what fits() says."""
+    encoder = _encoder(tokenizer, dtype, fast)
+    last = np.array([end], dtype).tobytes()
+    for batch in batches:
+        group, size, first = [], 0, 0
+        for k, text in enumerate(blobs(batch.column(1))):
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_BYTES or k == batch.num_rows - 1:
+                yield batch.column(0).slice(first, len(group)), [ids + last for ids in encoder.encode(group)]
+                group, size, first = [], 0, k + 1
+
+
 def fits(tokenizer: str, dtype: str) -> bool:
     """Whether WordEncoder is right for a tokenizer file; ids that dtype can't hold are an error."""
     definition = json.loads(Path(tokenizer).read_text("utf-8"))

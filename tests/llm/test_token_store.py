@@ -33,6 +33,20 @@ def test_any_text(encoder, texts):
     assert encoder.encode([t.encode() for t in texts]) == [plain(encoder, t) for t in texts]
 
 
+#: Unicode's white space: the library takes a lone one for a space, numpy's cut takes those beyond ASCII for a unit.
+WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+
+
+@pytest.mark.parametrize("first", WHITE)
+def test_lone_white_space_with_a_fresh_cache(encoder, first):
+    fresh = ts.WordEncoder.__new__(ts.WordEncoder)
+    fresh.__dict__.update(encoder.__dict__)
+    texts = [first, f"the {first} the", f"{first} the", f"the {first}"] + [f"zebra {first}{other} the {other} {first} a" for other in WHITE]
+    for t in [*texts, " ".join(texts)]:
+        fresh.known = ts.Known(fresh.dtype)  # whichever unit has the least key stands first among new ones
+        assert fresh.encode([t.encode()]) == [plain(encoder, t)], ascii(t)
+
+
 def test_a_small_cache_changes_nothing(documents, monkeypatch):
     monkeypatch.setattr(ts, "LIMIT", 300)
     small = ts.WordEncoder(PATH, "<u2")
