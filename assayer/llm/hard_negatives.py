@@ -39,8 +39,6 @@ SCALE = 256
 SPAN, CENTRES, SAMPLE, ROUNDS = 2, 256, 8192, 6
 #: Anchors of a block, which each executor holds; anchors whose lookup tables a task holds; rows of a group.
 BLOCK, TABLES, GROUP = 4096, 128, 8192
-#: Pairs of row and anchor scored exactly at a time.
-PAIRS = 1 << 15
 #: Times a list's length of rows that are scored first, to raise the floor of a window.
 PROBES = 4
 #: No bound on a score: below all scores, and above them.
@@ -82,9 +80,9 @@ class Codebook:
         return codes, up(left)
 
     def tables(self, anchors: np.ndarray) -> np.ndarray:
-        """(codes of a row, CENTRES, anchors): inner products of all centres with the anchors' parts."""
+        """(codes of a row, anchors, CENTRES): inner products of all centres with the anchors' parts."""
         parts = anchors.reshape(len(anchors), len(self.centres), SPAN)
-        return np.ascontiguousarray(np.einsum("mcs,ams->mca", self.centres, parts)).astype(np.int64)
+        return np.ascontiguousarray(np.einsum("mcs,ams->mac", self.centres, parts.astype(np.float64))).astype(np.int64)
 
 
 def up(squares: np.ndarray) -> np.ndarray:
@@ -111,12 +109,17 @@ def fitted(v: np.ndarray, width: int) -> Codebook:
     return Codebook(out)
 
 
-def _exact(rows: np.ndarray, anchors: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Inner products of rows[at] with anchors[of], in integers."""
-    out = np.empty(len(at), np.int64)
-    for a in range(0, len(at), PAIRS):
-        out[a : a + PAIRS] = np.einsum("ij,ij->i", rows[at[a : a + PAIRS]], anchors[of[a : a + PAIRS]])
-    return out
+def _exact(rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Inner products with an anchor; numbers of either kind hold them exactly (see exact_kind)."""
+    return (rows @ anchor).astype(np.int64)
+
+
+def exact_kind(norm: int) -> type[np.floating]:
+    """The smaller kind of floating-point numbers that holds every sum of products of vectors up to a norm exactly.
+
+    Sums of absolute products are norm * norm at most, so whole numbers below 2^24 or 2^53, in any order of adding.
+    """
+    return np.float32 if norm * norm < 2**24 else np.float64
 
 
 class Best:
@@ -127,8 +130,9 @@ class Best:
         self.lists, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
         self.least = np.full(lists, LOW, np.int64)  # a list's last score, once it is full
 
-    def add(self, lists: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        of, names, s = (np.concatenate(x) for x in ((self.lists, lists), (self.ids, ids), (self.scores, scores)))
+    def add_all(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """found: (lists, ids, scores) each."""
+        of, names, s = (np.concatenate([held, *new]) for held, new in zip((self.lists, self.ids, self.scores), zip(*found, strict=True) if found else ((), (), ()), strict=True))
         order = np.lexsort((names, -s, of))
         of, names, s = of[order], names[order], s[order]
         first = np.flatnonzero(np.diff(of, prepend=-1))
@@ -138,16 +142,9 @@ class Best:
         self.lists, self.ids, self.scores = (x[rank < self.keep] for x in (of, names, s))
 
 
-def _greatest(values: np.ndarray, keep: int) -> np.ndarray:
-    """Of each column the keep-th greatest, LOW where there are fewer."""
-    if len(values) < keep:
-        return np.full(values.shape[1], LOW, np.int64)
-    return np.partition(values, len(values) - keep, axis=0)[len(values) - keep]
-
-
 @dataclass
 class Anchors:
-    """A block: ids, labels and components; windows (anchor, low, high) of scores for the second scan."""
+    """A block: ids, labels and components; windows (anchor, low, high) of scores, by anchor, for the second scan."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -155,51 +152,79 @@ class Anchors:
     windows: np.ndarray
 
     def scored(self, book: Codebook, which: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) bounds of the scores of rows (down) and the anchors of which (across)."""
-        tables = book.tables(self.v[which].astype(np.float64))
-        total = np.zeros((len(codes), len(which)), np.int64)
+        """(lower, upper) bounds of the scores of the anchors of which (down) and of rows (across)."""
+        tables = book.tables(self.v[which])
+        total = np.zeros((len(which), len(codes)), np.int64)
         for m in range(codes.shape[1]):
-            total += tables[m][codes[:, m]]
-        slack = norms[:, None] * up((self.v[which].astype(np.float64) ** 2).sum(1))[None, :]
+            total += tables[m].take(codes[:, m], axis=1)
+        slack = up((self.v[which].astype(np.float64) ** 2).sum(1))[:, None] * norms[None, :]
         return total - slack, total + slack
 
 
-def _positives(anchors: Anchors, book: Codebook, keep: int, best: Best, ids, labels, codes, norms, v) -> None:
+@dataclass
+class Rows:
+    """A group of rows of the index."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    codes: np.ndarray
+    norms: np.ndarray
+    v: np.ndarray
+
+
+def _kth(values: np.ndarray, keep: int) -> int:
+    """The keep-th greatest, LOW where there are fewer."""
+    return int(np.partition(values, len(values) - keep)[len(values) - keep]) if len(values) >= keep else LOW
+
+
+def _positives(anchors: Anchors, book: Codebook, keep: int, best: Best, rows: Rows) -> None:
     """Adds to best, a list an anchor, what a group of rows has of each anchor's label."""
-    for label in np.intersect1d(labels, anchors.labels).tolist():
-        at, mine = np.flatnonzero(labels == label), np.flatnonzero(anchors.labels == label)
+    found = []
+    for label in np.intersect1d(rows.labels, anchors.labels).tolist():
+        at, mine = np.flatnonzero(rows.labels == label), np.flatnonzero(anchors.labels == label)
         for a in range(0, len(mine), TABLES):
             which = mine[a : a + TABLES]
-            low, high = anchors.scored(book, which, codes[at], norms[at])
-            self = ids[at][:, None] == anchors.ids[which][None, :]
-            low[self], high[self] = LOW, LOW
-            floor = np.maximum(_greatest(low, keep), best.least[which])
-            row, of = np.nonzero((high >= floor[None, :]) & ~self)
-            best.add(which[of], ids[at[row]], _exact(v, anchors.v, at[row], which[of]))
+            low, high = anchors.scored(book, which, rows.codes[at], rows.norms[at])
+            for k, lo, hi in zip(which.tolist(), low, high, strict=True):
+                own = rows.ids[at] == anchors.ids[k]
+                lo[own], hi[own] = LOW, LOW
+                kept = at[(hi >= max(_kth(lo, keep), int(best.least[k]))) & ~own]
+                found.append((np.full(len(kept), k), rows.ids[kept], _exact(rows.v[kept], anchors.v[k])))
+    best.add_all(found)
 
 
-def _negatives(anchors: Anchors, book: Codebook, keep: int, best: Best, ids, labels, codes, norms, v) -> None:
+def _negatives(anchors: Anchors, book: Codebook, keep: int, best: Best, rows: Rows) -> None:
     """Adds to best, a list a window, what a group of rows has of other labels within it."""
-    mine = np.unique(anchors.windows[:, 0])
+    mine, first = np.unique(anchors.windows[:, 0], return_index=True)
+    ends = np.append(first[1:], len(anchors.windows))
+    by_label = {label: np.flatnonzero(rows.labels == label) for label in np.intersect1d(rows.labels, anchors.labels[mine]).tolist()}
+    nowhere, found = np.zeros(0, np.int64), []
     for a in range(0, len(mine), TABLES):
         which = mine[a : a + TABLES]
-        low, high = anchors.scored(book, which, codes, norms)
-        same = labels[:, None] == anchors.labels[which][None, :]
-        for k in np.flatnonzero(np.isin(anchors.windows[:, 0], which)).tolist():
-            anchor, least, most = anchors.windows[k].tolist()
-            column = int(np.searchsorted(which, anchor))
-            lo, hi = low[:, column], high[:, column]
-            other = ~same[:, column]
-            floor = max(least, int(best.least[k]))
-            likely = np.flatnonzero(other & (hi >= floor) & (lo + hi <= 2 * most))
-            if len(likely) > PROBES * keep:  # a list's length of exact scores near the top of the window raises the floor
-                likely = likely[np.argpartition(lo[likely], len(likely) - PROBES * keep)[-PROBES * keep :]]
-                probed = _exact(v, anchors.v, likely, np.full(len(likely), anchor))
-                floor = max(floor, int(_greatest(probed[(probed >= least) & (probed <= most)][:, None], keep)[0]))
-            at = np.flatnonzero(other & (hi >= floor) & (lo <= most))
-            scores = _exact(v, anchors.v, at, np.full(len(at), anchor))
-            fit = (scores >= least) & (scores <= most)
-            best.add(np.full(int(fit.sum()), k), ids[at[fit]], scores[fit])
+        low, high = anchors.scored(book, which, rows.codes, rows.norms)
+        for i, anchor in enumerate(which.tolist()):
+            lists = range(first[a + i], ends[a + i])
+            same = by_label.get(anchors.labels[anchor], nowhere)
+            low[i, same], high[i, same] = HIGH, LOW
+            floors = [max(int(anchors.windows[k, 1]), int(best.least[k])) for k in lists]
+            tops = [int(anchors.windows[k, 2]) for k in lists]
+            near = np.flatnonzero((high[i] >= min(floors)) & (low[i] <= max(tops)))
+            if not len(near):
+                continue
+            lo, hi, scores = low[i, near], high[i, near], np.full(len(near), HIGH)
+            for j, k in enumerate(lists):  # a list's length of exact scores near the top of a window raises its floor
+                likely = np.flatnonzero((hi >= floors[j]) & (lo + hi <= 2 * tops[j]))
+                if len(likely) > PROBES * keep:
+                    likely = likely[np.argpartition(lo[likely], len(likely) - PROBES * keep)[-PROBES * keep :]]
+                    probed = _exact(rows.v[near[likely]], anchors.v[anchor])
+                    floors[j] = max(floors[j], _kth(probed[(probed >= anchors.windows[k, 1]) & (probed <= tops[j])], keep))
+            wanted = [(hi >= floor) & (lo <= top) for floor, top in zip(floors, tops, strict=True)]
+            any_of = np.flatnonzero(np.logical_or.reduce(wanted))
+            scores[any_of] = _exact(rows.v[near[any_of]], anchors.v[anchor])
+            for k, floor, top in zip(lists, floors, tops, strict=True):
+                fit = (scores >= floor) & (scores <= top)
+                found.append((np.full(int(fit.sum()), k), rows.ids[near[fit]], scores[fit]))
+    best.add_all(found)
 
 
 class Index:
@@ -213,7 +238,7 @@ class Index:
         n, width, norm = _measured(wanted)
         if 4 * norm * norm >= 2**53:  # scores and bounds of them stay exact in 64-bit numbers of either kind
             raise ValueError("components are too large for exact scores")
-        self.count = n
+        self.kind = exact_kind(norm)
         self.book = fitted(_sampled(wanted, n, width), width)
         self.rows = written(_indexed(wanted, self.book), "vector-index")
 
@@ -227,7 +252,7 @@ class Index:
             dealt = written(dealt.repartition(parts, "block"), "anchors")
         for b in range(parts):
             got = dealt.filter(F.col("block") == b).toArrow()
-            v = _unpacked(got["v"], self.book.width)
+            v = _unpacked(got["v"], self.book.width, self.kind)
             ids, labels = got["vec_id"].to_numpy(), got["label"].to_numpy()
             order = np.lexsort((*v.T[::-1], labels, ids))
             yield Anchors(ids[order], labels[order], v[order], np.zeros((0, 3), np.int64))
@@ -243,8 +268,8 @@ class Index:
             def flush() -> None:
                 t = pa.Table.from_batches(held)
                 codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(t), -1)
-                v = _unpacked(t["v"], book.width)
-                find(block, book, keep, best, t["vec_id"].to_numpy(), t["label"].to_numpy(), codes, t["norm"].to_numpy(), v)
+                v = _unpacked(t["v"], book.width, block.v.dtype)
+                find(block, book, keep, best, Rows(t["vec_id"].to_numpy(), t["label"].to_numpy(), codes, t["norm"].to_numpy(), v))
 
             for batch in batches:
                 for a in range(0, batch.num_rows, GROUP):
@@ -301,8 +326,8 @@ def _indexed(rows: DataFrame, book: Codebook) -> DataFrame:
     return rows.mapInArrow(lean(run), "vec_id long, label long, codes binary, norm long, v binary")
 
 
-def _unpacked(v: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(v.to_pylist()), "<i4").reshape(-1, width).astype(np.int64)
+def _unpacked(v: pa.ChunkedArray, width: int, kind: type[np.floating]) -> np.ndarray:
+    return np.frombuffer(b"".join(v.to_pylist()), "<i4").reshape(-1, width).astype(kind)
 
 
 def hard_negatives(rows: DataFrame, anchors: Column, label: Column | None = None, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:

@@ -66,22 +66,22 @@ def test_small_blocks_and_groups_change_nothing(spark, monkeypatch):
 def test_groups_within_a_task():
     """Several groups of rows, one task: floors carried from group to group lose nothing."""
     rows = vectors(800, 6, hot=0.2)
-    v = np.floor(256 * np.array([r[1] for r in rows], "f4").astype("f8")).astype(np.int64)
+    v = np.floor(256 * np.array([r[1] for r in rows], "f4").astype("f8"))
     ids, labels = np.arange(len(rows)), np.array([r[2] for r in rows])
-    book = hn.fitted(v[:300].astype(float), v.shape[1])
-    codes, norms = book.encode(v.astype(float))
+    book = hn.fitted(v[:300], v.shape[1])
+    codes, norms = book.encode(v)
     block = hn.Anchors(ids[::40], labels[::40], v[::40], np.zeros((0, 3), np.int64))
     results = []
     for step in (800, 50):
         best = hn.Best(len(block.ids), 5)
         for a in range(0, 800, step):
             part = slice(a, a + step)
-            hn._positives(block, book, 5, best, ids[part], labels[part], codes[part], norms[part], v[part])
+            hn._positives(block, book, 5, best, hn.Rows(ids[part], labels[part], codes[part], norms[part], v[part]))
         block.windows = np.stack([best.lists, -(-30 * best.scores // 100), 90 * best.scores // 100], axis=1)
         lists = hn.Best(len(best.lists), 10)
         for a in range(0, 800, step):
             part = slice(a, a + step)
-            hn._negatives(block, book, 10, lists, ids[part], labels[part], codes[part], norms[part], v[part])
+            hn._negatives(block, book, 10, lists, hn.Rows(ids[part], labels[part], codes[part], norms[part], v[part]))
         results.append([x.tolist() for x in (best.lists, best.ids, best.scores, lists.lists, lists.ids, lists.scores)])
     assert results[0] == results[1]
 
@@ -95,10 +95,9 @@ def test_bounds_hold(seed, width):
     book = hn.fitted(v[: rng.integers(0, 40)], width)
     padded = np.pad(v, ((0, 0), (0, book.width - width)))
     codes, norms = book.encode(padded)
-    whole = padded.astype(np.int64)
-    block = hn.Anchors(np.arange(40), np.zeros(40), whole, np.zeros((0, 3), np.int64))
+    block = hn.Anchors(np.arange(40), np.zeros(40), padded, np.zeros((0, 3), np.int64))
     low, high = block.scored(book, np.arange(40), codes, norms)
-    scores = whole @ whole.T
+    scores = padded @ padded.T
     assert (low <= scores).all() and (scores <= high).all()
 
 
@@ -124,6 +123,16 @@ def test_shorter_vectors_and_clashing_columns(spark):
     assert sorted(map(tuple, hn.digest(more).collect())) == brute(rows)
 
 
+def test_sums_stay_exact():
+    """The kind of numbers for a norm holds sums of products up to it, in any order."""
+    assert hn.exact_kind(4095) is np.float32 and hn.exact_kind(4096) is np.float64
+    rng = np.random.default_rng(1)
+    for scale in (700, 60_000):
+        v = rng.integers(-scale, scale, size=(200, 32))
+        kind = hn.exact_kind(int(np.sqrt((v * v).sum(1)).max()) + 1)
+        assert (hn._exact(v.astype(kind), v[0].astype(kind)) == v @ v[0]).all()
+
+
 def test_nothing_to_mine(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(1, [0.5], 1), (2, [0.5], 1)]) == []
