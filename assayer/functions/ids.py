@@ -37,12 +37,3 @@ def dataset_id(name: str, version: str) -> str:
     """Name and version are stripped first."""
     pair = canonical_dumps([name.strip(), version.strip()])
     return "dataset_" + uuid.uuid5(uuid.UUID(DATASET_NAMESPACE), pair).hex
-
-
-def digest_of(rows: Column, order: Column) -> Column:
-    """Aggregate: sha256 of the JSON list of rows (JSON texts) in ascending order of order.
-
-    A digest over an order needs its rows together: callers group by an owner whose size is bounded.
-    """
-    ordered = F.sort_array(F.collect_list(F.struct(order.alias("o"), rows.alias("r"))))
-    return sha256(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["r"]), ","), F.lit("]")))

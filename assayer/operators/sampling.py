@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.ids import digest_of, eval_id, sha256
+from assayer.functions.ids import eval_id, sha256
 from assayer.functions.json_text import fixed_object, json_bool, quote
+from assayer.functions.ordering import ordered_digests
 from assayer.functions.numbers import count_if
 from assayer.functions.text import nonblank
 
@@ -117,7 +118,7 @@ def build_manifest(candidates: DataFrame, size: int, labels: DataFrame) -> DataF
         selection_key=quote(F.col("selection_key")),
         trace_id=quote(F.col("trace_id")),
     )
-    preferences = candidates.groupBy("cluster_number").agg(digest_of(record, F.col("trace_id")).alias("preference_manifest_hash"))
+    preferences = ordered_digests(candidates, F.col("cluster_number"), record, F.col("trace_id")).withColumnsRenamed({"owner": "cluster_number", "digest": "preference_manifest_hash"})
     rows = labels.join(quotas(candidates, size), "cluster_number", "left").join(preferences, "cluster_number", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(

@@ -141,6 +141,8 @@ SQL: dict[str, str] = {
     "eligible_by_slice": f"{SIGNALS} SELECT cluster_number, count(*) AS eligible_count, count(*) FILTER (critical_priority_signal) AS critical_count, count(*) FILTER (prior_failure_signal) AS failure_count FROM candidates GROUP BY cluster_number",
     "sample_quota": f"{SIGNALS} SELECT * FROM quota",
     "sample_selection": f"{SIGNALS} SELECT trace_id, cluster_number, preference_tier, selection_key, CAST(selection_rank AS INT) AS selection_rank FROM turns WHERE turn <= {SAMPLE_SIZE}",
+    "source_manifest": f"""{_with(VIEWS)} SELECT 'traces' AS source, sha256('[' || string_agg('{{"document_hash":"' || sha256(prompt) || '","source_trace_hash":"' || sha256(coalesce(response, '')) || '","trace_id":"' || trace_id || '"}}', ',' ORDER BY trace_id) || ']') AS manifest_hash FROM traces
+      UNION ALL SELECT 'events', sha256('[' || string_agg('{{"event":' || event_id || ',"type":"' || event_type || '"}}', ',' ORDER BY event_id) || ']') FROM events""",
     "manifest_hash": f"""{_with(VIEWS)} SELECT conv_id, sha256('[' || string_agg('{{"document_hash":"' || sha256(prompt) || '","trace_id":"' || trace_id || '"}}', ',' ORDER BY trace_id) || ']') AS manifest_hash FROM traces GROUP BY conv_id""",
     "eval_ids": f"""{_with(VIEWS)}, h AS (SELECT trace_id, sha1(unhex('{NS}') || encode('["{DATASET}","' || trace_id || '"]')) AS h FROM traces)
       SELECT trace_id, 'eval_' || substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 15) AS eval_id FROM h""",

@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.ids import digest_of, eval_id, sha256
+from assayer.functions.ids import eval_id, sha256
 from assayer.functions.json_text import fixed_object, quote
+from assayer.functions.ordering import ordered_digest, ordered_digests
 from assayer.functions.numbers import exact_mean
 from assayer.functions.text import nonblank, strip
 from assayer.operators import clustering, comparing, judging, sampling, scoring
@@ -274,7 +275,17 @@ def sample_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each conversation's records, in order."""
     record = fixed_object(document_hash=quote(sha256(F.col("prompt"))), trace_id=quote(F.col("trace_id")))
-    return traces(spark, sf_dir).groupBy("conv_id").agg(digest_of(record, F.col("trace_id")).alias("manifest_hash"))
+    found = ordered_digests(traces(spark, sf_dir), F.col("conv_id"), record, F.col("trace_id"))
+    return found.withColumnsRenamed({"owner": "conv_id", "digest": "manifest_hash"})
+
+
+def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest over all traces, and one over all events, in order; no task holds either list."""
+    hashed = traces(spark, sf_dir).select("trace_id", sha256(F.col("prompt")).alias("document_hash"), sha256(F.coalesce("response", F.lit(""))).alias("source_trace_hash"))
+    record = fixed_object(event=F.col("event_id").cast("string"), type=quote(F.col("event_type")))
+    events = ordered_digest(table(spark, sf_dir, "events"), record, F.col("event_id"))
+    rows = [("events", events), ("traces", clustering.source_manifest(hashed))]
+    return spark.createDataFrame(rows, "source string, manifest_hash string")
 
 
 def eval_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,7 +544,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     all_newest_first, document_order,
     score_exact, score_contains, score_regex, score_json_validity, score_required_keys, case_scores,
     run_aggregates, run_slice_aggregates, case_comparisons, comparison_aggregates, comparison_slices, newly_lists, gate_violations, gate_verdict, gate_over_lineitem,
-    judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, eval_ids,
+    judge_criteria_scores, judge_review_state, judge_cache_status, historical_signals, eligible_by_slice, sample_quota, sample_selection, manifest_hash, source_manifest, eval_ids,
     tfidf_weights, tfidf_norms, trace_tfidf_weights, trace_distinct_vectors, cluster_numbers, kmeans_slices, detail_join, overview_metrics, filter_cases, review_queue, slice_table,
     latency_summary, orphans, mode_shape, current_status, stripped_texts, redaction, priority_means,
     provenance_mismatch, slice_membership, violation_scopes, foreign_results, judge_mismatches, assignment_faults, mode_partition, run_results, run_coverage, judge_counters, critical_failures,
