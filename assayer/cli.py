@@ -90,7 +90,8 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> int:
         for r in bad.orderBy("file", "line").toLocalIterator():
             print(r.message, file=sys.stderr)
         if counters.stored:
-            catalog.commit("traces", rows)
+            with catalog.change() as change:
+                change.first("traces", "trace_id", rows)
         print(json.dumps(counters.__dict__))
     elif run == "traces_list":
         table(newest_first(catalog.read("traces")).limit(args.limit).select("trace_id", utc_text(F.col("timestamp")), "task_type"))

@@ -17,8 +17,8 @@ from assayer.functions.ordering import ordered_digest
 from assayer.operators import comparing, judging, scoring
 from assayer.plans import constraints, reports
 from assayer.plans.config import Config, ConfigError, configuration_hash
+from assayer.plans.log import Change
 from assayer.plans.store import Catalog
-from assayer.schemas import schema
 from assayer.sources import fixtures, http_provider
 
 
@@ -112,13 +112,14 @@ class Experiment:
         self.prepare()
         c, x = self.catalog, f"experiment_{uuid.uuid4().hex}"
         self.id, runs = x, {r: f"run_{uuid.uuid4().hex}" for r in comparing.ROLES}
-        self._commit("experiments", self._rows("experiments", [{"experiment_id": x, "name": self.config.name, "dataset_id": self.dataset, "configuration_hash": self.configuration}]))
-        self._commit("runs", self._rows("runs", [{"run_id": runs[r], "experiment_id": x, "role": r, "provider": s.provider, "model": s.settings.get("model"), "prompt_hash": s.prompt.sha256 if s.prompt else None, "settings_json": canonical_dumps(redacted({k: v for k, v in s.settings.items() if k != "path"}))} for r, s in self.config.sides.items()]))
-        if j := self.config.judge:
-            self._commit("judges", self._rows("judges", [{"experiment_id": x, "provider": j.provider, "model": j.settings.get("model"), "confidence_threshold": j.confidence_threshold, "prompt_hash": j.prompt.sha256 if j.prompt else None, "retry_prompt_hash": j.retry_prompt.sha256 if j.retry_prompt else None}]))
-        c.move("experiment_events", "experiment_id", x, "running")
-        for r in runs.values():
-            c.move("run_events", "run_id", r, "pending", experiment_id=x)
+        with c.change() as start:
+            start.put("experiments", [{"experiment_id": x, "name": self.config.name, "dataset_id": self.dataset, "configuration_hash": self.configuration}])
+            start.put("runs", [self._run(r, runs[r], s) for r, s in self.config.sides.items()])
+            if j := self.config.judge:
+                start.put("judges", [{"experiment_id": x, "provider": j.provider, "model": j.settings.get("model"), "confidence_threshold": j.confidence_threshold, "prompt_hash": j.prompt.sha256 if j.prompt else None, "retry_prompt_hash": j.retry_prompt.sha256 if j.retry_prompt else None}])
+            c.move("experiment_events", "experiment_id", x, "running", start)
+            for r in runs.values():
+                c.move("run_events", "run_id", r, "pending", start, experiment_id=x)
         stage = "preparation"
         try:
             scored = []
@@ -128,24 +129,25 @@ class Experiment:
                 scored.append(self._role(role, run))
                 c.move("run_events", "run_id", run, "completed", experiment_id=x)
             stage = "comparison"
-            verdict = self._compare(scored[0].unionByName(scored[1]))
+            self._compare(scored[0].unionByName(scored[1]))
         except Exception as error:
-            for r in runs.values():
-                last = constraints.current_status(c.read("run_events").filter(F.col("run_id") == r), "run_id").head().status
-                if constraints.NEXT[last]:
-                    c.move("run_events", "run_id", r, "skipped" if last == "pending" else "failed", experiment_id=x, failure_message=None if last == "pending" else str(error)[:500])
-            c.move("experiment_events", "experiment_id", x, "failed", failure_stage=stage, failure_message=str(error)[:500])
+            with c.change() as end:
+                for r in runs.values():
+                    last = c.last_event("run_events", "run_id", r)["status"]
+                    if constraints.NEXT[last]:
+                        c.move("run_events", "run_id", r, "skipped" if last == "pending" else "failed", end, experiment_id=x, failure_message=None if last == "pending" else str(error)[:500])
+                c.move("experiment_events", "experiment_id", x, "failed", end, failure_stage=stage, failure_message=str(error)[:500])
             raise OperationalError(x, stage, str(error)) from error
-        c.move("experiment_events", "experiment_id", x, "completed", verdict=verdict)
         return x
 
-    def _rows(self, table: str, rows: list[dict[str, Any]]) -> DataFrame:
-        return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema(table).fields) for r in rows], schema(table))
+    def _run(self, role: str, run: str, side: Any) -> dict[str, Any]:
+        settings = canonical_dumps(redacted({k: v for k, v in side.settings.items() if k != "path"}))
+        return {"run_id": run, "experiment_id": self.id, "role": role, "provider": side.provider, "model": side.settings.get("model"), "prompt_hash": side.prompt.sha256 if side.prompt else None, "settings_json": settings}
 
-    def _commit(self, table: str, rows: DataFrame) -> DataFrame:
+    def _commit(self, table: str, rows: DataFrame, within: Change | None = None) -> DataFrame:
         """Writes rows of this experiment and returns them as stored."""
-        name = self.catalog.commit(table, rows.withColumn("experiment_id", F.lit(self.id)), f"{self.id}-{uuid.uuid4().hex}")
-        return self.spark.read.schema(schema(table)).parquet(f"{self.catalog.root}/{table}/{name}")
+        with self.catalog.change(within) as change:
+            return change.add(table, rows.withColumn("experiment_id", F.lit(self.id)))
 
     def _generated(self, role: str) -> DataFrame:
         """(role, eval_id, output, latency_ms) of all cases, from the fixture or the connector."""
@@ -196,22 +198,25 @@ class Experiment:
         constraints.check_empty(judged.filter(F.col("code").isNotNull()).select("eval_id", "code", "error"), "judgments that don't hold")
         made = judged.filter("cache_status = 'miss'").select("cache_key", "identity_json", F.element_at("outputs", F.col("attempts")).alias("raw_response"), F.current_timestamp().alias("written_at"))
         entries = judging.new_entries(made, c.read("judge_cache")).join(made.select("cache_key", "identity_json").dropDuplicates(["cache_key"]), "cache_key")
-        c.commit("judge_cache", entries, f"{self.id}-{role}")
+        with c.change() as change:  # whoever stored a key first keeps it; this run goes on with its own answers
+            change.first("judge_cache", "cache_key", entries)
         self._commit("judge_results", judged)
         listed = F.transform("criteria", lambda x, i: F.struct(i.cast("int").alias("scorer_index"), F.lit("rubric").alias("name"), x["score"].alias("score"), x["passed"].alias("passed"), F.to_json(F.struct(x["criterion"].alias("criterion"), x["reason"].alias("reason"))).alias("details")))
         return judged.select("role", "eval_id", "evaluation_mode", "output", "score", "passed", listed.alias("results"))
 
-    def _compare(self, results: DataFrame) -> str:
+    def _compare(self, results: DataFrame) -> None:
+        """Stores the comparison, its gate and the end of the experiment in one change."""
         constraints.check_empty(comparing.coverage_gaps(results), "cases that the runs don't share")
-        self._commit("run_aggregates", comparing.run_aggregates(results))
-        cases = self._commit("case_comparisons", comparing.compare_cases(results))
-        scopes = self._commit("comparison_aggregates", comparing.comparison_aggregates(cases))
-        slices = None
-        if self.sliced:
-            self._commit("run_slice_aggregates", comparing.run_slice_aggregates(results, self.members))
-            slices = self._commit("comparison_slice_aggregates", comparing.comparison_slices(cases, self.members))
-        found = self._commit("gate_violations", comparing.gate_violations(scopes, self.config.limits(), slices, self.slice_limits))
-        return comparing.verdict(found).head().verdict
+        with self.catalog.change() as change:
+            self._commit("run_aggregates", comparing.run_aggregates(results), change)
+            cases = self._commit("case_comparisons", comparing.compare_cases(results), change)
+            scopes = self._commit("comparison_aggregates", comparing.comparison_aggregates(cases), change)
+            slices = None
+            if self.sliced:
+                self._commit("run_slice_aggregates", comparing.run_slice_aggregates(results, self.members), change)
+                slices = self._commit("comparison_slice_aggregates", comparing.comparison_slices(cases, self.members), change)
+            found = self._commit("gate_violations", comparing.gate_violations(scopes, self.config.limits(), slices, self.slice_limits), change)
+            self.catalog.move("experiment_events", "experiment_id", self.id, "completed", change, verdict=comparing.verdict(found).head().verdict)
 
 
 def load_detail(catalog: Catalog, experiment_id: str) -> DataFrame:

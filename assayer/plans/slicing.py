@@ -15,6 +15,7 @@ from assayer.functions.json_text import canonical_dumps
 from assayer.functions.shared import forget, written
 from assayer.operators import clustering, sampling
 from assayer.operators.clustering import ClusteringError
+from assayer.plans.log import View
 from assayer.plans.store import Catalog, StoreError
 from assayer.schemas import schema
 from assayer.sources.traces import payload
@@ -31,7 +32,8 @@ def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None =
     A corpus whose matrix has up to DENSE_CELLS cells is clustered on the driver; any other as
     sparse vectors on the executors. The manifest is a digest of ranges' digests.
     """
-    spark, traces = catalog.spark, _hashed(catalog.read("traces"))
+    spark, start = catalog.spark, catalog.view()
+    traces = _hashed(catalog.read("traces", start))
     count = traces.count()
     if not 1 <= k <= count:
         raise ClusteringError(f"{k} clusters of {count} traces")
@@ -49,15 +51,26 @@ def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None =
     run = f"cluster_run_{uuid.uuid4().hex}"
     indexed = clustering.document_index(traces.select("trace_id", "document_hash", "source_trace_hash"))
     rows = written(clustering.canonical_numbers(made).join(indexed, "trace_id").withColumn("clustering_run_id", F.lit(run)), "slice-rows")
-    if rows.count() != count or clustering.source_manifest(_hashed(catalog.read("traces"))) != manifest:
+    if rows.count() != count:
         raise ClusteringError("traces were added meanwhile")
-    if catalog.read("clustering_runs").filter(F.col("name") == name.strip()).head():
-        raise ClusteringError(f"a run named {name.strip()!r} exists")
-    catalog.commit("cluster_assignments", rows, run)
     now = datetime.now(UTC)
-    catalog.commit("cluster_labels", spark.createDataFrame([(run, n, None, None, 0, now) for n in range(k)], schema("cluster_labels")), run)
     digest = hashlib.sha256(canonical_dumps(config).encode()).hexdigest()
-    catalog.commit("clustering_runs", spark.createDataFrame([(run, name.strip(), digest, manifest, count, k, float(cost), now)], schema("clustering_runs")), run)
+
+    def unchanged(view: View) -> None:
+        if view.changed.get("traces") != start.changed.get("traces") and clustering.source_manifest(_hashed(catalog.read("traces", view))) != manifest:
+            raise ClusteringError("traces were added meanwhile")
+
+    def unnamed(view: View) -> None:
+        if catalog.read("clustering_runs", view).filter(F.col("name") == name.strip()).head():
+            raise ClusteringError(f"a run named {name.strip()!r} exists")
+
+    with catalog.change() as change:
+        change.require(unchanged, "traces")
+        change.require(unnamed, "clustering_runs")
+        change.add("cluster_assignments", rows, run)
+        change.put("cluster_labels", [{"clustering_run_id": run, "cluster_number": n, "label": None, "label_key": None, "version": 0, "updated_at": now} for n in range(k)], run)
+        head = {"clustering_run_id": run, "name": name.strip(), "configuration_hash": digest, "source_manifest_hash": manifest, "trace_count": count, "cluster_count": k, "inertia": float(cost), "created_at": now}
+        change.put("clustering_runs", [head], run)
     for used in (weights, rows):
         forget(used)
     return run
@@ -137,19 +150,20 @@ def history(catalog: Catalog) -> DataFrame:
 
 def build_from_slices(catalog: Catalog, run: str, name: str, version: str, size: int, overrides: DataFrame) -> str:
     """A sealed dataset of size cases, balanced over the run's slices; nothing is stored on an error."""
-    head = catalog.read("clustering_runs").filter(F.col("clustering_run_id") == run).head()
+    start = catalog.view()
+    head = catalog.read("clustering_runs", start).filter(F.col("clustering_run_id") == run).head()
     if head is None:
         raise StoreError(f"{run} doesn't exist")
     if bad := changed_sources(catalog, run).limit(1).collect():
         raise StoreError(f"trace {bad[0].trace_id} changed after {run}")
     check_snapshot(catalog, run)
-    traces = catalog.read("traces")
-    assigned = catalog.read("cluster_assignments").filter(F.col("clustering_run_id") == run).join(traces, "trace_id")
+    traces = catalog.read("traces", start)
+    assigned = catalog.read("cluster_assignments", start).filter(F.col("clustering_run_id") == run).join(traces, "trace_id")
     candidates = sampling.eligible(assigned, history(catalog), head.configuration_hash, head.source_manifest_hash).cache()
     sample = sampling.select_sample(candidates, size).cache()
     if unused := [r[0] for r in sampling.unused_overrides(overrides, sample).limit(5).collect()]:
         raise StoreError("overrides of traces that weren't selected: " + ", ".join(unused))
-    labels = catalog.labels(run)
+    labels = catalog.labels(run, start)
     from assayer.functions.ids import dataset_id
 
     made = dataset_id(name, version)
@@ -161,6 +175,15 @@ def build_from_slices(catalog: Catalog, run: str, name: str, version: str, size:
     manifest = sampling.build_manifest(candidates, size, labels).orderBy("cluster_number").collect()  # a row for each slice
     digest = hashlib.sha256(canonical_dumps([r.asDict() for r in manifest]).encode()).hexdigest()
     build = catalog.spark.createDataFrame([(made, run, size, digest, head.configuration_hash, head.source_manifest_hash, datetime.now(UTC))], schema("slice_builds"))
-    catalog.create_dataset(name, version)
-    catalog.seal(made, cases, provenance, build)
+
+    def as_read(view: View) -> None:
+        if any(view.changed.get(t) != start.changed.get(t) for t in ("traces", "cluster_labels")):
+            raise StoreError("traces or labels changed meanwhile")
+
+    with catalog.change() as change:
+        change.require(as_read, "traces", "cluster_labels")
+        catalog.create_dataset(name, version, within=change)
+        catalog.seal(made, cases, provenance, build, change)
+    for used in (candidates, sample):
+        used.unpersist()
     return made

@@ -1,23 +1,26 @@
-"""A catalog of append-only Parquet tables with atomic commits.
+"""A catalog of append-only Parquet tables whose changes, of several tables at once, are atomic.
 
-A commit is a folder below its table. Rows are written to a staging folder and renamed into place,
-so readers see a commit whole or not at all. There are no updates: state changes are event rows,
-renamed labels are new versions, and sealed datasets take no more commits.
+What a change adds appears with one record of the log (see log.py), which is put only if no other
+writer was there before; checks are made against the version that it follows. There are no updates:
+state changes are event rows, renamed labels are new versions, and sealed datasets take no more cases.
 """
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
+from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.text import label_key_of
 from assayer.plans import constraints
-from assayer.schemas import DDL, schema
+from assayer.plans.log import Change, Log, View
+from assayer.schemas import DDL
 
-FORMAT = "1"
+FORMAT = "2"
 
 
 class StoreError(ValueError):
@@ -36,6 +39,7 @@ class Catalog:
                 raise StoreError(f"{root} has format {held}; this version reads {FORMAT}")
         else:
             spark.createDataFrame([(FORMAT,)], "value string").coalesce(1).write.mode("ignore").text(path.toString())
+        self.log = Log(spark, self.root)
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -43,51 +47,52 @@ class Catalog:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def commits(self, table: str) -> list[str]:
-        """Names of the commits of a table, in order."""
-        path, fs = self._path(table), self._fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def read(self, table: str, leave_out: str | None = None) -> DataFrame:
-        """All rows of a table, but for those of the commit left out."""
-        names = [n for n in self.commits(table) if n != leave_out]
-        if not names:
-            return self.spark.createDataFrame([], schema(table))
-        return self.spark.read.schema(schema(table)).parquet(*[f"{self.root}/{table}/{n}" for n in names])
-
-    def commit(self, table: str, rows: DataFrame, name: str | None = None, replace: bool = False) -> str:
-        """Writes rows as one commit; an existing name is an error unless it is replaced."""
-        name = name or uuid.uuid4().hex
-        fs, target, staged = self._fs(), self._path(table, name), self._path("_staging", uuid.uuid4().hex)
-        if fs.exists(target) and not replace:
-            raise StoreError(f"{table} has {name} already")
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(table).fields]
-        rows.select(*columns).write.parquet(staged.toString())
-        fs.mkdirs(self._path(table))
-        old = self._path("_staging", uuid.uuid4().hex) if replace and fs.exists(target) else None
-        if old and not fs.rename(target, old):
-            raise StoreError(f"{table}: {name} can't be replaced")
-        if not fs.rename(staged, target):
-            raise StoreError(f"{table}: {name} can't be put in place")
-        if old:  # the rows before are there until the new ones are
-            fs.delete(old, True)
-        return name
+    def view(self) -> View:
+        """The newest version, for several reads that belong together."""
+        return self.log.view()
+
+    def read(self, table: str, view: View | None = None) -> DataFrame:
+        """All rows of a table, as of a view or now."""
+        return self.log.read(table, view or self.log.view())
+
+    @contextmanager
+    def change(self, within: Change | None = None) -> Iterator[Change]:
+        """A change that is committed at the end of the block, or the one that it is part of."""
+        if within is not None:
+            yield within
+            return
+        with Change(self.log) as made:
+            yield made
+
+    def commit(self, table: str, rows: DataFrame, name: str | None = None) -> None:
+        """Adds rows to one table; a name that the table has had is an error."""
+        with self.change() as made:
+            if name is not None:
+                self._new(made, table, name, f"{table} has {name} already")
+            made.add(table, rows, name)
+
+    def _new(self, change: Change, table: str, name: str, message: str) -> None:
+        def check(view: View) -> None:
+            if view.has(table, name):
+                raise StoreError(message)
+
+        check(change.start)
+        change.require(check, table)
 
     def has(self, table: str, name: str) -> bool:
-        return self._fs().exists(self._path(table, name))
+        return self.log.view().has(table, name)
 
     # Datasets
 
-    def create_dataset(self, name: str, version: str, description: str = "") -> str:
+    def create_dataset(self, name: str, version: str, description: str = "", within: Change | None = None) -> str:
         from assayer.functions.ids import dataset_id
 
         if not name.strip() or not version.strip() or ":" in name + version:
             raise StoreError("name and version must be filled and have no colon")
         made = dataset_id(name, version)
-        if self.has("datasets", made):
-            raise StoreError(f"{name}:{version} exists already")
-        row = [(made, name.strip(), version.strip(), description, datetime.now(UTC))]
-        self.commit("datasets", self.spark.createDataFrame(row, schema("datasets")), made)
+        with self.change(within) as change:
+            self._new(change, "datasets", made, f"{name}:{version} exists already")
+            change.put("datasets", [{"dataset_id": made, "name": name.strip(), "version": version.strip(), "description": description, "created_at": datetime.now(UTC)}], made)
         return made
 
     def find_dataset(self, reference: str) -> str:
@@ -102,22 +107,33 @@ class Catalog:
             raise StoreError(f"{reference} doesn't exist")
         return made
 
-    def add_cases(self, dataset: str, cases: DataFrame) -> None:
+    def add_cases(self, dataset: str, cases: DataFrame, within: Change | None = None) -> None:
         """Appends cases of a dataset that isn't sealed; every case has the shape of its mode and a trace of its own."""
-        if self.has("slice_builds", dataset):
-            raise StoreError(f"{dataset} is sealed")
+
+        def open_still(view: View) -> None:
+            if view.has("slice_builds", dataset):
+                raise StoreError(f"{dataset} is sealed")
+
+        open_still(self.log.view())
         constraints.check(cases, constraints.case_shape(), "cases that don't fit their mode")
-        all_cases = self.read("cases").filter(F.col("dataset_id") == dataset).select("source_trace_id").unionByName(cases.select("source_trace_id"))
-        constraints.check_empty(constraints.repeated(all_cases, "source_trace_id"), "traces used twice")
-        self.commit("cases", cases)
+        with self.change(within) as change:
+            stored = change.add("cases", cases)
+
+            def traces_once(view: View) -> None:
+                held = self.read("cases", view).filter(F.col("dataset_id") == dataset).select("source_trace_id")
+                constraints.check_empty(constraints.repeated(held.unionByName(stored.select("source_trace_id")), "source_trace_id"), "traces used twice")
 
-    def seal(self, dataset: str, cases: DataFrame, provenance: DataFrame, build: DataFrame) -> None:
-        """Writes a sliced dataset whole; the build, written last, seals it."""
+            change.require(open_still, "slice_builds")
+            change.require(traces_once, "cases")
+
+    def seal(self, dataset: str, cases: DataFrame, provenance: DataFrame, build: DataFrame, within: Change | None = None) -> None:
+        """Writes a sliced dataset whole: its cases, their provenance and its seal appear together."""
         constraints.check_empty(constraints.incomplete_builds(build, cases, provenance), "builds that aren't complete")
         constraints.check_empty(constraints.orphans(provenance, cases, "eval_id"), "provenance without a case")
-        self.add_cases(dataset, cases)
-        self.commit("slice_provenance", provenance, dataset)
-        self.commit("slice_builds", build, dataset)
+        with self.change(within) as change:
+            self.add_cases(dataset, cases, change)
+            change.add("slice_provenance", provenance)
+            change.add("slice_builds", build, dataset)
 
     def datasets(self) -> DataFrame:
         """Datasets by name and version with their number of cases, empty ones too."""
@@ -126,9 +142,9 @@ class Catalog:
 
     # Slices
 
-    def labels(self, run: str) -> DataFrame:
+    def labels(self, run: str, view: View | None = None) -> DataFrame:
         """The last version of each slice's label."""
-        rows = self.read("cluster_labels").filter(F.col("clustering_run_id") == run)
+        rows = self.read("cluster_labels", view).filter(F.col("clustering_run_id") == run)
         last = F.row_number().over(Window.partitionBy("cluster_number").orderBy(F.desc("version")))
         return rows.withColumn("_last", last).filter("_last = 1").drop("_last")
 
@@ -136,15 +152,20 @@ class Catalog:
         """A new version of one slice's label; the same label is no change, another slice's is an error."""
         if not label.strip():
             raise StoreError("a label must not be blank")
-        held = {r.cluster_number: r for r in self.labels(run).collect()}  # as many as slices
-        if number not in held:
-            raise StoreError(f"cluster-{number} doesn't exist")
         key = label_key_of(label)
-        if any(r.label_key == key for n, r in held.items() if n != number):
-            raise StoreError(f"another slice is labeled {label.strip()!r}")
-        if held[number].label != label.strip():
-            row = [(run, number, label.strip(), key, held[number].version + 1, datetime.now(UTC))]
-            self.commit("cluster_labels", self.spark.createDataFrame(row, schema("cluster_labels")))
+        with self.change() as change:
+
+            def versioned(view: View) -> None:
+                held = {r.cluster_number: r for r in self.labels(run, view).collect()}  # as many as slices
+                if number not in held:
+                    raise StoreError(f"cluster-{number} doesn't exist")
+                if any(r.label_key == key for n, r in held.items() if n != number):
+                    raise StoreError(f"another slice is labeled {label.strip()!r}")
+                change.withdraw("cluster_labels")
+                if held[number].label != label.strip():
+                    change.put("cluster_labels", [{"clustering_run_id": run, "cluster_number": number, "label": label.strip(), "label_key": key, "version": held[number].version + 1, "updated_at": datetime.now(UTC)}])
+
+            change.require(versioned, "cluster_labels")
 
     def slices(self, run: str) -> DataFrame:
         """Slices with labels and sizes."""
@@ -153,15 +174,31 @@ class Catalog:
 
     # States
 
-    def move(self, table: str, owner: str, name: str, status: str, **columns: str | None) -> None:
-        """Appends a status event; a run's must follow from the one before."""
-        now = self.read(table).filter(F.col(owner) == name)
-        last = constraints.current_status(now, owner).head()
-        if table == "run_events" and last and status not in constraints.NEXT[last.status]:
-            raise StoreError(f"{name} can't go from {last.status} to {status}")
-        row = {owner: name, "sequence": (last.sequence if last else 0) + 1, "status": status, "at": datetime.now(UTC), **columns}
-        fields = schema(table)
-        self.commit(table, self.spark.createDataFrame([tuple(row.get(f.name) for f in fields.fields)], fields))
+    def move(self, table: str, owner: str, name: str, status: str, within: Change | None = None, **columns: str | None) -> None:
+        """Appends a status event, which must follow from the last one of the version that it follows."""
+        row = {owner: name, "status": status, "at": datetime.now(UTC), **columns}
+        with self.change(within) as change:
+
+            def follows(view: View) -> None:
+                last = self.last_event(table, owner, name, view)
+                if table == "run_events" and last and status not in constraints.NEXT[last["status"]]:
+                    raise StoreError(f"{name} can't go from {last['status']} to {status}")
+                row["sequence"] = (last["sequence"] if last else 0) + 1
+                change.withdraw(table, owner, name)
+                change.put(table, [row])
+
+            change.require(follows, table)
+
+    def last_event(self, table: str, owner: str, name: str, view: View | None = None) -> dict[str, Any] | None:
+        """An owner's last event: among the rows behind the snapshot, or else in the snapshot's file."""
+        view = view or self.log.view()
+        tail = [r for r in view.rows.get(table, ()) if r[owner] == name]
+        if tail:
+            return max(tail, key=lambda r: r["sequence"])
+        if not view.folders.get(table):
+            return None
+        found = self.log.read(table, view).filter(F.col(owner) == name).orderBy(F.desc("sequence")).head()
+        return found.asDict() if found else None
 
     def integrity(self) -> dict[str, int]:
         """Rows without the row that they refer to, by relation."""

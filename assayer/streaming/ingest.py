@@ -2,8 +2,9 @@
 
 The state is the trace table itself. A micro-batch numbers the lines of its files as the batch
 reader does, keeps the first row of each trace by file and line, leaves out what is stored, and
-commits its dead letters beside its traces. Both commits are named by the batch, so that a batch
-that runs again after a failure replaces its own rows and nothing is stored twice.
+commits its dead letters and its traces in one change, which is named by the batch: a batch that
+runs again after a failure finds its name and stores nothing twice. Traces that another writer stores
+meanwhile are left out before the change is put.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ def stream_traces(spark: SparkSession, folder: str, catalog: Catalog, checkpoint
 
     def write(batch: DataFrame, number: int) -> None:
         name = f"stream-{number}"
+        if catalog.has("traces", name):
+            return
         read = written(numbered(batch), "stream-lines")
         if not read.filter(~F.is_valid_utf8("value")).isEmpty():
             raise IngestError(f"batch {number} isn't UTF-8")
         rows = written(parsed(read), "stream-rows")
-        fresh = first_wins(valid(rows), catalog.read("traces", leave_out=name))
-        catalog.commit("rejects", rejects(rows), name, replace=True)
-        catalog.commit("traces", fresh, name, replace=True)
+        with catalog.change() as change:
+            change.add("rejects", rejects(rows))
+            change.first("traces", "trace_id", first_wins(valid(rows)))
+            change.name("traces", name)
         for used in (read, rows):
             forget(used)
 
