@@ -1,11 +1,9 @@
-"""Text-similarity slices: documents, TF-IDF, reduction, k-means, canonical numbers and labels."""
+"""Text-similarity slices: documents, TF-IDF, sparse vectors, canonical numbers. See vectors.py for reduction and k-means."""
 
 from __future__ import annotations
 
-import math
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +14,24 @@ from assayer.functions.json_text import fixed_object, quote
 from assayer.functions.ordering import document_index, ordered_digest
 from assayer.functions.shared import written
 from assayer.functions.text import ASCII
-
-
-#: Documents times terms that are clustered as one dense matrix on the driver (128 MB); beyond, on the executors.
-DENSE_CELLS = 2**24
-
-
-class ClusteringError(ValueError):
-    """A corpus that can't be clustered as asked."""
-
+from assayer.operators.vectors import ClusteringError, decomposed, distinct, kmeans, stored_vectors
+
+__all__ = [
+    "ClusteringError",
+    "canonical_numbers",
+    "decomposed",
+    "distinct",
+    "distinct_vectors",
+    "document_hash",
+    "document_index",
+    "document_text",
+    "kmeans",
+    "source_manifest",
+    "sparse_vectors",
+    "stored_vectors",
+    "terms",
+    "tfidf",
+]
 
 def document_text(prompt: Column, context_json: Column) -> Column:
     """The text that is clustered: the prompt, with the canonical context below it unless that is empty."""
@@ -72,114 +79,16 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return raw.select("id", "term", "tf", "df", (F.col("raw") / norm).alias("weight"))
 
 
-def dense(weights: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
-    """(ids, terms, matrix) of a corpus of DENSE_CELLS cells at most, which the caller has counted."""
-    rows = weights.select("id", "term", "weight").toPandas()
-    ids, names = sorted(rows["id"].unique()), sorted(rows["term"].unique())
-    matrix = np.zeros((len(ids), len(names)))
-    at, of = {x: i for i, x in enumerate(ids)}, {x: i for i, x in enumerate(names)}
-    matrix[rows["id"].map(at), rows["term"].map(of)] = rows["weight"]
-    return ids, names, matrix
-
-
-def reduce(matrix: np.ndarray, components: int) -> np.ndarray:
-    """The first components of the singular value decomposition, rows of norm 1 or 0."""
-    if not 1 <= components < min(matrix.shape):
-        raise ClusteringError(f"components must be from 1 to {min(matrix.shape) - 1}")
-    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
-    out = u[:, :components] * s[:components]
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-12)
-
-
-def kmeans(matrix: np.ndarray, k: int, restarts: int = 100, iterations: int = 300, seed: int = 42) -> tuple[np.ndarray, float]:
-    """Labels and cost of the best of several runs, each from greedy k-means++ seeds."""
-    if not np.isfinite(matrix).all():
-        raise ClusteringError("a vector isn't finite")
-    if k > len(np.unique(matrix.round(12), axis=0)):
-        raise ClusteringError(f"{k} clusters need as many distinct vectors")
-    rng, best = np.random.default_rng(seed), (None, math.inf)
-    squares = (matrix**2).sum(axis=1)
-
-    def distances(centers: np.ndarray) -> np.ndarray:
-        return np.maximum(squares[:, None] - 2 * matrix @ centers.T + (centers**2).sum(axis=1), 0)
-
-    for _ in range(restarts):
-        centers = matrix[[rng.integers(len(matrix))]]
-        for _ in range(1, k):
-            near = distances(centers).min(axis=1)
-            tries = rng.choice(len(matrix), 2 + int(math.log(k)), p=near / near.sum())
-            costs = [np.minimum(near, distances(matrix[[t]])[:, 0]).sum() for t in tries]
-            centers = np.vstack([centers, matrix[tries[int(np.argmin(costs))]]])
-        labels = None
-        for _ in range(iterations):
-            new = distances(centers).argmin(axis=1)
-            if labels is not None and (new == labels).all():
-                break
-            labels = new
-            centers = np.stack([matrix[labels == j].mean(axis=0) if (labels == j).any() else matrix[distances(centers).min(axis=1).argmax()] for j in range(k)])
-        cost = float(distances(centers).min(axis=1).sum())
-        if len(set(labels.tolist())) == k and cost < best[1] - 1e-12:
-            best = (labels, cost)
-    if best[0] is None:
-        raise ClusteringError(f"no run found {k} clusters")
-    return best
-
-
 def sparse_vectors(weights: DataFrame, ids: DataFrame) -> tuple[DataFrame, int]:
-    """((id, place, features), number of terms): a sparse vector for each of ids (id), zero where it has no terms.
+    """(rows of stored_vectors(), number of terms): a vector for each of ids (id), without components where it has no terms.
 
-    place numbers the rows in the order of ids. Terms are numbered over ranges; a document's cells
-    meet in one row, as its text does.
+    Terms are numbered over ranges; a document's cells meet in one row, as its text does.
     """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
     terms = document_index(weights.select("term").distinct(), "term").select("term", F.col("document_index").alias("at"))
     n = terms.count()
     cells = weights.join(terms, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("cells"))
-    vector = F.udf(lambda cells: SparseVector(n, [c["at"] for c in cells or ()], [c["weight"] for c in cells or ()]), VectorUDT())
-    placed = document_index(ids, "id").select("id", F.col("document_index").alias("place"))
-    return written(placed.join(cells, "id", "left").select("id", "place", vector("cells").alias("features")), "slice-vectors"), n
-
-
-def reduce_spark(vectors: DataFrame, terms: int, components: int) -> DataFrame:
-    """vectors (id, place, features) with the first components of the singular value decomposition, rows of norm 1 or 0.
-
-    The decomposition runs over distributed rows; the driver holds terms x components numbers.
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    if not 1 <= components < min(terms, vectors.count()):
-        raise ClusteringError(f"components must be from 1 to {min(terms, vectors.count()) - 1}")
-    matrix = IndexedRowMatrix(vectors.select("place", "features").rdd.map(lambda r: IndexedRow(r["place"], Vectors.fromML(r["features"]))), numCols=terms)
-    found = matrix.computeSVD(components, computeU=True)
-    if len(found.s) < components:
-        raise ClusteringError(f"the traces have {len(found.s)} components")
-    s = found.s.toArray().tolist()
-    rows = found.U.rows.map(lambda r: (r.index, [float(x) * y for x, y in zip(r.vector.toArray(), s, strict=True)])).toDF("place long, x array<double>")
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    unit = F.transform("x", lambda v: F.when(norm > 1e-12, v / norm).otherwise(0.0))
-    return vectors.select("id", "place").join(rows, "place").select("id", "place", array_to_vector(unit).alias("features"))
-
-
-def kmeans_spark(vectors: DataFrame, features: str, k: int, restarts: int = 20, seed: int = 42, iterations: int = 300) -> tuple[DataFrame, float]:
-    """(vectors with cluster, cost) by Spark's k-means for corpora of any size: the cheapest of several runs.
-
-    A run that doesn't converge, or leaves a cluster empty, is an error if no other run is better.
-    """
-    from pyspark.ml.clustering import KMeans
-
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i, maxIter=iterations, tol=1e-4).fit(vectors)
-        held = model.summary
-        if held.numIter < iterations and len(held.clusterSizes) == k and min(held.clusterSizes) > 0 and (best is None or held.trainingCost < best[0]):
-            best = (held.trainingCost, model)
-    if best is None:
-        raise ClusteringError(f"no run found {k} clusters")
-    return best[1].transform(vectors), float(best[0])
+    listed = ids.select("id").join(cells, "id", "left").select("id", F.coalesce("cells.at", F.array()).alias("at"), F.coalesce("cells.weight", F.array()).alias("x"))
+    return written(stored_vectors(listed, "at"), "slice-vectors"), n
 
 
 def canonical_numbers(assigned: DataFrame, cluster: str = "cluster", member: str = "trace_id") -> DataFrame:

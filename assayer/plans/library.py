@@ -10,12 +10,14 @@ from __future__ import annotations
 import json
 import tempfile
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.ids import eval_id
+from assayer.functions.ids import dataset_id, eval_id
 from assayer.functions.json_text import canonical_json, fixed_object, quote, strict_json
 from assayer.functions.shared import scratch, written
 from assayer.functions.text import nonblank
@@ -23,8 +25,10 @@ from assayer.operators import clustering, comparing, judging, sampling, scoring
 from assayer.operators.comparing import Limits
 from assayer.plans import config, constraints, export, slicing
 from assayer.plans.experiment import Experiment, load_detail, load_report
+from assayer.plans.log import Change
 from assayer.plans.queries import _judged, _props, _trace_documents, cases, outputs, table, traces
 from assayer.plans.store import Catalog
+from assayer.schemas import SCORERS, schema
 from assayer.sources import fixtures, http_provider
 from assayer.sources.traces import find_trace, first_wins, ingest, newest_first, parsed, read_lines, utc_text, valid
 
@@ -149,7 +153,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[Catalog, str, str, str]:
         lines = scratch(spark, "talk-lines")
         talks.select(line.alias("value")).write.text(lines)
         c.commit("traces", ingest(spark, lines, c.read("traces"))[0])
-        run = slicing.cluster_traces(c, "talks", SLICES, restarts=2)
+        run = slicing.cluster_traces(c, "talks", SLICES)
         c.rename_slice(run, 0, " First ")
         slicing.build_from_slices(c, run, "sliced", "1", PICKED, fixtures.read_overrides(spark, None))
         dataset = c.create_dataset("talks", "1")
@@ -228,21 +232,114 @@ def assigned_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.assigned(c, run).select("trace_id", "document_index", "document_hash", "prompt")
 
 
-@query(f"{V} SELECT unnest(['assignments', 'changed', 'foreign_times', 'gaps', 'slices']) AS fault, CAST(0 AS BIGINT) AS n")
+MARKED = f"""{V}, placed AS (SELECT trace_id, conv_id, row_number() OVER (ORDER BY trace_id) - 1 AS place FROM traces),
+  held AS (SELECT *, place + CASE WHEN conv_id % 4 = 1 THEN 2 ELSE 0 END AS document_index, CASE WHEN conv_id % 11 = 3 THEN 9 ELSE place % 4 END AS cluster_number, row_number() OVER (ORDER BY trace_id) - 1 AS right_place FROM placed WHERE conv_id % 7 <> 0)"""
+_MARKED: dict[tuple[str, str], Catalog] = {}
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> Catalog:
+    """A catalog with a run "marked" that a program other than ours spoiled: rows lost, hashes, indexes and slices changed, times gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MARKED:
+        c = Catalog(spark, scratch(spark, "marked"))
+        talks = traces(spark, sf_dir)
+        time = F.when(F.col("conv_id") % 13 != 5, F.lit("2026-01-01").cast("timestamp"))
+        c.commit("traces", talks.withColumns({"timestamp": time, "task_type": F.lit("chat"), "context_json": F.lit("{}"), "metadata_json": F.lit("{}")}))
+        n = F.col("conv_id")
+        hashed = slicing._hashed(c.read("traces")).select("trace_id", "document_hash", "source_trace_hash").join(talks.select("trace_id", "conv_id"), "trace_id")
+        placed = clustering.document_index(hashed).filter(n % 7 != 0)
+        number = F.when(n % 11 == 3, 9).otherwise(F.col("document_index") % 4)
+        spoiled = placed.select(F.lit("marked").alias("clustering_run_id"), "trace_id", (F.col("document_index") + F.when(n % 4 == 1, 2).otherwise(0)).alias("document_index"), number.alias("cluster_number"), "document_hash", F.when(n % 5 != 1, F.col("source_trace_hash")).alias("source_trace_hash"))
+        now = datetime(2026, 1, 1, tzinfo=UTC)
+        with c.change() as change:
+            change.add("cluster_assignments", spoiled)
+            change.put("cluster_labels", [{"clustering_run_id": "marked", "cluster_number": i, "label": None, "label_key": None, "version": 0, "updated_at": now} for i in range(5)])
+            change.put("clustering_runs", [{"clustering_run_id": "marked", "name": "marked", "configuration_hash": "c", "source_manifest_hash": "s", "trace_count": talks.count(), "cluster_count": 5, "inertia": 0.0, "created_at": now}])
+        c.rename_slice("marked", 1, " Second ")
+        c.rename_slice("marked", 1, "Second half")
+        _MARKED[key] = c
+    return _MARKED[key]
+
+
+@query(f"""{MARKED} SELECT 'assignments' AS fault, (SELECT count(*) FROM placed) - count(*) AS n FROM held UNION ALL SELECT 'changed', count(*) FROM held WHERE conv_id % 5 = 1 AND conv_id % 13 <> 5
+  UNION ALL SELECT 'foreign_times', count(*) FROM held WHERE conv_id % 13 = 5 UNION ALL SELECT 'gaps', count(*) FROM held WHERE document_index <> right_place
+  UNION ALL SELECT 'slices', 5 - count(DISTINCT cluster_number) FILTER (cluster_number < 5) + count(*) FILTER (cluster_number > 4) FROM held""")
 def snapshot_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored clustering run against its traces: counts, hashes, times, contiguous indexes, slices."""
+    """A spoiled clustering run against its traces: counts, hashes, times, contiguous indexes, slices."""
+    return slicing.snapshot_faults(_marked(spark, sf_dir), "marked")
+
+
+@query(f"{V} SELECT unnest(['assignments', 'changed', 'foreign_times', 'gaps', 'slices']) AS fault, CAST(0 AS BIGINT) AS n")
+def sound_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run that cluster_traces() stored has none of the faults that snapshot_integrity finds."""
     c, _, run, _ = stored(spark, sf_dir)
     return slicing.snapshot_faults(c, run)
 
 
+@query(f"{MARKED}, sizes AS (SELECT cluster_number AS c, count(*) AS k FROM held GROUP BY 1) SELECT CAST(n AS INT) AS cluster_number, CASE WHEN n = 1 THEN 'Second half' END AS label, CASE WHEN n = 1 THEN 2 ELSE 0 END AS version, coalesce(k, 0) AS trace_count FROM range(5) AS r(n) LEFT JOIN sizes ON c = n")
+def labeled_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of each slice's label, and how many traces each slice has, none too."""
+    c = _marked(spark, sf_dir)
+    versions = c.labels("marked").select("cluster_number", F.col("version").cast("int").alias("version"))
+    return c.slices("marked").join(versions, "cluster_number").select("cluster_number", "label", "version", "trace_count")
+
+
 @query(f"{V} SELECT CAST(n AS INT) AS cluster_number, CASE WHEN n = 0 THEN 'First' END AS label, CASE WHEN n = 0 THEN 1 ELSE 0 END AS version, true AS filled, (SELECT count(*) FROM traces) AS all_traces FROM range({SLICES}) AS r(n)")
 def stored_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices after one was renamed, the last version of each label, and their sizes."""
+    """Slices of a clustering run after one was renamed, and the sum of their sizes."""
     c, _, run, _ = stored(spark, sf_dir)
     constraints.check_empty(constraints.label_updates(c.read("cluster_labels")), "label versions")
     sizes = c.slices(run)
     total = sizes.agg(F.sum("trace_count").cast("long").alias("all_traces"))
-    return sizes.join(c.labels(run).select("cluster_number", F.col("version").cast("int").alias("version")), "cluster_number").crossJoin(F.broadcast(total)).select("cluster_number", "label", "version", (F.col("trace_count") > 0).alias("filled"), "all_traces")
+    versions = c.labels(run).select("cluster_number", F.col("version").cast("int").alias("version"))
+    filled = (F.col("trace_count") > 0).alias("filled")
+    return sizes.join(versions, "cluster_number").crossJoin(F.broadcast(total)).select("cluster_number", "label", "version", filled, "all_traces")
+
+
+@query(f"""{V} SELECT 'talks-' || conv_id AS name, count(*) AS case_count, count(*) AS provenance_count, true AS sealed FROM traces WHERE conv_id < 6 AND conv_id % 3 <> 1 GROUP BY conv_id""")
+def committed_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets of six conversations, a third of whose writers died before their record was put.
+
+    A dataset, its cases, their provenance and its seal are there together or not at all.
+    """
+    c, now = Catalog(spark, scratch(spark, "builds")), datetime(2026, 1, 1, tzinfo=UTC)
+    talks = traces(spark, sf_dir).filter("conv_id < 6").select("trace_id", "conv_id", "prompt", "response").cache()
+    for n in [r[0] for r in talks.select("conv_id").distinct().orderBy("conv_id").collect()]:
+        name, mine = f"talks-{n}", talks.filter(F.col("conv_id") == n)
+        made = dataset_id(name, "1")
+        key = eval_id(F.lit(made), F.col("trace_id")).alias("eval_id")
+        answer = F.coalesce("response", F.lit("none"))
+        held = mine.select(key, F.lit(made).alias("dataset_id"), F.col("trace_id").alias("source_trace_id"), F.lit("reference").alias("evaluation_mode"), F.lit("medium").alias("priority"), F.lit("draft").alias("review_status"), F.lit("chat").alias("task_type"), "prompt", F.lit("{}").alias("context_json"), answer.alias("reference_answer"), answer.alias("source_response"), F.lit(None).cast(SCORERS).alias("scorers"), F.lit(None).cast("array<string>").alias("rubric"))
+        size = held.count()
+        build = spark.createDataFrame([(made, "run", size, "m", "c", "s", now)], schema("slice_builds"))
+        change = Change(c.log)
+        c.create_dataset(name, "1", within=change)
+        c.seal(made, held, mine.select(key, F.lit(made).alias("dataset_id"), "trace_id"), build, change)
+        if n % 3 != 1:  # the others stop here: their folders are written, and no record names them
+            change.commit()
+    talks.unpersist()
+    counted = c.read("slice_provenance").groupBy("dataset_id").agg(F.count("*").alias("provenance_count"))
+    sealed = c.read("slice_builds").select("dataset_id", F.lit(True).alias("sealed"))
+    return c.datasets().join(counted, "dataset_id", "left").join(sealed, "dataset_id", "left").select("name", "case_count", "provenance_count", "sealed")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS cache_key, 1::BIGINT AS entries, true AS held FROM events GROUP BY user_id")
+def racing_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four writers at once store their answers for the same users: one entry a key, one of the answers given."""
+    root = scratch(spark, "race")
+    Catalog(spark, root)
+    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache_key")).distinct().cache()
+
+    def write(i: int) -> None:
+        rows = users.select("cache_key", F.lit("{}").alias("identity_json"), F.lit(f"answer of {i}").alias("raw_response"), F.current_timestamp().alias("written_at"))
+        with Catalog(spark, root).change() as change:
+            change.first("judge_cache", "cache_key", rows)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    users.unpersist()
+    stored_rows = Catalog(spark, root).read("judge_cache").groupBy("cache_key")
+    return stored_rows.agg(F.count("*").alias("entries"), F.bool_and(F.col("raw_response").rlike("^answer of [0-3]$")).alias("held"))
 
 
 @query(f"{V} SELECT 'sliced' AS name, '1' AS version, {PICKED} AS case_count UNION ALL SELECT 'talks', '1', count(*) FROM cases")
@@ -378,15 +475,43 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- constraints ---------------------------------------------------------------------------------------
 
 
-@query(f"{V} SELECT trace_id, 1.0::DOUBLE AS norm, 4 AS components FROM traces")
-def trace_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3, K4: traces by the first components of the decomposition of their weights, rows of norm 1."""
-    from pyspark.ml.functions import vector_to_array
+def _spectrum(wanted: int, held: int, rounds: int) -> str:
+    """SQL of the first singular values of v (item_id, term, weight): rounds of products of the Gram matrix with
+    held lists of numbers, made orthogonal in their order each time."""
+    product = lambda v: f"list_transform(m, lambda r: list_inner_product(r, {v}))"
+    minus = lambda v, u: f"list_transform(list_zip({v}, {u}), lambda z: z[1] - list_inner_product({v}, {u}) * z[2])"
+    names = [f"v{i}" for i in range(held)]
+    step = "SELECT n, m, " + ", ".join(f"{product(v)} AS {v}" for v in names) + " FROM it, gram"
+    for i, v in enumerate(names):
+        for u in names[:i]:
+            step = f"SELECT * REPLACE ({minus(v, u)} AS {v}) FROM ({step})"
+        step = f"SELECT * REPLACE (list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v}))) AS {v}) FROM ({step})"
+    begin = ", ".join(f"list_transform(range(len(m)), lambda i: sin({i + 2}.0 * i * i + {i}.5)) AS v{i}" for i in range(held))
+    found = " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS component, round(sqrt(list_inner_product(v{i}, {product(f'v{i}')})), 6) AS singular_value FROM last, gram" for i in range(wanted))
+    return f""", places AS (SELECT DISTINCT item_id FROM v), dots AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.weight * b.weight) AS s FROM v AS a JOIN v AS b USING (term) GROUP BY ALL),
+    rows AS (SELECT a.item_id AS i, list(coalesce(s, 0.0) ORDER BY b.item_id) AS r FROM places AS a CROSS JOIN places AS b LEFT JOIN dots ON dots.i = a.item_id AND dots.j = b.item_id GROUP BY a.item_id),
+    gram AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM rows), it AS (SELECT 0 AS n, {begin} FROM gram UNION ALL SELECT n + 1, {", ".join(names)} FROM ({step}) WHERE n < {rounds}),
+    last AS (SELECT * FROM it WHERE n = {rounds}) {found}"""
+
 
+def _components_sql() -> str:
+    from assayer.plans.oracle import TRACE_TERMS
+
+    return "WITH RECURSIVE" + TRACE_TERMS.strip().removeprefix("WITH") + _spectrum(COMPONENTS, COMPONENTS + 2, 400)
+
+
+COMPONENTS = 4
+
+
+@query(_components_sql())
+def trace_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the first singular values of the weights of all traces; rows in these directions have norm 1 (K4)."""
     rows = _trace_documents(spark, sf_dir)
     vectors, terms = clustering.sparse_vectors(written(clustering.tfidf(rows, "trace_id", "document"), "trace-weights"), rows.select(F.col("trace_id").alias("id")))
-    made = clustering.reduce_spark(vectors, terms, 4).select(F.col("id").alias("trace_id"), vector_to_array("features").alias("x"))
-    return made.select("trace_id", F.round(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), 6).alias("norm"), F.size("x").alias("components"))
+    made, values = clustering.decomposed(vectors, terms, COMPONENTS)
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    constraints.check_empty(made.filter((F.abs(norm - 1) > 1e-9) & (norm > 0)), "rows of another norm")
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(values)], "component int, singular_value double")
 
 
 def _builds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,85 +640,6 @@ def rubric_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.rubric_faults(cases(spark, sf_dir).withColumn("rubric", rubric)).select("eval_id")
 
 
-# --- configuration ---------------------------------------------------------------------------------------------
-
-
-def _tried(spark: SparkSession, tries: dict[str, Callable[[], object]]) -> DataFrame:
-    rows = []
-    for what, attempt in tries.items():
-        try:
-            got = attempt()
-        except ValueError as error:
-            got = type(error).__name__
-        rows.append((what, str(got)))
-    return spark.createDataFrame(rows, "what string, result string")
-
-
-def _values(rows: dict[str, str]) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in rows.items()) + ") AS t(what, result)"
-
-
-@query(_values({"name": "talks", "dataset": "talks:1", "global": "0.01 5", "rubric": "0.02 5", "threshold": "0.7", "same for another name": "True", "same for other limits": "False", "key twice": "ConfigError", "unknown key": "ConfigError", "version true": "ConfigError", "number as text": "ConfigError", "fixture without path": "ConfigError"}))
-def experiment_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A configuration file, its limits by scope, its hash, and what it refuses."""
-
-    def load(text: str):
-        with tempfile.TemporaryDirectory() as folder:
-            path = Path(folder) / "c.yaml"
-            path.write_text(text, "utf-8")
-            return config.load_config(str(path))
-
-    held = load(CONFIG)
-    hashed = lambda c: config.configuration_hash(c, {"id": "d"}, {})
-    limits = held.limits()
-    tries = {"name": lambda: held.name, "dataset": lambda: held.dataset} | {s: lambda s=s: f"{limits[s].max_score_drop} {limits[s].max_new_failures}" for s in ("global", "rubric")}
-    tries |= {
-        "threshold": lambda: held.judge.confidence_threshold, "same for another name": lambda: hashed(load(CONFIG.replace("name: talks", "name: other"))) == hashed(held), "same for other limits": lambda: hashed(load(CONFIG.replace("0.02", "0.03"))) == hashed(held),
-        "key twice": lambda: load(CONFIG + "name: again\n"), "unknown key": lambda: load(CONFIG + "more: 1\n"), "version true": lambda: load(CONFIG.replace("schema_version: 1", "schema_version: true")), "number as text": lambda: load(CONFIG.replace("0.01", "'0.01'")), "fixture without path": lambda: load(CONFIG.replace(", path: baseline", "")),
-    }
-    return _tried(spark, tries)
-
-
-@query("""SELECT * FROM (VALUES ('hash', sha256('Judge' || chr(13) || chr(10) || 'well é')), ('blank', 'ConfigError'), ('other bytes', 'ConfigError')) AS t(what, result)""")
-def prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prompt's hash without its byte order mark, line ends kept; blank and broken files."""
-    with tempfile.TemporaryDirectory() as folder:
-        home = Path(folder)
-        for name, held in {"good": "﻿Judge\r\nwell é".encode(), "blank": b" \n", "bytes": b"\xff\xfe\xff"}.items():
-            (home / name).write_bytes(held)
-        return _tried(spark, {"hash": lambda: config.load_prompt(home / "good").sha256, "blank": lambda: config.load_prompt(home / "blank"), "other bytes": lambda: config.load_prompt(home / "bytes")})
-
-
-@query(_values({"exact_match": "exact_match", "unknown": "ScorerError", "missing": "ScorerError", "extra": "ScorerError", "blank substring": "ScorerError", "bad pattern": "ScorerError", "keys twice": "ScorerError", "json_validity": "json_validity", "keys": "('a', 'b')"}))
-def scorer_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scorers and their settings, checked."""
-    p = scoring.prepare
-    return _tried(spark, {"exact_match": lambda: p("exact_match", {"expected": "x"}).name, "unknown": lambda: p("other", {}), "missing": lambda: p("regex", {}), "extra": lambda: p("json_validity", {"x": 1}), "blank substring": lambda: p("contains", {"substring": " "}), "bad pattern": lambda: p("regex", {"pattern": "("}), "keys twice": lambda: p("required_keys", {"keys": ["a", " a"]}), "json_validity": lambda: p("json_validity", {}).name, "keys": lambda: p("required_keys", {"keys": [" a", "b"]}).keys})
-
-
-@query(_values({"number": "2", "label": "1", "folded label": "1", "unknown": "ComparisonError", "limits": "{1: 0.5, 2: 0.25}", "one slice twice": "ComparisonError"}))
-def slice_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selectors by number and by label, and limits by slice."""
-    slices = [(0, None), (1, "Refunds"), (2, None)]
-    resolve = lambda s: comparing.resolve_selector(s, slices)
-    limits = lambda *names: {n: v.max_score_drop for n, v in sorted(comparing.slice_limits({s: Limits(0.5 / (i + 1), 1) for i, s in enumerate(names)}, slices).items())}
-    return _tried(spark, {"number": lambda: resolve("cluster-2"), "label": lambda: resolve("Refunds"), "folded label": lambda: resolve(" refunds "), "unknown": lambda: resolve("cluster-9"), "limits": lambda: limits("Refunds", "cluster-2"), "one slice twice": lambda: limits("Refunds", "cluster-1")})
-
-
-@query(_values({"plain": "http://localhost:11434", "path": "ValueError", "user": "ValueError", "scheme": "ValueError", "port": "ValueError"}))
-def provider_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of models behind HTTP."""
-    f = http_provider.base_url
-    return _tried(spark, {"plain": lambda: f("http://LOCALHOST:11434/"), "path": lambda: f("http://localhost/api?x=1"), "user": lambda: f("http://a:b@localhost"), "scheme": lambda: f("ftp://localhost"), "port": lambda: f("http://localhost:99999")})
-
-
-@query(_values({"sorted": '{\n  "a": [\n    1\n  ],\n  "é": null\n}', "not finite": "This can't be shown as JSON."}))
-def pretty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON for people."""
-    return _tried(spark, {"sorted": lambda: export.pretty({"é": None, "a": [1]}), "not finite": lambda: export.pretty({"a": float("nan")})})
-
-
 @query("""SELECT doc_id, contains(lower(text), 'the ') AS held, regexp_matches(text, '[A-Z][a-z]+ing') AS matched, length(text) AS n FROM documents""")
 def text_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring and pattern tests over whole texts."""

@@ -326,10 +326,8 @@ def cluster_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmeans_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: ten clusters of the vectors, canonically numbered."""
-    from pyspark.ml.functions import array_to_vector
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    made = clustering.kmeans_spark(rows.persist(), "features", 10, restarts=RESTARTS)[0].select("vec_id", "cluster")
+    rows = clustering.stored_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")))
+    made = clustering.kmeans(rows, 10, RESTARTS)[0].withColumnRenamed("id", "vec_id")
     return clustering.canonical_numbers(made, "cluster", "vec_id").select("vec_id", "cluster_number")
 
 

@@ -29,8 +29,7 @@ def _hashed(traces: DataFrame) -> DataFrame:
 def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None = None, restarts: int = 20) -> str:
     """Clusters all traces into k slices and stores the run, after the source is seen unchanged.
 
-    A corpus whose matrix has up to DENSE_CELLS cells is clustered on the driver; any other as
-    sparse vectors on the executors. The manifest is a digest of ranges' digests.
+    Slices are those of the cheapest of so many starts; they are found in the same way at every size.
     """
     spark, start = catalog.spark, catalog.view()
     traces = _hashed(catalog.read("traces", start))
@@ -39,14 +38,15 @@ def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None =
         raise ClusteringError(f"{k} clusters of {count} traces")
     manifest = clustering.source_manifest(traces)
     weights = written(clustering.tfidf(traces, "trace_id", "document"), "slice-weights")
-    terms = weights.select("term").distinct().count()
-    if not terms:
+    if weights.isEmpty():
         raise ClusteringError("the traces have no terms")
-    ids = traces.select(F.col("trace_id").alias("id"))
-    if terms * count <= clustering.DENSE_CELLS:
-        made, cost = _on_driver(weights, ids, k, components, restarts)
-    else:
-        made, cost = _on_executors(weights, ids, k, components, restarts)
+    vectors, terms = clustering.sparse_vectors(weights, traces.select(F.col("trace_id").alias("id")))
+    if k > clustering.distinct(vectors):
+        raise ClusteringError(f"{k} clusters need as many distinct vectors")
+    if components is not None:
+        vectors, _ = clustering.decomposed(vectors, terms, components)
+    made, cost = clustering.kmeans(vectors, k, restarts, width=components or terms)
+    made = made.select(F.col("id").alias("trace_id"), "cluster")
     config = {"algorithm": "tfidf-kmeans", "clusters": k, "components": components, "restarts": restarts, "seed": 42, "spark": spark.version, "numpy": np.__version__}
     run = f"cluster_run_{uuid.uuid4().hex}"
     indexed = clustering.document_index(traces.select("trace_id", "document_hash", "source_trace_hash"))
@@ -71,34 +71,11 @@ def cluster_traces(catalog: Catalog, name: str, k: int, components: int | None =
         change.put("cluster_labels", [{"clustering_run_id": run, "cluster_number": n, "label": None, "label_key": None, "version": 0, "updated_at": now} for n in range(k)], run)
         head = {"clustering_run_id": run, "name": name.strip(), "configuration_hash": digest, "source_manifest_hash": manifest, "trace_count": count, "cluster_count": k, "inertia": float(cost), "created_at": now}
         change.put("clustering_runs", [head], run)
-    for used in (weights, rows):
+    for used in (weights, vectors, made, rows):
         forget(used)
     return run
 
 
-def _on_driver(weights: DataFrame, ids: DataFrame, k: int, components: int | None, restarts: int) -> tuple[DataFrame, float]:
-    """(trace_id, cluster) and the cost, by numpy."""
-    names, _, matrix = clustering.dense(weights)
-    held = set(names)
-    if missing := [r.id for r in ids.collect() if r.id not in held]:
-        names, matrix = names + missing, np.vstack([matrix, np.zeros((len(missing), matrix.shape[1]))])
-    if components is not None:
-        matrix = clustering.reduce(matrix, components)
-    labels, cost = clustering.kmeans(matrix, k, restarts)
-    return weights.sparkSession.createDataFrame([(i, int(c)) for i, c in zip(names, labels, strict=True)], "trace_id string, cluster int"), cost
-
-
-def _on_executors(weights: DataFrame, ids: DataFrame, k: int, components: int | None, restarts: int) -> tuple[DataFrame, float]:
-    """The same by Spark's decomposition and k-means; vectors never come to the driver."""
-    if k > clustering.distinct_vectors(weights) + 1:
-        raise ClusteringError(f"{k} clusters need as many distinct vectors")
-    vectors, terms = clustering.sparse_vectors(weights, ids)
-    if components is not None:
-        vectors = clustering.reduce_spark(vectors, terms, components)
-    made, cost = clustering.kmeans_spark(vectors.persist(), "features", k, restarts)
-    return made.select(F.col("id").alias("trace_id"), "cluster"), cost
-
-
 def assigned(catalog: Catalog, run: str) -> DataFrame:
     """The assignments of a run with their traces, in the order of document_index."""
     held = catalog.read("cluster_assignments").filter(F.col("clustering_run_id") == run)

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.operators import clustering, sampling
-from assayer.operators.clustering import ClusteringError
 
 
 def round_robin(counts, size):
@@ -90,19 +89,6 @@ def test_tfidf_by_hand(spark):
     assert clustering.distinct_vectors(clustering.tfidf(docs, "id", "text")) == 2
 
 
-def test_kmeans_and_reduction():
-    rng = np.random.default_rng(0)
-    groups = np.concatenate([rng.normal(c, 0.05, (12, 6)) for c in np.eye(6)[:4] * 3])
-    labels, cost = clustering.kmeans(groups, 4, restarts=10)
-    assert all(len(set(labels[i * 12 : i * 12 + 12])) == 1 for i in range(4)) and len(set(labels)) == 4 and cost < 2
-    assert np.allclose(np.linalg.norm(clustering.reduce(groups, 3), axis=1), 1)
-    for k in (0, 6):
-        with pytest.raises(ClusteringError):
-            clustering.reduce(groups, k)
-    with pytest.raises(ClusteringError):
-        clustering.kmeans(np.ones((5, 2)), 2)
-
-
 def test_numbers_and_indexes(spark):
     rows = spark.createDataFrame([("b", 9), ("a", 4), ("d", 9), ("c", 1)], "trace_id string, cluster int")
     assert {r.trace_id: r.cluster_number for r in clustering.canonical_numbers(rows).collect()} == {"a": 0, "b": 1, "d": 1, "c": 2}
@@ -120,35 +106,15 @@ def test_every_row_has_an_index_of_its_own(spark):
     assert clustering.document_index(rows.limit(0)).count() == 0
 
 
-def test_digests_of_long_orders_are_trees(spark, monkeypatch):
-    import hashlib
-    import json
-
-    from assayer.functions import ordering
-
-    rows = spark.createDataFrame([(f"k{i:03d}", f"v{i}") for i in range(100)], "k string, v string").repartition(7)
-    sha = lambda records: hashlib.sha256(("[" + ",".join(records) + "]").encode()).hexdigest()
-    flat = [json.dumps(f"v{i}") for i in range(100)]
-    digest = lambda df: ordering.ordered_digest(df, F.concat(F.lit('"'), "v", F.lit('"')), F.col("k"))
-    assert digest(rows) == sha(flat)
-    monkeypatch.setattr(ordering, "RUN", 8)
-    runs = [json.dumps(sha(flat[a : a + 8])) for a in range(0, 100, 8)]
-    assert digest(rows) == sha([json.dumps(sha(runs[a : a + 8])) for a in range(0, len(runs), 8)])
-    assert digest(rows.limit(0)) == sha([])
-
-
-def test_clusters_on_the_executors(spark):
-    """Sparse vectors, the decomposition and k-means on executors find the groups that numpy finds."""
-    from assayer.plans import slicing
-
+def test_clusters_of_documents(spark):
+    """Sparse vectors, the decomposition and k-means find the groups that the texts were made in."""
     topics = ["refund the invoice amount", "reset my login password", "parcel shipping delivery date"]
     docs = spark.createDataFrame([(f"t{i:02d}", f"{topics[i % 3]} number{i} {topics[i % 3]}") for i in range(30)] + [("t99", "")], "trace_id string, document string")
-    weights = clustering.tfidf(docs, "trace_id", "document")
-    ids = docs.select(F.col("trace_id").alias("id"))
+    vectors, terms = clustering.sparse_vectors(clustering.tfidf(docs, "trace_id", "document"), docs.select(F.col("trace_id").alias("id")))
+    assert clustering.distinct(vectors) == 31
     for components in (None, 3):
-        made, cost = slicing._on_executors(weights, ids, 3, components, 6)
-        got = {r.trace_id: r.cluster for r in made.collect()}
+        rows = clustering.decomposed(vectors, terms, components)[0] if components else vectors
+        made, cost = clustering.kmeans(rows, 3, 6, width=components or terms)
+        got = {r.id: r.cluster for r in made.collect()}
         assert len(got) == 31 and cost >= 0 and len(set(got.values())) == 3
         assert all(len({got[f"t{i:02d}"] for i in range(k, 30, 3)}) == 1 for k in range(3))
-    with pytest.raises(ClusteringError):
-        slicing._on_executors(weights, ids, 40, None, 1)

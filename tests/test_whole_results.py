@@ -43,8 +43,8 @@ def test_weights_cover_the_documents_of_all_traces(spark):
 
 
 @here
-def test_kmeans_takes_twenty_restarts(spark, monkeypatch):
-    taken, real = [], queries.clustering.kmeans_spark
-    monkeypatch.setattr(queries.clustering, "kmeans_spark", lambda *a, **k: taken.append(k["restarts"]) or real(*a, **k | {"restarts": 1}))
+def test_kmeans_takes_twenty_starts(spark, monkeypatch):
+    taken, real = [], queries.clustering.kmeans
+    monkeypatch.setattr(queries.clustering, "kmeans", lambda rows, k, starts: taken.append(starts) or real(rows, k, 1))
     queries.kmeans_slices(spark, str(DATA))
     assert taken == [20]
