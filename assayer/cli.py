@@ -110,7 +110,8 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> int:
     elif run == "dataset_add-trace":
         _add_trace(catalog, args)
     elif run == "dataset_show":
-        print("\n".join(export.dataset_lines(catalog, catalog.find_dataset(args.reference))))
+        for line in export.dataset_lines(catalog, catalog.find_dataset(args.reference)):
+            print(line)
     elif run == "dataset_export":
         export.export_dataset(catalog, catalog.find_dataset(args.reference), args.path, args.overwrite)
     elif run == "experiment_run":

@@ -106,6 +106,11 @@ def _limits(value: Any, where: str) -> Limits:
     return Limits(None if drop is None else _number(drop, where, 1.0), failures)
 
 
+def placed(file: Path, path: str) -> str:
+    """A path beside the configuration file; one with a scheme stays as it is."""
+    return path if "://" in path else str(file.parent / path)
+
+
 def load_config(path: str) -> Config:
     """Reads and checks a configuration file; paths in it are relative to it."""
     file = Path(path)
@@ -126,14 +131,14 @@ def load_config(path: str) -> Config:
             raise ConfigError(f"{role}: a fixture needs a path")
         settings = {k: v for k, v in side.items() if k not in ("provider", "prompt")}
         if "path" in settings:
-            settings["path"] = str(file.parent / settings["path"])
+            settings["path"] = placed(file, settings["path"])
         sides[role] = Side(side["provider"], settings, load_prompt(file.parent / side["prompt"]) if "prompt" in side else None)
     judge = None
     if held.get("judge") is not None:
         j = _object(held["judge"], "judge", {"provider"}, {"path", "model", "base_url", "temperature", "seed", "timeout", "confidence_threshold", "prompt", "retry_prompt"})
         settings = {k: v for k, v in j.items() if k not in ("provider", "prompt", "retry_prompt", "confidence_threshold")}
         if "path" in settings:
-            settings["path"] = str(file.parent / settings["path"])
+            settings["path"] = placed(file, settings["path"])
         prompts = [load_prompt(file.parent / j[k]) if k in j else None for k in ("prompt", "retry_prompt")]
         judge = Judge(j["provider"], settings, _number(j.get("confidence_threshold", 0.7), "confidence_threshold", 1.0), *prompts)
     gate = _object(held.get("gate") or {}, "gate", set(), {"max_score_drop", "max_new_failures", "by_mode", "by_slice"})

@@ -14,12 +14,14 @@ from pyspark.sql import types as T
 from assayer.functions.ids import sha256
 from assayer.functions.json_text import canonical_dumps, quote, redacted
 from assayer.functions.ordering import ordered_digest
+from assayer.functions.shared import scratch
 from assayer.operators import comparing, judging, scoring
 from assayer.plans import constraints, reports
 from assayer.plans.config import Config, ConfigError, configuration_hash
 from assayer.plans.log import Change
 from assayer.plans.store import Catalog
 from assayer.sources import fixtures, http_provider
+from assayer.sources.journal import Journal
 
 
 class OperationalError(RuntimeError):
@@ -65,6 +67,7 @@ class Experiment:
 
     def __init__(self, catalog: Catalog, config: Config):
         self.catalog, self.config, self.spark = catalog, config, catalog.spark
+        self.journals: dict[str, Journal] = {}
 
     # Preflight: nothing is written
 
@@ -127,12 +130,15 @@ class Experiment:
                 stage = role
                 c.move("run_events", "run_id", run, "running", experiment_id=x)
                 scored.append(self._role(role, run))
-                c.move("run_events", "run_id", run, "completed", experiment_id=x)
+                with c.change() as end:
+                    self._audit(role, run, end)
+                    c.move("run_events", "run_id", run, "completed", end, experiment_id=x)
             stage = "comparison"
             self._compare(scored[0].unionByName(scored[1]))
         except Exception as error:
             with c.change() as end:
-                for r in runs.values():
+                for role, r in runs.items():
+                    self._audit(role, r, end)
                     last = c.last_event("run_events", "run_id", r)["status"]
                     if constraints.NEXT[last]:
                         c.move("run_events", "run_id", r, "skipped" if last == "pending" else "failed", end, experiment_id=x, failure_message=None if last == "pending" else str(error)[:500])
@@ -156,7 +162,16 @@ class Experiment:
             return self.outputs.filter(F.col("role") == role).withColumns({"latency_ms": F.lit(None).cast("double"), "metadata": F.lit(None).cast("string")})
         prompt = generation_prompt(side.prompt.text if side.prompt else "Answer the input.", F.col("prompt"), F.coalesce("context_json", F.lit("{}")))
         rows = self.cases.select(F.lit(role).alias("role"), "eval_id", prompt.alias("prompt"))
-        return http_provider.generate(rows, connector(role, side.provider, side.settings))
+        return http_provider.generate(rows, connector(role, side.provider, side.settings), self._journal(f"{role}-outputs"))
+
+    def _journal(self, stage: str) -> Journal:
+        """A stage's journal, which executors share; what it has of the stage's requests is stored when the stage ends, well or not."""
+        self.journals[stage] = Journal(scratch(self.spark, f"requests-{stage}"))
+        return self.journals[stage]
+
+    def _audit(self, role: str, run: str, change: Change) -> None:
+        for stage in [s for s in self.journals if s.startswith(f"{role}-")]:
+            self._commit("requests", self.journals.pop(stage).entries(self.spark).withColumn("run_id", F.lit(run)), change)
 
     def _role(self, role: str, run: str) -> DataFrame:
         # outputs are stored before they are scored: a request is never made twice for one attempt
@@ -189,7 +204,7 @@ class Experiment:
             fresh = misses.select("role", "eval_id", "outputs")
         else:
             text = judging.request_prompt(judge.prompt.text if judge.prompt else "Judge the output by each criterion.", F.col("prompt"), F.col("output"), F.col("rubric"), F.col("context_json"))
-            fresh = http_provider.judge(misses.select("role", "eval_id", text.alias("prompt"), "rubric"), connector("judge", judge.provider, judge.settings, True), judge.retry_prompt.text if judge.retry_prompt else "The answer didn't hold. Answer again.")
+            fresh = http_provider.judge(misses.select("role", "eval_id", text.alias("prompt"), "rubric"), connector("judge", judge.provider, judge.settings, True), judge.retry_prompt.text if judge.retry_prompt else "The answer didn't hold. Answer again.", self._journal(f"{role}-judge"))
         answers = self._commit("judge_answers", hits.unionByName(fresh).withColumn("run_id", F.lit(run)))
         judged = judging.judge_cases(self.cases, answers.select("role", "eval_id", "outputs"), judge.confidence_threshold).join(held.select("eval_id", "output", "cache_status", "cache_key", "identity_json"), "eval_id").join(answers.select("eval_id", "outputs"), "eval_id").withColumn("run_id", F.lit(run))
         attempts = judged.select("run_id", "eval_id", F.posexplode(F.slice("outputs", 1, F.col("attempts"))), "attempts", "code", "error")

@@ -5,26 +5,39 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.json_text import canonical_dumps, strict_loads
+from assayer.functions.json_text import canonical_dumps, canonical_json, strict_loads
+from assayer.functions.shared import scratch, written
 from assayer.plans.store import Catalog, StoreError
 
 
 def write_text(path: str, text: str, overwrite: bool = False) -> None:
+    """Writes a text to a file, whole or not at all."""
+
+    def write(staged: str) -> None:
+        with open(staged, "w", encoding="utf-8", newline="\n") as out:
+            out.write(text)
+            out.flush()
+            os.fsync(out.fileno())
+
+    _placed(path, write, overwrite)
+
+
+def _placed(path: str, write: Callable[[str], None], overwrite: bool) -> None:
     """Writes beside the target and moves it into place; an existing file stays unless overwrite is asked."""
     target = Path(path)
     if target.exists() and not overwrite:
         raise StoreError(f"{path} exists")
     handle, staged = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+    os.close(handle)
     try:
-        with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as out:
-            out.write(text)
-            out.flush()
-            os.fsync(out.fileno())
+        write(staged)
         if overwrite:
             os.replace(staged, target)
         else:
@@ -45,17 +58,52 @@ def _plain(value: Any) -> Any:
     return value.isoformat() if hasattr(value, "isoformat") else value
 
 
-def dataset_lines(catalog: Catalog, dataset: str) -> list[str]:
-    """The dataset's envelope, then its cases by id. Datasets are curated: they fit the driver."""
+def _lines(catalog: Catalog, dataset: str) -> tuple[str, DataFrame]:
+    """(the dataset's envelope, (line): its cases as canonical JSON by id, in ranges that executors make)."""
     head = catalog.read("datasets").filter(F.col("dataset_id") == dataset).head()
     if head is None:
         raise StoreError(f"{dataset} doesn't exist")
-    rows = catalog.read("cases").filter(F.col("dataset_id") == dataset).orderBy("eval_id").toLocalIterator()
-    return [canonical_dumps({"record_type": "dataset", **_plain(head)}), *[canonical_dumps({"record_type": "case", **_plain(r)}) for r in rows]]
+    cases = catalog.read("cases").filter(F.col("dataset_id") == dataset)
+    filled = F.to_json(F.struct(F.lit("case").alias("record_type"), *cases.columns))  # nulls are left out
+    ranged = cases.select("eval_id", canonical_json(filled).alias("value")).repartitionByRange("eval_id").sortWithinPartitions("eval_id")
+    return canonical_dumps({"record_type": "dataset", **_plain(head)}), ranged.select("value")
+
+
+def dataset_lines(catalog: Catalog, dataset: str) -> Iterator[str]:
+    """The dataset's envelope, then its cases by id; the driver holds a range at a time."""
+    head, rows = _lines(catalog, dataset)
+    yield head
+    for row in written(rows.withColumn("at", F.monotonically_increasing_id()), "dataset-lines").orderBy("at").toLocalIterator():
+        yield row["value"]
 
 
 def export_dataset(catalog: Catalog, dataset: str, path: str, overwrite: bool = False) -> None:
-    write_text(path, "\n".join(dataset_lines(catalog, dataset)) + "\n", overwrite)
+    """Writes the lines to a file: executors write ranges, whose bytes are joined in their order."""
+    if Path(path).exists() and not overwrite:
+        raise StoreError(f"{path} exists")
+    head, rows = _lines(catalog, dataset)
+    spark, folder = catalog.spark, scratch(catalog.spark, "dataset-lines")
+    rows.write.option("lineSep", "\n").text(folder)
+    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in system.listStatus(home) if s.getPath().getName().startswith("part-"))
+
+    def joined(staged: str) -> None:
+        out = spark._jvm.java.io.FileOutputStream(staged)
+        try:
+            out.write(bytearray(head + "\n", "utf-8"))
+            for name in parts:
+                held = system.open(spark._jvm.org.apache.hadoop.fs.Path(home, name))
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 16, False)
+                finally:
+                    held.close()
+            out.getFD().sync()
+        finally:
+            out.close()
+
+    _placed(path, joined, overwrite)
+    system.delete(home, True)
 
 
 def export_report(report: dict[str, Any], path: str, overwrite: bool = False) -> None:

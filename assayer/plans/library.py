@@ -8,12 +8,14 @@ catalog of a table folder is built once a session. The SQL repeats the rules ove
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,18 +173,28 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[Catalog, str, str, str]:
 
 
 def _experiment(c: Catalog, dataset: str, made: DataFrame) -> str:
-    """Runs an experiment over fixture files, which are the driver's, as fixtures are."""
+    """Runs an experiment over fixture files, which executors write and read."""
     name = eval_id(F.lit(dataset), F.col("source_trace_id")).alias("eval_id")
-    rows = outputs(made).withColumn("s", ((F.col("conv_id") * 3 + F.col("turn") + F.when(F.col("role") == "baseline", 0).otherwise(2)) % 5) / F.lit(4.0))
-    held = rows.select("role", name, "output", "evaluation_mode", "s").collect()
-    with tempfile.TemporaryDirectory() as folder:
-        home = Path(folder)
-        for role in comparing.ROLES:
-            (home / role).write_text("\n".join(json.dumps({"eval_id": r.eval_id, "output": r.output}) for r in held if r.role == role), "utf-8")
-        judge = [{"eval_id": r.eval_id, "role": r.role, "outputs": ["broken"] * (r.s == 0) + [judging.response([(k, r.s, r.s >= 0.5, "because") for k in ("clear", "kind")], 0.2 + r.s / 2)]} for r in held if r.evaluation_mode == "rubric"]
-        (home / "judge").write_text("\n".join(map(json.dumps, judge)), "utf-8")
-        (home / "config.yaml").write_text(CONFIG, "utf-8")
-        return Experiment(c, config.load_config(str(home / "config.yaml"))).run()
+    score = ((F.col("conv_id") * 3 + F.col("turn") + F.when(F.col("role") == "baseline", 0).otherwise(2)) % 5) / F.lit(4.0)
+    held = outputs(made).select("role", name, "output", "evaluation_mode", score.alias("s"))
+    home = scratch(c.spark, "fixtures")
+    for role in comparing.ROLES:
+        line = fixed_object(eval_id=quote(F.col("eval_id")), output=quote(F.col("output")))
+        held.filter(F.col("role") == role).select(line.alias("value")).write.text(f"{home}/{role}")
+    answer = _answers(F.col("s"))
+    listed = F.when(F.col("s") == 0, F.concat(F.lit('["broken",'), quote(answer), F.lit("]"))).otherwise(F.concat(F.lit("["), quote(answer), F.lit("]")))
+    judged = held.filter("evaluation_mode = 'rubric'").select(fixed_object(eval_id=quote(F.col("eval_id")), role=quote(F.col("role")), outputs=listed).alias("value"))
+    judged.write.text(f"{home}/judge")
+    with tempfile.TemporaryDirectory() as folder:  # the configuration is the driver's own
+        file = Path(folder) / "config.yaml"
+        file.write_text(re.sub(r"path: (\w+)", rf"path: '{home}/\1'", CONFIG), "utf-8")
+        return Experiment(c, config.load_config(str(file))).run()
+
+
+@F.pandas_udf("string")
+def _answers(scores: pd.Series) -> pd.Series:
+    """A judge's response by a score of both criteria."""
+    return scores.map(lambda s: judging.response([(k, s, s >= 0.5, "because") for k in ("clear", "kind")], 0.2 + s / 2))
 
 
 CONFIG = """schema_version: 1

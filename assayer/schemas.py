@@ -25,6 +25,7 @@ DDL: dict[str, str] = {
     "judges": "experiment_id string, provider string, model string, confidence_threshold double, prompt_hash string, retry_prompt_hash string",
     "judge_cache": "cache_key string, identity_json string, raw_response string, written_at timestamp",
     "outputs": "run_id string, experiment_id string, role string, eval_id string, output string, latency_ms double, metadata string",
+    "requests": "run_id string, experiment_id string, key string, role string, eval_id string, attempt int, event string, at string, error string",
     "judge_answers": "run_id string, experiment_id string, role string, eval_id string, outputs array<string>",
     "case_results": "run_id string, experiment_id string, role string, eval_id string, evaluation_mode string, output string, score double, passed boolean, latency_ms double",
     "judge_attempts": "run_id string, experiment_id string, eval_id string, attempt int, raw_response string, error_code string, error string",

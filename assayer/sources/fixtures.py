@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assayer.functions.json_text import strict_loads
+from assayer.functions.shared import written
 from assayer.operators.comparing import ROLES
 from assayer.operators.judging import MAX_ATTEMPTS
 from assayer.operators.scoring import prepare
 from assayer.plans.constraints import CODES
+from assayer.sources.traces import read_lines
 
 
 class FixtureError(ValueError):
@@ -26,52 +31,73 @@ class Provider(Protocol):
     def generate(self, eval_id: str, prompt: str) -> str: ...
 
 
-def _lines(path: str) -> list[tuple[int, str]]:
-    text = Path(path).read_text("utf-8-sig")
-    return [(i, line) for i, line in enumerate(text.splitlines(), 1)]
+def _output_of(line: str) -> dict[str, Any]:
+    value = _record(line, {"eval_id", "output"}, False)
+    name, output = value["eval_id"], value["output"]
+    if not isinstance(name, str) or not name.strip() or not isinstance(output, str):
+        raise ValueError("both must be text, eval_id not blank")
+    return {"eval_id": name, "output": output}
 
 
-def _record(line: str, where: str, keys: set[str], unique: bool) -> dict[str, Any]:
-    try:
-        value = strict_loads(line, unique_keys=unique)
-    except ValueError as error:
-        raise FixtureError(f"{where}: {error}") from error
+def _judgment_of(line: str) -> dict[str, Any]:
+    value = _record(line, {"eval_id", "role", "outputs"}, True)
+    listed = value["outputs"]
+    if value["role"] not in ROLES or not isinstance(value["eval_id"], str) or not value["eval_id"].strip():
+        raise ValueError("a role and an eval_id are needed")
+    if not isinstance(listed, list) or not 1 <= len(listed) <= MAX_ATTEMPTS or not all(isinstance(x, str) for x in listed):
+        raise ValueError("outputs must be one or two texts")
+    return {"role": value["role"], "eval_id": value["eval_id"], "outputs": listed}
+
+
+def _record(line: str, keys: set[str], unique: bool) -> dict[str, Any]:
+    value = strict_loads(line, unique_keys=unique)
     if not isinstance(value, dict) or set(value) != keys:
-        raise FixtureError(f"{where}: exactly {', '.join(sorted(keys))} are needed")
+        raise ValueError(f"exactly {', '.join(sorted(keys))} are needed")
     return value
 
 
+def _parsed(spark: SparkSession, path: str, parse: Callable[[str], dict[str, Any]], fields: str, keys: list[str]) -> DataFrame:
+    """Rows of a fixture's lines, parsed on executors. The first line that doesn't parse, or repeats keys, is an error.
+
+    Lines end as text files' do. The path is one that executors reach.
+    """
+    kinds = pa.schema([("error", pa.string()), *((f.name, pa.list_(pa.string()) if f.dataType.typeName() == "array" else pa.string()) for f in StructType.fromDDL(fields).fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for line in batch.column(1).to_pylist():
+                try:
+                    made.append({"error": None} | parse(line))
+                except (ValueError, RecursionError) as error:
+                    made.append({"error": str(error)})
+            found = pa.Table.from_pylist(made, kinds).combine_chunks()
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["line", *kinds.names])
+
+    lines = read_lines(spark, path).select(F.col("line").cast("long").alias("line"), "value")
+    if not lines.filter(~F.is_valid_utf8("value")).isEmpty():
+        raise FixtureError(f"{path}: not UTF-8")
+    rows = written(lines.mapInArrow(run, f"line long, error string, {fields}"), "fixture")
+    faulty = rows.filter("error is not null").agg(F.min_by(F.struct("line", "error"), "line").alias("f")).head()["f"]
+    first = rows.filter("error is null").groupBy(*keys).agg(F.min("line").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = rows.join(first, keys).filter("line > first").agg(F.min_by(F.struct("line", *keys), "line").alias("r")).head()["r"]
+    if again is not None and (faulty is None or again["line"] < faulty["line"]):
+        raise FixtureError(f"{path}: line {again['line']}: {':'.join(again[k] for k in keys)} is repeated")
+    if faulty is not None:
+        raise FixtureError(f"{path}: line {faulty['line']}: {faulty['error']}")
+    return rows
+
+
 def read_outputs(spark: SparkSession, path: str, role: str) -> DataFrame:
     """(role, eval_id, output) of a provider fixture; an empty output is one too."""
-    rows, seen = [], set()
-    for i, line in _lines(path):
-        value = _record(line, f"{path}: line {i}", {"eval_id", "output"}, False)
-        name, output = value["eval_id"], value["output"]
-        if not isinstance(name, str) or not name.strip() or not isinstance(output, str):
-            raise FixtureError(f"{path}: line {i}: both must be text, eval_id not blank")
-        if name in seen:
-            raise FixtureError(f"{path}: line {i}: {name} is repeated")
-        seen.add(name)
-        rows.append((role, name, output))
-    return spark.createDataFrame(rows, "role string, eval_id string, output string")
+    rows = _parsed(spark, path, _output_of, "eval_id string, output string", ["eval_id"])
+    return rows.select(F.lit(role).alias("role"), "eval_id", "output")
 
 
 def read_judge(spark: SparkSession, path: str) -> DataFrame:
     """(role, eval_id, outputs) of a judge fixture: one or two responses each; repeated keys are errors."""
-    rows, seen = [], set()
-    for i, line in _lines(path):
-        where = f"{path}: line {i}"
-        value = _record(line, where, {"eval_id", "role", "outputs"}, True)
-        listed = value["outputs"]
-        if value["role"] not in ROLES or not isinstance(value["eval_id"], str) or not value["eval_id"].strip():
-            raise FixtureError(f"{where}: a role and an eval_id are needed")
-        if not isinstance(listed, list) or not 1 <= len(listed) <= MAX_ATTEMPTS or not all(isinstance(x, str) for x in listed):
-            raise FixtureError(f"{where}: outputs must be one or two texts")
-        if (key := (value["role"], value["eval_id"])) in seen:
-            raise FixtureError(f"{where}: {':'.join(key)} is repeated")
-        seen.add(key)
-        rows.append((*key, listed))
-    return spark.createDataFrame(rows, "role string, eval_id string, outputs array<string>")
+    return _parsed(spark, path, _judgment_of, "role string, eval_id string, outputs array<string>", ["role", "eval_id"]).select("role", "eval_id", "outputs")
 
 
 def coverage_faults(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """A connector to a model behind HTTP: POST /api/generate, one JSON object back.
 
-Requests run where the rows are, a batch at a time; nothing is retried, and an answer that isn't
-strictly what was asked for is a typed error that fails the stage.
+Requests run where the rows are, PARALLEL of a task at a time; nothing is retried, and an answer that
+isn't strictly what was asked for is a typed error that fails the stage. With a journal, each request
+is written down before and after, and a task that runs again asks only for what has no answer yet.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from dataclasses import dataclass
 from typing import Any
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from assayer.functions.json_text import strict_loads
+from assayer.sources.journal import Journal, pooled, request_key
+
+#: Requests of a task that wait for an answer at once, and rows of a batch.
+PARALLEL = 4
 
 # What of a response's metadata is kept, texts and counts.
 TEXTS = ("model", "created_at", "done_reason")
@@ -108,36 +113,46 @@ class HttpProvider:
             raise ProviderError("response", f"{eval_id}: {error}") from error
 
 
-def generate(rows: DataFrame, provider: HttpProvider) -> DataFrame:
+def _asked(journal: Journal | None, provider: HttpProvider, role: str, eval_id: str, prompt: str) -> tuple[str, dict[str, Any], float]:
+    """(output, metadata, milliseconds) of a request, from the journal where it has them."""
+    if journal is None:
+        return provider.generate(eval_id, prompt)
+    key = request_key(role, eval_id, prompt, provider.url, provider.model, provider.temperature, provider.seed, provider.as_json)
+    return tuple(journal.asked(key, role, eval_id, lambda: list(provider.generate(eval_id, prompt))))
+
+
+def generate(rows: DataFrame, provider: HttpProvider, journal: Journal | None = None) -> DataFrame:
     """(role, eval_id, output, latency_ms, metadata) of rows (role, eval_id, prompt)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [provider.generate(e, p) for e, p in zip(batch["eval_id"], batch["prompt"], strict=True)]
-            yield pd.DataFrame({"role": batch["role"], "eval_id": batch["eval_id"], "output": [m[0] for m in made], "latency_ms": [m[2] for m in made], "metadata": [json.dumps(m[1], sort_keys=True) for m in made]})
+            made = pooled(batch, PARALLEL, lambda r: _asked(journal, provider, r["role"], r["eval_id"], r["prompt"]))
+            told = [pa.array([m[0] for m in made], pa.string()), pa.array([float(m[2]) for m in made], pa.float64()), pa.array([json.dumps(m[1], sort_keys=True) for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], ["role", "eval_id", "output", "latency_ms", "metadata"])
 
-    return rows.select("role", "eval_id", "prompt").mapInPandas(run, "role string, eval_id string, output string, latency_ms double, metadata string")
+    return rows.select("role", "eval_id", "prompt").mapInArrow(run, "role string, eval_id string, output string, latency_ms double, metadata string")
 
 
-def judge(rows: DataFrame, provider: HttpProvider, retry_prompt: str) -> DataFrame:
+def judge(rows: DataFrame, provider: HttpProvider, retry_prompt: str, journal: Journal | None = None) -> DataFrame:
     """(role, eval_id, outputs) of rows (role, eval_id, prompt, rubric): a malformed answer is asked for once more."""
     from assayer.operators.judging import MAX_ATTEMPTS, JudgeError, parse_response
 
-    def answers(name: str, prompt: str, rubric: list[str]) -> list[str]:
+    def answers(row: dict[str, Any]) -> list[str]:
         got: list[str] = []
+        prompt = row["prompt"]
         while len(got) < MAX_ATTEMPTS:
-            got.append(provider.generate(name, prompt)[0])
+            got.append(_asked(journal, provider, row["role"], row["eval_id"], prompt)[0])
             try:
-                parse_response(got[-1], rubric)
+                parse_response(got[-1], row["rubric"])
             except JudgeError as error:
                 prompt = f"{retry_prompt.rstrip()}\n\nError: {error}\n\n{prompt}"
             else:
                 break
         return got
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [answers(e, p, list(r)) for e, p, r in zip(batch["eval_id"], batch["prompt"], batch["rubric"], strict=True)]
-            yield pd.DataFrame({"role": batch["role"], "eval_id": batch["eval_id"], "outputs": made})
+            made = pa.array(pooled(batch, PARALLEL, answers), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["role", "eval_id", "outputs"])
 
-    return rows.select("role", "eval_id", "prompt", "rubric").mapInPandas(run, "role string, eval_id string, outputs array<string>")
+    return rows.select("role", "eval_id", "prompt", "rubric").mapInArrow(run, "role string, eval_id string, outputs array<string>")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from typing import Any
 
 import pandas as pd
@@ -27,6 +27,7 @@ class Counters:
     stored: int
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 FIELDS = ("trace_id", "timestamp", "task_type", "prompt", "response", "context", "metadata")
 
 
@@ -82,24 +83,23 @@ def parse_trace(line: str) -> dict[str, Any]:
 
 
 _PARSED = T.StructType(
-    [T.StructField("error", T.StringType()), T.StructField("trace_id", T.StringType()), T.StructField("timestamp", T.TimestampType())]
+    [T.StructField("error", T.StringType()), T.StructField("trace_id", T.StringType()), T.StructField("timestamp", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in ("task_type", "prompt", "response", "context_json", "metadata_json")]
 )
 
 
 @F.pandas_udf(_PARSED)
 def parse_lines(lines: pd.Series) -> pd.DataFrame:
-    """Each line's fields, or its error."""
+    """Each line's fields, or its error; the time in microseconds, which reach every year that a record may have."""
     names = [f.name for f in _PARSED.fields]
     rows = []
     for line in lines:
         try:
-            rows.append({"error": None, **parse_trace(line)})
+            found = parse_trace(line)
+            rows.append({"error": None, **found, "timestamp": (found["timestamp"] - EPOCH) // timedelta(microseconds=1)})
         except ValueError as error:
             rows.append(dict.fromkeys(names) | {"error": str(error)})
-    out = pd.DataFrame(rows, columns=names)
-    out["timestamp"] = pd.to_datetime(out["timestamp"], utc=True)
-    return out
+    return pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +124,8 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def parsed(lines: DataFrame) -> DataFrame:
     """lines (file, line, value) with the fields of each record and error."""
-    return lines.withColumn("p", parse_lines("value")).select("file", "line", "p.*")
+    found = lines.withColumn("p", parse_lines("value")).select("file", "line", "p.*")
+    return found.withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 
 def valid(rows: DataFrame) -> DataFrame:

@@ -107,3 +107,12 @@ def test_stream_counts_lines_across_blocks(spark, tmp_path):
 def test_windows(spark):
     rows = spark.createDataFrame([("2026-01-01 00:01:00", "a"), ("2026-01-01 00:04:59", "a"), ("2026-01-01 00:05:00", "b")], "ts string, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.kind, r.n) for r in windowed_counts(rows, "ts", "kind").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_every_year_that_a_record_may_have(spark, tmp_path):
+    """Times beyond 1677 to 2262, which pandas can't hold, are stored to the microsecond."""
+    times = ["0001-01-01T00:00:00Z", "1600-02-29T12:30:00.000001+00:00", "9999-12-31T23:59:59.999999Z", "2024-06-01T02:00:00+02:00"]
+    path = write(tmp_path / "a.jsonl", *[record(trace_id=f"t{i}", timestamp=t) for i, t in enumerate(times)], record(trace_id="t9", timestamp="0001-01-01T00:00:00+14:00"))
+    rows, bad, counters = ingest(spark, path)
+    assert [r.t for r in rows.orderBy("trace_id").select(utc_text(F.col("timestamp")).alias("t")).collect()] == ["0001-01-01T00:00:00.000000Z", "1600-02-29T12:30:00.000001Z", "9999-12-31T23:59:59.999999Z", "2024-06-01T00:00:00.000000Z"]
+    assert counters.stored == 4 and [r.line for r in bad.collect()] == [5]  # its moment in UTC has no year
