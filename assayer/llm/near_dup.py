@@ -156,10 +156,15 @@ class _Links:
         y = c.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
         return written(pairs.join(x, "a").join(y, "b").mapInArrow(lean(_sketches_allow), "a binary, b binary, shared long"), label, parts=self.parts)
 
+    def _place(self, name: str) -> Column:
+        """A number of an id: itself, or a text's hash."""
+        text = self.docs.schema["doc_id"].dataType.typeName() == "string"
+        return F.when(F.col(name).isNotNull(), F.xxhash64(name)) if text else F.col(name)
+
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, hashes) of the classes in wanted, made anew from the texts of their documents."""
         need = wanted.join(self.classes.select("cls", "rep"), "cls")
-        at = F.pmod("rep", F.lit(BITS)) + 1
+        at = F.pmod(self._place("rep"), F.lit(BITS)) + 1
         found = need.filter("rep is not null").select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
         bits = np.zeros(BITS // 8, np.uint8)
         for n, m in found:
@@ -174,7 +179,7 @@ class _Links:
                 made = [s for b in blobs(batch.column(1).filter(pa.array(hit))) if len(s := shingles(b, k))]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], ["cls", "hashes"])
 
-        made = self.docs.mapInArrow(lean(run), "cls binary, hashes binary")
+        made = self.docs.select(self._place("doc_id"), "text").mapInArrow(lean(run), "cls binary, hashes binary")
         return written(made.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "near-sets", parts=self.parts)
 
     def link(self, pairs: DataFrame, sets: DataFrame) -> None:
@@ -273,7 +278,7 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
 
     cls is null for a text without words. The rows are written once and read again.
     """
-    rows = written(docs.mapInArrow(lean(_features(k)), "doc_id long, n long, cls binary, sig array<long>, cells binary"), "near-features")
+    rows = written(docs.mapInArrow(lean(_features(k)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls binary, sig array<long>, cells binary"), "near-features")
     shared = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sig").alias("sig"))
     classes = written(shared, "near-classes")
     held = classes.count()
@@ -308,6 +313,11 @@ def near_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "n", "cls"), links.labels
 
 
+def _sortable(docs: DataFrame, id_col: str) -> Column:
+    """A whole number as a long; a text, which is compared as it is."""
+    return F.col(id_col) if docs.schema[id_col].dataType.typeName() == "string" else F.col(id_col).cast("long")
+
+
 def near_dup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -316,7 +326,7 @@ def near_dup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
     one class; a null id counts for nothing in component_id and is kept only where no row of the
     component has an id.
     """
-    rows, labels = near_classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), k)
+    rows, labels = near_classes(docs.select(_sortable(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), k)
     named = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("group"))
     least = written(named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1").select(F.col("group").alias("g"), "least"), "near-least")
     small = least.count() <= BROADCAST_GROUPS

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import lean, words
-from assayer.llm.token_store import encoded
+from assayer.llm.token_store import counted
 
 #: Permitted lengths of a sequence, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -41,8 +41,6 @@ ATTENTION = 4096
 BLOCK = 8192
 #: Pieces that are looked for to tell how full a new sequence can become.
 FILLS = 8
-#: Bytes of an id of the token store's encoder.
-ID_BYTES = 2
 
 
 def cost(capacity: int) -> float:
@@ -111,8 +109,7 @@ def lengths_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n): the ids that the token store writes for a text, or its words where no tokenizer is named, and the end token."""
     if tokenizer is None:
         return docs.select(F.col(id_col).alias("doc_id"), (F.size(words(F.col(text_col))) + 1).cast("long").alias("n"))
-    coded = encoded(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer)
-    return coded.select("doc_id", (F.octet_length("ids") / ID_BYTES).cast("long").alias("n"))
+    return counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = CAPACITIES[-1], tokenizer: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assayer.llm import mixing, packing, quality_classifier, queries, token_store
+from assayer.llm import mixing, packing, quality_classifier, queries
 
 from .test_near_dup import brute
 
@@ -60,11 +62,14 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     assert mixed.columns == COLUMNS and Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i, n in plan.items() if n})
 
     packed = corpus_pipeline.pack_sequences(spark, mixed, sf_dir).collect()
-    tokens = sum(len(r.text.split()) + 1 for r in mixed.collect())
-    assert sum(r.n_tokens for r in packed) == tokens
-    encoder = token_store.WordEncoder(queries.vocabulary(), "<u2")
-    ids = packing.best_fit(mixed, tokenizer=queries.vocabulary(), ordered=True).agg({"n_tokens": "sum"}).head()[0]
-    assert ids == sum(len(encoder.encode([r.text.encode()])[0]) // 2 + 1 for r in mixed.collect())
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    tokens = Counter()
+    for r in mixed.collect():
+        tokens[r.doc_id] += len(library.encode(r.text, add_special_tokens=False).ids) + 1
+    counted = Counter()
+    for r in packed:
+        counted[r.doc_id] += r.n_tokens
+    assert counted == tokens
     held = defaultdict(int)
     for r in packed:
         held[r.sequence_id] += r.n_tokens
@@ -99,6 +104,9 @@ def test_stages_take_odd_tables(spark, sf_dir):
     got = rows(apart)
     assert len(got) == 6 and sum(t is not None and "word3 " in t.lower() for _, t in got) == 1 and sum(not (t or "").strip() for _, t in got) == 3
     assert texts[4] in got and sum((t or "").startswith("alone") for _, t in got) == 1
+    assert texts[0] in got and texts[3] in got  # the least id of each group, whatever ids repeat or are missing elsewhere
+    names = [r[0] for r in spark.createDataFrame([(5, "a"), (-3, "z"), (None, "a"), (2**62, None), (5, "b"), (0, "")], "i long, t string").orderBy(corpus_pipeline.row_name(F.col("i"), F.col("t"))).select("i").collect()]
+    assert names == [-3, 0, 5, 5, 2**62, None]
     mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
     assert mixed.columns == docs.columns and {(r.score, r["size"], r.target, r.position, r.group_size) for r in mixed.collect()} == {(0.5, "mine", "t", 9, 3)}
     assert Counter(rows(mixed)) == Counter(rows(docs))  # one source: every document once
