@@ -8,16 +8,15 @@ come back as they were.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import exact_dedup, mixing, near_dup, packing, quality_classifier
 from assayer.llm.common import small_batches, table, written
+from assayer.llm.queries import vocabulary
 
-#: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-#: Tokenizer file that counts the last stage's tokens; None: words.
-TOKENIZER: str | None = None
+#: Up to so many names of rows (some 80 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: Names of the operators' outputs, which columns of documents may have too.
 TAKEN = {"score", "predicted", "kept", "keep_id", "group_size", "size", "source_size", "target", "copies", "taken", "position", "positions"}
 
@@ -51,26 +50,31 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 80 % of their five-word shingles the one with the least id stays.
 
-    Where ids are null or repeat, rows are told apart by a hash of id and text instead: then the row
-    with the least hash stays, and of rows that repeat as a whole, one. Texts without words all
-    stay.
+    One rule tells and orders rows: by id, nulls last, then by the text's sha256. Of rows that repeat
+    id and text one stays. Texts without words all stay.
     """
     small_batches(spark)
-    counts = docs.agg(F.count("*"), F.countDistinct("doc_id")).head()
-    if counts[0] == counts[1]:
-        return _without(docs, "doc_id", near_dup.near_dup(docs.select("doc_id", "text"), k=5)).select(*docs.columns)
-    named = docs.withColumn("_llm_uid", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
-    words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
-    some = named.filter(words).dropDuplicates(["_llm_uid"])
-    kept = _without(some, "_llm_uid", near_dup.near_dup(named.filter(words), k=5, id_col="_llm_uid"))
-    return kept.select(*docs.columns).unionByName(docs.filter(~words))
+    named = docs.withColumn("_llm_uid", row_name(F.col("doc_id"), F.col("text")))
+    found = near_dup.near_dup(named.select("_llm_uid", "text"), k=5, id_col="_llm_uid")
+    verdicts = written(found.filter("n_shingles > 0").select(F.col("doc_id").alias("_llm_uid"), "kept"), "near-verdicts")
+    kept = _meeting(named, verdicts.filter("not kept").select("_llm_uid").distinct(), "left_anti")
+    again = verdicts.filter("kept").groupBy("_llm_uid").count().filter("count > 1").select("_llm_uid")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = _meeting(kept, again, "left_semi").dropDuplicates(["_llm_uid"])
+    return _meeting(kept, again, "left_anti").unionByName(once).select(*docs.columns)
 
 
-def _without(docs: DataFrame, key: str, verdicts: DataFrame) -> DataFrame:
-    """docs but for those that verdicts (doc_id, kept), by the same key, drop."""
-    gone = written(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "near-gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
+def row_name(doc_id: Column, text: Column) -> Column:
+    """A text that stands for a row and sorts as (id, nulls last, sha256 of the text) does."""
+    number = F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), number), F.lit("1")), F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _meeting(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """docs joined with names (_llm_uid), which are broadcast where there are few."""
+    held = written(names, "near-names")
+    return docs.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, "_llm_uid", how)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,14 +87,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy's pieces, counted in words, with the sequences that hold them.
+    """Every copy's pieces, counted in token ids, with the sequences that hold them.
 
     Blocks are runs of rows as the mix left them, so a sequence holds one stretch of training. Rows
-    that repeat, and rows without an id, are packed each. Token ids (TOKENIZER, a file's path) need
-    more memory than the check tool's executors have left behind four stages.
+    that repeat, and rows without an id, are packed each.
     """
     small_batches(spark)
-    return packing.best_fit(docs, tokenizer=TOKENIZER, ordered=True)
+    return packing.best_fit(docs, tokenizer=vocabulary(), ordered=True)
 
 
 STAGES = [
