@@ -5,8 +5,8 @@ neighbouring byte classes and a few word statistics go through a learned layer.
 weighs the passages of a document, and the weighted passage representation gives its score. Only
 documents have labels; encoder, attention and output are learned from them together, in numpy.
 
-The classifier is fitted on SAMPLE labelled documents at most, chosen by a hash of their id, and
-never on held-out rows (crc32 of the id as text divisible by 5). Labels, language, source and id are
+The classifier is fitted on SAMPLE labelled documents at most, of PASSAGES passages together, chosen by
+a hash of their id, whole, and never on held-out rows (crc32 of the id as text divisible by 5). Labels, language, source and id are
 no inputs. Scoring reads every whole text.
 """
 
@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import blobs, lean, uniform
+from assayer.llm.common import blobs, forget, lean, uniform, written
 
 PASSAGE = 64
 SAMPLE = 4000
-#: Passages of a text that training learns from at most.
-PASSAGES = 1024
+#: Passages of all texts that training learns from together, whole texts of them, at most (77 MB); one text at least.
+PASSAGES = 1 << 17
+#: Files of the sample's measures.
+BAG_FILES = 8
 THRESHOLD = 0.3
 
 
@@ -133,18 +135,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gates: int
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
             xb = np.clip((np.concatenate([bags[i] for i in some]) - model.mean) * scale, -8, 8)
             y = labels[some].astype(np.float32)[:, None]
-            h = np.tanh(xb @ w["e"] + w["eb"])
-            t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
-            a = _softmax((t * g @ w["a"])[:, 0], starts, len(xb))[:, None]
-            z = np.add.reduceat(a * h, starts, axis=0)
-            d = (1 / (1 + np.exp(-np.clip(z @ w["o"] + w["ob"], -30, 30))) - y) / len(some)
-            dz = np.repeat(d @ w["o"].T, counts, axis=0)
-            da = (dz * h).sum(axis=1, keepdims=True)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, starts, axis=0), counts, axis=0))
-            dgate = de @ w["a"].T
-            dt, dg = dgate * g * (1 - t * t), dgate * t * g * (1 - g)
-            dh = (a * dz + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
-            grads = {"e": xb.T @ dh, "eb": dh.sum(axis=0, keepdims=True), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "o": z.T @ d, "ob": d.sum(axis=0, keepdims=True)}
+            grads = gradients(w, xb, starts, y)
             step += 1
             for k, grad in grads.items():
                 grad = grad + 1e-4 * w[k] * (not k.endswith("b"))
@@ -154,42 +145,61 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gates: int
     return model
 
 
+def gradients(w: dict[str, np.ndarray], xb: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of bags (rows of xb from a start to the next) with labels y, by each weight."""
+    counts = np.diff(np.append(starts, len(xb)))
+    h = np.tanh(xb @ w["e"] + w["eb"])
+    t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
+    a = _softmax((t * g @ w["a"])[:, 0], starts, len(xb))[:, None]
+    z = np.add.reduceat(a * h, starts, axis=0)
+    d = (1 / (1 + np.exp(-np.clip(z @ w["o"] + w["ob"], -30, 30))) - y) / len(starts)
+    dz = np.repeat(d @ w["o"].T, counts, axis=0)
+    da = (dz * h).sum(axis=1, keepdims=True)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts, axis=0), counts, axis=0))
+    dgate = de @ w["a"].T
+    dt, dg = dgate * g * (1 - t * t), dgate * t * g * (1 - g)
+    dh = (a * dz + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
+    return {"e": xb.T @ dh, "eb": dh.sum(axis=0, keepdims=True), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "o": z.T @ d, "ob": d.sum(axis=0, keepdims=True)}
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose label is never learned: crc32 of the id as text divisible by 5. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _bags(most: int):
-    """The measures of the passages of each text, ``most`` of them at most."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The measures of all passages of each text, and how many there are."""
+    for batch in batches:
+        made = [passages(b) for b in blobs(batch.column(1))]
+        sizes, bags = pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, bags], ["doc_id", "label", "size", "bag"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for b in blobs(batch.column(1)):
-                bag = passages(b)
-                if len(bag) > most:
-                    bag = bag[np.linspace(0, len(bag) - 1, most).astype(np.int64)]
-                made.append(bag.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "bag"])
 
-    return run
+def within(sizes: list[int], most: int) -> int:
+    """How many of the first have ``most`` together at most, one at least where there is one."""
+    return max(min(len(sizes), 1), int(np.searchsorted(np.cumsum(sizes), most, "right")))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits a model on labelled documents that aren't held out, ``sample`` of them at most.
 
-    The sample is the labels with the least hash of doc_id; only its documents' measures come to
-    the driver. Of rows that repeat an id the one with the least hash of its text is learned, and of
-    a text of more than PASSAGES passages as many, evenly spread: so rows and bytes are bounded.
-    Scores read every passage. Null labels are none; of several labels of an id the greatest counts.
+    The sample is the labels with the least hash of doc_id, as many of them as have PASSAGES passages
+    together: fewer documents where texts are long, each of them whole. Only their measures come to the
+    driver. Of rows that repeat an id the one with the least hash of its text is learned. Scores read
+    every passage. Null labels are none; of several labels of an id the greatest counts.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_llm_id")).agg(F.max(label).cast("long").alias("label"))
-    chosen = known.orderBy(uniform(F.col("_llm_id"), F.lit(8)), "_llm_id").limit(sample)
+    order = uniform(F.col("_llm_id"), F.lit(8))
+    chosen = known.orderBy(order, "_llm_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_llm_id")).select("doc_id", "text", "label")
-    bagged = rows.mapInArrow(lean(_bags(PASSAGES)), "doc_id long, label long, bag binary")
-    one = bagged.groupBy("doc_id").agg(F.min_by(F.struct("label", "bag"), F.xxhash64("bag")).alias("r")).select("doc_id", "r.*")
-    got = one.toArrow().sort_by([("doc_id", "ascending")])
+    bagged = rows.mapInArrow(lean(_bags), "doc_id long, label long, size long, bag binary")
+    one = written(bagged.groupBy("doc_id").agg(F.min_by(F.struct("label", "size", "bag"), F.xxhash64("bag")).alias("r")).select("doc_id", "r.*"), "labelled-passages", parts=BAG_FILES)
+    sizes = one.select("doc_id", "size", uniform(F.col("doc_id"), F.lit(8)).alias("u")).toArrow().sort_by([("u", "ascending"), ("doc_id", "ascending")])
+    learned = sizes["doc_id"].to_pylist()[: within(sizes["size"].to_pylist(), PASSAGES)]
+    names = docs.sparkSession.createDataFrame([(i,) for i in learned], "doc_id long")
+    got = one.join(F.broadcast(names), "doc_id").select("doc_id", "label", "bag").toArrow().sort_by([("doc_id", "ascending")])
+    forget(one)
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["bag"].to_pylist()]
     return fit(bags, (got["label"].to_numpy() > 0).astype(np.float32))
 

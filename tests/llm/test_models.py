@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -45,15 +46,76 @@ def test_held_out_labels_and_other_columns_change_nothing(labeled):
 
 
 def test_training_is_bounded(labeled, monkeypatch):
-    """A labelled id that repeats, and one with a very long text, add one row of PASSAGES passages each."""
+    """Whole texts, as many as have PASSAGES passages together; a labelled id that repeats is learned once."""
     docs, labels = labeled
     seen = []
     monkeypatch.setattr(qc, "fit", lambda bags, y: seen.append(([len(b) for b in bags], len(y))))
-    monkeypatch.setattr(qc, "PASSAGES", 7)
     long = docs.filter("doc_id = 1 or doc_id = 2").withColumn("text", F.repeat("text", 50))
-    qc.train(docs.unionByName(docs.filter("doc_id = 3")).unionByName(long), labels)
+    more = docs.filter("doc_id not in (1, 2)").unionByName(docs.filter("doc_id = 3")).unionByName(long)
     known = labels.filter(~qc.held_out(F.col("doc_id"))).count()
-    assert seen[0][1] == known and len(seen[0][0]) == known and max(seen[0][0]) == 7
+    qc.train(more, labels)
+    sizes, n = seen.pop()
+    assert n == len(sizes) == known and max(sizes) > 20  # the long texts are whole
+    monkeypatch.setattr(qc, "PASSAGES", 30)
+    qc.train(more, labels)
+    fewer, n = seen.pop()
+    assert 0 < n == len(fewer) < known and (sum(fewer) <= 30 or n == 1) and set(fewer) <= set(sizes)
+    assert [qc.within(x, 10) for x in ([], [50], [4, 6, 1], [4, 7], [0, 0])] == [0, 1, 2, 1, 2]
+
+
+def plain_score(model, bag):
+    """A bag's score by the formulas, number by number."""
+    w = {k: v.astype(float).tolist() for k, v in model.w.items()}
+    hidden, gates = range(len(w["eb"][0])), range(len(w["a"]))
+    encoded = []
+    for row in bag.tolist():
+        x = [min(8.0, max(-8.0, (v - m) * s)) for v, m, s in zip(row, model.mean.tolist(), model.scale.tolist(), strict=True)]
+        encoded.append([math.tanh(sum(v * w["e"][i][j] for i, v in enumerate(x)) + w["eb"][0][j]) for j in hidden])
+    gate = lambda h, k: math.tanh(sum(h[j] * w["v"][j][k] for j in hidden)) / (1 + math.exp(-sum(h[j] * w["u"][j][k] for j in hidden)))
+    energy = [math.exp(sum(gate(h, k) * w["a"][k][0] for k in gates)) for h in encoded]
+    z = [sum(e * h[j] for e, h in zip(energy, encoded, strict=True)) / sum(energy) for j in hidden]
+    return 1 / (1 + math.exp(-(sum(v * w["o"][j][0] for j, v in enumerate(z)) + w["ob"][0][0])))
+
+
+def small_model(rng, width=6):
+    shapes = {"e": (width, 5), "eb": (1, 5), "v": (5, 4), "u": (5, 4), "a": (4, 1), "o": (5, 1), "ob": (1, 1)}
+    return qc.Model(rng.normal(size=width), rng.random(width) + 0.5, {k: rng.normal(size=s) for k, s in shapes.items()})
+
+
+def test_scores_against_the_formulas(labeled):
+    rng = np.random.default_rng(3)
+    model = small_model(rng)
+    bags = [rng.normal(size=(n, 6)) for n in (1, 4, 2, 7)]
+    starts = np.cumsum([0] + [len(b) for b in bags])[:-1]
+    assert model.scores(np.concatenate(bags), starts).tolist() == pytest.approx([plain_score(model, b) for b in bags], abs=1e-12)
+    docs, labels = labeled
+    model = qc.train(docs, labels)  # a trained one, over whole texts
+    some = docs.orderBy("doc_id").limit(5)
+    got = {r.doc_id: r.score for r in qc.score(some, model).collect()}
+    assert got == pytest.approx({r.doc_id: plain_score(model, qc.passages((r.text or "").encode())) for r in some.collect()}, abs=1e-4)
+
+
+def test_gradients_of_all_weights_against_differences():
+    rng = np.random.default_rng(4)
+    model = small_model(rng)
+    bags = [rng.normal(size=(n, 6)) for n in (3, 1, 5)]
+    x, starts, y = np.concatenate(bags), np.array([0, 3, 4]), np.array([[1.0], [0.0], [1.0]])
+    plain = qc.Model(np.zeros(6), np.ones(6), model.w)
+
+    def loss():
+        p = plain.scores(x, starts)[:, None]
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    found = qc.gradients(model.w, x, starts, y)
+    for name, weights in model.w.items():
+        for at in np.ndindex(weights.shape):
+            held = weights[at]
+            weights[at] = held + 1e-6
+            above = loss()
+            weights[at] = held - 1e-6
+            below = loss()
+            weights[at] = held
+            assert found[name][at] == pytest.approx((above - below) / 2e-6, abs=1e-7), (name, at)
 
 
 def test_attention_weighs_passages():
