@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.numbers import count_if, exact_mean
+from assayer.functions.ordering import document_index
 
 ROLES = ("baseline", "candidate")
 TRANSITIONS = ("passed_both", "failed_both", "newly_passed", "newly_failed")
@@ -103,9 +104,14 @@ def comparison_slices(cases: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def newly_lists(cases: DataFrame) -> DataFrame:
-    """(transition, eval_ids): the report's lists of newly passed and newly failed cases."""
-    moved = cases.filter(F.col("transition").isin("newly_passed", "newly_failed"))
-    return moved.groupBy("transition").agg(F.sort_array(F.collect_list("eval_id")).alias("eval_ids"))
+    """(transition, ordinal, eval_id): the report's lists of newly passed and newly failed cases, a row for each case.
+
+    A list of any length is in order, its places counted from 0 by sorted ranges; no task holds one whole.
+    """
+    moved = cases.filter(F.col("transition").isin("newly_passed", "newly_failed")).select("transition", "eval_id")
+    placed = document_index(moved.withColumn("_key", F.concat("transition", F.lit(" "), "eval_id")), "_key")
+    first = placed.groupBy("transition").agg(F.min("document_index").alias("_first"))  # two rows
+    return placed.join(F.broadcast(first), "transition").select("transition", (F.col("document_index") - F.col("_first")).alias("ordinal"), "eval_id")
 
 
 @dataclass(frozen=True)

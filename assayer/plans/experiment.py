@@ -277,7 +277,8 @@ def load_report(catalog: Catalog, experiment_id: str) -> dict[str, Any]:
     runs = listed(mine("run_aggregates"))
     out["runs"] = {role: order([{k: v for k, v in r.items() if k != "role"} for r in runs if r["role"] == role]) for role in comparing.ROLES}
     out["comparison"] = order(listed(mine("comparison_aggregates")))
-    out |= {r.transition: r.eval_ids for r in comparing.newly_lists(mine("case_comparisons")).collect()}
+    for r in comparing.newly_lists(mine("case_comparisons")).orderBy("transition", "ordinal").toLocalIterator():
+        out.setdefault(r.transition, []).append(r.eval_id)
     if slices := listed(mine("comparison_slice_aggregates").orderBy("cluster_number")):
         out |= {"schema_version": 2, "slices": slices}
     out["providers"] = {r.role: {"provider": r.provider, "settings": json.loads(r.settings_json)} for r in mine("runs").collect()}

@@ -127,7 +127,7 @@ SQL: dict[str, str] = {
     "case_comparisons": f"{_with(VIEWS)} SELECT * FROM cmp",
     "comparison_aggregates": f"{_with(VIEWS, AGGREGATES)} SELECT scope, case_count, {ROUNDED} FROM agg",
     "comparison_slices": f"{_with(VIEWS, AGGREGATES)} SELECT cluster_number, selector, label_snapshot, case_count, {ROUNDED}, round(baseline_pass_rate, 6) AS baseline_pass_rate, round(candidate_pass_rate, 6) AS candidate_pass_rate, newly_passed, newly_failed FROM slices",
-    "newly_lists": f"{_with(VIEWS)} SELECT transition, string_agg(eval_id, ',' ORDER BY eval_id) AS eval_ids FROM cmp WHERE transition IN ('newly_passed', 'newly_failed') GROUP BY transition",
+    "newly_lists": f"{_with(VIEWS)} SELECT transition, row_number() OVER (PARTITION BY transition ORDER BY eval_id) - 1 AS ordinal, eval_id FROM cmp WHERE transition IN ('newly_passed', 'newly_failed')",
     "gate_violations": f"{GATED} SELECT violation_index, scope, scope_kind, cluster_number, label_snapshot, metric, round(actual, 6) AS actual, round(allowed, 6) AS allowed, message FROM violations",
     "gate_verdict": f"{GATED} SELECT count(*) AS violation_count, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM violations",
     "gate_over_lineitem": f"""{_with(ORDERS, AGGREGATES.split(", slices AS")[0], _gate({"global": type(LIMITS["global"])(0.01, 10), "1-URGENT": type(LIMITS["global"])(0.0, 0)}, {}))}

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.ids import eval_id, sha256
 from assayer.functions.json_text import fixed_object, quote
-from assayer.functions.ordering import ordered_digest, ordered_digests
 from assayer.functions.numbers import exact_mean
+from assayer.functions.ordering import ordered_digest, ordered_digests
 from assayer.functions.text import nonblank, strip
 from assayer.operators import clustering, comparing, judging, sampling, scoring
 from assayer.plans import constraints, reports
@@ -171,8 +171,8 @@ def comparison_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newly_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E6."""
-    return comparing.newly_lists(_compared(spark, sf_dir)).withColumn("eval_ids", F.array_join("eval_ids", ","))
+    """Newly passed and newly failed cases with their places in the report's lists."""
+    return comparing.newly_lists(_compared(spark, sf_dir))
 
 
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
