@@ -20,6 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.ordering import document_index
 from assayer.functions.shared import written
 
 
@@ -417,36 +418,45 @@ def kmeans(vectors: DataFrame, k: int, starts: int = 20, iterations: int = 300,
 # --- the singular value decomposition --------------------------------------------------------------------
 
 
-def _times_transposed(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
-    """X' X q, summed over all rows; the driver and each task hold width x columns numbers."""
+def _times_transposed(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X' X q, summed over all packed rows; the driver and each task hold width x columns numbers."""
     width, columns = q.shape
-    shared = vectors.sparkSession.sparkContext.broadcast(q)
-    names = [f"z{j}" for j in range(columns)]
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+    size = max(1, -(-width // ADDERS))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, columns))
-        for block in blocks(batches, width):
+        for block in blocks(unpacked(batches), width):
             y = block.times(shared.value)
             if (full := block.dense()) is not None:
                 total += full.T @ y
             else:
                 for a in range(0, len(block.at), max(1, CELLS // columns)):
                     part = slice(a, a + max(1, CELLS // columns))
-                    np.add.at(total, block.at[part], block.x[part, None] * y[block.rows[part]])
-        seen = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *(pa.array(total[seen, j]) for j in range(columns))], ["at", *names])
-
-    rows = vectors.mapInArrow(over, "at long, " + ", ".join(f"{n} double" for n in names))
-    found = rows.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+                    for j in range(columns):
+                        total[:, j] += np.bincount(block.at[part], block.x[part] * y[block.rows[part], j], width)
+        for part in range(0, width, size):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total[part : part + size].tobytes()], pa.binary())], ["part", "z"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for part, z in ((r[0].as_py(), np.frombuffer(r[1].as_buffer())) for batch in batches for r in zip(*batch.columns, strict=True)):
+            totals[part] = totals[part] + z if part in totals else z
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "z"])
+
+    found = rows.mapInArrow(over, "part long, z binary").repartition("part").mapInArrow(added, "part long, z binary").toArrow()
+    shared.destroy()
     out = np.zeros((width, columns))
-    out[found["at"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], axis=1)
+    for part, z in zip(found["part"], found["z"], strict=True):
+        out[part.as_py() : part.as_py() + size] = np.frombuffer(z.as_buffer()).reshape(-1, columns)
     return out
 
 
-def _triangle(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
+def _triangle(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """R of the tall matrix X q: each task's rows are reduced to a triangle, and the triangles in turn, twice."""
     width, columns = q.shape
-    shared = vectors.sparkSession.sparkContext.broadcast(q)
+    shared = rows.sparkSession.sparkContext.broadcast(q)
 
     def reduced(parts: Iterator[np.ndarray]) -> pa.RecordBatch:
         r = np.zeros((0, columns))
@@ -455,23 +465,23 @@ def _triangle(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], ["r"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield reduced(block.times(shared.value) for block in blocks(batches, width))
+        yield reduced(block.times(shared.value) for block in blocks(unpacked(batches), width))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield reduced(np.frombuffer(r, np.float64).reshape(-1, columns) for batch in batches for r in batch.column(0).to_pylist())
 
-    few = vectors.mapInArrow(first, "r binary").repartition(8).mapInArrow(again, "r binary").collect()
+    few = rows.mapInArrow(first, "r binary").repartition(8).mapInArrow(again, "r binary").collect()
     return np.linalg.qr(np.vstack([np.frombuffer(r["r"], np.float64).reshape(-1, columns) for r in few]), mode="r")
 
 
-def _ranged(vectors: DataFrame, q: np.ndarray, components: int) -> np.ndarray:
+def _ranged(rows: DataFrame, q: np.ndarray, components: int) -> np.ndarray:
     """Orthogonal directions that hold the first components, from random ones.
 
     A pass multiplies the directions' residuals by X' X; the best directions among the old ones, the
     residuals and the last step go on. LEAST_PASSES are made at least, and on until no wanted singular
     value changes twice in a row.
     """
-    aq, p, ap, quiet, before = _times_transposed(vectors, q), None, None, 0, np.zeros(components)
+    aq, p, ap, quiet, before = _times_transposed(rows, q), None, None, 0, np.zeros(components)
     for i in range(MOST_PASSES):
         squares, turned = np.linalg.eigh(q.T @ aq)
         turned = turned[:, ::-1]
@@ -481,25 +491,32 @@ def _ranged(vectors: DataFrame, q: np.ndarray, components: int) -> np.ndarray:
         if i + 1 >= LEAST_PASSES and quiet > 1:
             break
         before = now
-        basis = q if p is None else np.hstack([q, p])
         w = aq - q * squares
+        held = [q] if p is None else [q, p]  # lists of directions, never joined: memory is a few of them
         for _ in range(2):
-            w = w - basis @ (basis.T @ w)
+            for u in held:
+                w -= u @ (u.T @ w)
         w, r = np.linalg.qr(w)
         w = w[:, np.abs(np.diag(r)) > 1e-13 * max(np.abs(r).max(), squares[0], 1e-300)]
         for _ in range(2):
-            w = w - basis @ (basis.T @ w)
+            for u in held:
+                w -= u @ (u.T @ w)
         if not w.shape[1]:
             break  # nothing is left outside of the directions
         w = np.linalg.qr(w)[0]
-        s = np.hstack([basis, w])
-        products = np.hstack([aq if p is None else np.hstack([aq, ap]), _times_transposed(vectors, w)])
-        _, best = np.linalg.eigh((s.T @ products + products.T @ s) / 2)
-        best, n = best[:, ::-1][:, : q.shape[1]], q.shape[1]
-        step, moved = s[:, n:] @ best[n:], products[:, n:] @ best[n:]
-        q, aq = s @ best, products @ best
+        held, products = [*held, w], [aq, *([] if p is None else [ap]), _times_transposed(rows, w)]
+        small = np.block([[u.T @ z for z in products] for u in held])
+        _, best = np.linalg.eigh((small + small.T) / 2)
+        best = best[:, ::-1][:, : q.shape[1]]
+        cuts = np.split(best, np.cumsum([u.shape[1] for u in held])[:-1])
+        step, moved = (sum(u @ c for u, c in zip(listed[1:], cuts[1:], strict=True)) for listed in (held, products))
+        q, aq = q @ cuts[0], aq @ cuts[0]
+        q += step
+        aq += moved
+        del held, products, w
         inside = q.T @ step  # the last step, made orthogonal to the new directions
-        step, moved = step - q @ inside, moved - aq @ inside
+        step -= q @ inside
+        moved -= aq @ inside
         p, r = np.linalg.qr(step)
         kept = np.abs(np.diag(r)) > 1e-10
         if kept.all():
@@ -509,34 +526,55 @@ def _ranged(vectors: DataFrame, q: np.ndarray, components: int) -> np.ndarray:
     return q
 
 
+def _turned(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row (id, h, at, x) for each component, (id, h, row)): the transposed matrix, and the place of each vector in it."""
+    placed = document_index(vectors.select("id", "h"), "id").select("id", "h", F.col("document_index").cast("int").alias("row"))
+    cells = vectors.select("id", "at", F.posexplode("x")).select("id", F.coalesce(F.get("at", F.col("pos")), "pos").alias("place"), F.col("col").alias("x"))
+    met = cells.join(placed.select("id", "row"), "id").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("row", "x"))).alias("c"))
+    return met.select(F.col("place").alias("id"), F.lit(0).cast("long").alias("h"), F.col("c.row").alias("at"), F.col("c.x").alias("x")), placed
+
+
 def decomposed(vectors: DataFrame, width: int, components: int, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """((id, h, at, x), singular values): rows by their first components, of norm 1 or 0.
 
     A random range finder (_ranged) with OVERSAMPLES more directions than components, then the triangle
-    of the rows in these directions, whose singular values are those of the rows.
+    of the rows in these directions, whose singular values are those of the rows. Directions are lists of
+    as many numbers as there are rows or components, whichever are fewer: where these are the rows, the
+    transposed matrix is taken, whose directions are the rows' own values.
     """
     n = vectors.count()
     if not 1 <= components < min(width, n):
         raise ClusteringError(f"components must be from 1 to {min(width, n) - 1}")
-    held = vectors.persist()
+    rows, placed, size = (*_turned(vectors), n) if n < width else (vectors, None, width)
+    held = packed(rows).persist()
     try:
-        directions = min(components + OVERSAMPLES, width, n)
-        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, directions)))[0]
+        directions = min(components + OVERSAMPLES, size)
+        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, directions)))[0]
         q = _ranged(held, q, components)
         _, values, right = np.linalg.svd(_triangle(held, q))
         turned = right[:components].T
         turned *= np.where(turned[np.abs(turned).argmax(axis=0), np.arange(components)] < 0, -1, 1)
-        shared = vectors.sparkSession.sparkContext.broadcast(q @ turned)
+        found = q @ turned
+        del q
+        if placed is not None:
+            found *= values[:components]
+        shared, kind = vectors.sparkSession.sparkContext.broadcast(found), vectors.schema["id"].dataType.simpleString()
+
+        def unit(ids: pa.Array, h: pa.Array, y: np.ndarray) -> pa.RecordBatch:
+            norm = np.linalg.norm(y, axis=1, keepdims=True)
+            y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-12)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * components, pa.int32()), pa.array(y.reshape(-1)))
+            return pa.RecordBatch.from_arrays([ids, h, pa.nulls(len(y), pa.list_(pa.int32())), listed], ["id", "h", "at", "x"])
 
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches, width):
-                y = block.times(shared.value)
-                norm = np.linalg.norm(y, axis=1, keepdims=True)
-                unit = np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-12)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * components, pa.int32()), pa.array(unit.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([block.ids, pa.array(block.h), pa.nulls(len(y), pa.list_(pa.int32())), listed], ["id", "h", "at", "x"])
-
-        kind = vectors.schema["id"].dataType.simpleString()
-        return written(held.mapInArrow(project, f"id {kind}, h long, at array<int>, x array<double>"), "components"), values[:components]
+                yield unit(block.ids, pa.array(block.h), block.times(shared.value))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield unit(batch.column(0), batch.column(1), shared.value[batch.column(2).to_numpy()])
+
+        made = vectors.mapInArrow(project, f"id {kind}, h long, at array<int>, x array<double>") if placed is None else placed.mapInArrow(look_up, f"id {kind}, h long, at array<int>, x array<double>")
+        return written(made, "components"), values[:components]
     finally:
         held.unpersist()

@@ -54,3 +54,24 @@ def test_dense_sums_are_those_of_whole_numbers(width):
     for c in cells.T:
         np.add.at(want, c, whole)
     assert (got.reshape(12, width) == want).all()
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_directions_are_lists_of_the_fewer_numbers(spark, monkeypatch, sparse):
+    """Fewer rows than components: the driver holds numbers by rows, and what comes out is the same."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((40, 900)) < 0.1, rng.random((40, 900)), 0)
+    x[7] = 0
+    rows = [(f"i{i:02}", np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist()) if sparse else (f"i{i:02}", None, v.tolist()) for i, v in enumerate(x)]
+    vectors = V.stored_vectors(spark.createDataFrame(rows, "id string, at array<int>, x array<double>").repartition(3), "at" if sparse else None)
+    sizes, product = [], V._times_transposed
+    monkeypatch.setattr(V, "_times_transposed", lambda rows, q: sizes.append(len(q)) or product(rows, q))
+    made, values = V.decomposed(vectors, 900, 5)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert set(sizes) == {40} and values == pytest.approx(s[:5], rel=1e-9)
+    got = np.array([r.x for r in made.orderBy("id").collect()])
+    want = u[:, :5] * s[:5]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    want[7] = 0
+    signs = np.sign((got * want).sum(axis=0))
+    assert np.allclose(got * signs, want, atol=1e-6) and (got[7] == 0).all()
