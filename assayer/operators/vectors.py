@@ -31,7 +31,7 @@ class ClusteringError(ValueError):
 #: Numbers of one kind (all centers, or all their sums) that the driver and a task hold: starts are taken in groups that keep to it.
 CELLS = 2**23
 #: Products of a chunk of rows, numbers and rows of a packed block, centers of a group of starts, and parts that sums are added up in.
-PRODUCTS, PACKED, ROWS, CENTERS, ADDERS = 2**18, 2**19, 2**12, 2**11, 24
+PRODUCTS, PACKED, ROWS, CENTERS, ADDERS = 2**18, 2**18, 2**11, 2**11, 24
 #: Types of ids.
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 #: Decimals of a distance that count.
@@ -115,7 +115,7 @@ def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block]:
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """(block): rows as Arrow streams of about PACKED numbers, which later passes take as they are."""
+    """(block): rows as Arrow streams of about PACKED numbers, which later passes take as they are, dealt to all cores however few files they come from."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def packed(vectors: DataFrame) -> DataFrame:
                     out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, step)]) for c in batch.columns], schema=batch.schema))
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
 
-    return vectors.mapInArrow(over, "block binary")
+    return vectors.mapInArrow(over, "block binary").repartition(vectors.sparkSession.sparkContext.defaultParallelism)
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

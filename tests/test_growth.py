@@ -75,3 +75,10 @@ def test_directions_are_lists_of_the_fewer_numbers(spark, monkeypatch, sparse):
     want[7] = 0
     signs = np.sign((got * want).sum(axis=0))
     assert np.allclose(got * signs, want, atol=1e-6) and (got[7] == 0).all()
+
+
+def test_vectors_of_one_file_are_dealt_to_all_cores(spark):
+    rows = V.stored_vectors(spark.range(9000).coalesce(1).select("id", F.array(F.col("id") % 7, F.col("id") % 5).alias("x")))
+    blocks = V.packed(rows)
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sum(len(b) for b in V.unpacked([blocks.toArrow().combine_chunks().to_batches()[0]])) == 9000
