@@ -112,14 +112,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """(file, line, value) of rows (file, block, value) as tasks read them: in the order of a block."""
+    """(file, line, value) of rows (file, block, value) as tasks read them: in the order of a block.
+
+    A block's rows stand side by side in one task, so a row's place is its distance from the block's first: nothing is sorted or
+    moved but a row for each block.
+    """
     rows = rows.withColumn("m", F.monotonically_increasing_id())
-    at = F.row_number().over(Window.partitionBy("file", "block").orderBy("m"))
-    placed = rows.withColumn("at", at)
-    sizes = rows.groupBy("file", "block").count()
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("count"), F.min("m").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return placed.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("file", (F.col("start") + F.col("at")).alias("line"), "value")
+    starts = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.coalesce(F.sum("count").over(before), F.lit(0)) - F.col("first") + 1).alias("start"))
+    return rows.join(F.broadcast(starts), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("file", (F.col("start") + F.col("m")).alias("line"), "value")
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -116,3 +116,20 @@ def test_every_year_that_a_record_may_have(spark, tmp_path):
     rows, bad, counters = ingest(spark, path)
     assert [r.t for r in rows.orderBy("trace_id").select(utc_text(F.col("timestamp")).alias("t")).collect()] == ["0001-01-01T00:00:00.000000Z", "1600-02-29T12:30:00.000001Z", "9999-12-31T23:59:59.999999Z", "2024-06-01T00:00:00.000000Z"]
     assert counters.stored == 4 and [r.line for r in bad.collect()] == [5]  # its moment in UTC has no year
+
+
+def test_lines_are_numbered_without_moving_them(spark, tmp_path):
+    """Blocks of several files are counted, and neither sorted nor shuffled with their lines."""
+    from assayer.sources.traces import read_lines
+
+    for f in range(3):
+        (tmp_path / f"{f}.txt").write_text("".join(f"{f}:{i}\n" for i in range(1, 2001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+    try:
+        rows = read_lines(spark, str(tmp_path))
+        assert {(r.file[-5], r.line, r.value) for r in rows.collect()} == {(str(f), i, f"{f}:{i}") for f in range(3) for i in range(1, 2001)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in plan and "row_number" not in plan
