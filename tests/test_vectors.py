@@ -180,3 +180,12 @@ def test_measures(spark):
         n, width, largest, variance = V.measured(held(spark, x, sparse))
         assert (n, width) == (60, 4) and largest == np.abs(x).max() and variance == pytest.approx(x.var(axis=0).mean())
     assert V.measured(held(spark, x).filter(F.lit(False)))[:2] == (0, 0)
+
+
+def test_a_start_that_settles_makes_room_for_the_next(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELLS", 40)  # two starts at a time
+    km = V.KMeans(held(spark, blobs(200, 5, 2)), 4, 7)
+    under_way, whole = [], km._round
+    monkeypatch.setattr(km, "_round", lambda centers: (under_way.append(len(centers)), whole(centers))[1])
+    km.fit()
+    assert under_way == sorted(under_way, reverse=True) and under_way[0] == 2
