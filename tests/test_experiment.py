@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import cli
+from assayer.functions.json_text import quote
 from assayer.operators.judging import response
+from assayer.operators.scoring import ScorerError
 from assayer.plans import config, constraints, export, slicing
 from assayer.plans.experiment import Experiment, OperationalError, check_coverage, load_detail, load_report
 from assayer.plans.store import Catalog, StoreError
@@ -281,3 +283,38 @@ def test_constraints(spark):
     assert constraints.orphans(spark.createDataFrame([(1,), (2,), (None,)], "k int"), parent, "k").count() == 1
     held = spark.createDataFrame([("e", None), ("f", "x")], "eval_id string, label string")
     assert constraints.changed_provenance(held, held.limit(1), "eval_id", ["label"]).count() == 1
+
+
+def test_an_experiment_takes_few_jobs(spark, store, built):
+    """Steps are made once and read by all that need them: the time of small jobs is most of an experiment's."""
+    catalog, context = built[0], spark.sparkContext
+    made = config.load_config(files(store, catalog))
+    context.setJobGroup("few-jobs", "")
+    try:
+        name = Experiment(catalog, made).run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert load_report(catalog, name)["status"] == "completed"
+    assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) < 190  # 153; 220 when steps were made anew for each table
+
+
+def test_scorers_are_checked_where_they_lie(spark, tmp_path):
+    """A scorer that can't run ends the preflight, without a list of all scorers at the driver."""
+    catalog = Catalog(spark, f"file://{tmp_path}/store")
+    dataset = catalog.create_dataset("scorers", "1")
+    rows = [(f"e{i}", dataset, f"t{i}", "deterministic", [("regex", '{"pattern":"("}' if i == 3 else '{"pattern":"a"}')]) for i in range(6)]
+    catalog.add_cases(dataset, spark.createDataFrame(rows, "eval_id string, dataset_id string, source_trace_id string, evaluation_mode string, scorers array<struct<name:string,config:string>>"))
+    for role in ("baseline", "candidate"):
+        (tmp_path / f"{role}.jsonl").write_text("\n".join(json.dumps({"eval_id": r[0], "output": "a"}) for r in rows))
+    (tmp_path / "e.yaml").write_text("schema_version: 1\nname: try\ndataset: scorers:1\nbaseline: {provider: fixture, path: baseline.jsonl}\ncandidate: {provider: fixture, path: candidate.jsonl}\ngate: {max_score_drop: 0.5, max_new_failures: 9}\n")
+    with pytest.raises(ScorerError, match="regex"):
+        Experiment(catalog, config.load_config(str(tmp_path / "e.yaml"))).run()
+    assert catalog.read("experiments").isEmpty()
+
+
+def test_quoted_texts_stay_in_the_jvm(spark, capsys):
+    texts = [*map(chr, range(160)), "".join(map(chr, range(40))), 'a"b\\c\n\\n', "\\u000b\x0b", "é\u2028𝒳", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quote(F.col("t")).alias("q"))
+    assert all(r.q == (None if r.t is None else json.dumps(r.t, ensure_ascii=False)) for r in rows.collect())
+    rows.explain()
+    assert "Python" not in capsys.readouterr().out.replace("PythonRDD", "")

@@ -87,3 +87,28 @@ def test_a_million_records_against_duckdb(spark):
 def test_stretches_of_nulls():
     names = pa.array([None, None, 1, 1, 2])
     assert [(a, b, n.as_py()) for a, b, n in ordering._stretches(names)] == [(0, 2, None), (2, 4, 1), (4, 5, 2)]
+
+
+def test_ranges_of_one_owner_share_a_job(spark, monkeypatch):
+    """Ranges behind each other are hashed by one task, as many as have CHUNKS chunks together; owners begin at once."""
+    jobs, resumed = [], ordering._resumed
+    monkeypatch.setattr(ordering, "_resumed", lambda begun: jobs.append(len(begun)) or resumed(begun))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        rows = spark.range(900).select(F.format_string('"%05d"', "id").alias("r"), "id")
+        want = listed([f'"{i:05}"' for i in range(900)])
+        for chunks, n in ((256, 1), (3, 4)):
+            jobs.clear()
+            monkeypatch.setattr(ordering, "CHUNKS", chunks)
+            assert ordering.ordered_digest(rows, F.col("r"), F.col("id")) == want
+            assert len(jobs) <= n and set(jobs) == {1}
+        jobs.clear()
+        monkeypatch.setattr(ordering, "CHUNKS", 2)
+        three = rows.withColumn("owner", (F.col("id") / 300).cast("int"))
+        got = {r.owner: r.digest for r in ordering.ordered_digests(three, F.col("owner"), F.col("r"), F.col("id")).collect()}
+        assert got == {k: listed([f'"{i:05}"' for i in range(300 * k, 300 * k + 300)]) for k in range(3)} and len(jobs) <= 3 and jobs[0] >= 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
