@@ -90,7 +90,7 @@ class Experiment:
             lambda: [(r.cluster_number, r.label_snapshot) for r in self.members.select("cluster_number", "label_snapshot").distinct().collect()],
             lambda: ordered_digest(self.cases, definition, F.col("eval_id")),
         )
-        self.outputs = self.spark.createDataFrame([], "role string, eval_id string, output string")
+        self.outputs = self.spark.createDataFrame([], "role string, eval_id string, output string").limit(0)
         for rows in filter(None, found[2 : 2 + len(read)]):
             self.outputs = self.outputs.unionByName(rows)
         self.sliced = bool(slices)
