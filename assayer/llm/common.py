@@ -46,15 +46,15 @@ def meet(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int)
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(per_key.filter(~hot), key))
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+#: Rows of a batch that is read or goes to Python: texts are long, and a batch is held by the executor and by its Python worker.
 BATCH_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets Arrow batches of BATCH_ROWS rows for the session, where it has larger ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Sets batches of Arrow and of the Parquet reader of BATCH_ROWS rows for the session, where it has larger ones."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

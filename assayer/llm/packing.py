@@ -25,12 +25,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import lean, words
-from assayer.llm.token_store import counted
+from assayer.llm.token_store import counted, counts_of_ids, fits
 
+#: Token ids while they are counted, and the columns of packed pieces besides their document's id.
+DTYPE, PACKED = "<u2", "piece int, start long, n_tokens long, sequence_id string, position long, capacity long"
 #: Permitted lengths of a sequence, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length, in tokens.
@@ -123,19 +126,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens"))
 
 
-def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block: int = BLOCK, ordered: bool = False) -> DataFrame:
-    """rows of pieces() with sequence_id, position in the sequence, and the sequence's length.
-
-    sequence_id is <partition>-<block>-<bin>. Pieces are dealt by a hash of id and piece and sorted
-    within a partition, so that reruns with as many partitions agree. Where the order of rows is that
-    of training (ordered), blocks are runs of rows as they stand, without a shuffle: a sequence
-    holds pieces of one stretch of training, and copies of a document that stand apart stay apart.
-    """
-    caps, parts = tuple(capacities), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.spark_partition_id() if ordered else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
-    dealt = rows.withColumn("_llm_part", part)
-    if not ordered:
-        dealt = dealt.repartition(parts, "_llm_part").sortWithinPartitions("_llm_part", F.xxhash64("doc_id", "piece"), "doc_id", "piece", "n_tokens")
+def _packer(caps: tuple[int, ...], block: int = BLOCK):
+    """A function over batches of pieces and their _llm_part, block by block."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -174,15 +166,54 @@ def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block:
         if held:
             yield flush(pa.Table.from_batches(held))
 
+    return packed
+
+
+def _cut(batches: Iterator[pa.RecordBatch], longest: int, part: int) -> Iterator[pa.RecordBatch]:
+    """The rows of pieces(), with their _llm_part, of batches (doc_id, n)."""
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        times = (n - 1) // longest + 1
+        rows = np.repeat(np.arange(len(n)), times)
+        piece = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+        start = piece * longest
+        arrays = [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start), pa.array(np.minimum(longest, n[rows] - start)), pa.array(np.full(len(rows), part, np.int32))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "n_tokens", "_llm_part"])
+
+
+def pack_pieces(rows: DataFrame, capacities: Sequence[int] = CAPACITIES, block: int = BLOCK, ordered: bool = False) -> DataFrame:
+    """rows of pieces() with sequence_id, position in the sequence, and the sequence's length.
+
+    sequence_id is <partition>-<block>-<bin>. Pieces are dealt by a hash of id and piece and sorted
+    within a partition, so that reruns with as many partitions agree. Where the order of rows is that
+    of training (ordered), blocks are runs of rows as they stand, without a shuffle: a sequence
+    holds pieces of one stretch of training, and copies of a document that stand apart stay apart.
+    """
+    caps, parts = tuple(capacities), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id() if ordered else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
+    dealt = rows.withColumn("_llm_part", part)
+    if not ordered:
+        dealt = dealt.repartition(parts, "_llm_part").sortWithinPartitions("_llm_part", F.xxhash64("doc_id", "piece"), "doc_id", "piece", "n_tokens")
+
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.select("doc_id", "piece", "start", "n_tokens", "_llm_part").mapInArrow(lean(packed), f"doc_id {kind}, piece int, start long, n_tokens long, sequence_id string, position long, capacity long")
+    return dealt.select("doc_id", "piece", "start", "n_tokens", "_llm_part").mapInArrow(lean(_packer(caps, block)), f"doc_id {kind}, {PACKED}")
 
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None, ordered: bool = False) -> DataFrame:
     """Packs whole texts, counted in ids of a tokenizer file (or words) and one end token each.
 
     Rows that repeat, and rows without an id, are packed each; a null text has its end token alone.
+    Where texts are encoded and packed as they stand, one Python worker does both.
     """
+    if tokenizer is not None and ordered:
+        fast, caps = fits(tokenizer, DTYPE), tuple(capacities)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            yield from _packer(caps)(_cut(counts_of_ids(batches, tokenizer, DTYPE, fast), max(caps), part))
+
+        kind = docs.schema[id_col].dataType.simpleString()
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, {PACKED}")
     return pack_pieces(pieces(docs, id_col, text_col, max(capacities), tokenizer), capacities, ordered=ordered)
 
 

@@ -298,16 +298,22 @@ def encoded(docs: DataFrame, tokenizer: str, dtype: str = "<u2", end: int = END_
 
 def counted(docs: DataFrame, tokenizer: str, dtype: str = "<u2") -> DataFrame:
     """(doc_id, n) of docs (doc_id, text): how many ids encoded() gives, without handing them on."""
-    fast, item = fits(tokenizer, dtype), np.dtype(dtype).itemsize
+    fast = fits(tokenizer, dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, ids in groups_of_ids(batches, tokenizer, dtype, fast, END_ID):
-            yield pa.RecordBatch.from_arrays([names, pa.array([len(b) // item for b in ids], pa.int64())], ["doc_id", "n"])
+        yield from counts_of_ids(batches, tokenizer, dtype, fast)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n long")
 
 
+def counts_of_ids(batches: Iterator[pa.RecordBatch], tokenizer: str, dtype: str, fast: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n) of rows (doc_id, text), in order. fast: what fits() says."""
+    item = np.dtype(dtype).itemsize
+    for names, ids in groups_of_ids(batches, tokenizer, dtype, fast, END_ID):
+        yield pa.RecordBatch.from_arrays([names, pa.array([len(b) // item for b in ids], pa.int64())], ["doc_id", "n"])
+
+
 def groups_of_ids(batches: Iterator[pa.RecordBatch], tokenizer: str, dtype: str, fast: bool, end: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """(ids of documents, their token ids with the end id) of groups of rows (doc_id, text), in order. fast: what fits() says."""
     encoder = _encoder(tokenizer, dtype, fast)

@@ -143,3 +143,22 @@ def test_ordered_blocks_are_runs_of_rows(spark):
     for r in rows:
         blocks[r.sequence_id.rsplit("-", 1)[0]].append(r.doc_id)
     assert len(rows) == 600 and sorted(sorted(b) for b in blocks.values()) == [list(range(a, a + 100)) for a in range(0, 600, 100)]
+
+
+def test_one_worker_encodes_and_packs_rows_as_they_stand(documents, odd, empty):
+    from assayer.llm import queries
+
+    path, caps = queries.vocabulary(), (64, 128, 256)
+    for docs in (documents.repartition(3).select("doc_id", "text").localCheckpoint(), odd, empty):
+        one = packing.best_fit(docs, capacities=caps, tokenizer=path, ordered=True)
+        two = packing.pack_pieces(packing.pieces(docs, longest=256, tokenizer=path), caps, ordered=True)
+        assert one.schema == two.schema
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+        assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_batches_of_the_reader_are_small(spark, documents):
+    from assayer.llm import common
+
+    common.small_batches(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= common.BATCH_ROWS
