@@ -54,6 +54,10 @@ RATE = 0.15
 UNSEEN = 0.5
 #: Weights of a block that is averaged by itself.
 BLOCK = 65536
+#: Inputs of a softmax within this bound need no shift: their exponentials and the sums of these are ordinary numbers.
+UNSHIFTED = 70.0
+#: Where the tokens around a token stand, from it.
+SHIFTS = [*range(-REACH, 0), *range(1, REACH + 1)]
 #: Logarithms of counts are summed as whole numbers of this part, in any order the same.
 SCALE = 10**9
 
@@ -224,31 +228,53 @@ def fresh(size: int) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(seqs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, contexts) of all tokens of sequences; what lies outside a sequence is ``outside``."""
+def laid(seqs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, at): sequences one after the other with ``outside`` around each, and where their tokens stand."""
     gap = np.full(REACH, outside, np.uint32)
-    joined = np.concatenate([x for s in seqs for x in (gap, s)] + [gap])
+    line = np.concatenate([x for s in seqs for x in (gap, s)] + [gap])
     lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
-    at = np.arange(int(lengths.sum())) + np.repeat(REACH * np.arange(1, len(seqs) + 1), lengths)
-    shifts = [-d for d in range(REACH, 0, -1)] + list(range(1, REACH + 1))
-    return joined[at], np.stack([joined[at + d] for d in shifts])
-
-
-def _hidden(w: dict[str, np.ndarray], seen: list[np.ndarray]) -> np.ndarray:
-    """The hidden layer, a column for each window, and a row of ones below, for biases."""
-    total = seen[0] * w["c"][0]
-    for j in range(1, 2 * REACH):
-        total += seen[j] * w["c"][j]
-    total += w["b"]
-    h = np.ones((OUT, len(total)), np.float32)
-    np.tanh(total.T, out=h[:WIDTH])
+    return line, np.arange(int(lengths.sum())) + np.repeat(REACH * np.arange(1, len(seqs) + 1), lengths)
+
+
+def windows(seqs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, contexts) of all tokens of sequences; what lies outside a sequence is ``outside``."""
+    line, at = laid(seqs, outside)
+    return line[at], np.stack([line[at + d] for d in SHIFTS])
+
+
+def apart(target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, at) of windows that share no place."""
+    line = np.vstack([context[:REACH], target[None], context[REACH:]]).T.astype(np.uint32)
+    return line.ravel(), np.arange(len(target)) * (2 * REACH + 1) + REACH
+
+
+def _seen(w: dict[str, np.ndarray], line: np.ndarray) -> np.ndarray:
+    """The embeddings along a line, a column for each place: each is looked up once, not once for each window that it is in."""
+    return np.take(np.ascontiguousarray(w["e"].T), line, axis=1)
+
+
+def _hidden(w: dict[str, np.ndarray], seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hidden layer, a column for each place in ``at``, and a row of ones below, for biases."""
+    inner = seen.shape[1] - 2 * REACH
+    total = np.repeat(w["b"].T, inner, axis=1)
+    for j, d in enumerate(SHIFTS):
+        total += seen[:, REACH + d : REACH + d + inner] * w["c"][j][:, None]
+    np.tanh(total, out=total)
+    h = np.ones((OUT, len(at)), np.float32)
+    np.take(total, at - REACH, axis=1, out=h[:WIDTH], mode="clip")
     return h
 
 
-def _log_chosen(here: np.ndarray, h: np.ndarray, place: np.ndarray, every: np.ndarray) -> np.ndarray:
+def _bounds(w: dict[str, np.ndarray], name: str, outputs: int) -> np.ndarray:
+    """How far from 0 each softmax's inputs can be; no number of the hidden layer is beyond 1."""
+    return np.abs(w[name]).reshape(-1, outputs, OUT).sum(axis=2).max(axis=1)
+
+
+def _log_chosen(here: np.ndarray, h: np.ndarray, place: np.ndarray, every: np.ndarray, bound: float) -> np.ndarray:
     """The logarithm of a softmax at the chosen places."""
     x = here @ h
-    x -= x.max(axis=0)
+    if not bound < UNSHIFTED:
+        x -= x.max(axis=0)
     chosen = x[place, every]
     np.exp(x, out=x)
     return chosen - np.log(x.sum(axis=0))
@@ -265,27 +291,41 @@ def _ordered(target: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray, n
 
 def log_probabilities(w: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, batch: int = MOST_BATCH) -> np.ndarray:
     """The log-probability of each target in its context."""
+    return log_probabilities_along(w, *apart(target, context), batch)
+
+
+def log_probabilities_along(w: dict[str, np.ndarray], line: np.ndarray, at: np.ndarray, batch: int = MOST_BATCH) -> np.ndarray:
+    """The log-probability of each token at a place of a line, between those around it."""
     inside = w["u"].shape[1] // OUT
-    out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), batch):
-        order, cls, classes, edges = _ordered(target[a : a + batch], inside)
+    bounds = {name: _bounds(w, name, n).tolist() for name, n in (("g", GROUPS), ("t", GROUPS), ("u", inside))}
+    out = np.empty(len(at), np.float32)
+    for a in range(0, len(at), batch):
+        here, some = _stretch(line, at[a : a + batch])
+        target = here[some]
+        order, cls, classes, edges = _ordered(target, inside)
         n, every = len(order), np.arange(len(order))
-        h = _hidden(w, [w["e"][context[j, a : a + batch][order]] for j in range(2 * REACH)])
+        h = _hidden(w, _seen(w, here), some[order])
         group, second = cls // GROUPS, cls % GROUPS
-        logs = _log_chosen(w["g"], h, group, every)
-        at = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
+        logs = _log_chosen(w["g"], h, group, every, bounds["g"][0])
+        upto = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
         for g in range(GROUPS):
-            x, z = at[g], at[g + 1]
+            x, z = upto[g], upto[g + 1]
             if x < z:
-                logs[x:z] += _log_chosen(w["t"][g].reshape(GROUPS, OUT), h[:, x:z], second[x:z], every[: z - x])
+                logs[x:z] += _log_chosen(w["t"][g].reshape(GROUPS, OUT), h[:, x:z], second[x:z], every[: z - x], bounds["t"][g])
         if inside > 1:
-            place = target[a : a + batch][order] % np.uint32(inside)
+            place = target[order] % np.uint32(inside)
             for k, x, z in zip(classes.tolist(), edges, edges[1:], strict=False):
-                logs[x:z] += _log_chosen(w["u"][k].reshape(inside, OUT), h[:, x:z], place[x:z], every[: z - x])
+                logs[x:z] += _log_chosen(w["u"][k].reshape(inside, OUT), h[:, x:z], place[x:z], every[: z - x], bounds["u"][k])
         out[a : a + n][order] = logs
     return out
 
 
+def _stretch(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a line that the windows at rising places are in, and the places in it."""
+    first = at[0] - REACH
+    return line[first : at[-1] + REACH + 1], at - first
+
+
 class Trainer:
     """Adagrad on the mean negative log-probability of batches of windows; only rows that a batch touches are changed."""
 
@@ -302,46 +342,58 @@ class Trainer:
         return np.full(len(self.w[name]), self.tokens, np.int64) if held is None else held
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
-        w, n, inside = self.w, len(target), self.w["u"].shape[1] // OUT
+        self.learn(*apart(target, context))
+
+    def learn(self, line: np.ndarray, at: np.ndarray) -> None:
+        """A step over the windows at places of a line, which rise."""
+        line, at = _stretch(line, at)
+        w, n, inside = self.w, len(at), self.w["u"].shape[1] // OUT
         scale = np.float32(1 / np.sqrt(n))  # steps of batches of any size are alike
+        target = line[at]
         order, cls, classes, edges = _ordered(target, inside)
-        context, every = context[:, order], np.arange(n)
-        seen = [w["e"][context[j]] for j in range(2 * REACH)]
-        h = _hidden(w, seen)
+        places, every = at[order], np.arange(n)
+        seen = _seen(w, line)
+        h = _hidden(w, seen, places)
         dh = np.zeros_like(h)
         group, second = cls // GROUPS, cls % GROUPS
-        self._softmax(w["g"], self.squares["g"], h, group, every, scale, dh)
-        at = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
+        self._softmax(w["g"], self.squares["g"], h, group, every, scale, dh, _bounds(w, "g", GROUPS)[0])
+        upto = np.searchsorted(group, np.arange(GROUPS + 1, dtype=np.uint16)).tolist()
+        bounds = _bounds(w, "t", GROUPS).tolist()
         for g in range(GROUPS):
-            x, z = at[g], at[g + 1]
+            x, z = upto[g], upto[g + 1]
             if x < z:
-                self._softmax(w["t"][g].reshape(GROUPS, OUT), self.squares["t"][g].reshape(GROUPS, OUT), h[:, x:z], second[x:z], every[: z - x], scale, dh[:, x:z])
+                self._softmax(w["t"][g].reshape(GROUPS, OUT), self.squares["t"][g].reshape(GROUPS, OUT), h[:, x:z], second[x:z], every[: z - x], scale, dh[:, x:z], bounds[g])
         if inside > 1:
             place = target[order] % np.uint32(inside)
-            u, squares = w["u"].reshape(CLASSES, inside, OUT), self.squares["u"].reshape(CLASSES, inside, OUT)
+            u, squares, bounds = w["u"].reshape(CLASSES, inside, OUT), self.squares["u"].reshape(CLASSES, inside, OUT), _bounds(w, "u", inside).tolist()
             for k, x, z in zip(classes.tolist(), edges, edges[1:], strict=False):
-                self._softmax(u[k], squares[k], h[:, x:z], place[x:z], every[: z - x], scale, dh[:, x:z])
+                self._softmax(u[k], squares[k], h[:, x:z], place[x:z], every[: z - x], scale, dh[:, x:z], bounds[k])
         h, dh = h[:WIDTH], dh[:WIDTH]
         dh *= 1 - h * h
-        dh = np.ascontiguousarray(dh.T)
-        values = np.empty((2 * REACH, n, WIDTH), np.float32)
-        places = np.empty((2 * REACH, WIDTH), np.float32)
-        for j in range(2 * REACH):
-            np.multiply(dh, w["c"][j], out=values[j])
-            places[j] = np.einsum("ij,ij->j", dh, seen[j])
-        self._change(w["b"], self.squares["b"], dh.sum(axis=0)[None])
-        self._change(w["c"], self.squares["c"], places)
-        ids = context.reshape(-1)
+        # a window's gradient goes to the places around it; what a place gets is summed before tokens are
+        inner = len(line) - 2 * REACH
+        middle, around, count = np.zeros((WIDTH, inner), np.float32), np.zeros((WIDTH, len(line)), np.float32), np.zeros(len(line), np.int64)
+        middle[:, places - REACH] = dh
+        by_place = np.empty((2 * REACH, WIDTH), np.float32)
+        for j, d in enumerate(SHIFTS):
+            part = slice(REACH + d, REACH + d + inner)
+            around[:, part] += middle * w["c"][j][:, None]
+            by_place[j] = np.einsum("ij,ij->i", middle, seen[:, part])
+            count[at + d] += 1
+        self._change(w["b"], self.squares["b"], dh.sum(axis=1)[None])
+        self._change(w["c"], self.squares["c"], by_place)
+        used = np.flatnonzero(count)
+        ids = line[used]
         by = np.argsort(ids.astype(np.uint16) if len(w["e"]) <= 65536 else ids, kind="stable")
-        ids = ids[by]
+        ids, used = ids[by], used[by]
         starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         rows = ids[starts]
-        grad = np.add.reduceat(values.reshape(-1, WIDTH)[by], starts, axis=0)
+        grad = np.add.reduceat(np.take(around, used, axis=1), starts, axis=1).T
         squares = self.squares["e"][rows] + grad * grad
         self.squares["e"][rows] = squares
         w["e"][rows] -= self.rate * grad / np.sqrt(squares)
-        self.seen["e"][rows] += np.diff(np.append(starts, len(ids)))
-        self.seen["t"] += np.diff(at)
+        self.seen["e"][rows] += np.add.reduceat(count[used], starts)
+        self.seen["t"] += np.diff(upto)
         self.seen["u"][classes] += np.diff(edges)
         self.tokens += n
 
@@ -351,10 +403,11 @@ class Trainer:
         grad /= np.sqrt(squares)
         here -= grad
 
-    def _softmax(self, here: np.ndarray, squares: np.ndarray, h: np.ndarray, place: np.ndarray, every: np.ndarray, scale: np.float32, dh: np.ndarray) -> None:
+    def _softmax(self, here: np.ndarray, squares: np.ndarray, h: np.ndarray, place: np.ndarray, every: np.ndarray, scale: np.float32, dh: np.ndarray, bound: float) -> None:
         """One softmax: adds to dh, and changes its own weights, both by the weights before."""
         x = here @ h
-        x -= x.max(axis=0)
+        if not bound < UNSHIFTED:
+            x -= x.max(axis=0)
         np.exp(x, out=x)
         x *= scale / x.sum(axis=0)
         x[place, every] -= scale
@@ -387,9 +440,9 @@ def _train(start, size: int, batch: int):
         def learn() -> None:
             nonlocal held, count
             if held:
-                target, context = windows(held, size - 1)
-                for a in range(0, len(target), batch):
-                    trainer.step(target[a : a + batch], context[:, a : a + batch])
+                line, at = laid(held, size - 1)
+                for a in range(0, len(at), batch):
+                    trainer.learn(line, at[a : a + batch])
             held, count = [], 0
 
         for some in batches:
@@ -461,7 +514,7 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
     """(doc_id, n_tokens, n_novel, log_probability) of the rows of encoded(); without words 0, 0 and 0.0.
 
     A row for each document and one for each word of it that shares a token meet the word's count,
-    and then each other by document; a document's own row goes by a hash of its number, so that no
+    and then each other by document; counts, a row for each word, are hashed, which spares both sides a sort. A document's own row goes by a hash of its number, so that no
     key gathers them.
     """
     sent = coded.sparkSession.sparkContext.broadcast((vocab, w))
@@ -470,8 +523,8 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
         vocab_here, model = sent.value
 
         def given(rows, ids, held, rare, lengths) -> pa.RecordBatch:
-            target, context = windows(held, vocab_here.outside)
-            logs = log_probabilities(model, target, context).astype(np.float64)
+            line, at = laid(held, vocab_here.outside)
+            target, logs = line[at], log_probabilities_along(model, line, at).astype(np.float64)
             low = np.log(vocab_here.total + UNSEEN * vocab_here.distinct, where=vocab_here.distinct > 0, out=np.zeros(vocab_here.shared))
             shared = np.flatnonzero(target >= vocab_here.own)
             logs[shared] -= low[target[shared] - vocab_here.own]
@@ -506,7 +559,7 @@ def score(coded: DataFrame, counts: DataFrame, vocab: Vocabulary, w: dict[str, n
                     rows, ids, held, rare, lengths, size = [], [], [], [], [], 0
 
     kind = "row long, h long, doc_id long, n_tokens long, part double, n long"
-    rows = coded.mapInArrow(lean(run), kind).join(counts.select("h", F.col("n").alias("everywhere")), "h", "left")
+    rows = coded.mapInArrow(lean(run), kind).join(counts.select("h", F.col("n").alias("everywhere")).hint("shuffle_hash"), "h", "left")
     elsewhere = F.col("everywhere") - F.col("n")
     share = F.col("n") * F.round(F.log(elsewhere + UNSEEN) * SCALE).cast("long")
     novel = F.when(elsewhere == 0, F.col("n"))

@@ -210,6 +210,29 @@ def test_both_sides_are_used():
     assert c[:, 2].tolist() == [1, 2, 4, 5] and set(c[:, 5].tolist()) == {99}
 
 
+def test_each_place_is_looked_up_once(monkeypatch):
+    """Training and scoring along a line give what they give window by window."""
+    rng, w = np.random.default_rng(8), noisy(SIZE)
+    seqs = [rng.integers(0, 90, n).astype(np.uint32) for n in (50, 0, 1, 2, 33)]
+    (line, at), (y, c) = lm.laid(seqs, SIZE - 1), lm.windows(seqs, SIZE - 1)
+    assert line[at].tolist() == y.tolist()
+    assert lm.log_probabilities_along(w, line, at, 20) == pytest.approx(lm.log_probabilities(w, y, c, 999), abs=1e-5)
+    along, one = lm.Trainer(w), lm.Trainer(w)
+    for a in range(0, len(at), 30):
+        along.learn(line, at[a : a + 30])
+        one.step(y[a : a + 30], c[:, a : a + 30])
+    for name in w:
+        assert along.w[name] == pytest.approx(one.w[name], abs=1e-4) and (along.weights(name) == one.weights(name)).all()
+    assert along.seen["e"].sum() == c.size
+    sizes, take = [], np.take
+    monkeypatch.setattr(lm.np, "take", lambda x, i, **k: sizes.append(len(i)) or take(x, i, **k))
+    lm.Trainer(w).learn(line, at)
+    assert sizes[0] == len(line)  # not four times as many
+    # beyond the bound of what needs no shift
+    big = {k: v * 100 for k, v in w.items()}
+    assert lm._bounds(big, "g", lm.GROUPS)[0] > lm.UNSHIFTED and not np.isnan(lm.log_probabilities_along(big, line, at)).any()
+
+
 def test_the_vocabulary_grows_with_the_corpus():
     sizes = [lm.size_for(n) for n in (0, 10**4, 10**6, 10**8, 10**10, 10**13)]
     assert sizes == sorted(sizes) and sizes[0] == lm.LEAST and sizes[3] == 32768 and sizes[-1] == lm.MOST
